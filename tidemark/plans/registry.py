@@ -1,6 +1,594 @@
-def queries():
-    return {}
+"""The registered queries of the inventory operators, each with its DuckDB SQL."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import fold, jobs as J, lifecycle as L, listing, match, payloads, rollup, workqueue
+from ..sources import feeds, fixtures as X
+from .oracle import HOST, sql, stamp, uuid_of
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, *parts: str) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle is not None:
+            _SQL[f.__name__] = sql(oracle, *parts)
+        return f
+
+    return register
+
+
+def when(column: str) -> F.Column:
+    return F.date_format(F.col(column).cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias(column)
+
+
+COUNTS = ", ".join(["count(h.fqdn) AS total"] + [f"count(*) FILTER (WHERE h.{test}) AS {name}" for name, test in (("alive", "status = 'alive'"), ("dead", "status = 'dead'"), ("unreachable", "status = 'unreachable'"), ("web", "type = 'web'"))])
+
+
+@query(f"SELECT p.id, p.value, p.active, {COUNTS} FROM pats p LEFT JOIN host h ON h.pattern_id = p.id GROUP BY p.id, p.value, p.active", "pats", "host")
+def pattern_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.pattern_rollup(X.patterns(spark), X.hosts(spark, d))
+
+
+@query(f"SELECT 6::BIGINT AS patterns, {COUNTS} FROM host h WHERE pattern_id IS NOT NULL", "host")
+def dashboard_totals(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.totals(pattern_rollup(spark, d))
+
+
+@query("SELECT pattern_id, status, type, count(*) AS n FROM host GROUP BY CUBE (pattern_id, status, type)", "host")
+def host_cube(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.host_cube(X.hosts(spark, d))
+
+
+@query("SELECT fqdn, pattern_id FROM matched", "matched")
+def pattern_match_first(spark: SparkSession, d: str) -> DataFrame:
+    return match.match_hosts(X.observations(spark, d), X.patterns(spark))
+
+
+@query("SELECT DISTINCT fqdn FROM obs WHERE fqdn NOT IN (SELECT fqdn FROM matched)", "obs", "matched")
+def unmatched_hosts(spark: SparkSession, d: str) -> DataFrame:
+    seen = X.observations(spark, d)
+    return seen.select("fqdn").distinct().join(match.match_hosts(seen, X.patterns(spark)), "fqdn", "left_anti")
+
+
+def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Known hosts (even pages), a batch of certificate URLs (odd pages) and an active queue row for every 15th of them."""
+    pages = X.load(spark, d, "pages").select(F.col("page_id").alias("seq"), "url")
+    known = pages.filter("seq % 2 = 0").select(S.url_host("url").alias("fqdn")).distinct().withColumn("id", S.stable_id("fqdn"))
+    queue = pages.filter("seq % 15 = 0").select("url", S.stable_id(S.url_host("url")).alias("host_id"), F.lit("pending").alias("status"))
+    return known, pages.filter("seq % 2 = 1"), queue
+
+
+@query(
+    f"""SELECT {uuid_of('fqdn')} AS id, arg_min(pattern_id, seq) AS pattern_id, fqdn, 'unreachable' AS status, 'unknown' AS type FROM obs JOIN matched USING (fqdn)
+    WHERE seq % 2 = 1 AND fqdn NOT IN (SELECT fqdn FROM obs WHERE seq % 2 = 0) GROUP BY fqdn""",
+    "obs", "matched",
+)
+def cert_ingest_new_hosts(spark: SparkSession, d: str) -> DataFrame:
+    known, urls, queue = _batches(spark, d)
+    return match.ingest_certificates(urls, X.patterns(spark), known, queue, X.as_of())["new_hosts"].select("id", "pattern_id", "fqdn", "status", "type")
+
+
+@query(f"SELECT url, {uuid_of('fqdn')} AS host_id, 'certstream' AS source, 'pending' AS status FROM obs JOIN matched USING (fqdn) WHERE seq % 2 = 1 AND seq % 15 <> 0", "obs", "matched")
+def cert_ingest_offers(spark: SparkSession, d: str) -> DataFrame:
+    known, urls, queue = _batches(spark, d)
+    return match.ingest_certificates(urls, X.patterns(spark), known, queue, X.as_of())["offers"].select("url", "host_id", "source", "status")
+
+
+LISTED = f"SELECT id, fqdn, ip, status, type, {stamp('created_at')} AS created_at FROM host"
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "fqdn", "ip", "status", "type", when("created_at"))
+
+
+@query(f"{LISTED} WHERE pattern_id = '1' AND status = 'alive' ORDER BY host.created_at DESC, id LIMIT 10 OFFSET 10", "host")
+def host_list_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = listing.filtered_hosts(X.hosts(spark, d), pattern_id="1", status="alive")
+    return _listed(listing.page(rows, listing.newest(), 2, 10))
+
+
+@query("SELECT count(*) AS total, 2::INTEGER AS page, 10::INTEGER AS per_page, greatest(1, ceil(count(*) / 10))::BIGINT AS page_count FROM host WHERE pattern_id = '1' AND status = 'alive'", "host")
+def host_page_count(spark: SparkSession, d: str) -> DataFrame:
+    rows = listing.filtered_hosts(X.hosts(spark, d), pattern_id="1", status="alive")
+    return listing.envelope(rows, listing.newest(), 2, 10)[1]
+
+
+@query("SELECT type, count(*) AS n FROM host WHERE status = 'alive' GROUP BY type", "host")
+def host_count(spark: SparkSession, d: str) -> DataFrame:
+    return listing.filtered_hosts(X.hosts(spark, d), status="alive").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{LISTED} WHERE port = '22'", "host")
+def host_by_port(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(listing.filtered_hosts(X.hosts(spark, d), port=22))
+
+
+@query(f"{LISTED} WHERE last_seq % 3 = 0", "host")
+def host_by_name(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.hosts(spark, d)
+    return _listed(listing.by_keys(rows, rows.filter("seq % 3 = 0").select("fqdn"), "fqdn")[0])
+
+
+@query(f"SELECT id, fqdn, ip, status, type, pattern_id, port AS open_ports, {stamp('last_seen_at')} AS last_seen_at FROM host", "host")
+def host_detail(spark: SparkSession, d: str) -> DataFrame:
+    ports = F.nullif(F.array_join(S.open_ports("ports"), ","), F.lit(""))
+    return X.hosts(spark, d).select("id", "fqdn", "ip", "status", "type", "pattern_id", ports.alias("open_ports"), when("last_seen_at"))
+
+
+@query(f"{LISTED} WHERE (host.created_at, fqdn) IS NOT NULL AND host.created_at < TIMESTAMP '2024-01-01 00:40:00' ORDER BY host.created_at DESC, id LIMIT 7", "host")
+def host_keyset_page(spark: SparkSession, d: str) -> DataFrame:
+    at = F.expr("TIMESTAMP '2024-01-01 00:40:00'")
+    rows = X.hosts(spark, d)
+    return _listed(rows.filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") > "~"))).orderBy(*listing.newest()).limit(7))
+
+
+@query("SELECT seq, port, 'tcp' AS protocol, port || '/tcp' AS label, port_kind = 'web' AS web FROM obs WHERE port IS NOT NULL", "obs")
+def port_explode(spark: SparkSession, d: str) -> DataFrame:
+    seen = X.observations(spark, d)
+    rows = seen.select("seq", "ports", F.explode(S.open_ports("ports")).alias("port"))
+    return rows.select("seq", "port", F.lit("tcp").alias("protocol"), F.concat("port", F.lit("/tcp")).alias("label"), (F.size(S.web_urls("ports")) > 0).alias("web"))
+
+
+@query("SELECT seq, 'A' AS kind, ip AS value FROM obs WHERE ip IS NOT NULL UNION ALL SELECT seq, 'CNAME', 'cdn.' || fqdn FROM obs WHERE seq % 4 = 0", "obs")
+def dns_explode(spark: SparkSession, d: str) -> DataFrame:
+    records = F.from_json("dns", "A array<string>, AAAA array<string>, CNAME array<string>")
+    rows = X.observations(spark, d).select("seq", records.alias("r"))
+    return rows.select("seq", F.explode(F.create_map(*[x for k in ("A", "AAAA", "CNAME") for x in (F.lit(k), F.col(f"r.{k}"))])).alias("kind", "values")).select("seq", "kind", F.explode("values").alias("value"))
+
+
+@query("SELECT seq, url FROM obs WHERE port_kind = 'web'", "obs")
+def web_url_extract(spark: SparkSession, d: str) -> DataFrame:
+    return X.observations(spark, d).select("seq", F.explode(S.web_urls("ports")).alias("url"))
+
+
+SERVICE = "SELECT id, fqdn, url, code::VARCHAR AS status_code, title FROM svc"
+
+
+def _service(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "fqdn", "url", "status_code", "title")
+
+
+@query(f"{SERVICE} JOIN (SELECT fqdn FROM host) USING (fqdn) ORDER BY scanned_at DESC NULLS LAST, id LIMIT 20 OFFSET 20", "svc", "host")
+def service_list_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = listing.filtered_services(X.services(spark, d), X.hosts(spark, d))
+    return _service(listing.page(rows, listing.newest("scanned_at"), 2, 20))
+
+
+@query("SELECT host.pattern_id, count(*) AS n FROM svc JOIN host USING (fqdn) GROUP BY host.pattern_id", "svc", "host")
+def service_count(spark: SparkSession, d: str) -> DataFrame:
+    return listing.filtered_services(X.services(spark, d), X.hosts(spark, d)).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{SERVICE} WHERE code // 100 = 4", "svc")
+def service_by_status_class(spark: SparkSession, d: str) -> DataFrame:
+    return _service(listing.filtered_services(X.services(spark, d), X.hosts(spark, d), status_class=4))
+
+
+@query("SELECT CASE WHEN code < 300 THEN '2xx' WHEN code < 400 THEN '3xx' WHEN code < 500 THEN '4xx' ELSE '5xx' END AS bucket, count(*) AS n FROM svc GROUP BY 1", "svc")
+def status_bucket_counts(spark: SparkSession, d: str) -> DataFrame:
+    return X.services(spark, d).groupBy(S.status_bucket(S.status_code("chain")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{SERVICE} WHERE page_id % 4 = 0", "svc")
+def service_by_technology(spark: SparkSession, d: str) -> DataFrame:
+    return _service(listing.filtered_services(X.services(spark, d), X.hosts(spark, d), technology="hp"))
+
+
+@query("SELECT id, array_to_string(tech[1:1], ', ') AS shown, greatest(len(tech) - 1, 0)::INTEGER AS more FROM svc", "svc")
+def tech_summary(spark: SparkSession, d: str) -> DataFrame:
+    top = S.top_technologies("technologies", 1)
+    return X.services(spark, d).select("id", F.array_join(top["names"], ", ").alias("shown"), top["more"].alias("more"))
+
+
+SIZE = "CASE WHEN size < 1024 THEN size || 'B' WHEN size < 1048576 THEN printf('%.1fKB', size / 1024) ELSE printf('%.1fMB', size / 1048576) END"
+
+
+@query(f"SELECT id, CASE WHEN two THEN code || '→200' ELSE code::VARCHAR END AS codes, CASE WHEN two THEN '0B→' ELSE '' END || {SIZE} AS sizes FROM svc", "svc")
+def redirect_chain_text(spark: SparkSession, d: str) -> DataFrame:
+    return X.services(spark, d).select("id", S.chain_text("chain").alias("codes"), S.size_text("chain").alias("sizes"))
+
+
+@query(
+    """SELECT id, 1 AS place, url, code AS status_code, title, CASE WHEN two THEN 0 ELSE size END AS response_size FROM svc
+    UNION ALL SELECT id, 2, url, 200, 'Page ' || page_id, size FROM svc WHERE two""",
+    "svc",
+)
+def redirect_hops(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.services(spark, d).select("id", F.posexplode(S.hops("chain")).alias("pos", "hop"))
+    return rows.select("id", (F.col("pos") + 1).alias("place"), "hop.url", "hop.status_code", "hop.title", "hop.response_size")
+
+
+@query("SELECT id, 'favicon' AS key, 'https://' || fqdn || '/favicon.ico' AS value FROM svc WHERE page_id % 5 = 0 UNION ALL SELECT id, 'lang', 'en' FROM svc", "svc")
+def service_metadata_kv(spark: SparkSession, d: str) -> DataFrame:
+    entries = F.try_variant_get(S.json_value("metadata"), "$", "map<string,variant>")
+    rows = X.services(spark, d).select("id", F.explode(entries).alias("key", "v"))
+    return rows.select("id", "key", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value"))
+
+
+@query("SELECT id, CASE WHEN page_id % 6 = 0 THEN 2 ELSE 0 END AS n FROM svc", "svc")
+def external_host_count(spark: SparkSession, d: str) -> DataFrame:
+    return X.services(spark, d).select("id", S.external_host_count("external_hosts").alias("n"))
+
+
+JOB = f"SELECT id, pattern_id, mode, status, {stamp('created_at')} AS created_at FROM job"
+
+
+def _job(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "pattern_id", "mode", "status", when("created_at"))
+
+
+@query(f"{JOB} WHERE pattern_id = '2' AND status = 'failed' ORDER BY job.created_at DESC, id LIMIT 50 OFFSET 50", "job")
+def job_list_page(spark: SparkSession, d: str) -> DataFrame:
+    return _job(listing.page(listing.filtered_jobs(X.jobs(spark, d), "2", "failed"), listing.newest(), 2, 50))
+
+
+@query("SELECT status, mode, count(*) AS n FROM job GROUP BY ALL", "job")
+def job_count(spark: SparkSession, d: str) -> DataFrame:
+    return X.jobs(spark, d).groupBy("status", "mode").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT job.id, coalesce(p.value, substr(pattern_id, 1, 8)) AS pattern_label, status FROM job LEFT JOIN pats p ON p.id = pattern_id ORDER BY job.created_at DESC, job.id LIMIT 5", "job", "pats")
+def recent_jobs(spark: SparkSession, d: str) -> DataFrame:
+    last = X.jobs(spark, d).orderBy(*listing.newest()).limit(5)
+    return listing.labelled(last, X.patterns(spark)).select("id", "pattern_label", "status")
+
+
+@query("SELECT pattern_id, count(*) AS n, count(external_id) AS n_external FROM job WHERE status IN ('pending', 'running') GROUP BY pattern_id", "job")
+def active_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return J.active_jobs(X.jobs(spark, d)).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.count("external_id").alias("n_external"))
+
+
+@query("SELECT id, value FROM pats WHERE active AND id NOT IN (SELECT pattern_id FROM job WHERE status IN ('pending', 'running') AND pattern_id <> '3')", "job", "pats")
+def patterns_without_active_job(spark: SparkSession, d: str) -> DataFrame:
+    return J.idle_patterns(X.patterns(spark), X.jobs(spark, d).filter("pattern_id <> '3'")).select("id", "value")
+
+
+@query(
+    """SELECT id, row_number() OVER (ORDER BY created_at, id)::INTEGER AS place FROM pats WHERE active AND id NOT IN (SELECT pattern_id FROM job WHERE status = 'running' AND pattern_id IN ('1', '2'))
+    QUALIFY place <= greatest(0, 10 - (SELECT count(DISTINCT pattern_id) FROM job WHERE status = 'running' AND pattern_id IN ('1', '2')))""",
+    "job", "pats",
+)
+def launch_admission(spark: SparkSession, d: str) -> DataFrame:
+    """The latest running job of two of the patterns is active."""
+    running = X.jobs(spark, d).filter("status = 'running' and pattern_id in ('1', '2')").groupBy("pattern_id").agg(F.max("id").alias("id"), F.lit("running").alias("status"))
+    return J.admit_launches(X.patterns(spark), running).select("id", "place")
+
+
+@query(
+    """SELECT id AS job_id, 'failed' AS status FROM job WHERE status IN ('pending', 'running') AND external_id IS NOT NULL AND substr(external_id, 5)::BIGINT % 5 < 2""",
+    "job",
+)
+def job_failure_sync(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.jobs(spark, d)
+    n = F.substring("external_id", 5, 20).cast("long") % 5
+    states = rows.filter("external_id is not null").select("external_id", F.when(n == 0, "failed").when(n == 1, "canceled").otherwise("success").alias("state"))
+    return J.failed_outside(rows, states)
+
+
+@query("SELECT * FROM stats", "stats")
+def job_completion_stats_exact(spark: SparkSession, d: str) -> DataFrame:
+    return J.completion_stats(X.jobs(spark, d), X.small_hosts(spark, d), X.services(spark, d))
+
+
+@query(
+    """SELECT j.id AS job_id, coalesce(x.n, 0)::BIGINT AS new_hosts, coalesce(x.d, 0)::BIGINT AS newly_dead, coalesce(x.s, 0)::BIGINT AS new_services FROM job j LEFT JOIN (
+      SELECT x.pattern_id, x.started_at, count(*) FILTER (WHERE h.created_at >= x.started_at) AS n, count(*) FILTER (WHERE h.status = 'dead' AND h.updated_at >= x.started_at) AS d, count(DISTINCT v.id) AS s
+      FROM (SELECT DISTINCT pattern_id, started_at FROM job WHERE started_at IS NOT NULL) x JOIN small h USING (pattern_id) LEFT JOIN svc v ON v.fqdn = h.fqdn AND v.created_at >= x.started_at GROUP BY ALL) x
+      ON x.pattern_id = j.pattern_id AND x.started_at = j.started_at""",
+    "job", "small", "svc",
+)
+def job_completion_stats_parity(spark: SparkSession, d: str) -> DataFrame:
+    return J.completion_stats(X.jobs(spark, d), X.small_hosts(spark, d), X.services(spark, d), "parity")
+
+
+@query(f"SELECT job_id, status, {stamp('started_at')} AS started_at, {stamp('completed_at')} AS completed_at FROM jst", "jst")
+def job_status_fold(spark: SparkSession, d: str) -> DataFrame:
+    told = X.job_events(spark, d).filter("status <> 'pending'")
+    return fold.job_states(told).select("job_id", "status", when("started_at"), when("completed_at"))
+
+
+@query(
+    """SELECT id AS job_id, '{"event":"recon_digest","wildcards_processed":1,"new_hostnames":' || new_hosts || ',"newly_dead":' || newly_dead || ',"new_web_services":' || new_services
+      || ',"duration_seconds":' || epoch(TIMESTAMP '2024-02-01' - started_at)::BIGINT || ',"completed_at":"2024-02-01T00:00:00Z"}' AS payload
+      FROM job JOIN stats ON job_id = id WHERE status = 'completed'""",
+    "job", "stats",
+)
+def job_digest(spark: SparkSession, d: str) -> DataFrame:
+    return payloads.digest_payload(J.job_digests(X.jobs(spark, d), job_completion_stats_exact(spark, d), X.as_of()), "recon", X.as_of())
+
+
+@query(
+    """SELECT job_id, u.place::BIGINT AS place, u.name, u.value, true AS inline FROM (
+      SELECT id AS job_id, unnest([{place: 1, name: 'Wildcards processed', value: '1'}, {place: 2, name: 'New hostnames', value: '+' || new_hosts}, {place: 3, name: 'Now dead', value: '-' || newly_dead},
+        {place: 4, name: 'New web services', value: new_services::VARCHAR}, {place: 5, name: 'Duration', value: (s // 60) || 'm' || lpad((s % 60)::VARCHAR, 2, '0') || 's'}]) AS u
+      FROM (SELECT *, epoch(TIMESTAMP '2024-02-01' - started_at)::BIGINT AS s FROM job JOIN stats ON job_id = id WHERE status = 'completed'))""",
+    "job", "stats",
+)
+def digest_fields(spark: SparkSession, d: str) -> DataFrame:
+    return payloads.digest_fields(J.job_digests(X.jobs(spark, d), job_completion_stats_exact(spark, d), X.as_of()), "job_id", "recon")
+
+
+@query(f"SELECT fqdn, id, pattern_id, ip, status, type, {stamp('last_seen_at')} AS last_seen_at, {stamp('created_at')} AS created_at FROM host", "host")
+def host_upsert_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The observations folded in two batches by time, the second over the first's result."""
+    seen = X.matched_observations(spark, d)
+    first = fold.upsert_hosts(None, seen.filter("observed_at < TIMESTAMP '2024-01-01 01:00:00'"))
+    both = fold.upsert_hosts(first, seen.filter("observed_at >= TIMESTAMP '2024-01-01 01:00:00'"))
+    return both.select("fqdn", "id", "pattern_id", "ip", "status", "type", when("last_seen_at"), when("created_at"))
+
+
+@query(
+    f"""SELECT url, arg_min(id, seq) AS id, arg_max(code, seq) AS code, {stamp('max(scanned)')} AS scanned_at FROM (
+      SELECT fqdn AS url, id, code, page_id AS seq, TIMESTAMP '2024-01-01' + to_minutes(page_id::INTEGER) AS scanned FROM svc) GROUP BY url""",
+    "svc",
+)
+def service_upsert_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Scan results folded by host, as if every host had one URL."""
+    rows = X.services(spark, d).withColumns({"url": S.url_host("url"), "scanned_at": F.col("created_at"), "seq": F.col("id").cast("long")})
+    return fold.upsert_services(None, rows).select("url", "id", S.status_code("chain").alias("code"), when("scanned_at"))
+
+
+REQUESTED = f"SELECT page_id AS seq, CASE WHEN page_id % 9 = 0 THEN '*.example.net' WHEN page_id % 4 = 0 THEN {HOST} ELSE '*.' || {HOST} END AS value FROM pages"
+
+
+@query(
+    f"""SELECT seq, value, CASE WHEN NOT regexp_full_match(value, '\\*\\.[a-zA-Z0-9-]+(\\.[a-zA-Z]{{2,}})+') THEN 'invalid' WHEN known OR n > 1 THEN 'conflict' ELSE 'inserted' END AS outcome
+    FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY seq) AS n, value IN (SELECT value FROM pats) AS known FROM ({REQUESTED}))""",
+    "pats",
+)
+def pattern_insert(spark: SparkSession, d: str) -> DataFrame:
+    host = S.url_host("url")
+    n = F.col("page_id")
+    asked = X.load(spark, d, "pages").select(n.alias("seq"), F.when(n % 9 == 0, "*.example.net").when(n % 4 == 0, host).otherwise(F.concat(F.lit("*."), host)).alias("value"))
+    got = fold.insert_patterns(X.patterns(spark), asked, X.as_of())
+    told = got["conflicts"].withColumn("outcome", F.lit("conflict")).unionByName(got["invalid"].withColumn("outcome", F.lit("invalid")))
+    first = asked.join(got["inserted"].select("value"), "value", "left_semi").groupBy("value").agg(F.min("seq").alias("seq")).withColumn("outcome", F.lit("inserted"))
+    return told.unionByName(first)
+
+
+@query(
+    """SELECT 'hosts' AS name, count(*) AS n FROM small WHERE pattern_id <> '1' UNION ALL SELECT 'jobs', count(*) FROM job WHERE pattern_id <> '1'
+    UNION ALL SELECT 'services', count(*) FROM svc WHERE fqdn IN (SELECT fqdn FROM small WHERE pattern_id <> '1') UNION ALL SELECT 'queue', count(*) FROM svc WHERE page_id % 3 = 0 AND fqdn IN (SELECT fqdn FROM small WHERE pattern_id <> '1')""",
+    "small", "job", "svc",
+)
+def pattern_cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    services = X.services(spark, d)
+    left = fold.delete_patterns(X.patterns(spark).filter("id = '1'").select("id"), X.small_hosts(spark, d), services, services.filter("id % 3 = 0").select("id", "host_id", "url"), X.jobs(spark, d))
+    counts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in left.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def _queue(spark: SparkSession, d: str) -> DataFrame:
+    rows = workqueue.replay(X.queue_events(spark, d))
+    key = F.col("key").cast("string")
+    return rows.select(F.concat_ws("-", key, F.col("row")).alias("id"), key.alias("host_id"), F.concat(F.lit("u"), key).alias("url"), "status", "retry_count", "created_at", "updated_at")
+
+
+@query("SELECT status, count(*) AS n FROM qrow GROUP BY status", "qrow")
+def queue_depth(spark: SparkSession, d: str) -> DataFrame:
+    return workqueue.depth(_queue(spark, d))
+
+
+@query(
+    """SELECT key, seq, admitted, (sum((kind = 'fail')::INT) OVER (PARTITION BY key, era ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS retries FROM qera""", "qera"
+)
+def queue_admission(spark: SparkSession, d: str) -> DataFrame:
+    return workqueue.admit(X.queue_events(spark, d)).select("key", "seq", "admitted", "retries")
+
+
+@query(
+    """SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_at, id) AS n FROM (SELECT key || '-' || row AS id, * FROM qrow)
+      WHERE (status = 'pending' OR (status = 'failed' AND retry_count < 3)) AND key NOT IN (SELECT key FROM qrow WHERE status = 'processing'))
+    WHERE n = 1 ORDER BY created_at, id LIMIT 10""",
+    "qrow",
+)
+def queue_claim(spark: SparkSession, d: str) -> DataFrame:
+    rows = _queue(spark, d)
+    return workqueue.claim(rows, 10, X.as_of()).filter(F.col("updated_at") == X.as_of()).filter("status = 'processing'").select("id")
+
+
+@query(
+    """SELECT CASE WHEN status = 'processing' AND updated_at < (SELECT max(ts) FROM events) - INTERVAL 2 MINUTE THEN 'pending' ELSE status END AS status, count(*) AS n, sum(retry_count)::BIGINT AS retries
+    FROM qrow GROUP BY 1""",
+    "qrow",
+)
+def queue_recover(spark: SparkSession, d: str) -> DataFrame:
+    last = X.load(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    rows = workqueue.recover(_queue(spark, d), F.lit(last))
+    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("retry_count").alias("retries"))
+
+
+@query(
+    """SELECT CASE WHEN key % 3 = 0 THEN 'done' WHEN key % 3 = 1 THEN 'failed' ELSE status END AS status, count(*) AS n, sum(retry_count + (key % 3 = 1)::INT)::BIGINT AS retries FROM qrow GROUP BY 1""",
+    "qrow",
+)
+def queue_settle(spark: SparkSession, d: str) -> DataFrame:
+    rows = _queue(spark, d)
+    outcomes = rows.select("id", F.when(F.col("host_id").cast("long") % 3 == 0, "ok").when(F.col("host_id").cast("long") % 3 == 1, "fail").alias("outcome"))
+    return workqueue.settle(rows, outcomes, X.as_of()).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("retry_count").alias("retries"))
+
+
+@query("SELECT key, arg_max(status, seq) AS status, arg_max(type, seq) AS type, count_if(status = 'dead' AND before = 'alive') AS newly_dead FROM life GROUP BY key", "life")
+def host_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    return L.current(L.lifecycle(X.lifecycle_events(spark, d)))
+
+
+@query("SELECT key, seq FROM life WHERE status = 'dead' AND before = 'alive'", "life")
+def newly_dead(spark: SparkSession, d: str) -> DataFrame:
+    return L.lifecycle(X.lifecycle_events(spark, d)).filter("newly_dead").select("key", "seq")
+
+
+@query("SELECT key, seq FROM life WHERE kind = 'ok' AND source = 'certstream' AND before = 'unreachable'", "life")
+def new_service_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return L.new_service_alerts(L.lifecycle(X.lifecycle_events(spark, d))).select("key", "seq")
+
+
+@query("SELECT fqdn, status AS old_status, new_status AS status, status = 'alive' AND new_status = 'dead' AS newly_dead, dns_ok AND type = 'web' AS offers_urls FROM reval", "reval")
+def revalidate(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.hosts(spark, d)
+    return L.revalidate(rows, X.probes(rows)).select("fqdn", "old_status", "status", "newly_dead", "offers_urls")
+
+
+OFFERED = "SELECT host_id, url FROM (SELECT r.id AS host_id, s.url, row_number() OVER (PARTITION BY r.id ORDER BY s.scanned_at DESC NULLS LAST, s.id) AS n FROM reval r JOIN svc s ON s.fqdn = r.fqdn WHERE r.dns_ok AND r.type = 'web') WHERE n <= 3"
+
+
+@query(OFFERED, "reval", "svc")
+def revalidation_urls(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.hosts(spark, d)
+    return L.known_urls(X.services(spark, d), L.revalidate(rows, X.probes(rows)).filter("offers_urls"), 3).select("host_id", "url")
+
+
+@query(
+    f"""SELECT 5::BIGINT AS patterns, 0::BIGINT AS new_hosts, (SELECT count(*) FROM reval WHERE status = 'alive' AND new_status = 'dead') AS newly_dead, (SELECT count(*) FROM ({OFFERED})) AS urls_offered, 60::BIGINT AS duration_seconds""",
+    "reval", "svc",
+)
+def revalidation_digest(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.hosts(spark, d)
+    return rollup.revalidation_digest(L.revalidate(rows, X.probes(rows)), revalidation_urls(spark, d), X.patterns(spark), 60)
+
+
+@query(
+    """SELECT fqdn, 'added' AS change FROM (SELECT DISTINCT fqdn FROM obs WHERE seq % 5 <> 0 EXCEPT SELECT fqdn FROM obs WHERE seq % 5 = 0)
+    UNION ALL SELECT fqdn, 'vanished' FROM (SELECT DISTINCT fqdn FROM obs WHERE seq % 5 = 0 EXCEPT SELECT fqdn FROM obs WHERE seq % 5 <> 0)""",
+    "obs",
+)
+def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    seen = X.observations(spark, d)
+    return rollup.snapshot_diff(seen.filter("seq % 5 = 0"), seen.filter("seq % 5 <> 0"))
+
+
+def _alerts(spark: SparkSession, d: str) -> DataFrame:
+    owner = X.hosts(spark, d).select(F.col("id").alias("host_id"), "pattern_id")
+    value = X.patterns(spark).select(F.col("id").alias("pattern_id"), F.col("value").alias("pattern_value"))
+    return X.services(spark, d).join(owner, "host_id").join(value, "pattern_id")
+
+
+@query(
+    f"""SELECT url, '{{"event":"new_web_service","url":"' || url || '","wildcard":"' || value || '","hostname_id":"' || {uuid_of('fqdn')} || '","fingerprint":{{"status_code":' || code || ',"title":"' || title || '","technologies":['
+      || CASE page_id % 4 WHEN 0 THEN '{{"name":"Nginx","version":"","category":""}},{{"name":"PHP","version":"8.2.3","category":""}}' WHEN 1 THEN '{{"name":"Laravel","version":"10.0","category":""}}' ELSE '' END || ']'
+      || CASE WHEN page_id % 5 = 0 THEN ',"favicon":"https://' || fqdn || '/favicon.ico"' ELSE '' END || '}},"discovered_at":"2024-02-01T00:00:00Z"}}' AS payload
+      FROM svc JOIN matched USING (fqdn) JOIN (SELECT id AS pattern_id, value FROM pats) USING (pattern_id)""",
+    "svc", "matched", "pats",
+)
+def alert_payload(spark: SparkSession, d: str) -> DataFrame:
+    return payloads.alert_payload(_alerts(spark, d), X.as_of())
+
+
+@query(
+    """SELECT url, row_number() OVER (PARTITION BY url ORDER BY k) AS place, name, value, inline FROM (
+      SELECT url, 1 AS k, 'URL' AS name, url AS value, false AS inline FROM svc JOIN matched USING (fqdn)
+      UNION ALL SELECT url, 2, 'Wildcard', p.value, true FROM svc JOIN matched USING (fqdn) JOIN pats p ON p.id = pattern_id
+      UNION ALL SELECT url, 3, 'Status', code::VARCHAR, true FROM svc JOIN matched USING (fqdn)
+      UNION ALL SELECT url, 4, 'Title', title, true FROM svc JOIN matched USING (fqdn) WHERE title <> ''
+      UNION ALL SELECT url, 5, 'Technologies', array_to_string(tech, ', '), false FROM svc JOIN matched USING (fqdn) WHERE len(tech) > 0)""",
+    "svc", "matched", "pats",
+)
+def embed_fields(spark: SparkSession, d: str) -> DataFrame:
+    return payloads.alert_fields(_alerts(spark, d))
+
+
+@query(
+    f"""SELECT page_id AS seq, CASE WHEN page_id % 6 = 0 THEN 'bad url' WHEN page_id % 5 = 0 THEN 'not found' ELSE 'accepted' END AS outcome FROM pages""",
+)
+def manual_requests(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("page_id")
+    asked = X.load(spark, d, "pages").select(n.alias("seq"), F.when(n % 6 == 0, F.concat(F.lit("ftp://"), "url")).when(n % 5 == 0, F.concat(F.lit("http://unknown."), S.url_host("url"))).otherwise(F.col("url")).alias("url"))
+    good, bad = feeds.accept_manual_requests(asked, X.hosts(spark, d).select("fqdn", "id"))
+    return good.select("seq", F.lit("accepted").alias("outcome")).unionByName(bad.select("seq", F.col("reason").alias("outcome")))
+
+
+@query(
+    """SELECT 'discovery' AS feed, CASE WHEN page_id % 11 = 0 THEN 'no fqdn' WHEN page_id % 4 = 3 THEN 'unknown job' ELSE 'accepted' END AS reason, count(*) AS n FROM pages GROUP BY 2
+    UNION ALL SELECT 'certificate', CASE WHEN page_id % 8 = 1 THEN 'no host' ELSE 'accepted' END, count(*) FROM pages GROUP BY 2
+    UNION ALL SELECT 'job status', CASE WHEN status = 'pending' THEN 'bad status' WHEN job_id::BIGINT % 10 = 9 THEN 'unknown job' ELSE 'accepted' END, count(*) FROM jev GROUP BY 2""",
+    "jev",
+)
+def rejects_by_reason(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("seq")
+    seen = X.observations(spark, d)
+    known = spark.createDataFrame([("0", "1"), ("1", "2"), ("2", "3")], "id string, pattern_id string")
+    discovery = feeds.accept_discoveries(seen.withColumns({"job_id": (n % 4).cast("string"), "fqdn": F.when(n % 11 != 0, F.col("fqdn"))}), known)
+    certificate = feeds.accept_certificates(seen.select("seq", F.when(n % 8 == 1, F.lit("no url")).otherwise(F.col("url")).alias("url")))
+    events = X.job_events(spark, d)
+    status = feeds.accept_job_events(events, events.filter("job_id % 10 <> 9").select(F.col("job_id").alias("id")).distinct())
+    out = None
+    for name, (good, bad) in (("discovery", discovery), ("certificate", certificate), ("job status", status)):
+        told = good.select(F.lit("accepted").alias("reason")).unionByName(bad.select("reason"))
+        rows = told.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("feed"), "reason", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT page_id AS seq, CASE WHEN page_id % 5 IN (1, 2, 3) THEN 'fail' ELSE 'ok' END AS outcome, CASE WHEN page_id % 5 = 2 THEN 'timeout' ELSE '' END AS error FROM pages")
+def scan_outcome(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("page_id")
+    body = F.when(n % 5 == 1, "not json").when(n % 5 == 2, '{"error":"timeout"}').otherwise(F.concat(F.lit('{"url":"'), "url", F.lit('","scanned_at":"0001-01-01T00:00:00Z"}')))
+    results = X.load(spark, d, "pages").select(n.alias("seq"), F.when(n % 5 == 3, 500).otherwise(200).alias("http_status"), body.alias("body"))
+    return feeds.classify_scans(results).select("seq", "outcome", "error")
+
+
+@query(
+    """SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS label
+    FROM (SELECT event_id, (epoch(TIMESTAMP '2030-01-01') - floor(epoch(ts)))::BIGINT AS s FROM events)"""
+)
+def time_ago_labels(spark: SparkSession, d: str) -> DataFrame:
+    return X.load(spark, d, "events").select("event_id", S.time_ago("ts", F.expr("TIMESTAMP '2030-01-01'")).alias("label"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, strftime(ts, '%d %b %Y, %H:%M') AS day FROM events")
+def rfc3339(spark: SparkSession, d: str) -> DataFrame:
+    return X.load(spark, d, "events").select("event_id", S.rfc3339("ts").alias("at"), S.day_label("ts").alias("day"))
+
+
+@query(
+    """SELECT id AS job_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s // 60 % 60) || 'm' END AS long_form, (s // 60) || 'm' || lpad((s % 60)::VARCHAR, 2, '0') || 's' AS short_form
+    FROM (SELECT id, epoch(completed_at - started_at)::BIGINT AS s FROM job WHERE completed_at IS NOT NULL)""",
+    "job",
+)
+def duration_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.jobs(spark, d).filter("completed_at is not null")
+    s = F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")
+    return rows.select(F.col("id").alias("job_id"), S.duration_text(s).alias("long_form"), S.duration_mmss(s).alias("short_form"))
+
+
+@query(f"SELECT p.id, {stamp('max(started_at) FILTER (WHERE mode = ' + chr(39) + 'normal' + chr(39) + ')')} AS last_recon_at, {stamp('max(completed_at) FILTER (WHERE mode = ' + chr(39) + 'intensive' + chr(39) + ')')} AS last_revalidated_at FROM pats p LEFT JOIN job ON pattern_id = p.id GROUP BY p.id", "pats", "job")
+def pattern_freshness(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.jobs(spark, d)
+    runs = rows.filter("mode = 'normal'").select("pattern_id", F.lit("recon").alias("kind"), F.col("started_at").alias("at"))
+    runs = runs.unionByName(rows.filter("mode = 'intensive'").select("pattern_id", F.lit("revalidation").alias("kind"), F.col("completed_at").alias("at")))
+    none = F.lit(None).cast("timestamp")
+    return fold.stamp_patterns(X.patterns(spark).withColumns({"last_recon_at": none, "last_revalidated_at": none}), runs).select("id", when("last_recon_at"), when("last_revalidated_at"))
+
+
+@query("SELECT id, value FROM pats WHERE active ORDER BY created_at, id", "pats")
+def active_patterns(spark: SparkSession, d: str) -> DataFrame:
+    used = X.hosts(spark, d).select(F.col("pattern_id").alias("id")).distinct()
+    rows = X.patterns(spark).filter("active").join(used.withColumn("used", F.lit(True)), "id", "left")
+    return rows.orderBy(*listing.oldest()).select("id", "value")
+
+
+@query(f"SELECT pattern_id, id, fqdn, row_number() OVER (PARTITION BY pattern_id ORDER BY host.created_at, id)::INTEGER AS place FROM host WHERE pattern_id IS NOT NULL", "host")
+def hosts_by_pattern(spark: SparkSession, d: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("pattern_id").orderBy(*listing.oldest()))
+    return X.hosts(spark, d).filter("pattern_id is not null").select("pattern_id", "id", "fqdn", place.alias("place"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
