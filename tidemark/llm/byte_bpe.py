@@ -9,6 +9,7 @@ Decoding joins a document's ids with the vocabulary and gathers the bytes by an
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import duckdb
@@ -22,23 +23,24 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 #: Pieces up to this many bytes contract one pair a round; longer ones all pairs of the least rank.
-SHORT_BYTES = 48
+SHORT_BYTES, SHORT_BATCH = 48, 4_000
 #: Pieces that a worker remembers; the memory starts anew beyond.
 REMEMBERED = 1_500_000
-DECODE_TOKENS = 400_000
+DECODE_TOKENS = 200_000
 
+# Rows of all rounds; a piece's rows of its last round are its tokens. k is piece << 8 | position.
 _CONTRACT_ONE = """
-WITH RECURSIVE s(w, pos, tok, it) USING KEY (w, pos) AS (
-  SELECT w, pos, tok, 0 FROM pieces
+WITH RECURSIVE s(k, tok, it) AS (
+  SELECT k, tok, 0 FROM pieces
   UNION ALL
-  SELECT s.w, CASE WHEN s.pos > b.best & 4294967295 THEN s.pos - 1 ELSE s.pos END,
-         CASE WHEN s.pos = b.best & 4294967295 THEN b.best >> 32 ELSE s.tok END, s.it + 1
+  SELECT CASE WHEN s.k > b.at THEN s.k - 1 ELSE s.k END, CASE WHEN s.k = b.at THEN b.id ELSE s.tok END, s.it + 1
   FROM s JOIN (
-    SELECT a.w, min((m.id << 32) | a.pos) AS best
-    FROM s a JOIN s n ON n.w = a.w AND n.pos = a.pos + 1 JOIN merges m ON m.pair = ((a.tok << 32) | n.tok)
-    GROUP BY a.w) b ON s.w = b.w AND s.pos <> (b.best & 4294967295) + 1
+    SELECT w, best >> 32 AS id, (w << 8) | (best & 255) AS at FROM (
+      SELECT a.k >> 8 AS w, min((m.id << 32) | (a.k & 255)) AS best
+      FROM s a JOIN s n ON n.k = a.k + 1 JOIN merges m ON m.pair = ((a.tok << 32) | n.tok)
+      GROUP BY a.k >> 8)) b ON s.k >> 8 = b.w AND s.k <> b.at + 1
 )
-SELECT w, pos, tok FROM s QUALIFY it = max(it) OVER (PARTITION BY w) ORDER BY w, pos
+SELECT k, tok, it FROM s
 """
 # A run of overlapping pairs is contracted from its left end, every second pair.
 _CONTRACT_ALL = """
@@ -66,7 +68,7 @@ _DECODE = "SELECT doc, array_to_string(list(piece ORDER BY pos), '') AS text FRO
 
 def _classes() -> np.ndarray:
     """For each code point: 0 white space, 1 letter, 2 number, 3 other."""
-    points = np.array([p for p in range(0x110000) if not 0xD800 <= p < 0xE000], dtype=np.uint32)
+    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000))).astype(np.uint32)
     text = points.tobytes().decode("utf-32-le")
     table = np.full(0x110000, 3, dtype=np.uint8)
     for code, pattern in ((0, r"\s+"), (1, r"\p{L}+"), (2, r"\p{N}+")):
@@ -131,7 +133,7 @@ class _Vocabulary:
         self.rank = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.byte_rank = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
         merges = [(self.rank[t[:i]] << 32 | self.rank[t[i:]], r) for t, r in self.rank.items() for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         table = pa.table({"pair": pa.array([m[0] for m in merges], pa.int64()), "id": pa.array([m[1] for m in merges], pa.int64())})
         vocab = pa.table({"tok": pa.array(list(self.rank.values()), pa.int64()), "piece": [t.decode("latin-1") for t in self.rank]})
         self.db.register("merges_in", table)
@@ -148,32 +150,49 @@ class _Vocabulary:
 
     def contract(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pieces, one after the other, and how many each has."""
-        whole = [self.rank.get(p, -1) for p in pieces]
-        ids, counts = [None] * len(pieces), np.ones(len(pieces), dtype=np.int64)
-        for query, wanted in (
-            (_CONTRACT_ONE, [i for i, p in enumerate(pieces) if whole[i] < 0 and len(p) <= SHORT_BYTES]),
-            (_CONTRACT_ALL, [i for i, p in enumerate(pieces) if whole[i] < 0 and len(p) > SHORT_BYTES]),
-        ):
-            for first in range(0, len(wanted), 50_000):
-                batch = wanted[first : first + 50_000]
-                size = np.array([len(pieces[i]) for i in batch])
-                data = np.frombuffer(b"".join(pieces[i] for i in batch), dtype=np.uint8)
-                begin = np.cumsum(size) - size
-                rows = pa.table({"w": np.repeat(np.arange(len(batch)), size), "pos": np.arange(len(data)) - np.repeat(begin, size), "tok": self.byte_rank[data]})
-                self.db.register("pieces", rows)
-                out = self.db.execute(query).fetchnumpy()
-                self.db.unregister("pieces")
-                per = np.bincount(out["w"], minlength=len(batch))
-                for i, part in zip(batch, np.split(out["tok"], np.cumsum(per)[:-1]), strict=True):
-                    ids[i] = part
-                counts[np.array(batch)] = per
-        flat = [np.array([whole[i]]) if ids[i] is None else ids[i] for i in range(len(pieces))]
-        return (np.concatenate(flat) if flat else np.zeros(0)).astype(np.uint32), counts
+        whole = np.fromiter((self.rank.get(p, -1) for p in pieces), dtype=np.int64, count=len(pieces))
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        counts = np.ones(len(pieces), dtype=np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        for short, batch in ((True, SHORT_BATCH), (False, 200)):
+            wanted = np.flatnonzero((whole < 0) & ((size <= SHORT_BYTES) == short))
+            for first in range(0, len(wanted), batch):
+                some = wanted[first : first + batch]
+                tokens, per = self._fixpoint([pieces[i] for i in some], size[some], short)
+                counts[some] = per
+                done.append((some, tokens))
+        at = np.cumsum(counts) - counts
+        flat = np.zeros(int(counts.sum()), dtype=np.uint32)
+        flat[at[whole >= 0]] = whole[whole >= 0]
+        for some, tokens in done:
+            per = counts[some]
+            flat[np.repeat(at[some] - (np.cumsum(per) - per), per) + np.arange(len(tokens))] = tokens
+        return flat, counts
+
+    def _fixpoint(self, pieces: list[bytes], size: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of pieces by the recursive query, one after the other, and how many each has."""
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        which = np.repeat(np.arange(len(pieces)), size)
+        place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+        if short:
+            rows = pa.table({"k": which << 8 | place, "tok": self.byte_rank[data]})
+        else:
+            rows = pa.table({"w": which, "pos": place, "tok": self.byte_rank[data]})
+        self.db.register("pieces", rows)
+        out = self.db.execute(_CONTRACT_ONE if short else _CONTRACT_ALL).fetchnumpy()
+        self.db.unregister("pieces")
+        if not short:
+            return out["tok"], np.bincount(out["w"], minlength=len(pieces))
+        which, last = out["k"] >> 8, np.zeros(len(pieces), dtype=out["it"].dtype)
+        np.maximum.at(last, which, out["it"])
+        final = np.flatnonzero(out["it"] == last[which])
+        final = final[np.argsort(out["k"][final])]
+        return out["tok"][final], np.bincount(which[final], minlength=len(pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for first, parts in tk.chunks(texts, 4 << 20):
+        for first, parts in tk.chunks(texts, 3 << 19):
             mine = texts[first : first + len(parts)]
             raw = "".join(mine).encode("utf-32-le", "surrogatepass")
             points = np.frombuffer(raw, dtype=np.uint32)
@@ -192,12 +211,11 @@ class _Vocabulary:
             if len(fresh):
                 view = data.tobytes()
                 ids, counts = self.contract([view[begin[i] : stop[i]] for i in where[fresh]])
-                self.slot = np.concatenate((self.slot, len(self.offsets) - 1 + np.arange(len(fresh))))
+                slots = len(self.offsets) - 1 + np.arange(len(fresh))
                 self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(counts)))
                 self.ids = np.concatenate((self.ids, ids))
-                self.known = np.concatenate((self.known, distinct[fresh]))
-                order = np.argsort(self.known)
-                self.known, self.slot = self.known[order], self.slot[order]
+                into = np.searchsorted(self.known, distinct[fresh])
+                self.known, self.slot = np.insert(self.known, into, distinct[fresh]), np.insert(self.slot, into, slots)
             slot = self.slot[np.searchsorted(self.known, distinct)][inverse]
             size = self.offsets[slot + 1] - self.offsets[slot]
             base = np.concatenate(([0], np.cumsum(size)))
@@ -273,11 +291,24 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: s
 
 
 def round_trip(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256) of every text encoded and decoded again."""
-    both = decode(encode(documents, id_col, text_col, ranks), id_col, "ids", ranks)
-    return both.select(
-        id_col,
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """(id_col, n_tokens, ids_sha256, decoded_sha256) of every text encoded and decoded again, in one pass of a worker."""
+    path = ranks or default_ranks()
+    kind = documents.select(F.col(id_col).alias(id_col)).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                ids = words.encode([t or "" for t in part.column(1).to_pylist()])
+                texts = words.decode(ids)
+                told = [
+                    part.column(0),
+                    pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(told, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return documents.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
