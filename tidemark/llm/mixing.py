@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .tables import cut
 
-DIMENSIONS, ROUNDS, TEMPER, SEED = ("source", "lang", "topic"), 12, 0.9, "mix-1"
+DIMENSIONS, ROUNDS, SEED = ("source", "lang", "topic"), 12, "mix-1"
+#: Default targets: a dimension's natural token shares to this power, scaled to sum to one.
+TEMPERS = {"source": 0.95, "lang": 0.95, "topic": 1.0}
 
 
 def token_count(text: Column) -> Column:
@@ -65,7 +67,7 @@ def uniform(id_column: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def calibrated(measures: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+def calibrated(measures: DataFrame, targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
     """measures(id, source, lang, topic, n_tokens) with probability and sampled, one row each.
 
     Without targets each dimension aims at its tempered natural shares. Documents without a word carry no
@@ -73,7 +75,7 @@ def calibrated(measures: DataFrame, targets: dict[str, DataFrame] | None = None,
     """
     dims = list(DIMENSIONS)
     cells = cut(measures.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
-    aims = targets or {name: tempered(cells, name, temper) for name in dims}
+    aims = targets or {name: tempered(cells, name, (tempers or TEMPERS)[name]) for name in dims}
     raked = rake(cells, aims, rounds).withColumn("rate", F.col("weight") / F.col("tokens"))
     most = raked.agg(F.max("rate").alias("m")).first()["m"] or 1.0
     rate = raked.select(*dims, (F.col("rate") / F.lit(most)).alias("rate"))
@@ -82,10 +84,10 @@ def calibrated(measures: DataFrame, targets: dict[str, DataFrame] | None = None,
     return joined.withColumn("probability", probability).withColumn("sampled", uniform(F.col("id"), seed) < F.col("probability")).drop("rate")
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, temper: float = TEMPER) -> DataFrame:
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None) -> DataFrame:
     """(id_col, source, lang, topic, n_tokens, probability, sampled) of every document."""
     measures = cut(measured(documents, id_col, text_col, source_col, lang_col))
-    return calibrated(measures, targets, temper).withColumnRenamed("id", id_col)
+    return calibrated(measures, targets, tempers).withColumnRenamed("id", id_col)
 
 
 def sampled_documents(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

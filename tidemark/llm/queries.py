@@ -152,7 +152,7 @@ def _op6() -> str:
 )"""
     ]
     for name in mixing.DIMENSIONS:
-        parts.append(f"t_{name} AS (SELECT {name}, p / sum(p) OVER () AS share_{name} FROM (SELECT {name}, pow(sum(tokens), {mixing.TEMPER}) AS p FROM c0 GROUP BY {name}))")
+        parts.append(f"t_{name} AS (SELECT {name}, p / sum(p) OVER () AS share_{name} FROM (SELECT {name}, pow(sum(tokens), {mixing.TEMPERS[name]}) AS p FROM c0 GROUP BY {name}))")
     parts.append("s0_0 AS (SELECT *, tokens AS weight FROM c0 JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
     last = "s0_0"
     for r in range(mixing.ROUNDS):
