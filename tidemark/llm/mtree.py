@@ -189,16 +189,17 @@ def top_k(
         return pd.Series(out)
 
     near = cut(base.withColumn("pivot", nearest("v")).withColumn("size", F.size("v")))
-    counts = near.groupBy("size", "pivot").count()
-    shares = F.greatest(F.lit(1), F.ceil(F.col("count") / tree_rows)).cast("long")
-    placed = near.join(counts, ["size", "pivot"]).select("id", "v", F.concat_ws("/", "size", "pivot", F.pmod(F.xxhash64("id"), shares)).alias("tree"))
+    # a row for each length of vectors and pivot: how many trees share what is nearest to it
+    shares = cut(near.groupBy("size", "pivot").agg(F.ceil(F.count(F.lit(1)) / tree_rows).cast("long").alias("trees")))
+    name = F.concat_ws("/", "size", "pivot", "share")
+    dealt = near.join(F.broadcast(shares), ["size", "pivot"]).withColumn("share", F.pmod(F.xxhash64("id"), F.col("trees")))
+    placed = cut(dealt.select("id", "v", "size", name.alias("tree")))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(pdf["id"].to_numpy(), kind="stable")
         tree = MTree(pdf["id"].to_numpy()[order], np.stack(pdf["v"].to_list()).astype(np.int64)[order])
         return pd.DataFrame({"tree": [key[0]], "blob": [pickle.dumps(tree)]})
 
-    placed = cut(placed)
     trees = cut(placed.groupBy("tree").applyInPandas(build, "tree string, blob binary"))
     query = placed.filter(F.col("id") % every == 0).dropDuplicates(["id"])
     entry = F.struct("id", "v", "tree", "floor")
@@ -207,9 +208,9 @@ def top_k(
 
     floors = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     blocks = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-query.count() // QUERY_BLOCK))))
-    others = query.join(floors, "id", "left").groupBy(blocks.alias("block")).agg(F.collect_list(entry).alias("queries")).withColumn("home", F.lit(False))
-    names = [r["tree"] for r in trees.select("tree").collect()]
-    spread = others.withColumn("tree", F.explode(F.array(*[F.lit(n) for n in names]))) if names else others.withColumn("tree", F.lit(None).cast("string"))
-    second = _searched(trees.join(spread.repartition("tree", "block"), "tree"), k)
+    others = query.join(floors, "id", "left").groupBy("size", blocks.alias("block")).agg(F.collect_list(entry).alias("queries"))
+    spread = others.join(F.broadcast(shares), "size").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)))
+    spread = spread.select(name.alias("tree"), "block", "queries", F.lit(False).alias("home")).repartition("tree", "block")
+    second = _searched(trees.join(spread, "tree"), k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return first.union(second).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
