@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .tables import cut
 
 DIMENSIONS, ROUNDS, SEED = ("source", "lang", "topic"), 12, "mix-1"
+#: Up to this many cells are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_CELLS = 50_000
 #: Default targets: a dimension's natural token shares to this power, scaled to sum to one.
 TEMPERS = {"source": 0.95, "lang": 0.95, "topic": 1.0}
 
@@ -29,10 +31,17 @@ def default_topic(text: Column, n_tokens: Column) -> Column:
     return F.when(n_tokens < 50, "note").when(breaks * 40 > n_tokens, "listing").otherwise("prose")
 
 
+def with_measures(documents: DataFrame, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """documents with __source, __lang, __n_tokens and __topic; null sources and languages are a value of their own, written `?`."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    known = {"__source": F.coalesce(F.col(source_col), F.lit("?")), "__lang": F.coalesce(F.col(lang_col), F.lit("?")), "__n_tokens": token_count(text)}
+    return documents.withColumns(known).withColumn("__topic", default_topic(text, F.col("__n_tokens")))
+
+
 def measured(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """(id, source, lang, topic, n_tokens); null sources and languages are a value of their own, written `?`."""
-    df = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("?")).alias("source"), F.coalesce(F.col(lang_col), F.lit("?")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return df.withColumn("n_tokens", token_count(F.col("text"))).withColumn("topic", default_topic(F.col("text"), F.col("n_tokens"))).drop("text")
+    """(id, source, lang, topic, n_tokens) of every document."""
+    known = with_measures(documents.select(*{id_col, text_col, source_col, lang_col}), text_col, source_col, lang_col)
+    return known.select(F.col(id_col).alias("id"), F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__n_tokens").alias("n_tokens"))
 
 
 def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
@@ -67,30 +76,51 @@ def uniform(id_column: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def calibrated(measures: DataFrame, targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """measures(id, source, lang, topic, n_tokens) with probability and sampled, one row each.
+def rates(measures: DataFrame, targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """(source, lang, topic, rate): the sampling rate of each cell, the greatest being one.
 
-    Without targets each dimension aims at its tempered natural shares. Documents without a word carry no
-    token weight: their probability is one. Repeated rows of one id share its draw; an empty table gives none.
+    Without targets each dimension aims at its tempered natural shares. Hinted as broadcast only if the
+    cells, once counted, are few.
     """
     dims = list(DIMENSIONS)
     cells = cut(measures.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
     aims = targets or {name: tempered(cells, name, (tempers or TEMPERS)[name]) for name in dims}
     raked = rake(cells, aims, rounds).withColumn("rate", F.col("weight") / F.col("tokens"))
-    most = raked.agg(F.max("rate").alias("m")).first()["m"] or 1.0
-    rate = raked.select(*dims, (F.col("rate") / F.lit(most)).alias("rate"))
-    joined = measures.join(rate, dims, "left")
-    probability = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.coalesce("rate", F.lit(0.0)))
-    return joined.withColumn("probability", probability).withColumn("sampled", uniform(F.col("id"), seed) < F.col("probability")).drop("rate")
+    held = raked.agg(F.max("rate").alias("most"), F.count(F.lit(1)).alias("n")).first()
+    rate = raked.select(*dims, (F.col("rate") / F.lit(held["most"] or 1.0)).alias("rate"))
+    return F.broadcast(rate) if held["n"] <= BROADCAST_CELLS else rate
+
+
+def probability(n_tokens: Column, rate: Column) -> Column:
+    """Documents without a word carry no token weight and are kept; values without a target are not."""
+    return F.when(n_tokens == 0, 1.0).otherwise(F.coalesce(rate, F.lit(0.0)))
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None) -> DataFrame:
-    """(id_col, source, lang, topic, n_tokens, probability, sampled) of every document."""
+def mix(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+    targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None, seed: str = SEED,
+) -> DataFrame:
+    """(id_col, source, lang, topic, n_tokens, probability, sampled) of every document.
+
+    Repeated rows of one id share its draw, as do all rows without an id; an empty table gives none.
+    """
     measures = cut(measured(documents, id_col, text_col, source_col, lang_col))
-    return calibrated(measures, targets, tempers).withColumnRenamed("id", id_col)
+    joined = measures.join(rates(measures, targets, tempers), list(DIMENSIONS), "left")
+    joined = joined.withColumn("probability", probability(F.col("n_tokens"), F.col("rate"))).withColumn("sampled", uniform(F.col("id"), seed) < F.col("probability"))
+    return joined.select(F.col("id").alias(id_col), *DIMENSIONS, "n_tokens", "probability", "sampled")
 
 
-def sampled_documents(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of documents that are sampled, with their own columns; rows of a null id are sampled together."""
-    chosen = mix(documents, id_col, **options).filter("sampled").select(F.col(id_col).alias("__chosen")).distinct()
-    return documents.join(chosen, F.col(id_col).eqNullSafe(F.col("__chosen")), "left_semi")
+def sampled_documents(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+    targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None, seed: str = SEED,
+) -> DataFrame:
+    """The rows of documents that `mix` samples, with their own columns.
+
+    Counts the words of a text once for the cells and once more beside its row, so that no text is shuffled.
+    """
+    rate = rates(measured(documents, id_col, text_col, source_col, lang_col), targets, tempers)
+    for name in DIMENSIONS:
+        rate = rate.withColumnRenamed(name, f"__{name}")
+    known = with_measures(documents, text_col, source_col, lang_col).join(rate.withColumnRenamed("rate", "__rate"), [f"__{name}" for name in DIMENSIONS], "left")
+    chosen = known.filter(uniform(F.col(id_col), seed) < probability(F.col("__n_tokens"), F.col("__rate")))
+    return chosen.select(*[F.col(f"`{c}`") for c in documents.columns])
