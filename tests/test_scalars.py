@@ -112,3 +112,9 @@ def test_bad_filters(spark):
 @pytest.mark.parametrize("http,body,want", [(200, '{"url":"u","scanned_at":"2024-01-01T00:00:00Z"}', "ok"), (200, '{"error":"x"}', "fail"), (500, "{}", "fail"), (200, "x", "fail"), (None, "{}", "fail"), (200, None, "fail")])
 def test_scan_outcome(spark, http, body, want):
     assert feeds.classify_scans(spark.createDataFrame([(http, body)], "http_status int, body string")).first()["outcome"] == want
+
+
+def test_missing_values_and_dns(spark):
+    assert one(spark, S.json_with_nulls("a", "b"), a="x", b=None) == '{"a":"x","b":null}'
+    assert one(spark, S.has_dns_records("d"), d='{"A":["1.1.1.1"]}') is True
+    assert [one(spark, S.has_dns_records("d"), d=d) for d in ('{"A":[]}', "{}", "x", None)] == [False] * 4

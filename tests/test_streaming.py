@@ -71,3 +71,35 @@ def test_repeats_and_days(spark, data, folder):
     streams.distinct_urls(urls, delay="4000 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(f"{folder}/out").count() == events.select("key").distinct().count()
     assert streams.daily_activity(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_scans_settle_alert_and_claim(spark, folder):
+    at = "timestamp '2024-01-01'"
+    hosts, queue = streams.Versions(spark, f"{folder}/hosts"), streams.Versions(spark, f"{folder}/queue")
+    hosts.write(spark.sql(f"select * from values ('h1', '1', 'a.example.com', 'unreachable', 'unknown', {at}), ('h2', '1', 'b.example.com', 'alive', 'web', {at}) t(id, pattern_id, fqdn, status, type, last_seen_at)"), 0)
+    rows = f"('q1', 'h1', 'https://a.example.com', 'certstream', 'processing', 0, {at}, {at}), ('q2', 'h2', 'https://b.example.com', 'recon', 'processing', 0, {at}, {at}), ('q3', 'h2', 'https://b.example.com/x', 'recon', 'pending', 0, {at}, {at})"
+    queue.write(spark.sql(f"select * from values {rows} t(id, host_id, url, source, status, retry_count, created_at, updated_at)"), 0)
+    body = '{"chain":[{"title":"Hi","status_code":200}],"technologies":[]}'
+    spark.createDataFrame([(1, "q1", 200, body), (2, "q2", 500, None)], "seq long, queue_id string, http_status int, body string").withColumn("at", X.as_of()).coalesce(1).write.parquet(f"{folder}/in")
+    source = spark.readStream.schema("seq long, queue_id string, http_status int, body string, at timestamp").parquet(f"{folder}/in")
+    run = streams.process_scans(queue, hosts, f"{folder}/alerts", X.patterns(spark), 5, X.as_of())
+    streams.start(source, run, f"{folder}/cp").awaitTermination()
+    assert {r["id"]: r["status"] for r in hosts.read().collect()} == {"h1": "alive", "h2": "dead"}
+    assert {r["id"]: (r["status"], r["retry_count"]) for r in queue.read().collect()} == {"q1": ("done", 0), "q2": ("processing", 1), "q3": ("processing", 0)}
+    (alert,) = spark.read.json(f"{folder}/alerts").collect()
+    assert '"title":"Hi"' in alert["payload"] and '"wildcard":"*.example.com"' in alert["payload"]
+    run(spark.read.parquet(f"{folder}/in"), 0)  # the batch again
+    assert queue.latest() == 1
+
+
+def test_completed_jobs_are_digested(spark, data, folder):
+    from tidemark.plans import registry
+
+    jobs = X.jobs(spark, data)
+    stats = registry.job_completion_stats_exact(spark, data)
+    kept = streams.Versions(spark, f"{folder}/jobs")
+    ids = jobs.filter("status = 'completed'").select("id").limit(2).collect()
+    batch = spark.createDataFrame([(1, ids[0]["id"], "running"), (2, ids[0]["id"], "completed"), (3, ids[1]["id"], "running")], "seq long, job_id string, status string").withColumn("at", X.as_of())
+    streams.digest_job_states(kept, f"{folder}/digests", jobs, stats, X.as_of())(batch, 0)
+    (digest,) = spark.read.json(f"{folder}/digests").collect()
+    assert digest["job_id"] == ids[0]["id"] and '"event":"recon_digest"' in digest["payload"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -228,5 +226,12 @@ def page_size(value: Column | str) -> Column:
     return F.least(F.when(n >= 1, n).otherwise(50), F.lit(200))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def json_with_nulls(*columns: Column | str) -> Column:
+    """A JSON object that keeps missing values as null."""
+    return F.to_json(F.struct(*[col(c) for c in columns]), {"ignoreNullFields": "false"})
+
+
+def has_dns_records(dns: Column | str) -> Column:
+    """Whether a DNS document names a record of any kind."""
+    kinds = F.try_variant_get(json_value(dns), "$", "map<string,array<string>>")
+    return F.coalesce(F.exists(F.map_values(kinds), lambda v: F.size(v) > 0), F.lit(False))

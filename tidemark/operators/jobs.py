@@ -30,6 +30,11 @@ def admit_launches(patterns: DataFrame, jobs: DataFrame, limit: int = MAX_ACTIVE
     return ranked.join(F.broadcast(room), F.col("place") <= F.col("room")).drop("room")
 
 
+def launch_tally(admitted: DataFrame) -> DataFrame:
+    """One row: how many launches were admitted."""
+    return admitted.agg(F.count(F.lit(1)).alias("launched"))
+
+
 def failed_outside(jobs: DataFrame, states: DataFrame) -> DataFrame:
     """(job_id, status): failure events for active jobs whose state in states(external_id, state) is a failure."""
     bad = states.filter(F.col("state").isin(*EXTERNAL_FAILURES)).select("external_id")

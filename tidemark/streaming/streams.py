@@ -10,18 +10,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..functions import scalars as S
-from ..operators import fold, match
+from ..operators import fold, lifecycle, match, payloads, workqueue
+from ..operators import jobs as job_ops
+from ..sources import feeds
 
 Batch = Callable[[DataFrame, int], None]
 
 
 class Versions:
-    """Versions of one table below a folder: `v=<n>/` holds a snapshot; it counts once `done/<n>` exists."""
+    """Versions of one table below a folder: `v=<n>/` holds a snapshot; it counts once `done/<n>` exists.
+
+    Version 0 is the state before the first batch where a table starts with rows: batch n then writes n + 1.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -87,6 +92,47 @@ def fold_job_states(jobs: Versions) -> Batch:
     return run
 
 
+def digest_job_states(jobs: Versions, digests: str, known: DataFrame, stats: DataFrame, as_of: Column) -> Batch:
+    """Folds status events and writes a digest payload for each job that a batch completes, in a folder of the batch."""
+    keep = fold_job_states(jobs)
+
+    def run(batch: DataFrame, number: int) -> None:
+        keep(batch, number)
+        done = batch.filter("status = 'completed'").select(F.col("job_id").alias("id")).distinct()
+        finished = known.drop("status").join(done, "id", "left_semi").withColumn("status", F.lit("completed"))
+        told = payloads.digest_payload(job_ops.job_digests(finished, stats, as_of), "recon", as_of)
+        told.write.mode("overwrite").json(f"{digests}/batch={number}")
+
+    return run
+
+
+def process_scans(queue: Versions, hosts: Versions, alerts: str, patterns: DataFrame, workers: int, as_of: Column) -> Batch:
+    """Settles a batch of scan results(seq, queue_id, http_status, body, at), alerts, recovers stale rows and claims the next.
+
+    Alerts are written to a folder of the batch: one for each URL found by certificates whose scan went well at
+    a host that was unreachable. The queue's version is written last, so a batch cut short runs again in full.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        version = number + 1
+        if version <= queue.latest():
+            return
+        rows, known = queue.read(number), hosts.read(number)
+        results = feeds.classify_scans(batch).withColumnRenamed("queue_id", "id")
+        scanned = results.join(rows.select("id", "url", "host_id", "source"), "id")
+        alive = lifecycle.apply_scans(scanned.select("seq", "host_id", "outcome", "at"), known)
+        found = scanned.filter("outcome = 'ok' and source = 'certstream'").join(known.select(F.col("id").alias("host_id"), "status", "pattern_id"), "host_id").filter("status = 'unreachable'")
+        value = patterns.select(F.col("id").alias("pattern_id"), F.col("value").alias("pattern_value"))
+        parts = {c: F.to_json(F.try_variant_get(S.json_value("body"), f"$.{c}", "variant")) for c in ("chain", "technologies", "metadata")}
+        told = payloads.alert_payload(found.join(value, "pattern_id").withColumns(parts), as_of)
+        told.write.mode("overwrite").json(f"{alerts}/batch={number}")
+        hosts.write(alive, version)
+        settled = workqueue.settle(rows, results.select("id", "outcome"), as_of)
+        queue.write(workqueue.claim(workqueue.recover(settled, as_of), workers, as_of), version)
+
+    return run
+
+
 def distinct_urls(urls: DataFrame, at: str = "at", delay: str = "1 day") -> DataFrame:
     """A stream of URLs without repeats that arrive within the delay."""
     return urls.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark(["url"])
