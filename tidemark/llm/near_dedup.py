@@ -16,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .tables import components, cut
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 32, 5, 5, 0.8
-#: Bits of a signature's sketch that may differ: five standard deviations beyond what a similarity of 0.8 gives.
+#: Bits of a signature's two-bit sketch that may differ: five standard deviations beyond what a similarity of 0.8 gives.
 SKETCH_BITS = 46
+#: Registers of the one-bit sketch of documents that are compared across components, and the bits that may differ likewise.
+FINE_REGISTERS, FINE_BITS = 4096, 505
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,10 +137,48 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", similarity("text_a", "text_b").alias("sim"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    pairs = cut(pairs)
-    linked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return cut(verified(pairs, cut(docs.join(linked, "id", "left_semi")), k))
+def fine_sketches(texts: DataFrame, k: int = SHINGLE, size: int = FINE_REGISTERS) -> DataFrame:
+    """(id, fine): one bit of each of `size` registers of texts(id, text) that have a word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids = pdf["id"].to_numpy()
+            for first, parts in tk.chunks([t.lower() for t in pdf["text"]], 1 << 17):
+                value, whose, weight = tk.weighted(*tk.shingles(*tk.word_hashes(parts), k))
+                docs, local = np.unique(whose, return_inverse=True)
+                if len(docs):
+                    held = signatures(value, local, weight, len(docs), size)
+                    yield pd.DataFrame({"id": ids[first + docs], "fine": list(_pack((tk.mix(held) & np.uint64(1)).astype(np.uint8)))})
+
+    return texts.mapInPandas(run, "id long, fine array<long>")
+
+
+def differing(left: str, right: str, words: range, planes: int = 1) -> Column:
+    """In how many positions two sketches of packed bits differ; `planes` bits, one after the other, make a position."""
+    total = F.lit(0)
+    for i in words:
+        apart = None
+        for p in range(planes):
+            at = F.lit(i + p * len(words))
+            bits = F.get(left, at).bitwiseXOR(F.get(right, at))
+            apart = bits if apart is None else apart.bitwiseOR(bits)
+        total = total + F.bit_count(apart)
+    return total
+
+
+def _torn(crowd: DataFrame, comp: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with their component."""
+    placed = crowd.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    torn = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
+    return cut(placed.join(torn, "bucket", "left_semi"))
+
+
+def _to_largest(crowd: DataFrame) -> DataFrame:
+    """Pairs of each member outside its bucket's largest component with one member of that, picked by a hash."""
+    parts = crowd.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("bucket", "id")).alias("one"))
+    largest = parts.groupBy("bucket").agg(F.max_by(F.struct("comp", "one"), F.struct("n", "comp")).alias("best")).select("bucket", "best.*")
+    joined = crowd.join(largest.withColumnRenamed("comp", "main"), "bucket").filter(F.col("comp") != F.col("main"))
+    return joined.select(F.least("id", "one").alias("a"), F.greatest("id", "one").alias("b")).distinct()
 
 
 def near_duplicate_classes(
@@ -154,9 +194,9 @@ def near_duplicate_classes(
 
     Classes are the connected components of the verified links among the candidates of the banding.
     Copies of a text are folded into one representative by digest. Every bucket first links its members
-    to its least and greatest id only; members that stay apart are then compared with the members of the
-    bucket's other components whose distance to the same centre allows a link at all (the distance is a
-    metric, so centres further apart than 1 - threshold can be passed over) and whose sketches agree.
+    to its least or greatest id only, then those that stayed apart to one member of its largest component;
+    members that are still apart are compared with all members of the bucket's other components whose
+    sketches agree as far as a link makes them.
     Rows with a null id are dropped, repeated rows of one id are one document.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
@@ -168,32 +208,35 @@ def near_duplicate_classes(
     crowd = cut(
         entry.select("id", "bucket").join(centres, "bucket").select("bucket", "id", F.when(F.col("bucket") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("centre"))
     )
-    spokes = crowd.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    star = _verify(spokes, docs, k)
-    links = star.filter(F.col("sim") >= threshold).select("a", "b")
-    comp = components(links)
+    pool = cut(docs.join(crowd.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
 
-    apart = cut(
-        crowd.join(comp, "id", "left")
-        .withColumn("comp", F.coalesce("comp", "id"))
-        .withColumns({"a": F.least("id", "centre"), "b": F.greatest("id", "centre")})
-        .join(star, ["a", "b"], "left")
-        .select("bucket", "id", "comp", F.floor((1 - F.coalesce("sim", F.lit(1.0))) / (1 - threshold) + 1e-9).alias("ring"))
-    )
-    torn = apart.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
-    sketch = prints.select("id", "sketch").dropDuplicates(["id"])
-    rest = cut(apart.join(torn, "bucket", "left_semi").join(sketch, "id"))
-    words = -(-bands * rows // 64)
-    far = sum((F.bit_count(F.get("p.sketch", F.lit(i)).bitwiseXOR(F.get("q.sketch", F.lit(i))).bitwiseOR(F.get("p.sketch", F.lit(words + i)).bitwiseXOR(F.get("q.sketch", F.lit(words + i))))) for i in range(words)), F.lit(0))
-    near_by = rest.select("bucket", "id", "comp", "sketch", F.explode(F.array(F.col("ring") - 1, "ring", F.col("ring") + 1)).alias("ring"))
+    def verify(pairs: DataFrame) -> DataFrame:
+        return cut(verified(cut(pairs), pool, k))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(F.col("sim") >= threshold).select("a", "b")
+
+    star = verify(crowd.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
+    links = linked(star)
+    comp = components(links)
+    apart = crowd.select("bucket", "id")
+    second = verify(_to_largest(_torn(apart, comp)).join(star, ["a", "b"], "left_anti"))
+    star = star.union(second)
+    if not linked(second).isEmpty():
+        links = links.union(linked(second))
+        comp = components(links)
+    left = _torn(apart, comp)
+    fine = fine_sketches(pool.join(left.select("id").distinct(), "id", "left_semi"), k)
+    rest = cut(left.join(prints.select("id", "sketch").dropDuplicates(["id"]), "id").join(fine, "id"))
+    near = (differing("p.sketch", "q.sketch", range(-(-bands * rows // 64)), 2) <= SKETCH_BITS) & (differing("p.fine", "q.fine", range(FINE_REGISTERS // 64)) <= FINE_BITS)
     cross = (
         rest.alias("p")
-        .join(near_by.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.ring") == F.col("q.ring")) & (F.col("p.comp") < F.col("q.comp")) & (far <= SKETCH_BITS))
+        .join(rest.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.comp") < F.col("q.comp")) & near)
         .select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    found = _verify(cross, docs, k).filter(F.col("sim") >= threshold).select("a", "b")
+    found = linked(verify(cross))
     if not found.isEmpty():
         comp = components(links.union(found))
     classes = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("class_id")).dropDuplicates(["id"])
