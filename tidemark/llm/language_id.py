@@ -127,7 +127,7 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    max_rows: int = 2000,
+    max_rows: int = 1200,
     bits: int = 14,
     snippets: int = 3,
 ) -> LanguageModel:
@@ -164,7 +164,7 @@ def train(
     got = sample.mapInPandas(featurise, "lang string, held boolean, rows array<int>, shares array<float>, key string").toPandas()
     got["n"] = [len(r) for r in got["rows"]]
     got = got.sort_values(["key", "lang", "n"], kind="stable")
-    return fit([(np.asarray(r), np.asarray(s, dtype=np.float64), lang, bool(h)) for lang, h, r, s in zip(got["lang"], got["held"], got["rows"], got["shares"], strict=True)], bits)
+    return fit([(np.asarray(r), np.asarray(s), lang, bool(h)) for lang, h, r, s in zip(got["lang"], got["held"], got["rows"], got["shares"], strict=True)], bits)
 
 
 def prediction(model: LanguageModel, text: Column | str) -> Column:
