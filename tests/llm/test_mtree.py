@@ -10,19 +10,19 @@ def brute(ids, x, query_id, query, k):
     return scored[:k]
 
 
-@pytest.mark.parametrize("kind", ["clusters", "noise", "equal", "ties"])
+@pytest.mark.parametrize("kind", ["clusters", "noise", "equal", "ties", "huge"])
 def test_tree_equals_brute_force(kind):
     rng = np.random.default_rng(6)
-    n, d = 700, 8
+    n, d = 1400, 8
     centres = rng.normal(0, 200, (12, d))
     x = {
         "clusters": centres[rng.integers(0, 12, n)] + rng.normal(0, 5, (n, d)), "noise": rng.normal(0, 60, (n, d)),
-        "equal": np.ones((n, d)), "ties": rng.integers(-1, 2, (n, d)),
+        "equal": np.ones((n, d)), "ties": rng.integers(-1, 2, (n, d)), "huge": rng.integers(-(1 << 26), 1 << 26, (n, d)),
     }[kind].astype(np.int64)
     ids = rng.permutation(n) * 3
-    tree = mtree.MTree(ids, x)
+    tree = mtree.MTree(ids, x, 40)
     worked = 0
-    for i in range(0, n, 35):
+    for i in range(0, n, 70):
         found, cost = tree.search(int(ids[i]), x[i], 5, None)
         assert found == brute(ids, x, ids[i], x[i], 5)
         floor = found[-1][0]
@@ -34,18 +34,19 @@ def test_tree_equals_brute_force(kind):
 
 def test_covering_radii_and_parent_distances_hold():
     rng = np.random.default_rng(7)
-    x = rng.integers(-99, 99, (500, 6))
-    tree = mtree.MTree(np.arange(500), x)
+    x = rng.integers(-99, 99, (1500, 6))
+    tree = mtree.MTree(np.arange(1500), x, 40)
 
     def below(node):
-        routing, radius, entries, to, leaf = tree.nodes[node]
-        rows = entries if leaf else np.concatenate([below(c) for c in entries])
+        routing, radius, *rest = tree.nodes[node]
+        leaf = len(rest) == 3
+        rows = np.arange(rest[0], rest[1]) if leaf else np.concatenate([below(c) for c in rest[0]])
+        heads, to = (rows, rest[2]) if leaf else (np.array([tree.nodes[c][0] for c in rest[0]]), rest[1])
         assert tree._distance(routing, rows).max() <= radius + 1e-6
-        heads = entries if leaf else np.array([tree.nodes[c][0] for c in entries])
         assert np.allclose(tree._distance(routing, heads), to)
         return rows
 
-    assert sorted(below(tree.root)) == list(range(500))
+    assert sorted(below(tree.root)) == list(range(1500))
 
 
 def test_query_equals_sql(spark, duck, data):

@@ -23,22 +23,36 @@ from pyspark.sql import functions as F
 
 from .tables import cut
 
-PIVOTS, TREE_ROWS, QUERY_BLOCK, PAGE, FANOUT = 64, 4096, 256, 48, 8
+PIVOTS, TREE_ROWS, QUERY_BLOCK, PAGE, FANOUT = 64, 4096, 256, 512, 8
 
 
 class MTree:
-    """An M-tree over integer vectors.
+    """An M-tree over integer vectors; a page's rows lie next to each other.
 
-    nodes: (routing row, radius, rows or child nodes, their distances to the routing row, is leaf).
+    Leaves: (routing row, radius, first row, last row + 1, distances to the routing row). Inner nodes: (routing
+    row, radius, children, their distances to it, their routing rows, their radii).
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = PAGE):
+        self.page = page
+        self._set(ids, vectors)
+        self.nodes: list[tuple] = []
+        self._order: list[np.ndarray] = []
+        self.root = self._build(np.arange(len(ids)))
+        order = np.concatenate(self._order)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self._set(ids[order], vectors[order])
+        self.nodes = [(int(place[n[0]]), *n[1:]) if len(n) == 5 else (int(place[n[0]]), *n[1:4], place[n[4]], n[5]) for n in self.nodes]
+        del self._order
+
+    def _set(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.x = ids, vectors
         self.norm = np.einsum("ij,ij->i", vectors, vectors)
         self.most = int(self.norm.max())
         self.lift = np.sqrt((self.most - self.norm).astype(np.float64))
-        self.nodes: list[tuple] = []
-        self.root = self._build(np.arange(len(ids)))
+        # products of doubles are exact as long as all sums stay below 2^53
+        self.fast = vectors.astype(np.float64) if self.most < 1 << 50 else vectors
 
     def _distance(self, row: int, rows: np.ndarray) -> np.ndarray:
         gap = (self.x[rows] - self.x[row]).astype(np.float64)
@@ -48,78 +62,87 @@ class MTree:
         mean = self.x[rows].mean(axis=0)
         routing = int(rows[np.argmin(((self.x[rows] - mean) ** 2).sum(axis=1))])
         far = self._distance(routing, rows)
-        if len(rows) <= PAGE:
-            self.nodes.append((routing, float(far.max()), rows, far, True))
+        if len(rows) <= self.page:
+            first = sum(map(len, self._order))
+            self._order.append(rows)
+            self.nodes.append((routing, float(far.max()), first, first + len(rows), far))
             return len(self.nodes) - 1
-        children = [self._build(part) for part in self._split(rows, far)]
-        to = self._distance(routing, np.array([self.nodes[c][0] for c in children]))
-        self.nodes.append((routing, float(far.max()), np.array(children), to, False))
+        children = [self._build(part) for part in self._split(rows)]
+        heads = np.array([self.nodes[c][0] for c in children])
+        radii = np.array([self.nodes[c][1] for c in children])
+        self.nodes.append((routing, float(far.max()), np.array(children), self._distance(routing, heads), heads, radii))
         return len(self.nodes) - 1
 
-    def _split(self, rows: np.ndarray, far: np.ndarray) -> list[np.ndarray]:
-        """Up to FANOUT parts around pivots far from each other; even parts where that tells nothing apart."""
-        near = self._distance(int(rows[np.argmax(far)]), rows)
-        owner = np.zeros(len(rows), dtype=np.int64)
-        for i in range(1, FANOUT):
-            d = self._distance(int(rows[np.argmax(near)]), rows)
-            owner[d < near] = i
-            near = np.minimum(near, d)
-        parts = [rows[owner == i] for i in range(FANOUT) if (owner == i).any()]
-        if max(len(p) for p in parts) > 0.8 * len(rows):
-            parts = np.array_split(rows[np.argsort(far, kind="stable")], FANOUT)
-        return [p for p in parts if len(p)]
+    def _split(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Up to FANOUT parts of like size: halves of halves, each between two members far from each other."""
+        parts = [rows]
+        while len(parts) < FANOUT and max(map(len, parts)) > self.page:
+            halves = []
+            for part in parts:
+                if len(part) <= self.page:
+                    halves.append(part)
+                    continue
+                a = part[np.argmax(self._distance(int(part[0]), part))]
+                to_a = self._distance(int(a), part)
+                order = np.argsort(to_a - self._distance(int(part[np.argmax(to_a)]), part), kind="stable")
+                halves += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
+            parts = halves
+        return parts
 
     def search(self, query_id: int, query: np.ndarray, k: int, floor: int | None) -> tuple[list[tuple[int, int]], int]:
         """The k best (score, -id) of other ids, best first, of scores of at least floor; and the products worked out."""
-        square = int(query @ query) + self.most
+        q = query.astype(self.fast.dtype)
+        own = int(query @ query)
+        if self.fast is not self.x and own >= 1 << 50:  # |q.x| <= |q| |x| would not be exact as a double
+            self.fast, q = self.x, query
+        square = float(own + self.most)
         best: list[tuple[int, int]] = []
-        worked = 0
+        worked = 1
+        least = -math.inf if floor is None else floor
 
         def reach() -> float:
-            least = best[0][0] if len(best) == k else floor
-            if floor is not None and least is not None:
-                least = max(least, floor)
-            return math.inf if least is None else math.sqrt(max(0, square - 2 * least)) * (1 + 1e-9) + 1e-6
-
-        def distances(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            product = self.x[rows] @ query
-            return product, np.sqrt(np.maximum(square - 2 * product, 0).astype(np.float64))
+            return math.inf if least == -math.inf else math.sqrt(max(0.0, square - 2.0 * least)) * (1 + 1e-9) + 1e-6
 
         limit = reach()
-        routing, radius, *_ = self.nodes[self.root]
-        _, d = distances(np.array([routing]))
-        queue = [(max(0.0, float(d[0]) - radius), self.root, float(d[0]))]
+        d = math.sqrt(max(0.0, square - 2.0 * float(self.fast[self.nodes[self.root][0]] @ q)))
+        queue = [(max(0.0, d - self.nodes[self.root][1]), self.root, d)]
         while queue:
             low, at, centre = heapq.heappop(queue)
             if low > limit:
                 break
-            _, _, entries, to, leaf = self.nodes[at]
-            if leaf:
-                close = entries[np.abs(centre - to) <= limit]
+            node = self.nodes[at]
+            if len(node) == 5:
+                _, _, first, last, to = node
+                close = np.flatnonzero(np.abs(centre - to) <= limit) + first
                 if not len(close):
                     continue
                 worked += len(close)
-                product = self.x[close] @ query
-                least = best[0][0] if len(best) == k else floor
-                if least is not None:
-                    ok = product >= least
-                    close, product = close[ok], product[ok]
+                if len(close) > (last - first) // 2:
+                    product = (self.fast[first:last] @ q)[close - first]
+                else:
+                    product = self.fast[close] @ q
+                ok = product >= least
+                close, product = close[ok], product[ok]
+                if len(close) > k + 1:  # only the page's best can enter, the query's own row aside
+                    top = np.lexsort((self.ids[close], -product))[: k + 1] if not (self.ids[close] == query_id).any() else np.arange(len(close))
+                    close, product = close[top], product[top]
                 for row, score in zip(self.ids[close].tolist(), product.tolist(), strict=True):
-                    if row != query_id and (floor is None or score >= floor):
+                    if row != query_id:
                         if len(best) < k:
-                            heapq.heappush(best, (score, -row))
+                            heapq.heappush(best, (int(score), -row))
                         elif (score, -row) > best[0]:
-                            heapq.heapreplace(best, (score, -row))
-                limit = reach()
+                            heapq.heapreplace(best, (int(score), -row))
+                if len(best) == k and best[0][0] > least:
+                    least = best[0][0]
+                    limit = reach()
             else:
-                radii = np.array([self.nodes[c][1] for c in entries])
-                ok = np.abs(centre - to) - radii <= limit
-                entries, radii = entries[ok], radii[ok]
-                if not len(entries):
+                _, _, children, to, heads, radii = node
+                ok = np.flatnonzero(np.abs(centre - to) - radii <= limit)
+                if not len(ok):
                     continue
-                worked += len(entries)
-                _, d = distances(np.array([self.nodes[c][0] for c in entries]))
-                for child, dist, bound in zip(entries.tolist(), d.tolist(), np.maximum(d - radii, low).tolist(), strict=True):
+                worked += len(ok)
+                d = np.sqrt(np.maximum(square - 2.0 * (self.fast[heads[ok]] @ q), 0.0))
+                for child, dist, bound in zip(children[ok].tolist(), d.tolist(), np.maximum(d - radii[ok], low).tolist(), strict=True):
                     if bound <= limit:
                         heapq.heappush(queue, (bound, child, dist))
         return sorted(best, reverse=True), worked
