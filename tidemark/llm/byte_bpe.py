@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .tables import bounded_batches
 
 #: Pieces up to this many bytes contract one pair a round; longer ones all pairs of the least rank.
-SHORT_BYTES, SHORT_BATCH = 48, 4_000
+SHORT_BYTES, SHORT_BATCH = 48, 2_000
 #: Pieces that a worker remembers; the memory starts anew beyond.
 REMEMBERED = 1_500_000
-DECODE_TOKENS = 200_000
+DECODE_TOKENS = 100_000
 
 # Rows of all rounds; a piece's rows of its last round are its tokens. k is piece << 8 | position.
 _CONTRACT_ONE = """
@@ -133,7 +134,7 @@ class _Vocabulary:
         self.rank = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.byte_rank = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
         merges = [(self.rank[t[:i]] << 32 | self.rank[t[i:]], r) for t, r in self.rank.items() for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
         table = pa.table({"pair": pa.array([m[0] for m in merges], pa.int64()), "id": pa.array([m[1] for m in merges], pa.int64())})
         vocab = pa.table({"tok": pa.array(list(self.rank.values()), pa.int64()), "piece": [t.decode("latin-1") for t in self.rank]})
         self.db.register("merges_in", table)
@@ -192,7 +193,7 @@ class _Vocabulary:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for first, parts in tk.chunks(texts, 3 << 19):
+        for first, parts in tk.chunks(texts, 1 << 19):
             mine = texts[first : first + len(parts)]
             raw = "".join(mine).encode("utf-32-le", "surrogatepass")
             points = np.frombuffer(raw, dtype=np.uint32)
@@ -273,7 +274,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
             ids = words.encode([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [id_col, "ids"])
 
-    return df.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return bounded_batches(df).select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
@@ -287,7 +288,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: s
             raw = [t or b"" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(words.decode(raw), pa.binary())], [id_col, "ids", "decoded"])
 
-    return df.select(F.col(id_col).alias(id_col), F.col(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
+    return bounded_batches(df).select(F.col(id_col).alias(id_col), F.col(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
 
 
 def round_trip(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
@@ -308,7 +309,9 @@ def round_trip(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
                 ]
+                del ids, texts
+                tk.release()
                 yield pa.RecordBatch.from_arrays(told, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return documents.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return bounded_batches(documents).select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import bounded_batches
+
 # Element and attribute vocabulary of HTML pages.
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template", "svg", "math", "noframes", "object", "canvas", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -276,7 +278,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 
     A block is an example if its elements speak clearly for or against content. At most TRAIN_BLOCKS blocks of a page count.
     """
-    base = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter("html is not null and id is not null")
+    base = bounded_batches(pages).select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter("html is not null and id is not null")
     ids = base.select("id").distinct().orderBy(F.md5(F.col("id").cast("string")), "id").limit(TRAIN_PAGES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,5 +301,5 @@ def extract(pages: DataFrame, weights: list[float], id_col: str = "page_id", url
     def run(pages: pd.Series) -> pd.Series:
         return pd.Series([main_text(p, weights) for p in pages], dtype=object)
 
-    done = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias(url_col), run(F.col(html_col)).alias("text"))
+    done = bounded_batches(pages).select(F.col(id_col).alias(id_col), F.col(url_col).alias(url_col), run(F.col(html_col)).alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .tables import bounded_batches
 
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -138,7 +139,7 @@ def train(
     windows of it are others, so that short texts are known too. Null languages and null texts take no
     part. A table without labelled rows gives a model that knows no language and predicts `und`.
     """
-    base = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and id is not null")
+    base = bounded_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and id is not null")
     known = base.filter(F.crc32(F.col("id").cast("string")) % 5 != 0)
     n_langs = max(1, known.select("lang").distinct().count())
     rank = Window.partitionBy("lang").orderBy(F.md5(F.col("id").cast("string")), "id")
@@ -180,12 +181,12 @@ def prediction(model: LanguageModel, text: Column | str) -> Column:
 
 def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, rejected) of every row, repeated rows and null ids included."""
-    found = documents.select(F.col(id_col).alias(id_col), prediction(model, F.col(text_col)).alias("p"))
+    found = bounded_batches(documents).select(F.col(id_col).alias(id_col), prediction(model, F.col(text_col)).alias("p"))
     return found.select(id_col, "p.lang_pred", "p.score", "p.rejected")
 
 
 def keep_identified(documents: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows of documents whose language the model does not reject, with their own columns."""
     columns = documents.columns
-    judged = documents.withColumn("__language", prediction(model, F.col(text_col)))
+    judged = bounded_batches(documents).withColumn("__language", prediction(model, F.col(text_col)))
     return judged.filter(~F.col("__language.rejected")).select(*[F.col(f"`{c}`") for c in columns])

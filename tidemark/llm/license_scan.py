@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .tables import bounded_batches
 
 # License notices as their public texts state them, by name.
 TEMPLATES: dict[str, str] = {
@@ -215,4 +216,4 @@ def scan(
             yield pd.DataFrame(out, columns=columns)
 
     schema = f"`{id_col}` {kind}, license string, n_matched long, n_template long, coverage double, start_word long, end_word long, span string"
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return bounded_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)

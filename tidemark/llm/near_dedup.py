@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .tables import components, cut
+from .tables import bounded_batches, components, cut
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 32, 5, 5, 0.8
 #: Bits of a signature's two-bit sketch that may differ: five standard deviations beyond what a similarity of 0.8 gives.
@@ -94,6 +94,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: in
         for pdf in batches:
             pdf = pdf[pdf["text"].notna()]
             buckets, sketches, has = _describe([t.lower() for t in pdf["text"]], k, bands, rows)
+            tk.release()
             yield pd.DataFrame({"id": pdf["id"], "digest": pdf["digest"], "buckets": buckets, "sketch": sketches})[has]
 
     base = docs.select("id", F.md5(F.encode("text", "utf-8")).alias("digest"), "text")
@@ -167,18 +168,15 @@ def differing(left: str, right: str, words: range, planes: int = 1) -> Column:
 
 
 def _torn(crowd: DataFrame, comp: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component, with their component."""
-    placed = crowd.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    torn = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
-    return cut(placed.join(torn, "bucket", "left_semi"))
+    """Members of buckets that hold more than one component: (bucket, id, comp, main, one).
 
-
-def _to_largest(crowd: DataFrame) -> DataFrame:
-    """Pairs of each member outside its bucket's largest component with one member of that, picked by a hash."""
-    parts = crowd.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("bucket", "id")).alias("one"))
-    largest = parts.groupBy("bucket").agg(F.max_by(F.struct("comp", "one"), F.struct("n", "comp")).alias("best")).select("bucket", "best.*")
-    joined = crowd.join(largest.withColumnRenamed("comp", "main"), "bucket").filter(F.col("comp") != F.col("main"))
-    return joined.select(F.least("id", "one").alias("a"), F.greatest("id", "one").alias("b")).distinct()
+    main is the bucket's largest component and one of its members, picked by a hash. Members are counted by
+    bucket and component before they meet, so that a large bucket is never gathered in one task.
+    """
+    placed = cut(crowd.join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp")))
+    parts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("bucket", "id")).alias("one"))
+    largest = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by(F.struct(F.col("comp").alias("main"), "one"), F.struct("n", "comp")).alias("best"))
+    return placed.join(cut(largest.filter("parts > 1").select("bucket", "best.*")), "bucket")
 
 
 def near_duplicate_classes(
@@ -199,7 +197,7 @@ def near_duplicate_classes(
     sketches agree as far as a link makes them.
     Rows with a null id are dropped, repeated rows of one id are one document.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     prints = cut(fingerprints(docs, k, bands, rows))
     copies = cut(prints.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "rep"))
     member = prints.select("id", "digest").join(copies, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"))
@@ -220,12 +218,13 @@ def near_duplicate_classes(
     links = linked(star)
     comp = components(links)
     apart = crowd.select("bucket", "id")
-    second = verify(_to_largest(_torn(apart, comp)).join(star, ["a", "b"], "left_anti"))
+    stray = _torn(apart, comp).filter("comp <> main").select(F.least("id", "one").alias("a"), F.greatest("id", "one").alias("b")).distinct()
+    second = verify(stray.join(star, ["a", "b"], "left_anti"))
     star = star.union(second)
     if not linked(second).isEmpty():
         links = links.union(linked(second))
         comp = components(links)
-    left = _torn(apart, comp)
+    left = cut(_torn(apart, comp).select("bucket", "id", "comp"))
     fine = fine_sketches(pool.join(left.select("id").distinct(), "id", "left_semi"), k)
     rest = cut(left.join(prints.select("id", "sketch").dropDuplicates(["id"]), "id").join(fine, "id"))
     near = (differing("p.sketch", "q.sketch", range(-(-bands * rows // 64)), 2) <= SKETCH_BITS) & (differing("p.fine", "q.fine", range(FINE_REGISTERS // 64)) <= FINE_BITS)

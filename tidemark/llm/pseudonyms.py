@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import bounded_batches
+
 ROUNDS = 10
 _HEX = re.compile(r"(?=.*\d)[0-9a-f]{8,}")
 _EPOCH, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
@@ -260,12 +262,12 @@ def pseudonym(text: Column | str, key: bytes, back: bool = False) -> Column:
 
 def pseudonymise(documents: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, text, n_found, found) of every row, repeated rows and null ids included."""
-    judged = documents.select(F.col(id_col).alias(id_col), pseudonym(F.col(text_col), key).alias("p"))
+    judged = bounded_batches(documents).select(F.col(id_col).alias(id_col), pseudonym(F.col(text_col), key).alias("p"))
     return judged.select(id_col, F.col("p.text").alias("text"), F.size("p.found").cast("long").alias("n_found"), F.col("p.found").alias("found"))
 
 
 def with_pseudonyms(documents: DataFrame, key: bytes, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """documents with the text replaced, all other columns kept; length_col, if given, follows the new text."""
-    new = documents.withColumn("__pseudonym", pseudonym(F.col(text_col), key))
+    new = bounded_batches(documents).withColumn("__pseudonym", pseudonym(F.col(text_col), key))
     columns = [F.col("__pseudonym.text").alias(c) if c == text_col else F.length("__pseudonym.text").cast("long").alias(c) if c == length_col else F.col(f"`{c}`") for c in documents.columns]
     return new.select(*columns)

@@ -33,6 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of one Arrow batch: texts may be long, and a worker holds a whole batch.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, its session's Arrow batches limited to BATCH_ROWS rows where they were larger."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Connected components of links (a, b): one row (id, comp) per linked id, comp the least id.
 
