@@ -43,6 +43,12 @@ def test_what_is_not_valid_stays(text):
     assert ps.replace(text, KEY) == (text, [])
 
 
+@pytest.mark.parametrize("text", ["password: hunter2abc9", "token: 0641917ea4e9", "api_key:'0641917ea4e9'"])
+def test_secrets_after_a_colon(text):
+    new, found = ps.replace(text, KEY)
+    assert [f[2] for f in found] == ["secret"] and new != text and "=" not in new and ps.replace(new, KEY, True)[0] == text
+
+
 def test_odd_rows(odd, none):
     got = {r["doc_id"]: r for r in ps.pseudonymise(odd, KEY).collect()}
     assert got[3]["text"] is None and got[3]["n_found"] == 0 and got[4]["text"] == "" and got[None]["n_found"] == 1 and "4041894974608795" not in got[None]["text"]

@@ -205,10 +205,10 @@ def _access_key(m: re.Match, key: bytes, back: bool) -> str | None:
     return m.group(0)[:4] + _mixed(m.group(0)[4:], key, "access", back)
 
 
-#: Formats in the order in which they claim text: kind, needed mark, pattern, pseudonym or None if not valid.
+#: Formats in the order in which they claim text: kind, marks of which one is needed, pattern, pseudonym or None if not valid.
 FORMATS: list[tuple[str, str, re.Pattern, Callable]] = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
-    ("secret", "=", re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<v>[A-Za-z0-9+/_.-]{8,})"), _secret),
+    ("secret", "=:", re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<v>[A-Za-z0-9+/_.-]{8,})"), _secret),
     ("access_key", "A", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), _access_key),
     ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban),
     ("card", "", re.compile(r"(?<![\d.+])\d(?:[ -]?\d){12,18}(?!\d)"), _card),
@@ -228,8 +228,8 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
         return text, []
     taken: list[tuple[int, int, str, str]] = []
     used = bytearray()
-    for kind, mark, pattern, pseudonym in FORMATS:
-        if mark and mark not in text:
+    for kind, marks, pattern, pseudonym in FORMATS:
+        if marks and not any(mark in text for mark in marks):
             continue
         for m in pattern.finditer(text):
             if used and any(used[m.start() : m.end()]):
