@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -49,6 +50,41 @@ def test_secrets_after_a_colon(text):
     assert [f[2] for f in found] == ["secret"] and new != text and "=" not in new and ps.replace(new, KEY, True)[0] == text
 
 
+CARD, IBAN = "4041894974608795", "GB82 WEST 1234 5698 7654 32"
+
+
+@pytest.mark.parametrize(
+    ("before", "value", "after", "kind"),
+    [
+        ("card ", CARD, " 12/26", "card"),
+        ("card ", CARD, " 123", "card"),
+        ("no 7 ", CARD, "", "card"),
+        ("1234 ", "4041 8949 7460 8795", " 12/26", "card"),
+        ("", "4041-8949-7460-8795", "-12-34", "card"),
+        ("", IBAN, " BIC", "iban"),
+        ("AB12 ", IBAN, " 2021 AND MORE", "iban"),
+        ("tel ", "+44 20 7946 0958", " 4041", "foreign_phone"),
+    ],
+)
+def test_values_beside_other_digits_and_capitals(before, value, after, kind):
+    text = before + value + after
+    new, found = ps.replace(text, KEY)
+    assert found == [(len(before), len(before + value), kind)] and value not in new
+    assert new.startswith(before) and new.endswith(after) and ps.replace(new, KEY, True)[0] == text
+
+
+def test_runs_of_numbers_turn_back():
+    rng = random.Random(6)
+    for _ in range(400):
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        card = body + str(ps._luhn(body))
+        shown = rng.choice([card, "-".join(re.findall("....", card)), " ".join(re.findall("....", card))])
+        extra = lambda: " ".join(str(rng.randrange(10 ** rng.randint(1, 4))) for _ in range(rng.randint(0, 3)))
+        text = f"{extra()} {shown} {extra()} end"
+        new, found = ps.replace(text, KEY)
+        assert found and card not in re.sub(r"\D", "", new) and ps.replace(new, KEY, True)[0] == text
+
+
 def test_odd_rows(odd, none):
     got = {r["doc_id"]: r for r in ps.pseudonymise(odd, KEY).collect()}
     assert got[3]["text"] is None and got[3]["n_found"] == 0 and got[4]["text"] == "" and got[None]["n_found"] == 1 and "4041894974608795" not in got[None]["text"]

@@ -3,7 +3,8 @@
 A value that a format's checks accept is turned into an index of that format's values, the index is
 permuted by a Feistel network under the key, walking on until the result is a valid value again, and the
 result is written with the separators of the original. Equal values of a format thus get equal
-pseudonyms in every document, different ones differ, and whoever holds the key can turn them back.
+pseudonyms in every document, different ones differ, and whoever holds the key can turn them back. Only where
+a pseudonym would form a longer valid number with the digits beside it, the next one of its cycle is taken.
 
 Null texts stay null and have no findings, empty ones stay empty. Whole texts are read.
 """
@@ -220,6 +221,50 @@ FORMATS: list[tuple[str, str, re.Pattern, Callable]] = [
     ("foreign_phone", "+", re.compile(r"\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d)"), _foreign_phone),
 ]
 _TRIGGER = re.compile(r"[0-9@]")
+#: Separators at which a shorter run may end, of the formats whose patterns take in the words or digits behind a value.
+RUN_ENDS = {"iban": " ", "card": " -", "foreign_phone": " .-"}
+#: No run of these formats is longer.
+_LONGEST_RUN = 80
+
+
+def _claims(text: str, used: bytearray, kind: str, pattern: re.Pattern, pseudonym: Callable, key: bytes, back: bool, at: int = 0) -> Iterator[tuple[int, int, str, bool]]:
+    """(start, end, pseudonym, contested) of the format's valid values in text[at:] outside of used, in order.
+
+    Where a match is not valid, the runs in it that end on a separator are tried, longest first, then the search
+    goes on behind the match's start. contested: a run that is not valid reaches into the value.
+    """
+    ends = RUN_ENDS.get(kind, "")
+    reach = 0
+    while m := pattern.search(text, at):
+        start, greedy = m.span()
+        new = None
+        while True:
+            if not (used and any(used[start : m.end()])):
+                new = pseudonym(m, key, back)
+            if new is not None or not ends:
+                break
+            shorter = (pattern.match(text, start, end) for end in range(m.end() - 1, start, -1) if text[end] in ends)
+            m = next((run for run in shorter if run), None)
+            if m is None:
+                break
+        if new is None:
+            reach, at = max(reach, greedy), start + 1
+        else:
+            yield start, m.end(), new, reach > start or m.end() < greedy
+            at = m.end()
+
+
+def _settled(text: str, used: bytearray, kind: str, pattern: re.Pattern, pseudonym: Callable, key: bytes, back: bool, start: int, end: int, new: str, at: int) -> str:
+    """new, or the next pseudonym in its cycle with which the same run of the text is chosen again, so that it turns back."""
+    low, high = max(0, start - _LONGEST_RUN - 1), end + _LONGEST_RUN
+    before, after, seen = text[low:start], text[end:high], used[low:high]
+    first = max(at - low, 0)
+    while True:
+        found = next(_claims(before + new + after, seen, kind, pattern, pseudonym, key, back, first), None)
+        if found and found[:2] == (start - low, end - low):
+            return new
+        m = pattern.match(before + new, start - low)
+        new = pseudonym(m, key, back)
 
 
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
@@ -231,14 +276,16 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
     for kind, marks, pattern, pseudonym in FORMATS:
         if marks and not any(mark in text for mark in marks):
             continue
-        for m in pattern.finditer(text):
-            if used and any(used[m.start() : m.end()]):
-                continue
-            new = pseudonym(m, key, back)
-            if new is not None:
-                used = used or bytearray(len(text))
-                used[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
-                taken.append((m.start(), m.end(), kind, new))
+        at = 0
+        for start, end, new, contested in _claims(text, used, kind, pattern, pseudonym, key, back):
+            if contested and kind in RUN_ENDS:
+                new = _settled(text, used, kind, pattern, pseudonym, key, back, start, end, new, at)
+            taken.append((start, end, kind, new))
+            at = end
+        if taken:
+            used = used or bytearray(len(text))
+            for start, end, _, _ in taken:
+                used[start:end] = b"\x01" * (end - start)
     if not taken:
         return text, []
     taken.sort()
