@@ -44,6 +44,42 @@ def test_page_without_article():
     assert hm.main_text(PAGE, hm.DEFAULT_WEIGHTS) == want
 
 
+STORY = "<p>Cats are small animals that people keep, and they sleep most of the day.</p><h2>Food</h2><p>They eat fish, and mice, of course, when they can get them.</p>"
+STORY_TEXT = "Cats are small animals that people keep, and they sleep most of the day. Food They eat fish, and mice, of course, when they can get them."
+NAV, FOOTER = '<nav><a href="/">Home</a></nav>', '<div class="footer">&copy; 2020</div>'
+
+
+@pytest.mark.parametrize("raw", ["<svg class=icon/>", '<svg class="icon"/>', "<math/>", '<script src="a.js"/>', "<svg><path>", "<canvas>", "<svg><title>x</title></svg>", "<script src=/a/>var a;</script>"])
+def test_nothing_is_skipped_after_an_element_that_closes_itself(raw):
+    page = f"<body>{NAV}<article>{raw}{STORY}</article>{FOOTER}</body>"
+    assert hm.main_text(page, hm.DEFAULT_WEIGHTS) == STORY_TEXT
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="single-post has-sidebar">{nav}<article>{story}</article>{footer}</body>',
+        '<body><div class="with-share">{nav}<main>{story}</main>{footer}</div></body>',
+        '<body id="widget"><div class="no-sidebar"><div class="with-share">{nav}<article>{story}</article>{footer}</div></div></body>',
+        '<body><form id="page">{nav}<main><div class="with-share"><article>{story}</article></div></main>{footer}</form></body>',
+    ],
+)
+def test_wrappers_do_not_outweigh_the_article(page):
+    assert hm.main_text(page.format(nav=NAV, story=STORY, footer=FOOTER), hm.DEFAULT_WEIGHTS) == STORY_TEXT
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body>{nav}<article>{story}</article><section class="comments"><article>I liked it a lot, thanks for writing all of it.</article></section></body>',
+        '<body>{nav}<main>{story}<div class="related"><article>I liked it a lot, thanks for writing all of it.</article></div></main></body>',
+        '<body class="has-sidebar">{nav}<article>{story}</article><aside><article>I liked it a lot, thanks for writing all of it.</article></aside></body>',
+    ],
+)
+def test_articles_beside_the_main_one_stay_out(page):
+    assert hm.main_text(page.format(nav=NAV, story=STORY), hm.DEFAULT_WEIGHTS) == STORY_TEXT
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<<<>>>", '<a href="x>y</a>', "<!-- x", "</p></div>text", "<script>x", "<p>" * 3000 + "x", "&#0;&bogus;&#xD800;<b>q", "<div>" * 500 + "</div>" * 700, '<p class="' * 2000])
 def test_broken_pages(page):
     assert isinstance(hm.main_text(page, hm.DEFAULT_WEIGHTS), str)

@@ -40,11 +40,14 @@ BAD_WORDS = {
 }
 GOOD, BAD, TEXT_LIMIT = 4.0, 7.0, 2.0
 ADJACENT, CONTAINER = 0.4, 0.5
+#: RAW elements whose content is tags: without an end tag nothing of the page belongs to them.
+MARKUP_RAW = {"svg", "math", "noscript", "template", "object", "canvas"}
 #: Bounds of the training sample: pages, and blocks of one page.
 TRAIN_PAGES, TRAIN_BLOCKS = 400, 200
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attr>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[A-Za-z][A-Za-z0-9:-]*)[^>]*>|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?=[\s=>/]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_OPEN_VALUE = re.compile(r"""=\s*[^\s"'>]+\Z""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -58,28 +61,91 @@ class Block:
     container: int
 
 
-def _evidence(name: str, attr: str, in_content: bool) -> tuple[bool, bool]:
-    """Whether an element speaks for content, and whether against."""
-    good, bad = name in GOOD_TAGS, name in BAD_TAGS and not (name == "header" and in_content)
+def _evidence(name: str, attr: str, in_content: bool) -> tuple[bool, bool, bool, str]:
+    """Whether an element speaks for content, whether against, whether the latter as a form or by its class or id only, and "article" or "main" if it is such an element."""
+    good, bad, worded = name in GOOD_TAGS, name in BAD_TAGS and not (name == "header" and in_content), False
+    holder = name if good else ""
+    if bad and name == "form":
+        bad, worded = False, True
     if attr and not attr.isspace():
         for m in _ATTR.finditer(attr):
             key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
             if key == "role":
-                good, bad = good or value.lower() in GOOD_TAGS, bad or value.lower() in BAD_ROLES
+                if value.lower() in GOOD_TAGS:
+                    good, holder = True, holder or value.lower()
+                bad = bad or value.lower() in BAD_ROLES
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 bad = True
             elif key in ("class", "id"):
                 words = {w.lower() for w in _WORD.findall(value)}
-                bad = bad or not words.isdisjoint(BAD_WORDS) or ("header" in words and not in_content)
+                worded = worded or not words.isdisjoint(BAD_WORDS) or ("header" in words and not in_content)
                 good = good or not words.isdisjoint(GOOD_WORDS)
-    return good and not bad, bad
+    clean = not bad and not worded
+    return good and clean, not clean, worded and not bad, holder if clean else ""
+
+
+@dataclass
+class Holder:
+    """An article or main element: its name, the holder around it, its place in the chain of elements against content, and its text's length."""
+
+    name: str
+    outer: int
+    against: int
+    size: int = 0
+
+
+def _weigh(blocks: list[Block], marks: list[tuple[bool, int, int]], holders: list[Holder], chain: list[tuple[int, bool]]) -> None:
+    """Sets the evidence of blocks from marks (content evidence, end of the chain of elements against it, holder).
+
+    The page's main element and its longest article are what its wrappers are there for: a class or id of an
+    element around one of them says nothing against what articles hold, unless more text stands in clear
+    content outside of articles.
+    """
+    times = [0] * len(chain)
+    for i in range(1, len(chain)):
+        times[i] = times[chain[i][0]] + 1
+    clear = [0] * (len(holders) + 1)
+    for b, (good, against, holder) in zip(blocks, marks, strict=True):
+        if holder >= 0:
+            holders[holder].size += len(b.text)
+        if good and not times[against] and (holder < 0 or holders[holder].name == "main"):
+            clear[holder] += len(b.text)
+    for i in range(len(holders) - 1, -1, -1):  # the inner ones come after the outer ones
+        if holders[i].outer >= 0:
+            holders[holders[i].outer].size += holders[i].size
+    wrappers = set()
+    for name in ("main", "article"):
+        of_name = [i for i, h in enumerate(holders) if h.name == name]
+        if not of_name:
+            continue
+        best = max(of_name, key=lambda i: holders[i].size)
+        inside = [False] * len(holders)
+        for i, h in enumerate(holders):
+            inside[i] = i == best or h.outer >= 0 and inside[h.outer]
+        if sum(clear[i] for i in range(-1, len(holders)) if i < 0 or not inside[i]) <= holders[best].size:
+            at = holders[best].against
+            while at:
+                if chain[at][1]:
+                    wrappers.add(at)
+                at = chain[at][0]
+    left = [0] * len(chain)
+    for i in range(1, len(chain)):
+        left[i] = left[chain[i][0]] + (i not in wrappers)
+    for b, (good, against, holder) in zip(blocks, marks, strict=True):
+        bad = times[against]
+        if holder >= 0:
+            bad += left[holders[holder].against] - times[holders[holder].against]
+        b.evidence = GOOD * good - BAD * min(bad, 2)
 
 
 def parse(page: str) -> tuple[list[Block], list[int]]:
     """The page's blocks in order, and for each container the number of the one that holds it (-1: none)."""
     parents, blocks = [-1], []
-    # open elements: name, container, content evidence, times against, links
-    stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, 0)]
+    # open elements: name, container, content evidence, end of the chain of elements against it, links, article or main element
+    stack: list[tuple[str, int, bool, int, int, int]] = [("", 0, False, 0, 0, -1)]
+    chain: list[tuple[int, bool]] = [(0, False)]  # elements against content: the next outer one, whether by words only
+    holders: list[Holder] = []
+    marks: list[tuple[bool, int, int]] = []
     held: list[str] = []
     size = linked = at = 0
 
@@ -88,8 +154,9 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                _, container, good, bad, _ = stack[-1]
-                blocks.append(Block(text, GOOD * good - BAD * min(bad, 2), linked / max(size, 1), container))
+                _, container, good, against, _, holder = stack[-1]
+                blocks.append(Block(text, 0.0, linked / max(size, 1), container))
+                marks.append((good, against, holder))
             held.clear()
             size = linked = 0
 
@@ -122,13 +189,16 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
             if name == "p" and not held:
                 close()
             continue
+        attr = m.group("attr") or ""
         if name in RAW:
+            if attr.endswith("/") and (name in ("svg", "math") or not _OPEN_VALUE.search(attr)):
+                continue
             if name == "head":
                 end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
                 at = (end.start() if end.group(0)[1] != "/" else end.end()) if end else at
             else:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else at if name in MARKUP_RAW else len(page)
             continue
         if name not in INLINE:
             close()
@@ -141,18 +211,26 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
                         break
         if name in VOID:
             continue
-        _, container, good, bad, links = stack[-1]
-        attr = m.group("attr") or ""
-        here_good, here_bad = _evidence(name, attr, good) if attr or name not in INLINE else (False, False)
+        _, container, good, against, links, holder = stack[-1]
+        here_good, here_bad, worded, holds = _evidence(name, attr, good) if attr or name not in INLINE else (False, False, False, "")
+        if name in ("html", "body"):  # what every block of the page has says nothing against one
+            here_bad = False
         if name in INLINE and here_bad:
             close()
         if name not in INLINE:
             parents.append(container)
             container = len(parents) - 1
         if not attr.endswith("/") or name in INLINE:
-            stack.append((name, container, good or here_good, bad + here_bad, links + (name == "a")))
+            if holds:
+                holders.append(Holder(holds, holder, against))
+                holder = len(holders) - 1
+            if here_bad:
+                chain.append((against, worded))
+                against = len(chain) - 1
+            stack.append((name, container, good or here_good, against, links + (name == "a"), holder))
     add(page[at:])
     close()
+    _weigh(blocks, marks, holders, chain)
     return blocks, parents
 
 
