@@ -98,6 +98,23 @@ def test_a_chain_of_copies_is_one_class(spark):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_sketches_of_short_links_agree(spark):
+    """Links of few shingles stay within the bounds of both sketches."""
+    rows = []
+    for n in range(400):
+        for side in range(2):  # 8 shared shingles and one of its own: a similarity of 0.8
+            rows.append((2 * n + side, " ".join([f"w{n}x{i}" for i in range(12)] + [f"own{side}"])))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    sketch = {r["id"]: r["sketch"] for r in nd.fingerprints(docs).collect()}
+    fine = {r["id"]: r["fine"] for r in nd.fine_sketches(docs).collect()}
+    ones = lambda words: sum(bin(w & (1 << 64) - 1).count("1") for w in words)
+    for a in range(0, 800, 2):
+        p, q = sketch[a], sketch[a + 1]
+        half = len(p) // 2
+        assert ones((p[i] ^ q[i]) | (p[half + i] ^ q[half + i]) for i in range(half)) <= nd.SKETCH_BITS
+        assert ones(x ^ y for x, y in zip(fine[a], fine[a + 1], strict=True)) <= nd.FINE_BITS
+
+
 def test_odd_rows(odd, none):
     got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicate_classes(odd).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8}

@@ -65,6 +65,11 @@ def _pack(bits: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1).view(np.int64)
 
 
+def _bits(held: np.ndarray) -> np.ndarray:
+    """A hash of every register's shingle and number, so that the bits of registers with different shingles are independent however few the shingles are."""
+    return tk.mix(held + np.arange(held.shape[1], dtype=np.uint64) * _STEP)
+
+
 def _describe(texts: list[str], k: int, bands: int, rows: int) -> tuple[list, list, np.ndarray]:
     """Bucket ids, sketches and whether the text has a word, for one batch of whole texts."""
     buckets, sketches, has_words = [None] * len(texts), [None] * len(texts), np.zeros(len(texts), dtype=bool)
@@ -79,7 +84,7 @@ def _describe(texts: list[str], k: int, bands: int, rows: int) -> tuple[list, li
         for r in range(rows):
             key = tk.mix(key * _STEP + split[:, :, r])
         key = tk.mix(key + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
-        low = tk.mix(held)
+        low = _bits(held)
         sketch = np.concatenate((_pack((low & np.uint64(1)).astype(np.uint8)), _pack((low >> np.uint64(7) & np.uint64(1)).astype(np.uint8))), axis=1)
         for row, doc in enumerate(docs):
             buckets[first + doc], sketches[first + doc] = key[row], sketch[row]
@@ -149,7 +154,7 @@ def fine_sketches(texts: DataFrame, k: int = SHINGLE, size: int = FINE_REGISTERS
                 docs, local = np.unique(whose, return_inverse=True)
                 if len(docs):
                     held = signatures(value, local, weight, len(docs), size)
-                    yield pd.DataFrame({"id": ids[first + docs], "fine": list(_pack((tk.mix(held) & np.uint64(1)).astype(np.uint8)))})
+                    yield pd.DataFrame({"id": ids[first + docs], "fine": list(_pack((_bits(held) & np.uint64(1)).astype(np.uint8)))})
 
     return texts.mapInPandas(run, "id long, fine array<long>")
 
