@@ -115,6 +115,19 @@ def test_sketches_of_short_links_agree(spark):
         assert ones(x ^ y for x, y in zip(fine[a], fine[a + 1], strict=True)) <= nd.FINE_BITS
 
 
+def test_copies_with_a_passage_repeated(spark):
+    """A set Jaccard near 1 links texts whose probability Jaccard is low."""
+    rows = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(500)]
+        passage = words[100:116]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(words[:100] + passage * 200 + words[100:]))]
+        rows += [(10 * g + 2, " ".join(words[:100] + passage * 90 + words[100:] + ["end"]))]
+    got = nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == classes(rows) and {r["class_id"] for r in got} == set(range(0, 60, 10))
+    assert probability_jaccard(grams(rows[0][1]), grams(rows[1][1])) < 0.5
+
+
 def test_odd_rows(odd, none):
     got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicate_classes(odd).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8}

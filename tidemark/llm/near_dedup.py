@@ -3,7 +3,9 @@
 A document is the weighted set of its word shingles, the weight being how often a shingle occurs. Each
 shingle owns a Poisson process whose arrivals are dealt to signature registers at random; a register
 keeps the shingle of its earliest arrival, and a document stops drawing once no later arrival can win a
-register. Two registers then agree with the probability Jaccard similarity of the documents.
+register. Two registers then agree with the probability Jaccard similarity of the documents. Documents whose
+shingles occur unequally often have a second set of registers in which every shingle weighs the same, so that
+registers agree with the set Jaccard similarity too.
 
 Null and word-free texts take no part: each is a class of its own. Texts of fewer than k words are one
 shingle. Case is ignored and words are runs without white space.
@@ -12,7 +14,7 @@ shingle. Case is ignored and words are runs without white space.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,40 +72,69 @@ def _bits(held: np.ndarray) -> np.ndarray:
     return tk.mix(held + np.arange(held.shape[1], dtype=np.uint64) * _STEP)
 
 
-def _describe(texts: list[str], k: int, bands: int, rows: int) -> tuple[list, list, np.ndarray]:
-    """Bucket ids, sketches and whether the text has a word, for one batch of whole texts."""
-    buckets, sketches, has_words = [None] * len(texts), [None] * len(texts), np.zeros(len(texts), dtype=bool)
+def _uneven(local: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
+    """Which of n_docs documents have shingles of different weights: those whose registers change where all weigh the same."""
+    least, most = np.full(n_docs, np.inf), np.zeros(n_docs)
+    np.minimum.at(least, local, weight)
+    np.maximum.at(most, local, weight)
+    return least < most
+
+
+def _plain(value: np.ndarray, local: np.ndarray, weight: np.ndarray, n_docs: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The uneven documents and their registers where all shingles weigh the same."""
+    uneven = _uneven(local, weight, n_docs)
+    which = np.flatnonzero(uneven)
+    if not len(which):
+        return which, np.zeros((0, size), dtype=np.uint64)
+    at = uneven[local]
+    return which, signatures(value[at], np.searchsorted(which, local[at]), np.ones(at.sum()), len(which), size)
+
+
+def _keys(held: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Bucket ids of every band of the registers."""
+    key = np.zeros((len(held), bands), dtype=np.uint64)
+    split = held.reshape(len(held), bands, rows)
+    for r in range(rows):
+        key = tk.mix(key * _STEP + split[:, :, r])
+    return tk.mix(key + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
+
+
+def _sketch(held: np.ndarray) -> np.ndarray:
+    low = _bits(held)
+    return np.concatenate((_pack((low & np.uint64(1)).astype(np.uint8)), _pack((low >> np.uint64(7) & np.uint64(1)).astype(np.uint8))), axis=1)
+
+
+def _describe(texts: list[str], k: int, bands: int, rows: int) -> tuple[list, list, list, np.ndarray]:
+    """Bucket ids, sketches by weight and by set, and whether the text has a word, for one batch of whole texts."""
+    buckets, sketches, plain, has_words = [None] * len(texts), [None] * len(texts), [None] * len(texts), np.zeros(len(texts), dtype=bool)
     for first, parts in tk.chunks(texts, 1 << 19):
         value, whose, weight = tk.weighted(*tk.shingles(*tk.word_hashes(parts), k))
         docs, local = np.unique(whose, return_inverse=True)
         if not len(docs):
             continue
         held = signatures(value, local, weight, len(docs), bands * rows)
-        key = np.zeros((len(docs), bands), dtype=np.uint64)
-        split = held.reshape(len(docs), bands, rows)
-        for r in range(rows):
-            key = tk.mix(key * _STEP + split[:, :, r])
-        key = tk.mix(key + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
-        low = _bits(held)
-        sketch = np.concatenate((_pack((low & np.uint64(1)).astype(np.uint8)), _pack((low >> np.uint64(7) & np.uint64(1)).astype(np.uint8))), axis=1)
+        key, sketch = _keys(held, bands, rows), _sketch(held)
         for row, doc in enumerate(docs):
             buckets[first + doc], sketches[first + doc] = key[row], sketch[row]
+        which, held = _plain(value, local, weight, len(docs), bands * rows)
+        for row, other, alike in zip(which, _keys(held, bands, rows), _sketch(held), strict=True):
+            buckets[first + docs[row]], plain[first + docs[row]] = np.union1d(key[row], other), alike
         has_words[first + docs] = True
-    return buckets, sketches, has_words
+    return buckets, sketches, plain, has_words
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, digest, buckets, sketch) of each row of docs(id, text) whose text has a word."""
+    """(id, digest, buckets, sketch, plain) of each row of docs(id, text) whose text has a word; plain is null where it is the sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[pdf["text"].notna()]
-            buckets, sketches, has = _describe([t.lower() for t in pdf["text"]], k, bands, rows)
+            buckets, sketches, plain, has = _describe([t.lower() for t in pdf["text"]], k, bands, rows)
             tk.release()
-            yield pd.DataFrame({"id": pdf["id"], "digest": pdf["digest"], "buckets": buckets, "sketch": sketches})[has]
+            yield pd.DataFrame({"id": pdf["id"], "digest": pdf["digest"], "buckets": buckets, "sketch": sketches, "plain": plain})[has]
 
     base = docs.select("id", F.md5(F.encode("text", "utf-8")).alias("digest"), "text")
-    return base.mapInPandas(run, "id long, digest string, buckets array<long>, sketch array<long>")
+    return base.mapInPandas(run, "id long, digest string, buckets array<long>, sketch array<long>, plain array<long>")
 
 
 def _similarity(a: str, b: str, k: int) -> float:
@@ -144,7 +175,10 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def fine_sketches(texts: DataFrame, k: int = SHINGLE, size: int = FINE_REGISTERS) -> DataFrame:
-    """(id, fine): one bit of each of `size` registers of texts(id, text) that have a word."""
+    """(id, fine, fine_plain): one bit of each of `size` registers of texts(id, text) that have a word; fine_plain is null where it is fine."""
+
+    def one_bit(held: np.ndarray) -> np.ndarray:
+        return _pack((_bits(held) & np.uint64(1)).astype(np.uint8))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -154,12 +188,16 @@ def fine_sketches(texts: DataFrame, k: int = SHINGLE, size: int = FINE_REGISTERS
                 docs, local = np.unique(whose, return_inverse=True)
                 if len(docs):
                     held = signatures(value, local, weight, len(docs), size)
-                    yield pd.DataFrame({"id": ids[first + docs], "fine": list(_pack((_bits(held) & np.uint64(1)).astype(np.uint8)))})
+                    plain = [None] * len(docs)
+                    which, other = _plain(value, local, weight, len(docs), size)
+                    for row, bits in zip(which, one_bit(other), strict=True):
+                        plain[row] = bits
+                    yield pd.DataFrame({"id": ids[first + docs], "fine": list(one_bit(held)), "fine_plain": plain})
 
-    return texts.mapInPandas(run, "id long, fine array<long>")
+    return texts.mapInPandas(run, "id long, fine array<long>, fine_plain array<long>")
 
 
-def differing(left: str, right: str, words: range, planes: int = 1) -> Column:
+def differing(left: Column | str, right: Column | str, words: range, planes: int = 1) -> Column:
     """In how many positions two sketches of packed bits differ; `planes` bits, one after the other, make a position."""
     total = F.lit(0)
     for i in words:
@@ -231,8 +269,15 @@ def near_duplicate_classes(
         comp = components(links)
     left = cut(_torn(apart, comp).select("bucket", "id", "comp"))
     fine = fine_sketches(pool.join(left.select("id").distinct(), "id", "left_semi"), k)
-    rest = cut(left.join(prints.select("id", "sketch").dropDuplicates(["id"]), "id").join(fine, "id"))
-    near = (differing("p.sketch", "q.sketch", range(-(-bands * rows // 64)), 2) <= SKETCH_BITS) & (differing("p.fine", "q.fine", range(FINE_REGISTERS // 64)) <= FINE_BITS)
+    rest = cut(left.join(prints.select("id", "sketch", "plain").dropDuplicates(["id"]), "id").join(fine, "id"))
+
+    def alike(sketch: Callable[[str], Column], fine: Callable[[str], Column]) -> Column:
+        coarse = differing(sketch("p"), sketch("q"), range(-(-bands * rows // 64)), 2) <= SKETCH_BITS
+        return coarse & (differing(fine("p"), fine("q"), range(FINE_REGISTERS // 64)) <= FINE_BITS)
+
+    by_weight = alike(lambda side: F.col(f"{side}.sketch"), lambda side: F.col(f"{side}.fine"))
+    by_set = alike(lambda side: F.coalesce(f"{side}.plain", f"{side}.sketch"), lambda side: F.coalesce(f"{side}.fine_plain", f"{side}.fine"))
+    near = by_weight | ((F.col("p.plain").isNotNull() | F.col("q.plain").isNotNull()) & by_set)
     cross = (
         rest.alias("p")
         .join(rest.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.comp") < F.col("q.comp")) & near)
