@@ -57,6 +57,17 @@ def test_two_matches_and_repeated_lines(spark):
     assert rows[0]["span"] == "released under the mit license" and rows[0]["coverage"] == 1.0
 
 
+def test_adjacent_copies_are_all_found():
+    index = ls.index_templates(ls.TEMPLATES)
+    for name, text in ls.TEMPLATES.items():
+        n = len(words(text))
+        for copies in (2, 3, 7):
+            found = ls.scan_words(words(" ".join([text] * copies)), index, 0.8)
+            assert [(index.names[f[0]], *f[1:]) for f in found] == [(name, n, i * n, i * n + n) for i in range(copies)]
+    (found,) = ls.scan_words(words("Released, if you like it so, under the MIT License."), index, 0.8)
+    assert index.names[found[0]] == "MIT-line" and found[1:] == (5, 0, 10)
+
+
 def test_odd_rows(odd, none):
     assert ls.scan(odd).count() == 0 and ls.scan(none).count() == 0
 

@@ -157,13 +157,15 @@ def scan_words(words: np.ndarray, index: TemplateIndex, coverage: float) -> list
         size = len(index.words[t])
         seen.sort()
         regions: list[list[int]] = []
+        near = min(index.band, size // 2)
         for shift, at in sorted(seen, key=lambda s: (s[1], s[0])):
-            if regions and at - regions[-1][1] <= size and abs(shift - regions[-1][0]) <= index.band:
+            if regions and at - regions[-1][1] <= size and abs(shift - regions[-1][0]) <= near:
                 regions[-1][1] = at
             else:
                 regions.append([shift, at])
-        for shift, _ in regions:
-            m, first, last = align(index.words[t], words, shift, index.band)
+        # the whole band may reach the next copy of a short template, the narrow one only the region's own
+        for shift, band in dict.fromkeys((shift, band) for shift, _ in regions for band in (near, index.band)):
+            m, first, last = align(index.words[t], words, shift, band)
             if m >= coverage * size:
                 found.append((t, m, first, last))
     found.sort(key=lambda f: (-f[1], f[1] - len(index.words[f[0]]), f[2], f[0]))
