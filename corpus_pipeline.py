@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of every near-duplicate class."""
+    """The rows of the least id of every near-duplicate class: repeated rows of that id all stay, rows without an id are dropped."""
     return near_dedup.keep_one_of_each(docs)
 
 

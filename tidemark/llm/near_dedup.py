@@ -295,7 +295,10 @@ def near_duplicate_classes(
 
 
 def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents whose id is the least of its near-duplicate class."""
+    """The rows of documents whose id is the least of its near-duplicate class.
+
+    All repeated rows of such an id stay; rows without an id are dropped.
+    """
     classes = near_duplicate_classes(documents, id_col, text_col)
     kept = classes.filter(F.col(id_col) == F.col("class_id")).select(id_col)
     return documents.join(kept, id_col, "left_semi")
