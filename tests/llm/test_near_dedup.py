@@ -47,7 +47,7 @@ def test_exact_similarity():
         b = " ".join(rng.choice("abcd") for _ in range(rng.randint(1, 40)))
         x, y = grams(a, 2), grams(b, 2)
         plain = len(x.keys() & y.keys()) / len(x.keys() | y.keys())
-        assert nd._similarity(a, b, 2) == pytest.approx(max(plain, probability_jaccard(x, y)))
+        assert nd.similarity(a, b, 2) == pytest.approx(max(plain, probability_jaccard(x, y)))
 
 
 def test_registers_estimate_probability_jaccard():
@@ -105,14 +105,14 @@ def test_sketches_of_short_links_agree(spark):
         for side in range(2):  # 8 shared shingles and one of its own: a similarity of 0.8
             rows.append((2 * n + side, " ".join([f"w{n}x{i}" for i in range(12)] + [f"own{side}"])))
     docs = spark.createDataFrame(rows, "id long, text string")
-    sketch = {r["id"]: r["sketch"] for r in nd.fingerprints(docs).collect()}
+    sketch = {r["id"]: r["sketch"] for r in nd.fingerprints(docs, 5, *nd.banding(0.8)).collect()}
     fine = {r["id"]: r["fine"] for r in nd.fine_sketches(docs).collect()}
     ones = lambda words: sum(bin(w & (1 << 64) - 1).count("1") for w in words)
     for a in range(0, 800, 2):
         p, q = sketch[a], sketch[a + 1]
         half = len(p) // 2
-        assert ones((p[i] ^ q[i]) | (p[half + i] ^ q[half + i]) for i in range(half)) <= nd.SKETCH_BITS
-        assert ones(x ^ y for x, y in zip(fine[a], fine[a + 1], strict=True)) <= nd.FINE_BITS
+        assert ones((p[i] ^ q[i]) | (p[half + i] ^ q[half + i]) for i in range(half)) <= nd.sketch_limit(160, 2, 0.8)
+        assert ones(x ^ y for x, y in zip(fine[a], fine[a + 1], strict=True)) <= nd.sketch_limit(4096, 1, 0.8)
 
 
 def test_copies_with_a_passage_repeated(spark):
@@ -132,5 +132,48 @@ def test_odd_rows(odd, none):
     got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicate_classes(odd).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8}
     kept = nd.keep_one_of_each(odd)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 3, 4, 5, 6, 7, 8]
+    assert kept.columns == odd.columns and sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, i) for i in (1, 3, 4, 5, 6, 7, 8)] + [(True, None)]
     assert nd.near_duplicate_classes(none).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_recall_of_links(spark, threshold):
+    """Links of texts on both sides of the threshold, some with repeated shingles, against brute force."""
+    rng, rows = random.Random(int(100 * threshold)), []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(rng.choice((14, 60, 200)))]
+        if g % 3 == 0:
+            base = base[:10] * 3 + base[10:]
+        rows.append((10 * g, " ".join(base)))
+        for c in range(1, 4):
+            text, n = list(base), len(base)
+            for _ in range(rng.randint(0, max(1, n // 12))):
+                text[rng.randrange(n)] = f"g{g}new{rng.random()}"
+            rows.append((10 * g + c, " ".join(text[: n - rng.randint(0, n // 6)])))
+    sets = {i: grams(t) for i, t in rows}
+    pairs = {(a, b) for a, b in itertools.combinations(sets, 2) if a // 10 == b // 10 and nd._similarity(sets[a], sets[b]) >= threshold}
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()}
+    assert len(pairs) > 40 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert all(got[i] == want for i, want in classes(rows, threshold).items())
+
+
+def test_pairs_follow_the_documents(spark, monkeypatch):
+    """A large group of near copies makes a few pairs a document, not one for every bucket or member."""
+    made, rng = [], random.Random(8)
+    plain = nd.verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(nd, "verified", counted)
+    base = [f"w{i}" for i in range(230)]
+    rows = []
+    for n in range(300):
+        text = list(base)
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(230)] = f"own{n}x{rng.random()}"
+        rows.append((n, " ".join(text)))
+    got = nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == classes(rows)
+    assert made[0] <= 300 and sum(made) <= 600

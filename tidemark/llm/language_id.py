@@ -9,6 +9,7 @@ and the score below which a prediction is rejected.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,9 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .tables import bounded_batches
+from .tables import bounded_batches, unused_name
 
 UNDETERMINED = "und"
+#: Up to this many counts of languages are broadcast.
+MOST_BROADCAST = 10_000
 _LETTER = re.compile(r"[^\W\d_]")
 _GAP = np.full(256, 0, dtype=np.uint8)
 for _b in range(256):
@@ -136,14 +139,22 @@ def train(
 
     Rows whose crc32(id as text) leaves no remainder by 5 are never read. The sample takes the rows of
     each language with the least md5 of the id; the whole text of each is one example, and a few short
-    windows of it are others, so that short texts are known too. Null languages and null texts take no
+    windows of it are others, so that short texts are known too. Examples are made where the rows lie; one
+    task learns from the bounded sample and hands back the model. Null languages and null texts take no
     part. A table without labelled rows gives a model that knows no language and predicts `und`.
     """
-    base = bounded_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and id is not null")
+    base = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and id is not null")
     known = base.filter(F.crc32(F.col("id").cast("string")) % 5 != 0)
-    n_langs = max(1, known.select("lang").distinct().count())
-    rank = Window.partitionBy("lang").orderBy(F.md5(F.col("id").cast("string")), "id")
-    ids = known.select("id", "lang").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= max(1, max_rows // n_langs)).select("id").distinct()
+    counts = known.groupBy("lang").count()
+    sizes = counts.agg(F.count(F.lit(1)).alias("n")).first()
+    share = max(1, max_rows // max(1, sizes["n"]))
+    # of every language only the rows of the least hashes are ranked: some more than its share, by eight standard deviations
+    enough = F.lit((share + 8 * share**0.5 + 16) * 2.0**32) / F.col("count")
+    digest = F.md5(F.col("id").cast("string"))
+    small = F.broadcast(counts) if sizes["n"] <= MOST_BROADCAST else counts
+    few = known.select("id", "lang", digest.alias("key")).join(small, "lang").filter(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") < enough)
+    rank = Window.partitionBy("lang").orderBy("key", "id")
+    ids = few.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= share).select("id").distinct()
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -161,11 +172,18 @@ def train(
                         out.append((lang, int(key[8:10], 16) < 51, rows.astype(np.int32), (count / count.sum()).astype(np.float32), key))
             yield pd.DataFrame(out, columns=["lang", "held", "rows", "shares", "key"])
 
-    sample = known.join(F.broadcast(ids), "id", "left_semi").filter("text is not null").select(F.md5(F.col("id").cast("string")).alias("key"), "text", "lang")
-    got = sample.mapInPandas(featurise, "lang string, held boolean, rows array<int>, shares array<float>, key string").toPandas()
-    got["n"] = [len(r) for r in got["rows"]]
-    got = got.sort_values(["key", "lang", "n"], kind="stable")
-    return fit([(np.asarray(r), np.asarray(s), lang, bool(h)) for lang, h, r, s in zip(got["lang"], got["held"], got["rows"], got["shares"], strict=True)], bits)
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple] = []
+        for pdf in batches:
+            found += list(pdf.itertuples(index=False, name=None))
+        found.sort(key=lambda e: (e[4], e[0], len(e[2]), e[2].tobytes()))
+        model = fit([(np.asarray(rows), np.asarray(shares), lang, bool(held)) for lang, held, rows, shares, _ in found], bits)
+        tk.release()
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    sample = known.join(F.broadcast(ids), "id", "left_semi").filter("text is not null").select(digest.alias("key"), "text", "lang")
+    examples = bounded_batches(sample).mapInPandas(featurise, "lang string, held boolean, rows array<int>, shares array<float>, key string")
+    return pickle.loads(examples.repartition(1).mapInPandas(learn, "model binary").first()["model"])
 
 
 def prediction(model: LanguageModel, text: Column | str) -> Column:
@@ -185,8 +203,9 @@ def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
     return found.select(id_col, "p.lang_pred", "p.score", "p.rejected")
 
 
-def keep_identified(documents: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of documents whose language the model does not reject, with their own columns."""
-    columns = documents.columns
-    judged = bounded_batches(documents).withColumn("__language", prediction(model, F.col(text_col)))
-    return judged.filter(~F.col("__language.rejected")).select(*[F.col(f"`{c}`") for c in columns])
+def keep_identified(documents: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """The rows of documents whose language the model does not reject, with their own columns; lang_col, if named, gets the predicted language."""
+    columns, own = documents.columns, unused_name(documents, "language")
+    judged = bounded_batches(documents).withColumn(own, prediction(model, F.col(text_col)))
+    kept = judged.filter(~F.col(f"{own}.rejected"))
+    return kept.select(*[F.col(f"{own}.lang_pred").alias(c) if c == lang_col else F.col(f"`{c}`") for c in columns])

@@ -13,6 +13,7 @@ shingle. Case is ignored and words are runs without white space.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -22,16 +23,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .tables import bounded_batches, components, cut
-
-BANDS, ROWS, SHINGLE, THRESHOLD = 32, 5, 5, 0.8
-#: Bits of a signature's two-bit sketch that may differ: five standard deviations beyond what a similarity of 0.8 gives.
-SKETCH_BITS = 46
-#: Registers of the one-bit sketch of documents that are compared across components, and the bits that may differ likewise.
-FINE_REGISTERS, FINE_BITS = 4096, 505
+from .tables import bounded_batches, components, cut, unused_name, written
+
+SHINGLE, THRESHOLD = 5, 0.8
+#: Chance that a pair at the threshold shares no band, and share of a band's registers' agreement at the threshold that its rows aim at.
+ESCAPE, AGREE = 3.2e-6, 0.328
+#: Registers of the one-bit sketch of documents that are compared across components.
+FINE_REGISTERS = 4096
+#: Sketches rule a pair out that differs in this many standard deviations more positions than a link makes them.
+DEVIATIONS = 5
+#: Rounds in which documents meet one member of another component, before all that is still apart is compared.
+ROUNDS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, rows): a pair of similarity `threshold` shares a band but for a chance of ESCAPE."""
+    rows = max(1, round(math.log(AGREE) / math.log(threshold))) if threshold < 1 else 16
+    return (math.ceil(math.log(ESCAPE) / math.log(1 - threshold**rows)) if threshold < 1 else 1), rows
+
+
+def sketch_limit(size: int, bits: int, threshold: float) -> int:
+    """In how many of `size` positions of `bits` bits the sketches of a pair of similarity `threshold` may differ."""
+    p = (1 - threshold) * (1 - 0.5**bits)
+    return math.floor(size * p + DEVIATIONS * math.sqrt(size * p * (1 - p)))
+
+
 def signatures(value: np.ndarray, whose: np.ndarray, weight: np.ndarray, n_docs: int, size: int) -> np.ndarray:
     """ProbMinHash registers, n_docs by size, of documents that each have at least one shingle."""
     least = np.full(n_docs * size, np.inf)
@@ -123,7 +140,7 @@ def _describe(texts: list[str], k: int, bands: int, rows: int) -> tuple[list, li
     return buckets, sketches, plain, has_words
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """(id, digest, buckets, sketch, plain) of each row of docs(id, text) whose text has a word; plain is null where it is the sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,25 +154,25 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: in
     return base.mapInPandas(run, "id long, digest string, buckets array<long>, sketch array<long>, plain array<long>")
 
 
-def _similarity(a: str, b: str, k: int) -> float:
-    """The larger of the exact probability Jaccard and the exact set Jaccard of two texts."""
-    sides = []
-    for text in (a, b):
-        words = text.lower().encode("utf-8", "surrogatepass").split()
-        sides.append(Counter(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else Counter())
-    x, y = sides
+def _shingles(text: str, k: int) -> Counter:
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    return Counter(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else Counter()
+
+
+def _similarity(x: Counter, y: Counter) -> float:
+    """The larger of the probability Jaccard and the set Jaccard of two weighted sets."""
     both = x.keys() & y.keys()
     if not both:
         return 0.0
     plain = len(both) / (len(x) + len(y) - len(both))
-    if max(x.values()) == 1 and max(y.values()) == 1:
+    if x.total() == len(x) and y.total() == len(y):
         return plain
     v = np.array([x[s] for s in both], dtype=float)
     w = np.array([y[s] for s in both], dtype=float)
     ratio = v / w
     order = np.argsort(ratio)
     v, w, ratio = v[order], w[order], ratio[order]
-    only_x, only_y = sum(x.values()) - v.sum(), sum(y.values()) - w.sum()
+    only_x, only_y = x.total() - v.sum(), y.total() - w.sum()
     # sum over j of max(v_j / v_i, w_j / w_i): w rules where v_j / w_j is below v_i / w_i
     below = np.searchsorted(ratio, ratio, side="left")
     w_sum, v_sum = np.concatenate(([0], np.cumsum(w))), np.concatenate(([0], np.cumsum(v)))
@@ -163,15 +180,25 @@ def _similarity(a: str, b: str, k: int) -> float:
     return max(plain, float((1.0 / total).sum()))
 
 
+def similarity(a: str, b: str, k: int = SHINGLE) -> float:
+    """The larger of the exact probability Jaccard and the exact set Jaccard of the k-word shingles of two texts."""
+    return _similarity(_shingles(a, k), _shingles(b, k))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """pairs(a, b) with the exact similarity of their whole texts(id, text)."""
+    """pairs(a, b) with the exact similarity of their whole texts(id, text); pairs of one `a` lie together, so that its shingles are made once."""
 
     @F.pandas_udf("double")
-    def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([_similarity(a, b, k) for a, b in zip(left, right, strict=True)], dtype=float)
+    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+        out, known, shingles = [], None, Counter()
+        for a, b in zip(left, right, strict=True):
+            if a != known:
+                known, shingles = a, _shingles(a, k)
+            out.append(_similarity(shingles, _shingles(b, k)))
+        return pd.Series(out, dtype=float)
 
     a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", similarity("text_a", "text_b").alias("sim"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", similar("text_a", "text_b").alias("sim"))
 
 
 def fine_sketches(texts: DataFrame, k: int = SHINGLE, size: int = FINE_REGISTERS) -> DataFrame:
@@ -222,83 +249,130 @@ def _torn(crowd: DataFrame, comp: DataFrame) -> DataFrame:
     return placed.join(cut(largest.filter("parts > 1").select("bucket", "best.*")), "bucket")
 
 
+def _ordered(left: str, right: str) -> list[Column]:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+def _apart(size: int, threshold: float) -> Callable[[Callable[[str], Column], Callable[[str], Column]], Column]:
+    """A function of two sides' sketch columns: in how many positions they differ, by weight or by set, whichever is less; null beyond the limit."""
+    words, limit = range(-(-size // 64)), sketch_limit(size, 2, threshold)
+
+    def distance(left: Callable[[str], Column], right: Callable[[str], Column]) -> Column:
+        by_weight = differing(left("sketch"), right("sketch"), words, 2)
+        whole = [F.coalesce(side("plain"), side("sketch")) for side in (left, right)]
+        by_set = F.when(left("plain").isNotNull() | right("plain").isNotNull(), differing(*whole, words, 2))
+        least = F.least(by_weight, by_set)
+        return F.when(least <= limit, least)
+
+    return distance
+
+
+def _joined_to(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (id, comp) after further links (a, b), worked out between components only."""
+    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    known = cut(comp.union(ends.join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))))
+    left, right = (known.select(F.col("id").alias(side), F.col("comp").alias(f"{side}_comp")) for side in ("a", "b"))
+    merged = links.join(left, "a").join(right, "b").filter("a_comp <> b_comp").select(*_ordered("a_comp", "b_comp")).distinct()
+    new = components(merged).select(F.col("id").alias("comp"), F.col("comp").alias("new"))
+    return cut(known.join(new, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")))
+
+
 def near_duplicate_classes(
     documents: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     k: int = SHINGLE,
-    bands: int = BANDS,
-    rows: int = ROWS,
+    bands: int | None = None,
+    rows: int | None = None,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row per document: (id_col, class_id), class_id being the least id of its class.
 
-    Classes are the connected components of the verified links among the candidates of the banding.
-    Copies of a text are folded into one representative by digest. Every bucket first links its members
-    to its least or greatest id only, then those that stayed apart to one member of its largest component;
-    members that are still apart are compared with all members of the bucket's other components whose
-    sketches agree as far as a link makes them.
-    Rows with a null id are dropped, repeated rows of one id are one document.
+    Classes are the connected components of the verified links among the candidates of the banding, whose
+    bands and rows follow from the threshold unless given. Copies of a text are folded into one
+    representative by digest. Every document first meets one centre: the least id of most of its buckets. Those whose
+    buckets then hold other components meet the most similar of the members that stand for those, by their
+    sketches; both rounds make as many pairs as there are documents in buckets at most. What is still apart
+    is compared with all members of its buckets' other components whose sketches agree as far as a link
+    makes them, so that no link is left out.
+    Null and word-free texts are classes of their own. Rows with a null id are dropped, repeated rows of one
+    id are one document, an empty table gives no rows; other columns are not read.
     """
+    usual = banding(threshold)
+    bands, rows = bands or usual[0], rows or usual[1]
+    size = bands * rows
     docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    prints = cut(fingerprints(docs, k, bands, rows))
+    prints = written(fingerprints(docs, k, bands, rows))
     copies = cut(prints.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "rep"))
     member = prints.select("id", "digest").join(copies, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    entry = prints.join(copies, "digest", "left").filter("rep is null or rep = id").select("id", "sketch", F.explode("buckets").alias("bucket"))
-    centres = entry.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    crowd = cut(
-        entry.select("id", "bucket").join(centres, "bucket").select("bucket", "id", F.when(F.col("bucket") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("centre"))
-    )
-    pool = cut(docs.join(crowd.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    single = prints.join(copies, "digest", "left").filter("rep is null or rep = id")
+    entry = single.select("id", F.explode("buckets").alias("bucket"))
+    centres = entry.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket", "low")
+    crowd = cut(entry.join(centres, "bucket").select("bucket", "id", "low"))
+    texts = docs.join(crowd.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    pool = written(texts.join(single.select("id", "sketch", "plain").dropDuplicates(["id"]), "id"))
+    distance = _apart(size, threshold)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """pairs with `apart`, without those whose sketches rule a link out."""
+        for side in ("a", "b"):
+            pairs = pairs.join(pool.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("plain").alias(f"plain_{side}")), side)
+        apart = distance(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))
+        return pairs.withColumn("apart", apart).drop("sketch_a", "sketch_b", "plain_a", "plain_b").filter("apart is not null")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return cut(verified(cut(pairs), pool, k))
+        return cut(verified(cut(pairs.select("a", "b").distinct()), pool, k))
 
     def linked(pairs: DataFrame) -> DataFrame:
         return pairs.filter(F.col("sim") >= threshold).select("a", "b")
 
-    star = verify(crowd.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-    links = linked(star)
-    comp = components(links)
-    apart = crowd.select("bucket", "id")
-    stray = _torn(apart, comp).filter("comp <> main").select(F.least("id", "one").alias("a"), F.greatest("id", "one").alias("b")).distinct()
-    second = verify(stray.join(star, ["a", "b"], "left_anti"))
-    star = star.union(second)
-    if not linked(second).isEmpty():
-        links = links.union(linked(second))
-        comp = components(links)
-    left = cut(_torn(apart, comp).select("bucket", "id", "comp"))
-    fine = fine_sketches(pool.join(left.select("id").distinct(), "id", "left_semi"), k)
-    rest = cut(left.join(prints.select("id", "sketch", "plain").dropDuplicates(["id"]), "id").join(fine, "id"))
-
-    def alike(sketch: Callable[[str], Column], fine: Callable[[str], Column]) -> Column:
-        coarse = differing(sketch("p"), sketch("q"), range(-(-bands * rows // 64)), 2) <= SKETCH_BITS
-        return coarse & (differing(fine("p"), fine("q"), range(FINE_REGISTERS // 64)) <= FINE_BITS)
-
-    by_weight = alike(lambda side: F.col(f"{side}.sketch"), lambda side: F.col(f"{side}.fine"))
-    by_set = alike(lambda side: F.coalesce(f"{side}.plain", f"{side}.sketch"), lambda side: F.coalesce(f"{side}.fine_plain", f"{side}.fine"))
-    near = by_weight | ((F.col("p.plain").isNotNull() | F.col("q.plain").isNotNull()) & by_set)
+    votes = crowd.filter("id <> low").groupBy("id", "low").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("low"))
+    seen = verify(near(votes.select(F.col("low").alias("a"), F.col("id").alias("b"))))
+    comp = components(linked(seen))
+    for _ in range(ROUNDS):
+        stray = _torn(crowd, comp).filter("comp <> main").select("id", "main", *_ordered("id", "one")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        best = near(stray).groupBy("id", "main").agg(F.min(F.struct("apart", "a", "b")).alias("best"))
+        fresh = verify(best.select("best.a", "best.b"))
+        found = linked(fresh)
+        if found.isEmpty():
+            break
+        seen = seen.union(fresh)
+        comp = _joined_to(comp, found)
+    left = cut(_torn(crowd, comp).select("bucket", "id", "comp"))
+    fine = fine_sketches(pool.join(left.select("id").distinct(), "id", "left_semi").select("id", "text"), k)
+    rest = cut(left.join(pool.select("id", "sketch", "plain"), "id").join(fine, "id"))
+    limit, words = sketch_limit(FINE_REGISTERS, 1, threshold), range(FINE_REGISTERS // 64)
+
+    def side(name: str) -> Callable[[str], Column]:
+        return lambda c: F.col(f"{name}.{c}")
+
+    p, q = side("p"), side("q")
+    whole = [F.coalesce(s("fine_plain"), s("fine")) for s in (p, q)]
+    finely = (differing(p("fine"), q("fine"), words) <= limit) | ((p("plain").isNotNull() | q("plain").isNotNull()) & (differing(*whole, words) <= limit))
     cross = (
         rest.alias("p")
-        .join(rest.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.comp") < F.col("q.comp")) & near)
-        .select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
+        .join(rest.alias("q"), (p("bucket") == q("bucket")) & (p("comp") < q("comp")) & distance(p, q).isNotNull() & finely)
+        .select(*_ordered("p.id", "q.id"))
         .distinct()
-        .join(star, ["a", "b"], "left_anti")
+        .join(seen.select("a", "b"), ["a", "b"], "left_anti")
     )
     found = linked(verify(cross))
     if not found.isEmpty():
-        comp = components(links.union(found))
+        comp = _joined_to(comp, found)
     classes = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("class_id")).dropDuplicates(["id"])
-    return (
-        docs.select("id").distinct().join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
-    )
+    return docs.select("id").distinct().join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
 
 
 def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents whose id is the least of its near-duplicate class.
+    """One row of every near-duplicate class of documents, with their own columns.
 
-    All repeated rows of such an id stay; rows without an id are dropped.
+    It is a row of the class's least id. Repeated rows of an id count as one document, of which one row stays.
+    Rows without an id take part by ids below all others that follow from their texts: all of them with one text, null
+    included, count as one document.
     """
-    classes = near_duplicate_classes(documents, id_col, text_col)
-    kept = classes.filter(F.col(id_col) == F.col("class_id")).select(id_col)
-    return documents.join(kept, id_col, "left_semi")
+    columns, own = documents.columns, unused_name(documents, "near_dedup_id")
+    unnamed = F.lit(-(1 << 62)) - F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 61))
+    keyed = documents.withColumn(own, F.coalesce(F.col(id_col).cast("long"), unnamed))
+    classes = near_duplicate_classes(keyed, own, text_col)
+    kept = classes.filter(F.col(own) == F.col("class_id")).select(own)
+    return keyed.dropDuplicates([own]).join(kept, own, "left_semi").select(*[F.col(f"`{c}`") for c in columns])

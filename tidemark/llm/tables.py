@@ -33,6 +33,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read again: as `cut`, for wide rows of which later steps read some columns."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Rows of one Arrow batch: texts may be long, and a worker holds a whole batch.
 BATCH_ROWS = 1000
 
