@@ -17,8 +17,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
-    return language_id.keep_identified(docs, language_id.train(docs))
+    """Documents whose language is recognised, lang being the predicted one; those with a null, empty or letter-free text go, a table without labels keeps none."""
+    return language_id.keep_identified(docs, language_id.train(docs), lang_col="lang")
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
