@@ -73,8 +73,8 @@ def test_claims_take_one_row_of_a_key_and_none_that_is_busy(spark):
 
     at = [dt.datetime(2024, 1, 1, 0, i) for i in range(8)]
     rows = [
-        ("a", "h", "u", "recon", "failed", 1, at[0], at[0]), ("b", "h", "u", "recon", "pending", 0, at[1], at[1]), ("c", "h", "v", "recon", "failed", 3, at[2], at[2]),
-        ("d", "h", "w", "recon", "processing", 0, at[3], at[3]), ("e", "h", "w", "recon", "failed", 0, at[4], at[4]), ("f", "h", "x", "recon", "pending", 0, at[5], at[5]), ("g", "h", "y", "recon", "pending", 0, at[6], at[6]),
+        ("a", "h", "u", "discovery", "failed", 1, at[0], at[0]), ("b", "h", "u", "discovery", "pending", 0, at[1], at[1]), ("c", "h", "v", "discovery", "failed", 3, at[2], at[2]),
+        ("d", "h", "w", "discovery", "processing", 0, at[3], at[3]), ("e", "h", "w", "discovery", "failed", 0, at[4], at[4]), ("f", "h", "x", "discovery", "pending", 0, at[5], at[5]), ("g", "h", "y", "discovery", "pending", 0, at[6], at[6]),
     ]
     queue = spark.createDataFrame(rows, schema)
     after = {r["id"]: r["status"] for r in workqueue.claim(queue, 2, X.as_of()).collect()}
@@ -104,3 +104,59 @@ def test_scans_change_status_but_not_type(spark):
     attempts = spark.createDataFrame([(1, "h", "fail"), (2, "g", "fail"), (3, "g", "ok")], "seq long, host_id string, outcome string").withColumn("at", X.as_of())
     got = {r["id"]: (r["status"], r["type"], r["last_seen_at"] is not None) for r in lifecycle.apply_scans(attempts, hosts).collect()}
     assert got == {"h": ("dead", "unknown", False), "g": ("alive", "unknown", True)}
+
+
+@pytest.mark.parametrize("mode", ["exact", "parity"])
+def test_completion_statistics_equal_brute_force(spark, mode):
+    """One pattern holds nearly everything; times tie, cross days and are missing."""
+    import datetime as dt
+
+    rng, zero = random.Random(9), dt.datetime(2024, 3, 1)
+    at = lambda: None if rng.random() < 0.05 else zero + dt.timedelta(hours=rng.randrange(0, 200))
+    hosts = [(f"h{i}", "p" if i % 10 else "q", rng.choice(["dead", "alive"]), at(), at()) for i in range(60)]
+    services = [(f"s{i}", f"h{rng.randrange(70)}", at()) for i in range(150)]
+    told = [(f"j{i}", rng.choice(["p", "p", "q", "none"]), at()) for i in range(80)]
+    want = {}
+    for job, pattern, start in told:
+        new = dead = found = 0
+        for h, p, status, made, updated in hosts:
+            if start is None or p != pattern:
+                continue
+            fresh = sum(1 for _, owner, served in services if owner == h and served and served >= start)
+            times = 1 if mode == "exact" else max(1, fresh)
+            new += times * bool(made and made >= start)
+            dead += times * bool(status == "dead" and updated and updated >= start)
+            found += fresh
+        want[job] = (new, dead, found)
+    stats = jobs.completion_stats(
+        spark.createDataFrame(told, "id string, pattern_id string, started_at timestamp"),
+        spark.createDataFrame(hosts, "id string, pattern_id string, status string, created_at timestamp, updated_at timestamp"),
+        spark.createDataFrame(services, "id string, host_id string, created_at timestamp"), mode,
+    )
+    assert {r["job_id"]: (r["new_hosts"], r["newly_dead"], r["new_services"]) for r in stats.collect()} == want
+
+
+def test_completion_statistics_join_no_start_with_every_host(spark):
+    """With one pattern and thousands of starts and hosts, no step makes more rows than there are inputs."""
+    n = 3000
+    at = lambda c: f"timestamp '2024-03-01' + make_dt_interval(0, 0, {c})"
+    ids = spark.range(n)
+    stats = jobs.completion_stats(
+        ids.selectExpr("cast(id as string) id", "'p' pattern_id", f"{at('id')} started_at"),
+        ids.selectExpr("cast(id as string) id", "'p' pattern_id", "'dead' status", f"{at('id')} created_at", f"{at('id')} updated_at"),
+        ids.selectExpr("cast(id as string) id", "cast(id as string) host_id", f"{at('id')} created_at"),
+    )
+    stats.collect()
+    plan = stats._jdf.queryExecution().executedPlan()
+    made, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        if rows.isDefined():
+            made.append(rows.get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert made and max(made) <= 6 * n

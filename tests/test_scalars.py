@@ -1,5 +1,7 @@
 """Column expressions on small tables of cases."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,11 +10,20 @@ from tidemark.operators import listing
 from tidemark.operators.match import match_hosts
 from tidemark.sources import feeds, schemas
 
+LABELS = ("shop", "x9", "a-b", "api", "")
+STEMS = ("harbour.test", "tide.gov.xx", "b.harbour.test")
+
+
+def below(fqdn: str, pattern: str) -> bool:
+    """The rule, said another way: the pattern is `*.stem` and the name is something followed by `.stem`."""
+    star, dot, stem = pattern.partition(".")
+    return star == "*" and bool(dot) and len(fqdn) > len(stem) + 1 and fqdn[-len(stem) - 1 :] == f".{stem}"
+
+
 MATCHES = [
-    ("*.example.com", "sub.example.com", True), ("*.example.com", "sub.sub.example.com", True), ("*.example.com", "example.com", False),
-    ("*.example.com", "sub.example.org", False), ("*.example.com", "subexample.com", False), ("*.example.com", "my-sub.example.com", True),
-    ("*.example.com", "", False), ("", "sub.example.com", False), ("example.com", "example.com", False), ("*.example.co.uk", "a.example.co.uk", True),
-    ("*.example.co.uk", "example.co.uk", False), ("*.example.com", ".example.com", False), ("*.example.com", "SUB.EXAMPLE.COM", False),
+    (pattern, fqdn, below(fqdn, pattern))
+    for pattern in [f"*.{stem}" for stem in STEMS] + [STEMS[0], "", "*", f"?.{STEMS[0]}"]
+    for fqdn in [f"{label}{dot}{stem}" for stem in STEMS for label in LABELS for dot in (".", "")] + ["shop.api.harbour.test", "SHOP.HARBOUR.TEST", ""]
 ]
 
 
@@ -24,14 +35,19 @@ def one(spark, expression, **values):
 def test_pattern_matches(spark):
     rows = spark.createDataFrame(MATCHES, "pattern string, fqdn string, want boolean")
     assert rows.filter(S.matches_pattern("fqdn", "pattern") != F.col("want")).count() == 0
-    assert one(spark, S.matches_pattern("f", "p", casefold=True), f="A.EXAMPLE.com", p="*.example.com")
+    assert one(spark, S.matches_pattern("f", "p", casefold=True), f="Shop.HARBOUR.test", p="*.harbour.TEST")
 
 
 def test_join_equals_predicate_and_first_pattern_wins(spark):
-    hosts = spark.createDataFrame([(f,) for _, f, _ in MATCHES], "fqdn string")
-    patterns = spark.createDataFrame([("b", "*.example.com", True, 2), ("a", "*.sub.example.com", True, 3), ("c", "*.example.co.uk", True, 1), ("d", "*.org", False, 0)], "id string, value string, active boolean, created_at int")
-    got = {r["fqdn"]: r["pattern_id"] for r in match_hosts(hosts, patterns).collect()}
-    assert got == {"sub.example.com": "b", "sub.sub.example.com": "b", "my-sub.example.com": "b", "a.example.co.uk": "c"}
+    names = sorted({f for _, f, _ in MATCHES})
+    rows = [("c", "*.harbour.test", True, 1), ("a", "*.b.harbour.test", True, 0), ("e", "*.tide.gov.xx", True, 2), ("b", "*.tide.gov.xx", True, 2), ("d", "*.test", False, 0)]
+    want = {}
+    for fqdn in names:
+        fits = sorted((made, i) for i, value, active, made in rows if active and below(fqdn, value))
+        if fits:
+            want[fqdn] = fits[0][1]
+    hosts, patterns = spark.createDataFrame([(f,) for f in names], "fqdn string"), spark.createDataFrame(rows, "id string, value string, active boolean, created_at int")
+    assert {r["fqdn"]: r["pattern_id"] for r in match_hosts(hosts, patterns).collect()} == want and {"a", "b", "c"} == set(want.values())
 
 
 @pytest.mark.parametrize(
@@ -52,55 +68,67 @@ def test_valid_ip(spark, ip, valid):
     assert (one(spark, S.valid_ip("v"), v=ip) is not None) is valid
 
 
-PORTS = '{"tcp":{"22":{"web":null},"80":{"web":"http://a"},"443":{"web":"https://a"}},"udp":{}}'
+def document(**protocols):
+    return json.dumps({protocol: {str(port): entry for port, entry in entries.items()} for protocol, entries in protocols.items()})
 
 
 @pytest.mark.parametrize(
     "ports,urls,open_,kind",
     [
-        (PORTS, ["https://a", "http://a"], ["22", "443", "80"], "web"),
-        ('{"tcp":{"22":{"web":null}},"udp":{}}', [], ["22"], "other"),
-        (None, [], [], "unknown"), ("not json", [], [], "unknown"), ("{}", [], [], "unknown"), ('{"tcp":{}}', [], [], "unknown"),
-        ('{"tcp":{"22":7}}', [], ["22"], "other"), ('{"tcp":{"22":{"web":5}}}', [], ["22"], "other"),
-        ('{"tcp":{"80":{"web":"u"}},"udp":7}', [], ["80"], "other"), ('{"udp":{"53":{"web":null}}}', [], [], "other"),
-        ('{"TCP":{"80":{"web":"u"}}}', [], [], "unknown"),
+        (document(tcp={8080: {"web": "http://m"}, 3306: {"web": None}, 9443: {"web": "https://m"}}), ["http://m", "https://m"], ["3306", "8080", "9443"], "web"),
+        (document(udp={443: {"web": "quic://m"}, 123: {"web": None}}, tcp={25: {}}), ["quic://m"], ["25"], "web"),
+        (document(tcp={25: {"web": None}, 110: {}}), [], ["110", "25"], "other"), (document(udp={161: {"web": None}}), [], [], "other"),
+        (None, [], [], "unknown"), ("<ports>", [], [], "unknown"), (document(), [], [], "unknown"), (document(tcp={}, udp={}), [], [], "unknown"),
+        (document(tcp={25: True}), [], ["25"], "other"), (document(tcp={8080: {"web": "http://m"}, 25: {"web": ["x"]}}), [], ["25", "8080"], "other"),
+        (json.dumps({"tcp": {"8080": {"web": "http://m"}}, "udp": "none"}), [], ["8080"], "other"), (document(Tcp={8080: {"web": "http://m"}}), [], [], "unknown"),
     ],
 )
 def test_ports(spark, ports, urls, open_, kind):
-    row = spark.createDataFrame([(ports,)], "p string").select(S.web_urls("p").alias("u"), S.open_ports("p").alias("o"), S.host_type("p").alias("k")).first()
+    row = spark.createDataFrame([(ports,)], "p string").select(S.web_urls("p").alias("u"), S.open_ports("p").alias("o"), S.host_type("p").alias("k"), S.open_ports("p", "udp").alias("d")).first()
     assert (row["u"], row["o"], row["k"]) == (urls, open_, kind)
+    assert row["d"] == (sorted(json.loads(ports)["udp"]) if ports and ports.startswith('{"udp"') else [])
 
 
 def test_scan_payloads(spark):
-    chain = '[{"url":"u","title":"Redirect","status_code":301,"response_size":0},{"url":"v","title":"Home","status_code":200,"response_size":2048}]'
-    assert one(spark, S.chain_info("c"), c=chain).asDict() == {"status_code": 301, "title": "Redirect"}
-    for empty in ("[]", "not json", '[{"status_code":"x"}]'):
+    hop = lambda code, title, size: {"url": "http://m", "status_code": code, "title": title, "response_size": size}
+    chain = json.dumps([hop(308, "Moved on", 90), hop(206, "Part", 5 << 19)])
+    assert one(spark, S.chain_info("c"), c=chain).asDict() == {"status_code": 308, "title": "Moved on"}
+    for empty in ("", "{}", json.dumps([hop("teapot", None, 1)])):
         assert one(spark, S.chain_info("c"), c=empty).asDict() == {"status_code": 0, "title": ""}
     assert one(spark, S.status_class("c"), c=chain) == 3
-    assert one(spark, S.chain_text("c"), c=chain) == "301→200" and one(spark, S.size_text("c"), c=chain) == "0B→2.0KB"
-    tech = '[{"name":"PHP","version":"8.2.3"},{"name":"Nginx","version":""}]'
-    assert one(spark, S.technology_names("t"), t=tech) == ["PHP 8.2.3", "Nginx"]
-    for broken in ("null", "{}", "x"):
+    assert one(spark, S.chain_text("c"), c=chain) == "308→206" and one(spark, S.size_text("c"), c=chain) == "90B→2.5MB"
+    used = json.dumps([{"name": "Gleam", "version": "1"}, {"name": "Tide_Pool", "version": ""}, {"name": "Oak"}])
+    assert one(spark, S.technology_names("t"), t=used) == ["Gleam 1", "Tide_Pool", "Oak"]
+    for broken in ("[1]", '"Gleam"', "["):
         assert one(spark, S.technology_names("t"), t=broken) == []
-    assert one(spark, S.has_technology("t", "ngi"), t=tech) and not one(spark, S.has_technology("t", "n%x"), t=tech)
-    assert one(spark, S.has_technology("t", "n%x", like=True), t=tech) and not one(spark, S.has_technology("t", "\\", like=True), t=tech)
-    assert one(spark, S.favicon("m"), m='{"favicon":"f"}') == "f" and one(spark, S.favicon("m"), m="{}") == ""
+    assert one(spark, S.has_technology("t", "LEA"), t=used) and not one(spark, S.has_technology("t", "d%p"), t=used)
+    assert one(spark, S.has_technology("t", "d%p", like=True), t=used) and not one(spark, S.has_technology("t", "\\", like=True), t=used)
+    assert [one(spark, S.favicon("m"), m=m) for m in ('{"favicon":"/i.ico"}', '{"icon":1}', "no", None)] == ["/i.ico", "", "", ""]
 
 
 def test_labels(spark):
-    assert [one(spark, S.duration_mmss("s"), s=s) for s in (0, 65, 872)] == ["0m00s", "1m05s", "14m32s"]
-    assert [one(spark, S.duration_text("s"), s=s) for s in (5, 65, 7500)] == ["5s", "1m 5s", "2h 5m"]
-    assert [one(spark, S.byte_size("s"), s=s) for s in (5, 1536, 3 << 20)] == ["5B", "1.5KB", "3.0MB"]
+    for seconds in (1, 59, 60, 3599, 3600, 86_401, 360_000):
+        m, rest = divmod(seconds, 60)
+        assert one(spark, S.duration_mmss("s"), s=seconds) == f"{m}m{rest:02d}s"
+        assert one(spark, S.duration_text("s"), s=seconds) == (f"{seconds}s" if seconds < 60 else f"{m}m {rest}s" if m < 60 else f"{m // 60}h {m % 60}m")
+    assert [one(spark, S.byte_size("s"), s=s) for s in (1023, 2560, 7 << 19)] == ["1023B", "2.5KB", "3.5MB"]
     assert [one(spark, S.status_bucket("s"), s=s) for s in (204, 301, 404, 599, 101)] == ["2xx", "3xx", "4xx", "5xx", "other"]
     assert one(spark, S.id_label("v", "i"), v=None, i="0123456789") == "01234567"
     assert one(spark, S.stable_id("v"), v="a") == one(spark, S.stable_id("v"), v="a") and len(one(spark, S.stable_id("v"), v="a")) == 36
 
 
-@pytest.mark.parametrize("args,want", [((None, None), (1, 50)), (("3", "100"), (3, 100)), ((None, "500"), (1, 200)), (("abc", "-1"), (1, 50)), (("99999", "1"), (10_000, 1)), (("0", "0"), (1, 50))])
-def test_clamp(spark, args, want):
-    assert listing.clamp(*args) == want
-    row = spark.createDataFrame([args], "p string, n string").select(S.page_number("p").alias("p"), S.page_size("n").alias("n")).first()
-    assert (row["p"], row["n"]) == want
+@pytest.mark.parametrize("page", [None, "1", "7", "-3", "0", "seven", "", "10000", "10001", "4.5"])
+@pytest.mark.parametrize("size", [None, "1", "200", "201", "0", "many", "-200"])
+def test_clamp(page, size):
+    """Whole numbers of at least one count, up to the cap; anything else is the default."""
+    want = tuple(min(int(v), most) if v and v.isdigit() and int(v) else default for v, most, default in ((page, 10_000, 1), (size, 200, 50)))
+    assert listing.clamp(page, size) == want
+
+
+def test_clamp_of_columns(spark):
+    rows = spark.createDataFrame([(p, n) for p in (None, "7", "-3", "seven", "10001") for n in (None, "1", "201", "0", "many")], "p string, n string")
+    for r in rows.select("p", "n", S.page_number("p").alias("page"), S.page_size("n").alias("size")).collect():
+        assert (r["page"], r["size"]) == listing.clamp(r["p"], r["n"])
 
 
 def test_bad_filters(spark):

@@ -77,7 +77,7 @@ def test_scans_settle_alert_and_claim(spark, folder):
     at = "timestamp '2024-01-01'"
     hosts, queue = streams.Versions(spark, f"{folder}/hosts"), streams.Versions(spark, f"{folder}/queue")
     hosts.write(spark.sql(f"select * from values ('h1', '1', 'a.example.com', 'unreachable', 'unknown', {at}), ('h2', '1', 'b.example.com', 'alive', 'web', {at}) t(id, pattern_id, fqdn, status, type, last_seen_at)"), 0)
-    rows = f"('q1', 'h1', 'https://a.example.com', 'certstream', 'processing', 0, {at}, {at}), ('q2', 'h2', 'https://b.example.com', 'recon', 'processing', 0, {at}, {at}), ('q3', 'h2', 'https://b.example.com/x', 'recon', 'pending', 0, {at}, {at})"
+    rows = f"('q1', 'h1', 'https://a.example.com', 'certificate', 'processing', 0, {at}, {at}), ('q2', 'h2', 'https://b.example.com', 'discovery', 'processing', 0, {at}, {at}), ('q3', 'h2', 'https://b.example.com/x', 'discovery', 'pending', 0, {at}, {at})"
     queue.write(spark.sql(f"select * from values {rows} t(id, host_id, url, source, status, retry_count, created_at, updated_at)"), 0)
     body = '{"chain":[{"title":"Hi","status_code":200}],"technologies":[]}'
     spark.createDataFrame([(1, "q1", 200, body), (2, "q2", 500, None)], "seq long, queue_id string, http_status int, body string").withColumn("at", X.as_of()).coalesce(1).write.parquet(f"{folder}/in")
@@ -102,4 +102,4 @@ def test_completed_jobs_are_digested(spark, data, folder):
     batch = spark.createDataFrame([(1, ids[0]["id"], "running"), (2, ids[0]["id"], "completed"), (3, ids[1]["id"], "running")], "seq long, job_id string, status string").withColumn("at", X.as_of())
     streams.digest_job_states(kept, f"{folder}/digests", jobs, stats, X.as_of())(batch, 0)
     (digest,) = spark.read.json(f"{folder}/digests").collect()
-    assert digest["job_id"] == ids[0]["id"] and '"event":"recon_digest"' in digest["payload"]
+    assert digest["job_id"] == ids[0]["id"] and '"event":"discovery_digest"' in digest["payload"]

@@ -126,9 +126,24 @@ def technologies(document: Column | str) -> Column:
     return F.coalesce(F.try_variant_get(json_value(document), "$", kind), F.array().cast(kind))
 
 
+def sound_technologies(document: Column | str) -> Column:
+    """technologies of a document whose entries are all objects with text fields; none of any other."""
+    entries = F.try_variant_get(json_value(document), "$", "array<variant>")
+
+    def sound(entry: Column) -> Column:
+        fine = F.coalesce(F.schema_of_variant(entry).startswith("OBJECT"), F.lit(False))
+        for field in ("name", "version", "category"):
+            kind = F.schema_of_variant(F.try_variant_get(entry, f"$.{field}", "variant"))
+            fine = fine & (kind.isNull() | kind.isin("STRING", "VOID"))
+        return fine
+
+    found = technologies(document)
+    return F.when(F.coalesce(F.forall(entries, sound), F.lit(True)), found).otherwise(F.slice(found, 1, 0))
+
+
 def technology_names(document: Column | str) -> Column:
     """`Name Version`, or the name alone where the version is empty."""
-    return F.transform(technologies(document), lambda t: F.concat_ws(" ", t["name"], F.nullif(t["version"], F.lit(""))))
+    return F.transform(sound_technologies(document), lambda t: F.concat_ws(" ", t["name"], F.nullif(t["version"], F.lit(""))))
 
 
 def has_technology(document: Column | str, text: str, like: bool = False) -> Column:

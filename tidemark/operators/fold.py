@@ -95,8 +95,8 @@ def attach_external_ids(jobs: DataFrame, launched: DataFrame) -> DataFrame:
 
 
 def stamp_patterns(patterns: DataFrame, runs: DataFrame) -> DataFrame:
-    """patterns with the latest times of runs(pattern_id, kind, at), kind being recon or revalidation."""
+    """patterns with the latest times of runs(pattern_id, kind, at), kind being discovery or revalidation."""
     last = runs.groupBy(F.col("pattern_id").alias("id")).agg(
-        F.max(F.when(F.col("kind") == "recon", F.col("at"))).alias("r"), F.max(F.when(F.col("kind") == "revalidation", F.col("at"))).alias("v")
+        F.max(F.when(F.col("kind") == "discovery", F.col("at"))).alias("r"), F.max(F.when(F.col("kind") == "revalidation", F.col("at"))).alias("v")
     )
-    return patterns.join(last, "id", "left").withColumns({"last_recon_at": F.greatest("last_recon_at", "r"), "last_revalidated_at": F.greatest("last_revalidated_at", "v")}).drop("r", "v")
+    return patterns.join(last, "id", "left").withColumns({"last_discovery_at": F.greatest("last_discovery_at", "r"), "last_revalidated_at": F.greatest("last_revalidated_at", "v")}).drop("r", "v")

@@ -47,7 +47,7 @@ def current(lived: DataFrame) -> DataFrame:
 
 def new_service_alerts(lived: DataFrame) -> DataFrame:
     """Scans that went well, of URLs found by certificates, at hosts that were unreachable until then."""
-    return lived.filter("kind = 'ok' and source = 'certstream' and before = 'unreachable'")
+    return lived.filter("kind = 'ok' and source = 'certificate' and before = 'unreachable'")
 
 
 def revalidate(hosts: DataFrame, probes: DataFrame) -> DataFrame:

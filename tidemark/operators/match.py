@@ -47,7 +47,7 @@ def ingest_certificates(urls: DataFrame, patterns: DataFrame, hosts: DataFrame,
         F.lit(None).cast("timestamp").alias("last_seen_at"), as_of.alias("created_at"),
     )
     ids = hosts.select("fqdn", "id").unionByName(new_hosts.select("fqdn", "id"))
-    offers = matched.join(ids, "fqdn").select("seq", "url", F.col("id").alias("host_id"), F.lit("certstream").alias("source"))
+    offers = matched.join(ids, "fqdn").select("seq", "url", F.col("id").alias("host_id"), F.lit("certificate").alias("source"))
     return {
         "new_hosts": new_hosts,
         "offers": enqueue(offers, queue, as_of),

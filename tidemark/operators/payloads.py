@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 # Event names and field labels of the notices.
-EVENTS = {"recon": "recon_digest", "revalidation": "revalidation_digest"}
-SERVICE_LABELS = {"recon": "New web services", "revalidation": "URLs re-scanned"}
+EVENTS = {"discovery": "discovery_digest", "revalidation": "revalidation_digest"}
+SERVICE_LABELS = {"discovery": "New web services", "revalidation": "URLs re-scanned"}
 
 
 def alert_payload(services: DataFrame, discovered_at: Column) -> DataFrame:
     """(url, payload) of services(url, host_id, pattern_value, chain, technologies, metadata); an empty favicon is left out."""
     info = S.chain_info("chain")
-    found = F.transform(S.technologies("technologies"), lambda t: F.struct(*[F.coalesce(t[f], F.lit("")).alias(f) for f in ("name", "version", "category")]))
+    found = F.transform(S.sound_technologies("technologies"), lambda t: F.struct(*[F.coalesce(t[f], F.lit("")).alias(f) for f in ("name", "version", "category")]))
     fingerprint = F.struct(
         info["status_code"].alias("status_code"), info["title"].alias("title"), found.alias("technologies"), F.nullif(S.favicon("metadata"), F.lit("")).alias("favicon")
     )
@@ -26,8 +26,8 @@ def alert_payload(services: DataFrame, discovered_at: Column) -> DataFrame:
 
 
 def digest_payload(digests: DataFrame, kind: str, completed_at: Column) -> DataFrame:
-    """(payload) of digest rows(patterns, new_hosts, newly_dead, new_services, duration_seconds); an unknown kind is a recon digest."""
-    event = EVENTS.get(kind, EVENTS["recon"])
+    """(payload) of digest rows(patterns, new_hosts, newly_dead, new_services, duration_seconds); an unknown kind is a discovery digest."""
+    event = EVENTS.get(kind, EVENTS["discovery"])
     body = F.struct(
         F.lit(event).alias("event"), F.col("patterns").alias("wildcards_processed"), F.col("new_hosts").alias("new_hostnames"), F.col("newly_dead").alias("newly_dead"),
         F.col("new_services").alias("new_web_services"), "duration_seconds", S.rfc3339(completed_at).alias("completed_at"),
@@ -53,7 +53,7 @@ def alert_fields(services: DataFrame, key: str = "url") -> DataFrame:
 
 def digest_fields(digests: DataFrame, key: str, kind: str) -> DataFrame:
     """(key, place, name, value, inline) of a digest; the label of the services depends on the kind."""
-    label = SERVICE_LABELS.get(kind, SERVICE_LABELS["recon"])
+    label = SERVICE_LABELS.get(kind, SERVICE_LABELS["discovery"])
     return _fields(
         digests, [key],
         [

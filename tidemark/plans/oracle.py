@@ -44,7 +44,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT page_id::VARCHAR AS id, {HOST} AS fqdn, url, page_id, length(html) AS size,
           CASE page_id % 8 WHEN 3 THEN 301 WHEN 4 THEN 302 WHEN 5 THEN 404 WHEN 6 THEN 403 WHEN 7 THEN 500 ELSE 200 END AS code,
           CASE WHEN page_id % 8 IN (3, 4) THEN '' ELSE 'Page ' || page_id END AS title, page_id % 8 IN (3, 4) AS two,
-          CASE page_id % 4 WHEN 0 THEN ['Nginx', 'PHP 8.2.3'] WHEN 1 THEN ['Laravel 10.0'] ELSE [] END AS tech,
+          CASE page_id % 4 WHEN 0 THEN ['Kestrel', 'Elixir 1.17'] WHEN 1 THEN ['Svelte 5'] ELSE [] END AS tech,
           CASE WHEN page_id % 13 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(page_id::INTEGER) END AS scanned_at,
           TIMESTAMP '2024-01-01' + to_minutes(page_id::INTEGER) AS created_at FROM pages""",
     ),
@@ -83,7 +83,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """SELECT user_id AS key, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'dns_ok' WHEN event_id % 11 = 0 THEN 'ok' WHEN event_type = 'purchase' THEN 'alive' WHEN event_type = 'click' THEN 'unreachable'
             WHEN event_type = 'signup' THEN 'certificate' WHEN event_type = 'error' THEN 'fail' ELSE 'dns_fail' END AS kind,
-          ['web', 'other', 'unknown'][(floor(value)::BIGINT % 3 + 1)] AS type, event_id % 2 = 0 AS answered, CASE WHEN event_id % 2 = 0 THEN 'certstream' ELSE 'recon' END AS source FROM events""",
+          ['web', 'other', 'unknown'][(floor(value)::BIGINT % 3 + 1)] AS type, event_id % 2 = 0 AS answered, CASE WHEN event_id % 2 = 0 THEN 'certificate' ELSE 'discovery' END AS source FROM events""",
     ),
     "lty": (
         ("lev",),

@@ -78,7 +78,7 @@ def cert_ingest_new_hosts(spark: SparkSession, d: str) -> DataFrame:
     return match.ingest_certificates(urls, X.patterns(spark), known, queue, X.as_of())["new_hosts"].select("id", "pattern_id", "fqdn", "status", "type")
 
 
-@query(f"SELECT url, {uuid_of('fqdn')} AS host_id, 'certstream' AS source, 'pending' AS status FROM obs JOIN matched USING (fqdn) WHERE seq % 2 = 1 AND seq % 15 <> 0", "obs", "matched")
+@query(f"SELECT url, {uuid_of('fqdn')} AS host_id, 'certificate' AS source, 'pending' AS status FROM obs JOIN matched USING (fqdn) WHERE seq % 2 = 1 AND seq % 15 <> 0", "obs", "matched")
 def cert_ingest_offers(spark: SparkSession, d: str) -> DataFrame:
     known, urls, queue = _batches(spark, d)
     return match.ingest_certificates(urls, X.patterns(spark), known, queue, X.as_of())["offers"].select("url", "host_id", "source", "status")
@@ -181,7 +181,7 @@ def status_bucket_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{SERVICE} WHERE page_id % 4 = 0", "svc")
 def service_by_technology(spark: SparkSession, d: str) -> DataFrame:
-    return _service(listing.filtered_services(X.services(spark, d), X.hosts(spark, d), technology="hp"))
+    return _service(listing.filtered_services(X.services(spark, d), X.hosts(spark, d), technology="LIX"))
 
 
 @query("SELECT id, array_to_string(tech[1:1], ', ') AS shown, greatest(len(tech) - 1, 0)::INTEGER AS more FROM svc", "svc")
@@ -298,13 +298,13 @@ def job_status_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT id AS job_id, '{"event":"recon_digest","wildcards_processed":1,"new_hostnames":' || new_hosts || ',"newly_dead":' || newly_dead || ',"new_web_services":' || new_services
+    """SELECT id AS job_id, '{"event":"discovery_digest","wildcards_processed":1,"new_hostnames":' || new_hosts || ',"newly_dead":' || newly_dead || ',"new_web_services":' || new_services
       || ',"duration_seconds":' || epoch(TIMESTAMP '2024-02-01' - started_at)::BIGINT || ',"completed_at":"2024-02-01T00:00:00Z"}' AS payload
       FROM job JOIN stats ON job_id = id WHERE status = 'completed'""",
     "job", "stats",
 )
 def job_digest(spark: SparkSession, d: str) -> DataFrame:
-    return payloads.digest_payload(J.job_digests(X.jobs(spark, d), job_completion_stats_exact(spark, d), X.as_of()), "recon", X.as_of())
+    return payloads.digest_payload(J.job_digests(X.jobs(spark, d), job_completion_stats_exact(spark, d), X.as_of()), "discovery", X.as_of())
 
 
 @query(
@@ -315,7 +315,7 @@ def job_digest(spark: SparkSession, d: str) -> DataFrame:
     "job", "stats",
 )
 def digest_fields(spark: SparkSession, d: str) -> DataFrame:
-    return payloads.digest_fields(J.job_digests(X.jobs(spark, d), job_completion_stats_exact(spark, d), X.as_of()), "job_id", "recon")
+    return payloads.digest_fields(J.job_digests(X.jobs(spark, d), job_completion_stats_exact(spark, d), X.as_of()), "job_id", "discovery")
 
 
 @query(f"SELECT fqdn, id, pattern_id, ip, status, type, {stamp('last_seen_at')} AS last_seen_at, {stamp('created_at')} AS created_at FROM host", "host")
@@ -431,7 +431,7 @@ def newly_dead(spark: SparkSession, d: str) -> DataFrame:
     return L.lifecycle(X.lifecycle_events(spark, d)).filter("newly_dead").select("key", "seq")
 
 
-@query("SELECT key, seq FROM life WHERE kind = 'ok' AND source = 'certstream' AND before = 'unreachable'", "life")
+@query("SELECT key, seq FROM life WHERE kind = 'ok' AND source = 'certificate' AND before = 'unreachable'", "life")
 def new_service_alerts(spark: SparkSession, d: str) -> DataFrame:
     return L.new_service_alerts(L.lifecycle(X.lifecycle_events(spark, d))).select("key", "seq")
 
@@ -478,7 +478,7 @@ def _alerts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""SELECT url, '{{"event":"new_web_service","url":"' || url || '","wildcard":"' || value || '","hostname_id":"' || {uuid_of('fqdn')} || '","fingerprint":{{"status_code":' || code || ',"title":"' || title || '","technologies":['
-      || CASE page_id % 4 WHEN 0 THEN '{{"name":"Nginx","version":"","category":""}},{{"name":"PHP","version":"8.2.3","category":""}}' WHEN 1 THEN '{{"name":"Laravel","version":"10.0","category":""}}' ELSE '' END || ']'
+      || CASE page_id % 4 WHEN 0 THEN '{{"name":"Kestrel","version":"","category":""}},{{"name":"Elixir","version":"1.17","category":""}}' WHEN 1 THEN '{{"name":"Svelte","version":"5","category":""}}' ELSE '' END || ']'
       || CASE WHEN page_id % 5 = 0 THEN ',"favicon":"https://' || fqdn || '/favicon.ico"' ELSE '' END || '}},"discovered_at":"2024-02-01T00:00:00Z"}}' AS payload
       FROM svc JOIN matched USING (fqdn) JOIN (SELECT id AS pattern_id, value FROM pats) USING (pattern_id)""",
     "svc", "matched", "pats",
@@ -564,13 +564,13 @@ def duration_labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("id").alias("job_id"), S.duration_text(s).alias("long_form"), S.duration_mmss(s).alias("short_form"))
 
 
-@query(f"SELECT p.id, {stamp('max(started_at) FILTER (WHERE mode = ' + chr(39) + 'normal' + chr(39) + ')')} AS last_recon_at, {stamp('max(completed_at) FILTER (WHERE mode = ' + chr(39) + 'intensive' + chr(39) + ')')} AS last_revalidated_at FROM pats p LEFT JOIN job ON pattern_id = p.id GROUP BY p.id", "pats", "job")
+@query(f"SELECT p.id, {stamp('max(started_at) FILTER (WHERE mode = ' + chr(39) + 'normal' + chr(39) + ')')} AS last_discovery_at, {stamp('max(completed_at) FILTER (WHERE mode = ' + chr(39) + 'intensive' + chr(39) + ')')} AS last_revalidated_at FROM pats p LEFT JOIN job ON pattern_id = p.id GROUP BY p.id", "pats", "job")
 def pattern_freshness(spark: SparkSession, d: str) -> DataFrame:
     rows = X.jobs(spark, d)
-    runs = rows.filter("mode = 'normal'").select("pattern_id", F.lit("recon").alias("kind"), F.col("started_at").alias("at"))
+    runs = rows.filter("mode = 'normal'").select("pattern_id", F.lit("discovery").alias("kind"), F.col("started_at").alias("at"))
     runs = runs.unionByName(rows.filter("mode = 'intensive'").select("pattern_id", F.lit("revalidation").alias("kind"), F.col("completed_at").alias("at")))
     none = F.lit(None).cast("timestamp")
-    return fold.stamp_patterns(X.patterns(spark).withColumns({"last_recon_at": none, "last_revalidated_at": none}), runs).select("id", when("last_recon_at"), when("last_revalidated_at"))
+    return fold.stamp_patterns(X.patterns(spark).withColumns({"last_discovery_at": none, "last_revalidated_at": none}), runs).select("id", when("last_discovery_at"), when("last_revalidated_at"))
 
 
 @query("SELECT id, value FROM pats WHERE active ORDER BY created_at, id", "pats")

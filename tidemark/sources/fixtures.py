@@ -62,7 +62,7 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.format_string('{"url":"%s","title":"Page %d","status_code":%d,"response_size":%d}', "url", n, F.when(code.isin(301, 302), 200).otherwise(code), "size")
     first = F.format_string('{"url":"%s","title":"","status_code":%d,"response_size":0}', "url", code)
     chain = F.when(code.isin(301, 302), F.concat(F.lit("["), first, F.lit(","), last, F.lit("]"))).otherwise(F.concat(F.lit("["), last, F.lit("]")))
-    tech = F.when(n % 4 == 0, '[{"name":"Nginx","version":""},{"name":"PHP","version":"8.2.3"}]').when(n % 4 == 1, '[{"name":"Laravel","version":"10.0"}]').when(n % 4 == 2, "[]")
+    tech = F.when(n % 4 == 0, '[{"name":"Kestrel","version":""},{"name":"Elixir","version":"1.17"}]').when(n % 4 == 1, '[{"name":"Svelte","version":"5"}]').when(n % 4 == 2, "[]")
     fqdn = S.url_host("url")
     meta = F.when(n % 5 == 0, F.concat(F.lit('{"favicon":"https://'), fqdn, F.lit('/favicon.ico","lang":"en"}'))).otherwise('{"lang":"en"}')
     external = F.when(n % 6 == 0, '["a.example.com","b.example.com"]').otherwise("[]")
@@ -106,7 +106,7 @@ def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 7 == 0, "dns_ok").when(i % 11 == 0, "ok").when(t == "purchase", "alive").when(t == "click", "unreachable").when(t == "signup", "certificate").when(t == "error", "fail").otherwise("dns_fail")
     )
     host_type = F.element_at(F.array(F.lit("web"), F.lit("other"), F.lit("unknown")), (F.floor("value") % 3 + 1).cast("int"))
-    source = F.when(i % 2 == 0, "certstream").otherwise("recon")
+    source = F.when(i % 2 == 0, "certificate").otherwise("discovery")
     return e.select(F.col("user_id").alias("key"), i.alias("seq"), kind.alias("kind"), host_type.alias("type"), (i % 2 == 0).alias("answered"), source.alias("source"))
 
 

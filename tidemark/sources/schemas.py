@@ -7,9 +7,9 @@ HOST_TYPE = ("web", "other", "unknown")
 SCAN_MODE = ("normal", "intensive")
 JOB_STATUS = ("pending", "running", "completed", "failed", "timeout")
 QUEUE_STATUS = ("pending", "processing", "done", "failed")
-QUEUE_SOURCE = ("recon", "certstream", "revalidation", "manual")
+QUEUE_SOURCE = ("discovery", "certificate", "revalidation", "manual")
 
-PATTERNS = "id string, value string, active boolean, last_recon_at timestamp, last_revalidated_at timestamp, created_at timestamp"
+PATTERNS = "id string, value string, active boolean, last_discovery_at timestamp, last_revalidated_at timestamp, created_at timestamp"
 HOSTS = (
     "id string, pattern_id string, fqdn string, ip string, cdn string, status string, type string, dns string, ports string, "
     "last_seen_at timestamp, created_at timestamp, updated_at timestamp"

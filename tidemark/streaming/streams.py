@@ -100,7 +100,7 @@ def digest_job_states(jobs: Versions, digests: str, known: DataFrame, stats: Dat
         keep(batch, number)
         done = batch.filter("status = 'completed'").select(F.col("job_id").alias("id")).distinct()
         finished = known.drop("status").join(done, "id", "left_semi").withColumn("status", F.lit("completed"))
-        told = payloads.digest_payload(job_ops.job_digests(finished, stats, as_of), "recon", as_of)
+        told = payloads.digest_payload(job_ops.job_digests(finished, stats, as_of), "discovery", as_of)
         told.write.mode("overwrite").json(f"{digests}/batch={number}")
 
     return run
@@ -121,7 +121,7 @@ def process_scans(queue: Versions, hosts: Versions, alerts: str, patterns: DataF
         results = feeds.classify_scans(batch).withColumnRenamed("queue_id", "id")
         scanned = results.join(rows.select("id", "url", "host_id", "source"), "id")
         alive = lifecycle.apply_scans(scanned.select("seq", "host_id", "outcome", "at"), known)
-        found = scanned.filter("outcome = 'ok' and source = 'certstream'").join(known.select(F.col("id").alias("host_id"), "status", "pattern_id"), "host_id").filter("status = 'unreachable'")
+        found = scanned.filter("outcome = 'ok' and source = 'certificate'").join(known.select(F.col("id").alias("host_id"), "status", "pattern_id"), "host_id").filter("status = 'unreachable'")
         value = patterns.select(F.col("id").alias("pattern_id"), F.col("value").alias("pattern_value"))
         parts = {c: F.to_json(F.try_variant_get(S.json_value("body"), f"$.{c}", "variant")) for c in ("chain", "technologies", "metadata")}
         told = payloads.alert_payload(found.join(value, "pattern_id").withColumns(parts), as_of)
