@@ -21,7 +21,7 @@ def probability_jaccard(x, y):
     return total
 
 
-def classes(rows, threshold=0.8):
+def classes(rows, threshold=0.8, similarity=lambda x, y: max(len(x.keys() & y.keys()) / len(x.keys() | y.keys()), probability_jaccard(x, y))):
     known = {i: grams(t) for i, t in rows if t}
     parent = {i: i for i, _ in rows}
 
@@ -33,8 +33,7 @@ def classes(rows, threshold=0.8):
     for a, b in itertools.combinations(known, 2):
         x, y = known[a], known[b]
         if x and y and x.keys() & y.keys():
-            j = len(x.keys() & y.keys()) / len(x.keys() | y.keys())
-            if max(j, probability_jaccard(x, y)) >= threshold:
+            if similarity(x, y) >= threshold:
                 a, b = sorted((find(a), find(b)))
                 parent[b] = a
     return {i: find(i) for i, _ in rows}
@@ -154,7 +153,7 @@ def test_recall_of_links(spark, threshold):
     pairs = {(a, b) for a, b in itertools.combinations(sets, 2) if a // 10 == b // 10 and nd._similarity(sets[a], sets[b]) >= threshold}
     got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()}
     assert len(pairs) > 40 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
-    assert all(got[i] == want for i, want in classes(rows, threshold).items())
+    assert got == classes(rows, threshold, nd._similarity)
 
 
 def test_pairs_follow_the_documents(spark, monkeypatch):
@@ -175,5 +174,5 @@ def test_pairs_follow_the_documents(spark, monkeypatch):
             text[rng.randrange(230)] = f"own{n}x{rng.random()}"
         rows.append((n, " ".join(text)))
     got = nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["class_id"] for r in got} == classes(rows)
+    assert {r["doc_id"]: r["class_id"] for r in got} == classes(rows, similarity=nd._similarity)
     assert made[0] <= 300 and sum(made) <= 600

@@ -32,8 +32,6 @@ ESCAPE, AGREE = 3.2e-6, 0.328
 FINE_REGISTERS = 4096
 #: Sketches rule a pair out that differs in this many standard deviations more positions than a link makes them.
 DEVIATIONS = 5
-#: Rounds in which documents meet one member of another component, before all that is still apart is compared.
-ROUNDS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -224,8 +222,11 @@ def fine_sketches(texts: DataFrame, k: int = SHINGLE, size: int = FINE_REGISTERS
     return texts.mapInPandas(run, "id long, fine array<long>, fine_plain array<long>")
 
 
-def differing(left: Column | str, right: Column | str, words: range, planes: int = 1) -> Column:
+def differing(left: Column, right: Column, words: range, planes: int = 1) -> Column:
     """In how many positions two sketches of packed bits differ; `planes` bits, one after the other, make a position."""
+    if planes == 1:
+        apart = F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"))
+        return F.aggregate(apart, F.lit(0), lambda total, n: total + n)
     total = F.lit(0)
     for i in words:
         apart = None
@@ -243,38 +244,41 @@ def _torn(crowd: DataFrame, comp: DataFrame) -> DataFrame:
     main is the bucket's largest component and one of its members, picked by a hash. Members are counted by
     bucket and component before they meet, so that a large bucket is never gathered in one task.
     """
-    placed = cut(crowd.join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp")))
+    placed = cut(crowd.join(comp, "id").select("bucket", "id", "comp"))
     parts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("bucket", "id")).alias("one"))
     largest = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by(F.struct(F.col("comp").alias("main"), "one"), F.struct("n", "comp")).alias("best"))
-    return placed.join(cut(largest.filter("parts > 1").select("bucket", "best.*")), "bucket")
+    return placed.join(largest.filter("parts > 1").select("bucket", "best.*"), "bucket")
 
 
 def _ordered(left: str, right: str) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def _apart(size: int, threshold: float) -> Callable[[Callable[[str], Column], Callable[[str], Column]], Column]:
-    """A function of two sides' sketch columns: in how many positions they differ, by weight or by set, whichever is less; null beyond the limit."""
-    words, limit = range(-(-size // 64)), sketch_limit(size, 2, threshold)
+def _distance(size: int, left: Callable[[str], Column], right: Callable[[str], Column]) -> Column:
+    """In how many positions the sketches of two sides differ, by weight or by set, whichever is less."""
+    words = range(-(-size // 64))
+    whole = [F.coalesce(side("plain"), side("sketch")) for side in (left, right)]
+    by_set = F.when(left("plain").isNotNull() | right("plain").isNotNull(), differing(*whole, words, 2))
+    return F.least(differing(left("sketch"), right("sketch"), words, 2), by_set)
 
-    def distance(left: Callable[[str], Column], right: Callable[[str], Column]) -> Column:
-        by_weight = differing(left("sketch"), right("sketch"), words, 2)
-        whole = [F.coalesce(side("plain"), side("sketch")) for side in (left, right)]
-        by_set = F.when(left("plain").isNotNull() | right("plain").isNotNull(), differing(*whole, words, 2))
-        least = F.least(by_weight, by_set)
-        return F.when(least <= limit, least)
 
-    return distance
+def _roots(tree: DataFrame) -> DataFrame:
+    """(id, comp) of a forest (id, comp) in which comp is the id's parent, roots being their own: comp becomes the root."""
+    tree = cut(tree)
+    while True:
+        up = tree.select(F.col("id").alias("comp"), F.col("comp").alias("above"))
+        new = cut(tree.join(up, "comp").select("id", "comp", "above"))
+        tree = new.select("id", F.col("above").alias("comp"))
+        if new.filter("comp <> above").isEmpty():
+            return tree
 
 
 def _joined_to(comp: DataFrame, links: DataFrame) -> DataFrame:
     """The components (id, comp) after further links (a, b), worked out between components only."""
-    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    known = cut(comp.union(ends.join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))))
-    left, right = (known.select(F.col("id").alias(side), F.col("comp").alias(f"{side}_comp")) for side in ("a", "b"))
+    left, right = (comp.select(F.col("id").alias(side), F.col("comp").alias(f"{side}_comp")) for side in ("a", "b"))
     merged = links.join(left, "a").join(right, "b").filter("a_comp <> b_comp").select(*_ordered("a_comp", "b_comp")).distinct()
     new = components(merged).select(F.col("id").alias("comp"), F.col("comp").alias("new"))
-    return cut(known.join(new, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")))
+    return cut(comp.join(new, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")))
 
 
 def near_duplicate_classes(
@@ -291,8 +295,8 @@ def near_duplicate_classes(
     Classes are the connected components of the verified links among the candidates of the banding, whose
     bands and rows follow from the threshold unless given. Copies of a text are folded into one
     representative by digest. Every document first meets one centre: the least id of most of its buckets. Those whose
-    buckets then hold other components meet the most similar of the members that stand for those, by their
-    sketches; both rounds make as many pairs as there are documents in buckets at most. What is still apart
+    buckets then hold other components meet, of the members that stand for those, the most similar one by their
+    sketches: a pair for each document, and one for each document and component. What is still apart
     is compared with all members of its buckets' other components whose sketches agree as far as a link
     makes them, so that no link is left out.
     Null and word-free texts are classes of their own. Rows with a null id are dropped, repeated rows of one
@@ -309,56 +313,46 @@ def near_duplicate_classes(
     entry = single.select("id", F.explode("buckets").alias("bucket"))
     centres = entry.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket", "low")
     crowd = cut(entry.join(centres, "bucket").select("bucket", "id", "low"))
-    texts = docs.join(crowd.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    votes = crowd.groupBy("id", "low").agg(F.count(F.lit(1)).alias("n"))
+    star = cut(votes.groupBy("id").agg(F.max_by("low", F.when(F.col("id") != F.col("low"), F.struct("n", -F.col("low")))).alias("low")))
+    texts = docs.join(star, "id", "left_semi").dropDuplicates(["id"])
     pool = written(texts.join(single.select("id", "sketch", "plain").dropDuplicates(["id"]), "id"))
-    distance = _apart(size, threshold)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """pairs with `apart`, without those whose sketches rule a link out."""
-        for side in ("a", "b"):
-            pairs = pairs.join(pool.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("plain").alias(f"plain_{side}")), side)
-        apart = distance(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))
-        return pairs.withColumn("apart", apart).drop("sketch_a", "sketch_b", "plain_a", "plain_b").filter("apart is not null")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return cut(verified(cut(pairs.select("a", "b").distinct()), pool, k))
+        return cut(verified(pairs, pool, k))
 
     def linked(pairs: DataFrame) -> DataFrame:
         return pairs.filter(F.col("sim") >= threshold).select("a", "b")
 
-    votes = crowd.filter("id <> low").groupBy("id", "low").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("low"))
-    seen = verify(near(votes.select(F.col("low").alias("a"), F.col("id").alias("b"))))
-    comp = components(linked(seen))
-    for _ in range(ROUNDS):
-        stray = _torn(crowd, comp).filter("comp <> main").select("id", "main", *_ordered("id", "one")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        best = near(stray).groupBy("id", "main").agg(F.min(F.struct("apart", "a", "b")).alias("best"))
-        fresh = verify(best.select("best.a", "best.b"))
-        found = linked(fresh)
-        if found.isEmpty():
-            break
-        seen = seen.union(fresh)
-        comp = _joined_to(comp, found)
+    def near(pairs: DataFrame) -> DataFrame:
+        """pairs with `apart`, without those whose sketches rule a link out."""
+        for side in ("a", "b"):
+            pairs = pairs.join(pool.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}"), F.col("plain").alias(f"plain_{side}")), side)
+        apart = _distance(size, lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))
+        return pairs.withColumn("apart", apart).drop("sketch_a", "sketch_b", "plain_a", "plain_b").filter(F.col("apart") <= limit)
+
+    limit, fine_limit = sketch_limit(size, 2, threshold), sketch_limit(FINE_REGISTERS, 1, threshold)
+    seen = verify(star.filter("low is not null").select(F.col("low").alias("a"), F.col("id").alias("b")))
+    parent = linked(seen).select(F.col("b").alias("id"), F.col("a").alias("comp"))
+    comp = _roots(star.select("id").join(parent, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+    stray = _torn(crowd, comp).filter("comp <> main").select("id", "main", *_ordered("id", "one")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    best = near(stray).groupBy("id", "main").agg(F.min(F.struct("apart", "a", "b")).alias("best"))
+    second = verify(best.select("best.a", "best.b").distinct())
+    if not linked(second).isEmpty():
+        comp = _joined_to(comp, linked(second))
     left = cut(_torn(crowd, comp).select("bucket", "id", "comp"))
-    fine = fine_sketches(pool.join(left.select("id").distinct(), "id", "left_semi").select("id", "text"), k)
-    rest = cut(left.join(pool.select("id", "sketch", "plain"), "id").join(fine, "id"))
-    limit, words = sketch_limit(FINE_REGISTERS, 1, threshold), range(FINE_REGISTERS // 64)
-
-    def side(name: str) -> Callable[[str], Column]:
-        return lambda c: F.col(f"{name}.{c}")
-
-    p, q = side("p"), side("q")
-    whole = [F.coalesce(s("fine_plain"), s("fine")) for s in (p, q)]
-    finely = (differing(p("fine"), q("fine"), words) <= limit) | ((p("plain").isNotNull() | q("plain").isNotNull()) & (differing(*whole, words) <= limit))
-    cross = (
-        rest.alias("p")
-        .join(rest.alias("q"), (p("bucket") == q("bucket")) & (p("comp") < q("comp")) & distance(p, q).isNotNull() & finely)
-        .select(*_ordered("p.id", "q.id"))
-        .distinct()
-        .join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    found = linked(verify(cross))
-    if not found.isEmpty():
-        comp = _joined_to(comp, found)
+    if not left.isEmpty():
+        fine = fine_sketches(pool.join(left.select("id").distinct(), "id", "left_semi").select("id", "text"), k)
+        rest = cut(left.join(pool.select("id", "sketch", "plain"), "id").join(fine, "id"))
+        p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
+        whole = [F.coalesce(side("fine_plain"), side("fine")) for side in (p, q)]
+        words = range(FINE_REGISTERS // 64)
+        by_set = (p("plain").isNotNull() | q("plain").isNotNull()) & (differing(*whole, words) <= fine_limit)
+        agree = (_distance(size, p, q) <= limit) & ((differing(p("fine"), q("fine"), words) <= fine_limit) | by_set)
+        cross = rest.alias("p").join(rest.alias("q"), (p("bucket") == q("bucket")) & (p("comp") < q("comp")) & agree).select(*_ordered("p.id", "q.id")).distinct()
+        found = linked(verify(cross.join(seen.union(second).select("a", "b"), ["a", "b"], "left_anti")))
+        if not found.isEmpty():
+            comp = _joined_to(comp, found)
     classes = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("class_id")).dropDuplicates(["id"])
     return docs.select("id").distinct().join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
 
