@@ -52,3 +52,34 @@ def test_odd_rows(odd, none, library):
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(bb, "REMEMBERED", 50)
     check([f"word{i} other{i * 7} third" for i in range(200)], library)
+
+
+def test_both_contractions_are_the_leftmost_pair(library):
+    """The proof's condition holds for both rank files, and the queries agree on pieces of all kinds."""
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
+        assert bb._Vocabulary(public_tokenizers.path(name)).ordered()
+    words, rng = bb.vocabulary(bb.default_ranks()), random.Random(5)
+    pieces = ["".join(rng.choice(a) for _ in range(rng.randint(1, 200))).encode() for a in ("ab", "aeinst", "= -", "the ", "etaoinshrdlu", "é日a") for _ in range(40)]
+    pieces += [b"-" * n for n in range(1, 60)]
+    pieces = [p for p in pieces if len(p) <= 255]
+    size = np.array([len(p) for p in pieces])
+    one, all_ = words._fixpoint(pieces, size, True), words._fixpoint(pieces, size, False)
+    assert (one[0] == all_[0]).all() and (one[1] == all_[1]).all()
+
+
+def test_equal_hashes_of_different_pieces(library, monkeypatch):
+    """Thue-Morse words collide in polynomial hashes modulo 2**64; so does everything under a poor hash."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    check([word, word.translate(str.maketrans("ab", "ba")), f"x {word}"], library)
+    bb.vocabulary(bb.default_ranks()).forget()
+    monkeypatch.setattr(bb.tk, "hash_spans", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    check(["one two six ten", "six two one ten one", "can cat car"], library)
+    check(["cat dog one"], library)
+    bb.vocabulary(bb.default_ranks()).forget()
+
+
+def test_a_long_piece(library):
+    rng = random.Random(7)
+    check(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "=" * 30_000, "ab" * 5000], library)

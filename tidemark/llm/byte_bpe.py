@@ -4,6 +4,14 @@ Texts are split into pieces by the vocabulary's pattern, worked out over whole a
 Pieces that a worker has not met before become token-position rows; a recursive query joins them with
 the merge table and contracts the leftmost pair of least rank of every piece until none is left.
 Decoding joins a document's ids with the vocabulary and gathers the bytes by an ordered aggregation.
+
+Two queries contract. That for short pieces takes the leftmost pair of least rank in every round; that for
+long ones takes, in one round, all the pairs that the former would take in a row, from the left. These are
+all pairs of the round's least rank, so both give the same tokens: `ordered` says of a rank file that every
+token, encoded alone, is put together by merges of lower ranks. Then a pair (x, y) of tokens that lie side by
+side in a piece never has a rank below that of x or y: no merge has crossed the ends of x + y so far, so
+these bytes went the way that they go alone, and would be one token before a merge of a higher rank. So a
+merge of rank r brings up pairs of ranks above r only, and all pairs of rank r, from the left, come first.
 """
 
 from __future__ import annotations
@@ -23,11 +31,13 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .tables import bounded_batches
 
-#: Pieces up to this many bytes contract one pair a round; longer ones all pairs of the least rank.
-SHORT_BYTES, SHORT_BATCH = 48, 2_000
-#: Pieces that a worker remembers; the memory starts anew beyond.
-REMEMBERED = 1_500_000
+#: Pieces up to this many bytes contract one pair a round, so many of them at once; longer ones all pairs of the least rank.
+SHORT_BYTES, SHORT_BATCH, LONG_BATCH = 48, 2_000, 200
+#: Pieces that a worker remembers, and the bytes of one; the memory starts anew beyond the former.
+REMEMBERED, REMEMBERED_BYTES = 1_500_000, 1024
 DECODE_TOKENS = 100_000
+#: Memory of the queries; a batch of long pieces has as much more as its bytes need.
+MEMORY_MB, LONG_PIECE_BYTES = 150, 1500
 
 # Rows of all rounds; a piece's rows of its last round are its tokens. k is piece << 8 | position.
 _CONTRACT_ONE = """
@@ -43,26 +53,21 @@ WITH RECURSIVE s(k, tok, it) AS (
 )
 SELECT k, tok, it FROM s
 """
-# A run of overlapping pairs is contracted from its left end, every second pair.
+# Rows are a linked list: k is piece << 32 | position, nx the k of the next token. Rounds write the rows that change
+# alone. A run of overlapping pairs is contracted from its left end, every second pair.
 _CONTRACT_ALL = """
-WITH RECURSIVE s(w, pos, tok, it) USING KEY (w, pos) AS (
-  SELECT w, pos, tok, 0 FROM pieces
-  UNION ALL
-  SELECT w, row_number() OVER (PARTITION BY w ORDER BY pos) - 1, tok, it + 1
-  FROM (
-    SELECT s.w, s.pos, coalesce(c.id, s.tok) AS tok, s.it, c.left_end, max(c.id) OVER (PARTITION BY s.w) AS any_id,
-           lag(c.id) OVER (PARTITION BY s.w ORDER BY s.pos) AS before
-    FROM s LEFT JOIN (
-      SELECT w, pos, id, 1 AS left_end FROM (
-        SELECT w, pos, id, row_number() OVER (PARTITION BY w, pos - rn ORDER BY pos) AS k FROM (
-          SELECT w, pos, id, row_number() OVER (PARTITION BY w ORDER BY pos) AS rn FROM (
-            SELECT a.w, a.pos, m.id, min(m.id) OVER (PARTITION BY a.w) AS best
-            FROM s a JOIN s n ON n.w = a.w AND n.pos = a.pos + 1 JOIN merges m ON m.pair = ((a.tok << 32) | n.tok))
-          WHERE id = best))
-      WHERE k % 2 = 1) c ON c.w = s.w AND c.pos = s.pos)
-  WHERE any_id IS NOT NULL AND before IS NULL
+WITH RECURSIVE s(k, nx, tok) USING KEY (k) AS (
+  SELECT k, nx, tok FROM pieces
+  UNION
+  (WITH p AS (
+     SELECT a.k, n.k AS mate, n.nx AS after, m.id FROM recurring.s a JOIN recurring.s n ON n.k = a.nx JOIN merges m ON m.pair = ((a.tok << 32) | n.tok)
+   ), b AS (SELECT k >> 32 AS w, min(id) AS id FROM p GROUP BY 1
+   ), c AS (SELECT p.k, mate, after, p.id, lag(mate) OVER (ORDER BY p.k) IS DISTINCT FROM p.k AS starts FROM p JOIN b ON p.id = b.id AND p.k >> 32 = b.w
+   ), r AS (SELECT *, sum(starts::INT) OVER (ORDER BY k) AS run FROM c
+   ), t AS MATERIALIZED (SELECT k, mate, after, id FROM r QUALIFY row_number() OVER (PARTITION BY run ORDER BY k) % 2 = 1)
+   SELECT k, after, id FROM t UNION ALL SELECT mate, -2::BIGINT, -1::BIGINT FROM t)
 )
-SELECT w, pos, tok FROM s QUALIFY it = max(it) OVER (PARTITION BY w) ORDER BY w, pos
+SELECT k, tok FROM s WHERE tok >= 0 ORDER BY k
 """
 _DECODE = "SELECT doc, array_to_string(list(piece ORDER BY pos), '') AS text FROM tokens JOIN vocab USING (tok) GROUP BY doc ORDER BY doc"
 
@@ -125,6 +130,20 @@ def split_pieces(points: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> t
     return s[order], e[order]
 
 
+def _equal(left: np.ndarray, begin: np.ndarray, end: np.ndarray, right: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which spans of left have the bytes of their spans of right."""
+    size = end - begin
+    same = size == last - first
+    size = np.where(same, size, 0)
+    base = np.cumsum(size) - size
+    step = np.arange(int(size.sum()))
+    apart = left[step + np.repeat(begin - base, size)] != right[step + np.repeat(first - base, size)]
+    which = np.flatnonzero(apart)
+    if len(which):
+        same[np.searchsorted(base, which, side="right") - 1] = False
+    return same
+
+
 class _Vocabulary:
     """The merge table and vocabulary of one rank file in a DuckDB connection, with remembered pieces."""
 
@@ -134,7 +153,7 @@ class _Vocabulary:
         self.rank = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.byte_rank = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
         merges = [(self.rank[t[:i]] << 32 | self.rank[t[i:]], r) for t, r in self.rank.items() for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         table = pa.table({"pair": pa.array([m[0] for m in merges], pa.int64()), "id": pa.array([m[1] for m in merges], pa.int64())})
         vocab = pa.table({"tok": pa.array(list(self.rank.values()), pa.int64()), "piece": [t.decode("latin-1") for t in self.rank]})
         self.db.register("merges_in", table)
@@ -143,7 +162,27 @@ class _Vocabulary:
         self.classes = _classes()
         self.forget()
 
+    def ordered(self) -> bool:
+        """Whether every token of more than one byte, encoded alone, ends with its own merge after merges of lower ranks only."""
+        tokens = [t for t in self.rank if len(t) > 1]
+        rank = np.array([self.rank[t] for t in tokens])
+        for first in range(0, len(tokens), SHORT_BATCH):
+            some = tokens[first : first + SHORT_BATCH]
+            rows = self._contract_one(some, np.fromiter(map(len, some), dtype=np.int64))
+            # a piece's rows of each round: its tokens are merges that were made by then
+            which, made = rows["k"] >> 8, rows["tok"]
+            last = np.zeros(len(some), dtype=rows["it"].dtype)
+            np.maximum.at(last, which, rows["it"])
+            final = rows["it"] == last[which]
+            mine = rank[first : first + SHORT_BATCH]
+            merged = ~np.isin(made, self.byte_rank)
+            if (np.bincount(which[final], minlength=len(some)) != 1).any() or (made[final] != mine[which[final]]).any() or (made[merged & ~final] >= mine[which[merged & ~final]]).any():
+                return False
+        return True
+
     def forget(self) -> None:
+        self.held = np.zeros(0, dtype=np.uint8)
+        self.held_at = np.zeros(1, dtype=np.int64)
         self.known = np.zeros(0, dtype=np.uint64)
         self.slot = np.zeros(0, dtype=np.int64)
         self.offsets = np.zeros(1, dtype=np.int64)
@@ -155,7 +194,7 @@ class _Vocabulary:
         size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         counts = np.ones(len(pieces), dtype=np.int64)
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        for short, batch in ((True, SHORT_BATCH), (False, 200)):
+        for short, batch in ((True, SHORT_BATCH), (False, LONG_BATCH)):
             wanted = np.flatnonzero((whole < 0) & ((size <= SHORT_BYTES) == short))
             for first in range(0, len(wanted), batch):
                 some = wanted[first : first + batch]
@@ -170,26 +209,81 @@ class _Vocabulary:
             flat[np.repeat(at[some] - (np.cumsum(per) - per), per) + np.arange(len(tokens))] = tokens
         return flat, counts
 
-    def _fixpoint(self, pieces: list[bytes], size: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of pieces by the recursive query, one after the other, and how many each has."""
+    def _contract_one(self, pieces: list[bytes], size: np.ndarray) -> dict[str, np.ndarray]:
         data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         which = np.repeat(np.arange(len(pieces)), size)
         place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-        if short:
-            rows = pa.table({"k": which << 8 | place, "tok": self.byte_rank[data]})
-        else:
-            rows = pa.table({"w": which, "pos": place, "tok": self.byte_rank[data]})
+        return self._run(_CONTRACT_ONE, pa.table({"k": which << 8 | place, "tok": self.byte_rank[data]}))
+
+    def _run(self, query: str, rows: pa.Table) -> dict[str, np.ndarray]:
         self.db.register("pieces", rows)
-        out = self.db.execute(_CONTRACT_ONE if short else _CONTRACT_ALL).fetchnumpy()
+        out = self.db.execute(query).fetchnumpy()
         self.db.unregister("pieces")
+        return out
+
+    def _fixpoint(self, pieces: list[bytes], size: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of pieces by the recursive query, one after the other, and how many each has."""
         if not short:
-            return out["tok"], np.bincount(out["w"], minlength=len(pieces))
+            data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+            which = np.repeat(np.arange(len(pieces)), size)
+            end = np.repeat(np.cumsum(size), size)
+            place = np.arange(len(data)) - end + np.repeat(size, size)
+            k = which << 32 | place
+            self.db.execute(f"SET memory_limit = '{MEMORY_MB + (len(data) * LONG_PIECE_BYTES >> 20)}MB'")
+            out = self._run(_CONTRACT_ALL, pa.table({"k": k, "nx": np.where(np.arange(len(data)) + 1 == end, -1, k + 1), "tok": self.byte_rank[data]}))
+            return out["tok"], np.bincount(out["k"] >> 32, minlength=len(pieces))
+        out = self._contract_one(pieces, size)
         which, last = out["k"] >> 8, np.zeros(len(pieces), dtype=out["it"].dtype)
         np.maximum.at(last, which, out["it"])
         final = np.flatnonzero(out["it"] == last[which])
         final = final[np.argsort(out["k"][final])]
         return out["tok"][final], np.bincount(which[final], minlength=len(pieces))
 
+    def _slots(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The place of each piece's tokens in the memory, which new pieces enter.
+
+        Pieces are looked up by a hash, and every piece's bytes are compared with those that the memory
+        has under it: where they differ, the piece is contracted by itself. So are pieces too long to keep.
+        """
+        key = tk.hash_spans(data, begin, stop)
+        distinct, where, inverse = np.unique(key, return_index=True, return_inverse=True)
+        odd = ~_equal(data, begin, stop, data, begin[where][inverse], stop[where][inverse])
+        short = (stop - begin)[where] <= REMEMBERED_BYTES
+        if len(self.known) + len(distinct) > REMEMBERED:
+            self.forget()
+        place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
+        old = self.known[place] == distinct if len(self.known) else np.zeros(len(distinct), dtype=bool)
+        slot_of = np.full(len(distinct), -1, dtype=np.int64)
+        if old.any():
+            at = np.flatnonzero(old)
+            slot = self.slot[place[at]]
+            same = _equal(data, begin[where[at]], stop[where[at]], self.held, self.held_at[slot], self.held_at[slot + 1])
+            slot_of[at[same]] = slot[same]
+        fresh = np.flatnonzero(~old & short)
+        view = data.tobytes()
+        if len(fresh):
+            pieces = [view[begin[i] : stop[i]] for i in where[fresh]]
+            slot_of[fresh] = self._add(pieces)
+            into = np.searchsorted(self.known, distinct[fresh])
+            self.known, self.slot = np.insert(self.known, into, distinct[fresh]), np.insert(self.slot, into, slot_of[fresh])
+        slots = np.where(odd, -1, slot_of[inverse])
+        rest = np.flatnonzero(slots < 0)
+        if len(rest):
+            mine = [view[begin[i] : stop[i]] for i in rest]
+            alone = dict(zip(unique := list(dict.fromkeys(mine)), self._add(unique).tolist(), strict=True))
+            slots[rest] = [alone[p] for p in mine]
+        return slots
+
+    def _add(self, pieces: list[bytes]) -> np.ndarray:
+        """Contracts pieces and keeps their bytes and tokens; returns their slots."""
+        ids, counts = self.contract(pieces)
+        slots = len(self.offsets) - 1 + np.arange(len(pieces))
+        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(counts)))
+        self.ids = np.concatenate((self.ids, ids))
+        self.held = np.concatenate((self.held, np.frombuffer(b"".join(pieces), dtype=np.uint8)))
+        self.held_at = np.concatenate((self.held_at, self.held_at[-1] + np.cumsum([len(p) for p in pieces])))
+        return slots
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
@@ -203,26 +297,14 @@ class _Vocabulary:
             at = np.concatenate(([0], np.cumsum(width)))
             data = np.frombuffer(b"".join(parts), dtype=np.uint8)
             begin, stop = at[starts], at[ends]
-            key = tk.hash_spans(data, begin, stop)
-            distinct, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-            if len(self.known) + len(distinct) > REMEMBERED:
-                self.forget()
-            place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-            fresh = np.flatnonzero(self.known[place] != distinct) if len(self.known) else np.arange(len(distinct))
-            if len(fresh):
-                view = data.tobytes()
-                ids, counts = self.contract([view[begin[i] : stop[i]] for i in where[fresh]])
-                slots = len(self.offsets) - 1 + np.arange(len(fresh))
-                self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(counts)))
-                self.ids = np.concatenate((self.ids, ids))
-                into = np.searchsorted(self.known, distinct[fresh])
-                self.known, self.slot = np.insert(self.known, into, distinct[fresh]), np.insert(self.slot, into, slots)
-            slot = self.slot[np.searchsorted(self.known, distinct)][inverse]
+            slot = self._slots(data, begin, stop)
             size = self.offsets[slot + 1] - self.offsets[slot]
             base = np.concatenate(([0], np.cumsum(size)))
             tokens = self.ids[np.arange(base[-1]) + np.repeat(self.offsets[slot] - base[:-1], size)]
             last = base[np.searchsorted(starts, text_ends)]
             out += [tokens[a:b].astype("<u4").tobytes() for a, b in zip([0, *last[:-1]], last, strict=True)]
+            if len(self.held) > REMEMBERED * 16:
+                self.forget()
         return out
 
     def decode(self, texts: list[bytes]) -> list[bytes]:
