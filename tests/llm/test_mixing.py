@@ -13,7 +13,8 @@ def test_raking_meets_the_targets(spark):
     cells = spark.createDataFrame([("a", "x", "t", 70.0), ("a", "y", "t", 10.0), ("b", "x", "t", 15.0), ("b", "y", "u", 5.0), ("a", "x", "u", 20.0)], "source string, lang string, topic string, tokens double")
     share = lambda name, rows: spark.createDataFrame(rows, f"{name} string, share double")
     targets = {"source": share("source", [("a", 0.6), ("b", 0.4)]), "lang": share("lang", [("x", 0.7), ("y", 0.3)]), "topic": share("topic", [("t", 0.75), ("u", 0.25)])}
-    raked = mixing.rake(cells, targets, 60)
+    raked, residual = mixing.rake(cells, targets)
+    assert residual <= mixing.RESIDUAL
     for name, want in (("source", {"a": 0.6, "b": 0.4}), ("lang", {"x": 0.7, "y": 0.3}), ("topic", {"t": 0.75, "u": 0.25})):
         got = {r[name]: r["w"] for r in raked.groupBy(name).agg(F.sum("weight").alias("w")).collect()}
         assert got == pytest.approx(want, abs=1e-6)
@@ -34,3 +35,17 @@ def test_odd_rows(odd, none):
     kept = mixing.sampled_documents(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id = 1").count() in (0, 2)
     assert mixing.mix(none).count() == 0
+
+
+def test_contradicting_targets_end_with_their_residual(spark, caplog):
+    cells = spark.createDataFrame([("a", "x", 5.0), ("b", "y", 5.0)], "source string, lang string, tokens double")
+    targets = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1), ("none", 0.5)], "source string, share double"), "lang": spark.createDataFrame([("x", 0.2), ("y", 0.8)], "lang string, share double")}
+    raked, residual = mixing.rake(cells, targets, most_rounds=3)
+    assert residual > 0.5 and "raking ended" in caplog.text and raked.count() == 2
+
+
+def test_columns_named_like_its_own(spark, odd):
+    df = odd.withColumnsRenamed({"id": "mix_cell", "bucket": "mix_rate", "score": "__source"}).withColumn("mix_tokens", F.lit(7))
+    kept = mixing.sampled_documents(df)
+    assert kept.columns == df.columns and kept.filter("mix_tokens <> 7").count() == 0
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in df.collect()}

@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, duck, data):
 def test_statistics(spark, odd):
     texts = [r["text"] for r in odd.collect()] + ["a b c d e f g h " * 2, "a " * 9, "a " * 8, "x\n\nx\n \ny\nx", "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 0 2 3 4 5 6 7 8 9", "#$ <a> \x0b é"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source")
-    got = {r["id"]: tuple(r)[2:] for r in qr.text_statistics(df).collect()}
+    got = {r["id"]: tuple(r)[2:] for r in qr.text_statistics(df).drop("n_lines").collect()}
     assert got == {i: statistics(t) for i, t in enumerate(texts)}
 
 
@@ -40,3 +40,15 @@ def test_odd_rows(odd, none):
     got = qr.judge(odd).collect()
     assert len(got) == odd.count() and all(r["kept"] is not None for r in got)
     assert qr.judge(none).count() == 0
+
+
+def test_hosts_of_one_document_tell_nothing(spark):
+    """Rates of 0 and 1 that are mere draws shrink to the common rate, so that no host is judged by its one document."""
+    good, bad = " ".join(f"w{i}" for i in range(40)), "short"
+    df = spark.createDataFrame([(i, bad if i % 10 < 4 else good, f"h{i}") for i in range(300)], "doc_id long, text string, source string")
+    got = qr.judge(df).collect()
+    assert all(abs(r["rate_short"] - 0.4) < 0.01 and not r["host_failed"] for r in got)
+    # beside two large hosts that do differ, most of a single document's rate is noise still
+    more = df.unionByName(spark.createDataFrame([(1000 + i, bad if i % 100 < 30 + 20 * (i % 2) else good, f"g{i % 2}") for i in range(2000)], df.schema))
+    rates = {r["doc_id"]: r["rate_short"] for r in qr.judge(more).collect()}
+    assert 0.25 < rates[5] < rates[0] < 0.6

@@ -34,7 +34,7 @@ from .tables import bounded_batches
 #: Pieces up to this many bytes contract one pair a round, so many of them at once; longer ones all pairs of the least rank.
 SHORT_BYTES, SHORT_BATCH, LONG_BATCH = 48, 2_000, 200
 #: Pieces that a worker remembers, and the bytes of one; the memory starts anew beyond the former.
-REMEMBERED, REMEMBERED_BYTES = 1_500_000, 1024
+REMEMBERED, REMEMBERED_BYTES = 500_000, 1024
 DECODE_TOKENS = 100_000
 #: Memory of the queries; a batch of long pieces has as much more as its bytes need.
 MEMORY_MB, LONG_PIECE_BYTES = 150, 1500

@@ -1,20 +1,28 @@
 """Mixing of sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Tokens are summed by cell (source, language, topic). The cells' weights are raked in turn to the target
-marginals of each dimension until all hold; a cell's weight over its tokens, scaled so that the greatest is
-one, is the probability with which each of its documents is sampled, by a hash of its id.
+marginals of each dimension, until a round finds no marginal further from its target than a stated residual;
+a cell's weight over its tokens, scaled so that the greatest is one, is the probability with which each of
+its documents is sampled, by a hash of its id. No document counts twice, so the cell that is furthest
+below its target sets how much of the others stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import logging
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, unused_name
 
-DIMENSIONS, ROUNDS, SEED = ("source", "lang", "topic"), 12, "mix-1"
-#: Up to this many cells are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_CELLS = 50_000
+DIMENSIONS, SEED = ("source", "lang", "topic"), "mix-1"
+#: Raking ends when a round finds every marginal this close to its target. Targets that contradict each other never
+#: hold together: it then ends when a round lessens the residual by a hundredth no more, or after so many rounds,
+#: with a warning that tells the residual.
+RESIDUAL, STALLED, MOST_ROUNDS = 1e-6, 0.99, 50
+#: Up to this many cells, or values of a dimension, are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
 #: Default targets: a dimension's natural token shares to this power, scaled to sum to one.
 TEMPERS = {"source": 0.95, "lang": 0.95, "topic": 1.0}
 
@@ -31,17 +39,17 @@ def default_topic(text: Column, n_tokens: Column) -> Column:
     return F.when(n_tokens < 50, "note").when(breaks * 40 > n_tokens, "listing").otherwise("prose")
 
 
-def with_measures(documents: DataFrame, text_col: str, source_col: str, lang_col: str) -> DataFrame:
-    """documents with __source, __lang, __n_tokens and __topic; null sources and languages are a value of their own, written `?`."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    known = {"__source": F.coalesce(F.col(source_col), F.lit("?")), "__lang": F.coalesce(F.col(lang_col), F.lit("?")), "__n_tokens": token_count(text)}
-    return documents.withColumns(known).withColumn("__topic", default_topic(text, F.col("__n_tokens")))
+def cell(text: Column, source: Column, lang: Column) -> Column:
+    """struct(source, lang, topic); null sources and languages are a value of their own, written `?`."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.coalesce(source.cast("string"), F.lit("?")).alias("source"), F.coalesce(lang.cast("string"), F.lit("?")).alias("lang"), default_topic(text, token_count(text)).alias("topic"))
 
 
 def measured(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """(id, source, lang, topic, n_tokens) of every document."""
-    known = with_measures(documents.select(*{id_col, text_col, source_col, lang_col}), text_col, source_col, lang_col)
-    return known.select(F.col(id_col).alias("id"), F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__n_tokens").alias("n_tokens"))
+    text = F.col(text_col)
+    known = documents.select(F.col(id_col).alias("id"), cell(text, F.col(source_col), F.col(lang_col)).alias("cell"), token_count(text).alias("n_tokens"))
+    return known.select("id", "cell.*", "n_tokens")
 
 
 def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
@@ -51,23 +59,35 @@ def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
     return mass.select(dimension, (F.pow("tokens", F.lit(temper)) / F.lit(total)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """cells (the dimensions, tokens) with `weight`, the raked share of each cell of positive tokens.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], residual: float = RESIDUAL, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, float]:
+    """cells (the dimensions, tokens) with `weight`, the raked share of each cell of positive tokens; the residual of the last round.
 
     targets: for each dimension (value, share). A value without a target keeps no weight; a target whose
-    value has no tokens can't be met and is left out. The cells are a table of their own, far smaller than
-    the documents; each step is a window over one dimension.
+    value has no tokens can't be met and is left out, the others growing to sum to one. The cells are a table of their
+    own, far smaller than the documents; a step sums weights by one dimension, before any shuffle, and joins the sums back.
+    An empty table has a residual of 0.
     """
     out = cells.filter("tokens > 0")
     for name, target in targets.items():
-        out = out.join(target.select(name, F.col("share").alias(f"share_{name}")), name)
+        met = target.select(name, F.col("share").alias("aim")).join(out.select(name).distinct(), name, "left_semi").filter("aim > 0")
+        whole = met.agg(F.sum("aim").alias("whole"))
+        out = out.join(met.crossJoin(F.broadcast(whole)).select(name, (F.col("aim") / F.col("whole")).alias(f"share_{name}")), name)
     out = cut(out.withColumn("weight", F.col("tokens").cast("double")))
-    for _ in range(rounds):
+    values = out.agg(*[F.count_distinct(name).alias(name) for name in targets]).first()
+    last = float("inf")
+    for _ in range(most_rounds):
+        out = out.withColumn("off", F.lit(0.0))
         for name in targets:
-            held = F.sum("weight").over(Window.partitionBy(name))
-            out = out.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"share_{name}") / held).otherwise(0.0))
-        out = cut(out)
-    return out.drop(*[f"share_{name}" for name in targets])
+            held = out.groupBy(name).agg(F.sum("weight").alias("held"))
+            share = F.col(f"share_{name}")
+            new = {"weight": F.col("weight") * share / F.col("held"), "off": F.greatest("off", F.abs(F.col("held") - share))}
+            out = cut(out.join(F.broadcast(held) if values[name] <= BROADCAST_ROWS else held, name).withColumns(new).drop("held"))
+        before, last = last, out.agg(F.max("off").alias("off")).first()["off"] or 0.0
+        if last <= residual or last >= STALLED * before:
+            break
+    if last > residual:
+        logging.getLogger(__name__).warning("raking ended with marginals up to %g from their targets", last)
+    return out.drop("off", *[f"share_{name}" for name in targets]), last
 
 
 def uniform(id_column: Column, seed: str) -> Column:
@@ -76,7 +96,7 @@ def uniform(id_column: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def rates(measures: DataFrame, targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def rates(measures: DataFrame, targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None) -> DataFrame:
     """(source, lang, topic, rate): the sampling rate of each cell, the greatest being one.
 
     Without targets each dimension aims at its tempered natural shares. Hinted as broadcast only if the
@@ -85,10 +105,10 @@ def rates(measures: DataFrame, targets: dict[str, DataFrame] | None = None, temp
     dims = list(DIMENSIONS)
     cells = cut(measures.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
     aims = targets or {name: tempered(cells, name, (tempers or TEMPERS)[name]) for name in dims}
-    raked = rake(cells, aims, rounds).withColumn("rate", F.col("weight") / F.col("tokens"))
+    raked = rake(cells, aims)[0].withColumn("rate", F.col("weight") / F.col("tokens"))
     held = raked.agg(F.max("rate").alias("most"), F.count(F.lit(1)).alias("n")).first()
     rate = raked.select(*dims, (F.col("rate") / F.lit(held["most"] or 1.0)).alias("rate"))
-    return F.broadcast(rate) if held["n"] <= BROADCAST_CELLS else rate
+    return F.broadcast(rate) if held["n"] <= BROADCAST_ROWS else rate
 
 
 def probability(n_tokens: Column, rate: Column) -> Column:
@@ -102,7 +122,8 @@ def mix(
 ) -> DataFrame:
     """(id_col, source, lang, topic, n_tokens, probability, sampled) of every document.
 
-    Repeated rows of one id share its draw, as do all rows without an id; an empty table gives none.
+    Repeated rows of one id share its draw, as do all rows without an id; null and empty texts are notes of no
+    token, which stay; other columns are not read; an empty table gives no rows.
     """
     measures = cut(measured(documents, id_col, text_col, source_col, lang_col))
     joined = measures.join(rates(measures, targets, tempers), list(DIMENSIONS), "left")
@@ -114,13 +135,14 @@ def sampled_documents(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None, seed: str = SEED,
 ) -> DataFrame:
-    """The rows of documents that `mix` samples, with their own columns.
+    """The rows of documents that `mix` samples, with their own columns, whatever their names.
 
     Counts the words of a text once for the cells and once more beside its row, so that no text is shuffled.
     """
     rate = rates(measured(documents, id_col, text_col, source_col, lang_col), targets, tempers)
-    for name in DIMENSIONS:
-        rate = rate.withColumnRenamed(name, f"__{name}")
-    known = with_measures(documents, text_col, source_col, lang_col).join(rate.withColumnRenamed("rate", "__rate"), [f"__{name}" for name in DIMENSIONS], "left")
-    chosen = known.filter(uniform(F.col(id_col), seed) < probability(F.col("__n_tokens"), F.col("__rate")))
+    own, tokens, found = (unused_name(documents, name) for name in ("mix_cell", "mix_tokens", "mix_rate"))
+    rate = rate.select(F.struct(*DIMENSIONS).alias(own), F.col("rate").alias(found))
+    text = F.col(text_col)
+    known = documents.withColumns({own: cell(text, F.col(source_col), F.col(lang_col)), tokens: token_count(text)}).join(rate, own, "left")
+    chosen = known.filter(uniform(F.col(id_col), seed) < probability(F.col(tokens), F.col(found)))
     return chosen.select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -193,6 +193,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
             if a != known:
                 known, shingles = a, _shingles(a, k)
             out.append(_similarity(shingles, _shingles(b, k)))
+        tk.release()
         return pd.Series(out, dtype=float)
 
     a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))

@@ -17,7 +17,7 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def text_statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every whole text.
+    """(id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) of every whole text, n_lines being those with a word.
 
     Null texts count as empty. Words are runs without white space. Everything is worked out inside a row, so
     long texts and copies move nothing.
@@ -33,6 +33,7 @@ def text_statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str
         "n_words",
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("codes"),
     )
@@ -59,25 +60,28 @@ def rules() -> dict[str, Column]:
         "short": F.col("n_words") < MIN_WORDS,
         "repeats": 100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"),
         "symbols": 4 * F.col("n_symbols") > F.col("word_chars"),
-        "copied_lines": 2 * F.col("n_dup_lines") > F.col("n_words"),
+        "copied_lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
     }
 
 
 def host_rates(failures: DataFrame, names: list[str]) -> DataFrame:
     """(host, n, and for each rule fails_<name> and rate_<name>): rates shrunk by an empirical beta prior.
 
-    failures: host and a boolean per rule. The prior of a rule has the mean and variance of the hosts' raw
-    rates; hosts that all have one rate give a prior as heavy as a thousand documents.
+    failures: host and a boolean per rule. The prior of a rule has the mean of the hosts' raw rates and the
+    variance between hosts: that of the raw rates less what the draw of few documents adds to it. It weighs as
+    much as one to a thousand documents; the latter where hosts do not differ beyond that noise, as where each has one document.
     """
     count = failures.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(name)).alias(f"fails_{name}") for name in names])
     count = cut(count)
     raw = [F.col(f"fails_{name}") / F.col("n") for name in names]
-    moments = count.agg(*[F.struct(F.avg(r).alias("m"), F.var_pop(r).alias("v")).alias(name) for name, r in zip(names, raw, strict=True)]).first()
+    moments = count.agg(*[F.struct(F.avg(r).alias("m"), F.var_pop(r).alias("v")).alias(name) for name, r in zip(names, raw, strict=True)], F.avg(1 / F.col("n")).alias("share")).first()
     out = count
     for name in names:
-        m, v = moments[name]["m"], moments[name]["v"]
-        weight = min(max(m * (1 - m) / v - 1, 1.0), 1000.0) if v else 1000.0
-        out = out.withColumn(f"rate_{name}", (F.col(f"fails_{name}") + F.lit((m or 0.0) * weight)) / (F.col("n") + F.lit(weight)))
+        m, v, share = moments[name]["m"] or 0.0, moments[name]["v"] or 0.0, moments["share"] or 1.0
+        # a raw rate of n documents varies by between + (m (1 - m) - between) / n
+        between = (v - m * (1 - m) * share) / (1 - share) if share < 1 else 0.0
+        weight = min(max(m * (1 - m) / between - 1, 1.0), 1000.0) if between > 0 else 1000.0
+        out = out.withColumn(f"rate_{name}", (F.col(f"fails_{name}") + F.lit(m * weight)) / (F.col("n") + F.lit(weight)))
     return out
 
 

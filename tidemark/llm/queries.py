@@ -119,18 +119,21 @@ WITH t AS (
 ), s AS (
   SELECT n.doc_id, n.source, n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
   FROM n LEFT JOIN covered USING (r)
 ), f AS (
-  SELECT *, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words AS repeats, 4 * n_symbols > word_chars AS symbols, 2 * n_dup_lines > n_words AS copied FROM s
+  SELECT *, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words AS repeats, 4 * n_symbols > word_chars AS symbols, 2 * n_dup_lines > n_lines AS copied FROM s
 ), h AS (
   SELECT source, count(*) AS n, count_if(short) AS a, count_if(repeats) AS b, count_if(symbols) AS c, count_if(copied) AS d FROM f WHERE source IS NOT NULL GROUP BY source
 ), m AS (
-  SELECT avg(a / n) AS ma, var_pop(a / n) AS va, avg(b / n) AS mb, var_pop(b / n) AS vb, avg(c / n) AS mc, var_pop(c / n) AS vc, avg(d / n) AS md, var_pop(d / n) AS vd FROM h
+  SELECT avg(1 / n) AS share, avg(a / n) AS ma, var_pop(a / n) AS va, avg(b / n) AS mb, var_pop(b / n) AS vb, avg(c / n) AS mc, var_pop(c / n) AS vc, avg(d / n) AS md, var_pop(d / n) AS vd FROM h
+), s2 AS (
+  SELECT ma, mb, mc, md, CASE WHEN share < 1 THEN (va - ma * (1 - ma) * share) / (1 - share) ELSE 0 END AS sa, CASE WHEN share < 1 THEN (vb - mb * (1 - mb) * share) / (1 - share) ELSE 0 END AS sb,
+    CASE WHEN share < 1 THEN (vc - mc * (1 - mc) * share) / (1 - share) ELSE 0 END AS sc, CASE WHEN share < 1 THEN (vd - md * (1 - md) * share) / (1 - share) ELSE 0 END AS sd FROM m
 ), p AS (
   SELECT ma, mb, mc, md,
-    CASE WHEN va > 0 THEN least(greatest(ma * (1 - ma) / va - 1, 1), 1000) ELSE 1000 END AS wa, CASE WHEN vb > 0 THEN least(greatest(mb * (1 - mb) / vb - 1, 1), 1000) ELSE 1000 END AS wb,
-    CASE WHEN vc > 0 THEN least(greatest(mc * (1 - mc) / vc - 1, 1), 1000) ELSE 1000 END AS wc, CASE WHEN vd > 0 THEN least(greatest(md * (1 - md) / vd - 1, 1), 1000) ELSE 1000 END AS wd FROM m
+    CASE WHEN sa > 0 THEN least(greatest(ma * (1 - ma) / sa - 1, 1), 1000) ELSE 1000 END AS wa, CASE WHEN sb > 0 THEN least(greatest(mb * (1 - mb) / sb - 1, 1), 1000) ELSE 1000 END AS wb,
+    CASE WHEN sc > 0 THEN least(greatest(mc * (1 - mc) / sc - 1, 1), 1000) ELSE 1000 END AS wc, CASE WHEN sd > 0 THEN least(greatest(md * (1 - md) / sd - 1, 1), 1000) ELSE 1000 END AS wd FROM s2
 ), bad AS (
   SELECT source, greatest((a + ma * wa) / (n + wa), (b + mb * wb) / (n + wb), (c + mc * wc) / (n + wc), (d + md * wd) / (n + wd)) > 0.5 AS host_failed FROM h, p
 )
@@ -153,17 +156,18 @@ def _op6() -> str:
     ]
     for name in mixing.DIMENSIONS:
         parts.append(f"t_{name} AS (SELECT {name}, p / sum(p) OVER () AS share_{name} FROM (SELECT {name}, pow(sum(tokens), {mixing.TEMPERS[name]}) AS p FROM c0 GROUP BY {name}))")
-    parts.append("s0_0 AS (SELECT *, tokens AS weight FROM c0 JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
-    last = "s0_0"
-    for r in range(mixing.ROUNDS):
-        for i, name in enumerate(mixing.DIMENSIONS):
-            new = f"s{r + 1}_{i}"
-            parts.append(f"{new} AS MATERIALIZED (SELECT * REPLACE (weight * share_{name} / sum(weight) OVER (PARTITION BY {name}) AS weight) FROM {last})")
-            last = new
-    parts.append(f"r AS (SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS rate FROM {last})")
+    parts.append("s0 AS (SELECT *, tokens AS weight FROM c0 JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
+    step, last = f"SELECT * FROM s WHERE residual > {mixing.RESIDUAL!r} AND residual < {mixing.STALLED} * before AND r < {mixing.MOST_ROUNDS}", "weight"
+    for name in mixing.DIMENSIONS:
+        step = f"SELECT *, abs(held_{name} - share_{name}) AS off_{name}, {last} * share_{name} / held_{name} AS w_{name} FROM (SELECT *, sum({last}) OVER (PARTITION BY {name}) AS held_{name} FROM ({step}))"
+        last = f"w_{name}"
+    kept = "source, lang, topic, tokens, share_source, share_lang, share_topic"
+    off = ", ".join(f"max(off_{name}) OVER ()" for name in mixing.DIMENSIONS)
+    parts.append(f"s AS (SELECT 0 AS r, 1e308::DOUBLE AS before, 1e300::DOUBLE AS residual, {kept}, weight FROM s0 UNION ALL SELECT r + 1, residual, greatest({off}), {kept}, {last} FROM ({step}))")
+    parts.append("r AS (SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS rate FROM s WHERE r = (SELECT max(r) FROM s))")
     parts.append("j AS (SELECT m.*, CASE WHEN n_tokens = 0 THEN 1.0::DOUBLE ELSE coalesce(rate, 0.0)::DOUBLE END AS p FROM m LEFT JOIN r USING (source, lang, topic))")
     draw = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '?') || '/{mixing.SEED}'), 1, 8))::UBIGINT::DOUBLE / 4294967296.0"
-    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(p * 10000)::BIGINT AS probability_bp, {draw} < p AS sampled FROM j"
+    return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(p * 10000)::BIGINT AS probability_bp, {draw} < p AS sampled FROM j"
 
 
 def oracle_sql() -> dict[str, str]:

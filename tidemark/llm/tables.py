@@ -33,10 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Parquet row groups of intermediate tables: a writer holds a whole one in memory.
+BLOCK_BYTES = 16 << 20
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again: as `cut`, for wide rows of which later steps read some columns."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

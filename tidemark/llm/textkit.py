@@ -10,6 +10,7 @@ import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -21,6 +22,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def release() -> None:
     """Hands memory that is free again back to the system, as workers live on between stages."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
