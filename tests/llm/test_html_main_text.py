@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -92,3 +93,63 @@ def test_nulls_and_long_pages(spark):
     got = [tuple(r) for r in hm.extract(df, hm.train(df)).collect()]
     assert got[0] == (1, "u", "", 0) and got[1] == (None, None, "", 0) and got[2][3] > 190_000
     assert hm.extract(df.limit(0), hm.train(df.limit(0))).count() == 0
+
+
+def nameless(page):
+    """The page without the names that tell its parts."""
+    return re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", page).replace('class="ad"', "")
+
+
+def test_the_cut_decides(spark):
+    """Held-out pages without telling names: labels by the cut differ from the signs of the costs and are right far more often."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = hm.train(pages)
+    rows = [r["html"] for r in pages.sort("page_id").collect()]
+    right = {"sign": 0, "cut": 0}
+    for page in rows:
+        truth = [b.good and not b.bad for b in hm.parse(page)[0]]
+        blocks, parents = hm.parse(nameless(page))
+        assert not any(b.good or b.bad for b in blocks)
+        right["sign"] += [c > 0 for c in hm.costs(blocks, parents, weights)] == truth
+        right["cut"] += hm.label(blocks, parents, weights) == truth
+    assert right["cut"] > 0.95 * len(rows) and right["sign"] < 0.5 * len(rows)
+
+
+PLAIN = """<body><div><a href=/>Home</a> <a href=/a>About us</a> <a href=/b>Contact</a></div><div><h2>Tides</h2><div>The sea rises and falls twice a day, and the
+moon, which pulls at it, sets the pace of both.</div><div>Short line</div><div>Harbours keep tables of these times, so that ships can come in when the water is high enough for
+them.</div></div><div>&copy; 2020 Harbour Office. All rights reserved.</div></body>"""
+
+
+def test_a_page_without_telling_names(spark, data):
+    weights = hm.train(spark.read.parquet(f"{data}/pages.parquet"))
+    text = hm.main_text(PLAIN, weights)
+    assert text.startswith("Tides The sea rises") and "Short line" in text and text.endswith("high enough for them.")
+
+
+def test_labels_are_of_least_cost():
+    """The labels of small pages against all labellings."""
+    rng = random.Random(3)
+    for _ in range(25):
+        parts = "".join(rng.choice(["<div><p>", "</div><div>", "<li>", "</p>", "<h2>", "<a>", "</a>", "Some words, as they come.", "One ", "More of it "]) for _ in range(14))
+        blocks, parents = hm.parse(f"<body>{parts}</body>")
+        weights = [rng.uniform(-2, 2) for _ in hm.DEFAULT_WEIGHTS]
+        scores = hm.costs(blocks, parents, weights)
+        edges, nodes = hm.ties(blocks, parents)
+        if not 0 < nodes <= 12:
+            continue
+        got = hm.min_cut(scores, edges, nodes)
+        assert got[: len(blocks)] == hm.label(blocks, parents, weights)
+        best = min(cost(scores, edges, nodes, side) for side in itertools.product((False, True), repeat=nodes))
+        assert cost(scores, edges, nodes, got) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x" + "</div>" * 100_000, "<div>y<p>" * 50_000, "<svg>" * 50_000 + "x" + "</b>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000 + "x", "<li>" * 100_000])
+def test_time_is_linear_in_the_length(page):
+    began = time.perf_counter()
+    hm.main_text(page, hm.DEFAULT_WEIGHTS)
+    assert time.perf_counter() - began < 5
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "u", f"<article>{STORY}</article>", "t", 5)] * 3, "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in hm.extract(df, hm.DEFAULT_WEIGHTS).collect()] == [(1, "u", STORY_TEXT, len(STORY_TEXT))] * 3

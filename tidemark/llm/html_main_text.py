@@ -1,19 +1,24 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
-A page is split into blocks of text. A classifier gives each block a cost for either label: evidence of
-the elements that hold it, plus a logistic score of its wording that is trained on blocks whose elements
-leave no doubt. The costs become the capacities from the source and to the sink; neighbouring blocks, and
-blocks of one container of the document tree, are tied by smoothness edges. The side of the source of a
-minimum cut is the content.
+A page is split into blocks of text. A logistic classifier over a block's structure and wording gives it a
+cost for either label; names that speak of content or boilerplate (elements, roles, classes, ids) are features among
+others, whose weights are learned. The costs become the capacities from the source and to the sink. Blocks are
+tied by smoothness edges: to the next block, the less the further they are apart in the document tree, and
+to the containers that they share. The side of the source of a minimum cut is the content.
 
-Null and empty pages give an empty text. Whole pages are read and every content block is kept in full.
+The classifier learns from blocks whose names leave no doubt, once with those names and once without, so that it
+weighs structure and wording where a page has no telling names.
+
+Null and empty pages give an empty text. Whole pages are read and every content block is kept in full; pages are
+parsed in time linear in their length, however deep they nest.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +43,14 @@ BAD_WORDS = {
     "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "replies", "reply", "share", "sharing", "sidebar", "signup", "skip",
     "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
-GOOD, BAD, TEXT_LIMIT = 4.0, 7.0, 2.0
-ADJACENT, CONTAINER = 0.4, 0.5
+HEADINGS, ITEMS = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "dt", "dd", "td", "th", "option"}
+#: Open elements that an opening tag closes, and those beyond which it closes none.
+CLOSED_BY = {
+    "li": (("li",), ("ul", "ol", "menu")), "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "tr": (("td", "th", "tr"), ("table",)),
+    "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
+}
+#: Capacities of smoothness edges: to the next block, over the square root of the tree distance, and to a shared container.
+ADJACENT, CONTAINER = 0.6, 0.8
 #: RAW elements whose content is tags: without an end tag nothing of the page belongs to them.
 MARKUP_RAW = {"svg", "math", "noscript", "template", "object", "canvas"}
 #: Bounds of the training sample: pages, and blocks of one page.
@@ -53,12 +64,14 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 @dataclass
 class Block:
-    """text; evidence of its elements; share of its characters in links; its container's number."""
+    """text; share of its characters in links; its container's number; its element; whether names speak for content, and how many against."""
 
     text: str
-    evidence: float
     linked: float
     container: int
+    name: str
+    good: bool = False
+    bad: int = 0
 
 
 def _evidence(name: str, attr: str, in_content: bool) -> tuple[bool, bool, bool, str]:
@@ -95,7 +108,7 @@ class Holder:
 
 
 def _weigh(blocks: list[Block], marks: list[tuple[bool, int, int]], holders: list[Holder], chain: list[tuple[int, bool]]) -> None:
-    """Sets the evidence of blocks from marks (content evidence, end of the chain of elements against it, holder).
+    """Sets good and bad of blocks from marks (content evidence, end of the chain of elements against it, holder).
 
     The page's main element and its longest article are what its wrappers are there for: a class or id of an
     element around one of them says nothing against what articles hold, unless more text stands in clear
@@ -135,7 +148,7 @@ def _weigh(blocks: list[Block], marks: list[tuple[bool, int, int]], holders: lis
         bad = times[against]
         if holder >= 0:
             bad += left[holders[holder].against] - times[holders[holder].against]
-        b.evidence = GOOD * good - BAD * min(bad, 2)
+        b.good, b.bad = good, min(bad, 2)
 
 
 def parse(page: str) -> tuple[list[Block], list[int]]:
@@ -143,6 +156,9 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
     parents, blocks = [-1], []
     # open elements: name, container, content evidence, end of the chain of elements against it, links, article or main element
     stack: list[tuple[str, int, bool, int, int, int]] = [("", 0, False, 0, 0, -1)]
+    opened: dict[str, list[int]] = {}  # places of the open elements in the stack by name
+    outer: list[int] = []  # places of the open elements that are not inline
+    endless: set[str] = set()  # elements of RAW that have no end tag any more
     chain: list[tuple[int, bool]] = [(0, False)]  # elements against content: the next outer one, whether by words only
     holders: list[Holder] = []
     marks: list[tuple[bool, int, int]] = []
@@ -155,7 +171,7 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
             text = " ".join("".join(held).split())
             if text:
                 _, container, good, against, _, holder = stack[-1]
-                blocks.append(Block(text, 0.0, linked / max(size, 1), container))
+                blocks.append(Block(text, linked / max(size, 1), container, stack[outer[-1]][0] if outer else ""))
                 marks.append((good, against, holder))
             held.clear()
             size = linked = 0
@@ -169,6 +185,16 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
             size += n
             linked += n * bool(stack[-1][4])
 
+    def last(names: tuple[str, ...]) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=0)
+
+    def leave(depth: int) -> None:
+        while len(stack) > depth:
+            name = stack.pop()[0]
+            opened[name].pop()
+            if outer and outer[-1] == len(stack):
+                outer.pop()
+
     while m := _TAG.search(page, at):
         add(page[at : m.start()])
         at = m.end()
@@ -178,14 +204,11 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
         if m.group("end") or m.group("end2"):
             if name not in INLINE:
                 close()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    if any(stack[d][1] != stack[depth - 1][1] or stack[d][3] != stack[depth - 1][3] for d in range(depth, len(stack))):
-                        close()
-                    del stack[depth:]
-                    break
-                if name in INLINE and stack[depth][0] not in INLINE:
-                    break
+            depth = last((name,))
+            if depth and not (name in INLINE and outer and outer[-1] > depth):
+                if any(stack[d][1] != stack[depth - 1][1] or stack[d][3] != stack[depth - 1][3] for d in range(depth, len(stack))):
+                    close()
+                leave(depth)
             if name == "p" and not held:
                 close()
             continue
@@ -193,22 +216,21 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
         if name in RAW:
             if attr.endswith("/") and (name in ("svg", "math") or not _OPEN_VALUE.search(attr)):
                 continue
+            pattern = r"</head\s*>|<body\b" if name == "head" else rf"</{re.escape(name)}\b[^>]*>?"
+            end = None if name in endless else re.compile(pattern, re.I).search(page, at)
+            if not end:
+                endless.add(name)
             if name == "head":
-                end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
                 at = (end.start() if end.group(0)[1] != "/" else end.end()) if end else at
             else:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else at if name in MARKUP_RAW else len(page)
             continue
         if name not in INLINE:
             close()
-            for closes, until in (({"p"}, {"table", "td", "th", "button"}), ({"li"} if name == "li" else set(), {"ul", "ol", "menu"}), ({"td", "th"} if name in ("td", "th", "tr") else set(), {"table"}), ({"tr"} if name == "tr" else set(), {"table"}), ({"dt", "dd"} if name in ("dt", "dd") else set(), {"dl"}), ({"option"} if name == "option" else set(), {"select"})):
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] in closes:
-                        del stack[depth:]
-                        break
-                    if stack[depth][0] in until:
-                        break
+            for closes, until in ((("p",), ("table", "td", "th", "button")), CLOSED_BY.get(name, ((), ()))):
+                depth = last(closes)
+                if depth > last(until):
+                    leave(depth)
         if name in VOID:
             continue
         _, container, good, against, links, holder = stack[-1]
@@ -227,6 +249,9 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
             if here_bad:
                 chain.append((against, worded))
                 against = len(chain) - 1
+            opened.setdefault(name, []).append(len(stack))
+            if name not in INLINE:
+                outer.append(len(stack))
             stack.append((name, container, good or here_good, against, links + (name == "a"), holder))
     add(page[at:])
     close()
@@ -234,26 +259,46 @@ def parse(page: str) -> tuple[list[Block], list[int]]:
     return blocks, parents
 
 
-def features(block: Block) -> list[float]:
-    """What the logistic score sees of a block: its wording and links, not its elements."""
-    words = block.text.split()
-    n = len(words)
-    return [1.0, min(np.log1p(n), 6.0), block.linked, float(block.text[-1] in ".!?…:;\"'”»"), min(block.text.count(".") + block.text.count(","), n) / n, float(n < 4), float("©" in block.text or "|" in block.text or "·" in block.text)]
+#: Which features are names; the others are structure and wording.
+NAMED = (1, 2)
+
 
+def features(blocks: list[Block], parents: list[int]) -> np.ndarray:
+    """A row for each block: a constant; names for and against content; and its wording, links, element, place and company."""
+    words = [b.text.split() for b in blocks]
+    group = [parents[b.container] if parents[b.container] >= 0 else b.container for b in blocks]
+    n_words, linked, members = Counter(), Counter(), Counter()
+    for g, w, b in zip(group, words, blocks, strict=True):
+        n_words[g] += len(w)
+        linked[g] += b.linked
+        members[g] += 1
+    rows = []
+    for i, (b, w, g) in enumerate(zip(blocks, words, group, strict=True)):
+        n = len(w)
+        rows.append(
+            (
+                1.0, float(b.good), float(b.bad), min(np.log1p(n), 6.0) / 3, b.linked, linked[g] / members[g], float(b.text[-1] in ".!?…:;\"'”»"),
+                min(b.text.count(".") + b.text.count(","), n) / n, float(n < 4), float("©" in b.text or "|" in b.text or "·" in b.text),
+                float(b.name in HEADINGS), float(b.name in ITEMS), float(b.name == "p"), float(i == 0), float(i == len(blocks) - 1), min(np.log1p(n_words[g]), 8.0) / 4,
+            )
+        )
+    return np.array(rows, dtype=float).reshape(len(blocks), len(DEFAULT_WEIGHTS))
 
-#: Used where a table has no blocks to learn from.
-DEFAULT_WEIGHTS = [-1.5, 0.8, -3.0, 0.5, 0.5, -0.5, -2.0]
 
+#: Used where a table has no blocks to learn from; in the order of the features.
+DEFAULT_WEIGHTS = [-1.0, 3.0, -4.0, 0.7, -2.0, -1.0, 0.4, 0.4, -0.4, -2.0, 0.2, -0.3, 0.5, -0.2, -0.5, 0.3]
 
-def fit(rows: np.ndarray, labels: np.ndarray, steps: int = 400, rate: float = 0.5, decay: float = 0.01) -> list[float]:
-    """Logistic regression by gradient descent, both classes weighing alike."""
+
+def fit(rows: np.ndarray, labels: np.ndarray, steps: int = 600, rate: float = 1.0, decay: float = 0.02) -> list[float]:
+    """Logistic regression by gradient descent, both classes weighing alike; what the examples leave open stays near DEFAULT_WEIGHTS."""
     if not len(labels) or labels.min() == labels.max():
         return DEFAULT_WEIGHTS
     weight = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
-    w = np.array(DEFAULT_WEIGHTS)
+    prior = np.array(DEFAULT_WEIGHTS)
+    w = prior.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        w -= rate * (rows.T @ (weight * (p - labels)) + decay * w)
+        w -= rate * (rows.T @ (weight * (p - labels)) + decay * (w - prior))
     return w.tolist()
 
 
@@ -322,28 +367,51 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]], n: int) ->
                 break
 
 
+def costs(blocks: list[Block], parents: list[int], weights: list[float]) -> list[float]:
+    """The classifier's log odds of content for each block: what it costs to label it as boilerplate, or, if negative, as content."""
+    return (features(blocks, parents) @ np.array(weights)).tolist()
+
+
+def ties(blocks: list[Block], parents: list[int]) -> tuple[list[tuple[int, int, float]], int]:
+    """Smoothness edges between blocks, and nodes after them that stand for containers; how many nodes there are.
+
+    Containers that hold one block or container only are left out, so that an edge joins what they hold to the next container.
+    """
+    n = len(blocks)
+    depth = [0] * len(parents)
+    for i in range(1, len(parents)):
+        depth[i] = depth[parents[i]] + 1
+    edges = []
+    for i in range(n - 1):
+        a, b, apart = blocks[i].container, blocks[i + 1].container, 0
+        while a != b:
+            if depth[a] >= depth[b]:
+                a = parents[a]
+            else:
+                b = parents[b]
+            apart += 1
+        edges.append((i, i + 1, ADJACENT / math.sqrt(1 + apart)))
+    inside: dict[int, list[int]] = {}
+    for i, b in enumerate(blocks):
+        inside.setdefault(b.container, []).append(i)
+    nodes = n
+    for c in range(len(parents) - 1, -1, -1):  # inner containers come after the outer ones
+        items = inside.pop(c, [])
+        if len(items) > 1:
+            edges += [(item, nodes, CONTAINER) for item in items]
+            items = [nodes]
+            nodes += 1
+        if items and parents[c] >= 0:
+            inside.setdefault(parents[c], []).append(items[0])
+    return edges, nodes
+
+
 def label(blocks: list[Block], parents: list[int], weights: list[float]) -> list[bool]:
-    """Whether each block is content."""
+    """Whether each block is content: the side of the source of a minimum cut."""
     if not blocks:
         return []
-    w = np.array(weights)
-    worded = np.clip(np.array([features(b) for b in blocks]) @ w, -TEXT_LIMIT, TEXT_LIMIT)
-    scores = [b.evidence + float(s) for b, s in zip(blocks, worded, strict=True)]
-    if min(scores) > 0 or max(scores) <= 0:
-        return [s > 0 for s in scores]
-    n = len(blocks)
-    edges = [(i, i + 1, ADJACENT) for i in range(n - 1)]
-    number: dict[int, int] = {}
-    for i, b in enumerate(blocks):
-        at, node = b.container, i
-        while at >= 0:
-            seen = at in number
-            number.setdefault(at, n + len(number))
-            edges.append((node, number[at], CONTAINER))
-            if seen:
-                break
-            node, at = number[at], parents[at]
-    return min_cut(scores, edges, n + len(number))[:n]
+    edges, nodes = ties(blocks, parents)
+    return min_cut(costs(blocks, parents, weights), edges, nodes)[: len(blocks)]
 
 
 def main_text(page: str | None, weights: list[float]) -> str:
@@ -351,10 +419,22 @@ def main_text(page: str | None, weights: list[float]) -> str:
     return " ".join(b.text for b, keep in zip(blocks, label(blocks, parents, weights), strict=True) if keep)
 
 
+def examples(page: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks whose names speak clearly, without and with those names."""
+    blocks, parents = parse(page)
+    clear = [i for i, b in enumerate(blocks) if b.good != (b.bad > 0)][:TRAIN_BLOCKS]
+    rows = features(blocks, parents)[clear]
+    named = rows.copy()
+    rows[:, NAMED] = 0.0
+    labels = np.array([float(blocks[i].good) for i in clear])
+    return np.concatenate((rows, named)), np.concatenate((labels, labels))
+
+
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> list[float]:
     """Weights of the logistic score, learned from at most TRAIN_PAGES pages, those with the least md5 of the id.
 
-    A block is an example if its elements speak clearly for or against content. At most TRAIN_BLOCKS blocks of a page count.
+    A block is an example if its names speak clearly for or against content, and is one without its names too. At
+    most TRAIN_BLOCKS blocks of a page count. A table without examples gives DEFAULT_WEIGHTS.
     """
     base = bounded_batches(pages).select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter("html is not null and id is not null")
     ids = base.select("id").distinct().orderBy(F.md5(F.col("id").cast("string")), "id").limit(TRAIN_PAGES)
@@ -363,8 +443,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
         for pdf in batches:
             out = []
             for key, page in zip(pdf["key"], pdf["html"], strict=True):
-                clear = [b for b in parse(page)[0] if abs(b.evidence) >= 3]
-                out += [(key, i, features(b), float(b.evidence > 0)) for i, b in enumerate(clear[:TRAIN_BLOCKS])]
+                out += [(key, i, x, y) for i, (x, y) in enumerate(zip(*examples(page), strict=True))]
             yield pd.DataFrame(out, columns=["key", "i", "x", "y"])
 
     sample = base.join(F.broadcast(ids), "id", "left_semi").select(F.md5(F.col("id").cast("string")).alias("key"), "html")
@@ -373,7 +452,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 
 
 def extract(pages: DataFrame, weights: list[float], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id_col, url_col, text, n_chars) of every page, repeated rows and null ids included."""
+    """(id_col, url_col, text, n_chars) of every page, repeated rows and null ids included; other columns are not read, an empty table gives no rows."""
 
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:
