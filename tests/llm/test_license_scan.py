@@ -2,12 +2,13 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from tidemark.llm import license_scan as ls
 
 
 def words(text):
-    return ls._words([text.lower().encode()])[0]
+    return ls._words([text])[1]
 
 
 def lcs(a, b):
@@ -31,7 +32,7 @@ def test_alignment_equals_longest_common_subsequence():
     for _ in range(60):
         template = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))]
         text = [c for c in template if rng.random() > 0.2] + [rng.choice("abcdefgh") for _ in range(3)]
-        assert ls.align(np.array(template), np.array(text), 0, 30)[0] == lcs(template, text)
+        assert ls.align(np.array(template), np.array(text), -30, 30)[0] == lcs(template, text)
 
 
 def test_every_template_is_found_with_its_span():
@@ -77,3 +78,64 @@ def test_data_equals_a_plain_search(spark, data):
     got = {r["doc_id"] for r in ls.scan(docs).collect()}
     plain = docs.filter("text rlike '(?i)licensed? under (the|CC BY)|under the MIT License|General Public License'")
     assert {r["doc_id"] for r in plain.select("doc_id").collect()} == got
+
+
+@pytest.mark.parametrize(
+    "text,name",
+    [
+        ("Licensed under the “Apache License”, Version 2.0.", "Apache-2.0-line"), ("Released under the “MIT License”.", "MIT-line"), ("Released under the MIT\u00a0License…", "MIT-line"),
+        ("« Released — under the MIT License »", "MIT-line"), (ls._BSD_TWO + " " + ls._BSD_THIRD, "BSD-3-Clause-conditions"), (ls.TEMPLATES["BSD-3-Clause"].replace("THE COPYRIGHT HOLDER", "SOMEBODY"), "BSD-3-Clause"),
+    ],
+)
+def test_marks_and_related_licenses(text, name):
+    index = ls.index_templates(ls.TEMPLATES)
+    (found,) = ls.scan_words(words(f"Before it. {text} After it"), index, 0.8)
+    assert index.names[found[0]] == name
+
+
+def test_words_put_into_a_notice():
+    """Any number of extra words up to a template's length, in one or more places."""
+    index = ls.index_templates(ls.TEMPLATES)
+    for name in ("MIT-notice", "GPL-3.0-notice", "Apache-2.0-notice"):
+        plain = ls.TEMPLATES[name].split()
+        for extra in (1, 8, 9, 20, 40):
+            for places in ((len(plain) // 2,), (len(plain) // 4, 3 * len(plain) // 4)):
+                text = list(plain)
+                for place in reversed(places):
+                    text[place:place] = [f"zzz{i}" for i in range(extra)]
+                if extra * len(places) > len(index.words[index.names.index(name)]) // 2:
+                    continue
+                got = ls.scan_words(words(" ".join(text)), index, 0.8)
+                assert [(index.names[f[0]], f[1], f[2], f[3]) for f in got] == [(name, len(words(ls.TEMPLATES[name])), 0, len(words(" ".join(text))))]
+
+
+def best_span(template, text):
+    """Words of a longest common subsequence and its narrowest span, over all starts and ends."""
+    most, n = lcs(template, text), len(text)
+    spans = [(b - a, a, b) for a in range(n) for b in range(a + 1, n + 1) if lcs(template, text[a:b]) == most] if most else []
+    return most, min(spans, default=(0, 0, 0))
+
+
+def test_altered_notices_equal_brute_force():
+    rng = random.Random(4)
+    template = "this work may be used copied and changed by all who keep this notice in every copy of it".split()
+    index = ls.index_templates({"own": " ".join(template)})
+    for _ in range(25):
+        text = ["aa", "bb", "cc"]
+        for w in template:
+            chance = rng.random()
+            text += [] if chance < 0.06 else [w, f"x{rng.randrange(99)}"] if chance < 0.16 else [f"y{rng.randrange(99)}"] if chance < 0.2 else [w]
+        text += ["dd", "ee"]
+        most, (length, begin, end) = best_span(template, text)
+        got = ls.scan_words(words(" ".join(text)), index, 0.8)
+        if most >= 0.8 * len(template):
+            ((_, m, a, b),) = got
+            assert (m, b - a) == (most, length) and a >= 3 and b <= len(text) - 2
+        else:
+            assert not got
+
+
+def test_rows_that_match_in_odd_tables(spark):
+    rows = [(1, "Released under the MIT License.", 9, "x"), (1, "Released under the MIT License.", 9, "x"), (None, "Released under the MIT License.", 9, "x")]
+    got = ls.scan(spark.createDataFrame(rows, "doc_id long, text string, coverage int, license string")).collect()
+    assert sorted((r["doc_id"] or 0, r["license"], r["coverage"], r["span"]) for r in got) == [(i, "MIT-line", 1.0, "released under the mit license") for i in (0, 1, 1)]

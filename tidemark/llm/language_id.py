@@ -187,14 +187,17 @@ def train(
 
 
 def prediction(model: LanguageModel, text: Column | str) -> Column:
-    """struct(lang_pred, score, rejected) of a text column; null or letter-free texts are `und`, score 0, rejected."""
+    """struct(lang_pred, score, rejected) of a text column; null or letter-free texts are `und`, score 0, rejected.
+
+    Said not to be deterministic, so that a filter by it is not worked out a second time below a projection.
+    """
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         found = [model.predict(t) for t in texts]
         return pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "rejected": [f[0] == UNDETERMINED or f[1] < model.reject_below for f in found]})
 
-    return predict(text)
+    return predict.asNondeterministic()(text)
 
 
 def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,6 +22,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def release() -> None:
     """Hands memory that is free again back to the system, as workers live on between stages."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
