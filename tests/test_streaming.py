@@ -22,7 +22,7 @@ def test_discoveries(spark, data, folder):
     seen = X.matched_observations(spark, data).withColumn("batch", F.floor(F.col("seq") / 20)).cache()
     for i in range(3):
         seen.filter(F.col("batch") % 3 == i).drop("batch").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    hosts = streams.Versions(spark, f"{folder}/hosts")
+    hosts = streams.host_table(spark, f"{folder}/hosts")
     source = spark.readStream.schema(seen.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     streams.start(source, streams.fold_discoveries(hosts), f"{folder}/cp").awaitTermination()
     assert hosts.latest() == 2
@@ -37,9 +37,9 @@ def test_discoveries(spark, data, folder):
 def test_certificates(spark, data, folder):
     pages = X.load(spark, data, "pages").select(F.col("page_id").alias("seq"), "url")
     parts(pages, f"{folder}/in", "seq")
-    hosts, queue = streams.Versions(spark, f"{folder}/hosts"), streams.Versions(spark, f"{folder}/queue")
+    hosts, queue = streams.host_table(spark, f"{folder}/hosts"), streams.queue_table(spark, f"{folder}/queue")
     source = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    streams.start(source, streams.ingest_certificates(hosts, queue, X.patterns(spark)), f"{folder}/cp").awaitTermination()
+    streams.start(source, streams.ingest_certificates(hosts, queue, X.patterns(spark), X.as_of()), f"{folder}/cp").awaitTermination()
     matched = match.match_hosts(pages.withColumn("fqdn", X.S.url_host("url")), X.patterns(spark))
     assert hosts.read().select("fqdn").distinct().count() == hosts.read().count() == matched.count()
     assert queue.read().count() == pages.withColumn("fqdn", X.S.url_host("url")).join(matched, "fqdn").select("url").distinct().count()
@@ -48,22 +48,40 @@ def test_certificates(spark, data, folder):
 def test_job_states(spark, data, folder):
     events = X.job_events(spark, data).filter("status <> 'pending'")
     parts(events, f"{folder}/in", "seq")
-    kept = streams.Versions(spark, f"{folder}/jobs")
+    kept = streams.job_table(spark, f"{folder}/jobs")
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     streams.start(source, streams.fold_job_states(kept), f"{folder}/cp").awaitTermination()
-    assert sorted(map(str, fold.job_states(kept.read()).collect())) == sorted(map(str, fold.job_states(events).collect()))
+    assert sorted(map(str, fold.states_of(kept.read()).collect())) == sorted(map(str, fold.job_states(events).collect()))
 
 
 def test_queue_state(spark, data, folder):
+    """Batches by ranges of seq, each carrying on from the keys that were busy."""
     events = X.queue_events(spark, data).select("key", "seq", "kind")
-    parts(events, f"{folder}/in", "key")
-    source = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
-    rows = streams.admitted(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").outputMode("append").trigger(availableNow=True).start()
-    rows.awaitTermination()
-    got = {(r["key"], r["seq"]) for r in spark.read.schema("key long, seq long").parquet(f"{folder}/out").collect()}
+    busy = streams.busy_table(spark, f"{folder}/busy")
+    run = streams.admit_events(busy, f"{folder}/out")
+    top = events.agg(F.max("seq")).first()[0] + 1
+    for n in range(3):
+        run(events.filter((F.col("seq") * 3 >= n * top) & (F.col("seq") * 3 < (n + 1) * top)), n)
+    run(events, 2)  # the last batch again
+    got = {(r["key"], r["seq"]) for r in spark.read.parquet(f"{folder}/out").collect()}
     assert got == {(r["key"], r["seq"]) for r in workqueue.admit(events).filter("admitted").select("key", "seq").collect()}
 
 
+def test_versions_hold_what_changed_and_compact(spark, folder):
+    table = streams.Versions(spark, f"{folder}/t", "k long, v long", "k", buckets=4, compact_every=3)
+    want = {}
+    for n in range(11):
+        rows = {k: 100 * n + k for k in range(n, 30, n + 1)}
+        table.change(spark.createDataFrame(list(rows.items()), "k long, v long"), n)
+        want |= rows
+        assert {r["k"]: r["v"] for r in table.read().collect()} == want
+    assert table.latest() == 10 and len(table._numbers("base")) <= 2 and len(table._numbers("delta")) <= 6
+    some = spark.createDataFrame([(3,), (29,), (500,)], "k long")
+    assert {r["k"]: r["v"] for r in table.read(keys=some).collect()} == {k: want[k] for k in (3, 29)}
+    files = table._fs.listStatus(table._path(f"{folder}/t/delta=10"))
+    assert sum(f.isDirectory() for f in files) <= 3  # the last change wrote its own rows only
+
+
 def test_repeats_and_days(spark, data, folder):
     events = X.queue_events(spark, data)
     parts(events, f"{folder}/in", "seq")
@@ -75,7 +93,7 @@ def test_repeats_and_days(spark, data, folder):
 
 def test_scans_settle_alert_and_claim(spark, folder):
     at = "timestamp '2024-01-01'"
-    hosts, queue = streams.Versions(spark, f"{folder}/hosts"), streams.Versions(spark, f"{folder}/queue")
+    hosts, queue = streams.host_table(spark, f"{folder}/hosts"), streams.queue_table(spark, f"{folder}/queue")
     hosts.write(spark.sql(f"select * from values ('h1', '1', 'a.example.com', 'unreachable', 'unknown', {at}), ('h2', '1', 'b.example.com', 'alive', 'web', {at}) t(id, pattern_id, fqdn, status, type, last_seen_at)"), 0)
     rows = f"('q1', 'h1', 'https://a.example.com', 'certificate', 'processing', 0, {at}, {at}), ('q2', 'h2', 'https://b.example.com', 'discovery', 'processing', 0, {at}, {at}), ('q3', 'h2', 'https://b.example.com/x', 'discovery', 'pending', 0, {at}, {at})"
     queue.write(spark.sql(f"select * from values {rows} t(id, host_id, url, source, status, retry_count, created_at, updated_at)"), 0)
@@ -97,7 +115,7 @@ def test_completed_jobs_are_digested(spark, data, folder):
 
     jobs = X.jobs(spark, data)
     stats = registry.job_completion_stats_exact(spark, data)
-    kept = streams.Versions(spark, f"{folder}/jobs")
+    kept = streams.job_table(spark, f"{folder}/jobs")
     ids = jobs.filter("status = 'completed'").select("id").limit(2).collect()
     batch = spark.createDataFrame([(1, ids[0]["id"], "running"), (2, ids[0]["id"], "completed"), (3, ids[1]["id"], "running")], "seq long, job_id string, status string").withColumn("at", X.as_of())
     streams.digest_job_states(kept, f"{folder}/digests", jobs, stats, X.as_of())(batch, 0)

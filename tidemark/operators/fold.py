@@ -66,17 +66,31 @@ def delete_patterns(ids: DataFrame, hosts: DataFrame, services: DataFrame, queue
     }
 
 
+def job_marks(events: DataFrame) -> DataFrame:
+    """(job_id, last, began, ended) of events(seq, job_id, status, at): the latest status, start and end, each with its seq, so that they fold on."""
+    ends = F.col("status").isin("completed", "failed", "timeout")
+    moment = F.struct(F.col("seq").cast("long").alias("seq"), "at")
+    return events.groupBy("job_id").agg(
+        F.max(F.struct(F.col("seq").cast("long").alias("seq"), "status")).alias("last"), F.max(F.when(F.col("status") == "running", moment)).alias("began"), F.max(F.when(ends, moment)).alias("ended")
+    )
+
+
+def fold_job_marks(old: DataFrame | None, events: DataFrame) -> DataFrame:
+    """The marks of jobs after further events; only the jobs of old and of the events, not their history, are read."""
+    new = job_marks(events)
+    return new if old is None else old.unionByName(new).groupBy("job_id").agg(*[F.max(c).alias(c) for c in ("last", "began", "ended")])
+
+
+def states_of(marks: DataFrame) -> DataFrame:
+    return marks.select("job_id", F.col("last.status").alias("status"), F.col("began.at").alias("started_at"), F.col("ended.at").alias("completed_at"))
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """(job_id, status, started_at, completed_at) after events(seq, job_id, status, at).
 
     A later `running` sets the start anew, and nothing forbids it after an end.
     """
-    ends = F.col("status").isin("completed", "failed", "timeout")
-    return events.groupBy("job_id").agg(
-        F.max_by("status", "seq").alias("status"),
-        F.max_by("at", F.when(F.col("status") == "running", F.col("seq"))).alias("started_at"),
-        F.max_by("at", F.when(ends, F.col("seq"))).alias("completed_at"),
-    )
+    return states_of(job_marks(events))
 
 
 def insert_jobs(jobs: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:

@@ -74,6 +74,23 @@ def admit(events: DataFrame) -> DataFrame:
     return out.withColumn("retries", F.sum((F.col("kind") == "fail").cast("int")).over(since)).drop("era")
 
 
+def busy_after(events: DataFrame) -> DataFrame:
+    """(key, busy) after events(key, seq, kind): whether an enqueue or a start came after the last ok or fail."""
+    begin, end = (F.max(F.when(F.col("kind").isin(*kinds), F.col("seq"))) for kinds in (("enqueue", "start"), ("ok", "fail")))
+    return events.groupBy("key").agg(begin.alias("begin"), end.alias("end")).select("key", F.coalesce(F.col("begin") > F.coalesce("end", F.lit(-(1 << 63))), F.lit(False)).alias("busy"))
+
+
+def admit_after(busy: DataFrame | None, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, seq) of the admitted enqueues of events(key, seq, kind), and which keys are busy after them.
+
+    busy(key, busy) says which keys were busy before; their work counts as started before all events.
+    """
+    every = events.select("key", "seq", "kind")
+    if busy is not None:
+        every = busy.filter("busy").select("key", F.lit(-(1 << 62)).alias("seq"), F.lit("start").alias("kind")).unionByName(every)
+    return admit(every).filter("admitted").select("key", "seq"), busy_after(every)
+
+
 def replay(events: DataFrame) -> DataFrame:
     """Current queue rows (key, url, host_id, status, retry_count, created_at, updated_at) after events(key, seq, kind, at).
 

@@ -21,6 +21,9 @@ SERVICES = (
 JOBS = "id string, pattern_id string, mode string, status string, external_id string, started_at timestamp, completed_at timestamp, created_at timestamp"
 QUEUE = "id string, host_id string, url string, source string, status string, retry_count int, created_at timestamp, updated_at timestamp"
 
+JOB_MARKS = "job_id string, last struct<seq:bigint,status:string>, began struct<seq:bigint,at:timestamp>, ended struct<seq:bigint,at:timestamp>"
+BUSY_KEYS = "key long, busy boolean"
+
 DISCOVERY_FEED = "job_id string, host struct<fqdn:string,ip:string,cdn:string,dns:string,ports:string>"
 CERTIFICATE_FEED = "url string"
 JOB_STATUS_FEED = "seq long, job_id string, status string, at timestamp"

@@ -1,49 +1,119 @@
 """The inventory's folds over Structured Streaming sources.
 
-Each stream hands its micro-batches to the batch operators. State is a versioned folder of Parquet: a batch
-reads the newest version, folds, writes the next one and only then marks it, so a batch that runs again
-after a failure finds its version marked and changes nothing.
+Each stream hands its micro-batches to the batch operators. State is a folder of Parquet in versions: a batch reads
+the rows of the keys that it names, folds them, writes what changed as the next version and only then marks it, so a
+batch that runs again after a failure finds its version marked and changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import scalars as S
 from ..operators import fold, lifecycle, match, payloads, workqueue
 from ..operators import jobs as job_ops
-from ..sources import feeds
+from ..sources import feeds, schemas
 
 Batch = Callable[[DataFrame, int], None]
 
 
 class Versions:
-    """Versions of one table below a folder: `v=<n>/` holds a snapshot; it counts once `done/<n>` exists.
+    """Versions of one table of the given schema, whose rows have a key, below a folder.
+
+    `delta=<n>/` holds the rows that version n changed, dealt out to buckets by the column `bucket_by`; `base=<n>/` the
+    whole table. A version counts once `done/<n>` exists. Every `compact_every` versions a base is written; the last
+    two bases and what came after them stay. Reading takes the newest row of each key, of the wanted buckets alone.
 
     Version 0 is the state before the first batch where a table starts with rows: batch n then writes n + 1.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str, bucket_by: str | None = None, buckets: int = 8, compact_every: int = 8):
+        self.spark, self.folder, self.key, self.bucket_by = spark, folder.rstrip("/"), key, bucket_by or key
+        self.schema, self.buckets, self.compact_every = StructType.fromDDL(schema), buckets, compact_every
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _numbers(self, kind: str) -> list[int]:
+        """Versions with a whole delta, base or mark."""
+        if not self._fs.exists(self._path(self.folder if kind != "done" else f"{self.folder}/done")):
+            return []
+        if kind == "done":
+            return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(self._path(f"{self.folder}/done")))
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.folder))]
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=") and self._fs.exists(self._path(f"{self.folder}/{n}/_SUCCESS")))
+
     def latest(self) -> int:
-        done = self._path(f"{self.folder}/done")
-        return max([int(f.getPath().getName()) for f in self._fs.listStatus(done)], default=-1) if self._fs.exists(done) else -1
+        return max(self._numbers("done"), default=-1)
 
-    def read(self, version: int | None = None) -> DataFrame | None:
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column)), F.lit(self.buckets)).cast("int")
+
+    def read(self, version: int | None = None, keys: DataFrame | None = None) -> DataFrame | None:
+        """The table as of a version; with keys, a table with the column `bucket_by`, only the rows that have one of its values."""
         n = self.latest() if version is None else version
-        return self.spark.read.parquet(f"{self.folder}/v={n}") if n >= 0 else None
+        return None if n < 0 else self._rows(n, keys)
+
+    def _rows(self, n: int, keys: DataFrame | None = None) -> DataFrame:
+        base = max([b for b in self._numbers("base") if b <= n], default=-1)
+        parts = [("base", base)] * (base >= 0) + [("delta", m) for m in self._numbers("delta") if base < m <= n]
+        schema = StructType([*self.schema.fields, StructField("bucket", IntegerType())])
+        wanted = None if keys is None else [r["b"] for r in keys.select(self._bucket(self.bucket_by).alias("b")).distinct().collect()]
+        rows = self.spark.createDataFrame([], schema).withColumn("version", F.lit(-1))
+        for kind, m in parts:
+            part = self.spark.read.schema(schema).parquet(f"{self.folder}/{kind}={m}")
+            rows = rows.unionByName((part if wanted is None else part.filter(F.col("bucket").isin(wanted))).withColumn("version", F.lit(m)))
+        if keys is not None:
+            rows = rows.join(keys.select(self.bucket_by).distinct(), self.bucket_by, "left_semi")
+        if len(parts) > 1:
+            rows = rows.groupBy(self.key).agg(F.max_by(F.struct(*[c for c in self.schema.names if c != self.key]), "version").alias("row")).select(self.key, "row.*")
+        return rows.select(*self.schema.names)
+
+    def _put(self, rows: DataFrame, kind: str, version: int) -> None:
+        held = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        bucketed = rows.select(*held).withColumn("bucket", self._bucket(self.bucket_by))
+        bucketed.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{kind}={version}")
+
+    def _mark(self, version: int) -> None:
+        self._fs.create(self._path(f"{self.folder}/done/{version}"), True).close()
 
     def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
-        self._fs.create(self._path(f"{self.folder}/done/{version}"), True).close()
+        """A version with these rows alone."""
+        self._put(rows, "base", version)
+        self._mark(version)
+
+    def change(self, rows: DataFrame, version: int) -> None:
+        """A version that replaces or adds the rows of these keys; missing columns are null."""
+        self._put(rows, "delta", version)
+        bases = self._numbers("base")
+        if version - max(bases, default=-1) >= self.compact_every:
+            self._put(self._rows(version), "base", version)
+            bases = self._numbers("base")
+        self._mark(version)
+        for kind in ("base", "delta"):
+            for n in self._numbers(kind) if len(bases) > 2 else ():
+                if n < bases[-2] or kind == "delta" and n == bases[-2]:
+                    self._fs.delete(self._path(f"{self.folder}/{kind}={n}"), True)
+
+
+def host_table(spark: SparkSession, folder: str) -> Versions:
+    return Versions(spark, folder, schemas.HOSTS, "fqdn")
+
+
+def queue_table(spark: SparkSession, folder: str) -> Versions:
+    return Versions(spark, folder, schemas.QUEUE, "id", "url")
+
+
+def job_table(spark: SparkSession, folder: str) -> Versions:
+    return Versions(spark, folder, schemas.JOB_MARKS, "job_id")
+
+
+def busy_table(spark: SparkSession, folder: str) -> Versions:
+    return Versions(spark, folder, schemas.BUSY_KEYS, "key")
 
 
 def start(rows: DataFrame, batch: Batch, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -56,38 +126,51 @@ def fold_discoveries(hosts: Versions) -> Batch:
 
     def run(batch: DataFrame, number: int) -> None:
         if number > hosts.latest():
-            old = hosts.read()
-            hosts.write(fold.upsert_hosts(None if old is None else old.drop("seq"), batch), number)
+            hosts.change(fold.upsert_hosts(hosts.read(keys=batch), batch), number)
 
     return run
 
 
-def ingest_certificates(hosts: Versions, queue: Versions, patterns: DataFrame) -> Batch:
+def ingest_certificates(hosts: Versions, queue: Versions, patterns: DataFrame, as_of: Column) -> Batch:
     """Inserts hosts of matched certificate URLs and offers the URLs to the queue."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         if number <= queue.latest():
             return
+        named = batch.withColumn("fqdn", S.url_host("url"))
         # a batch that wrote its hosts but not its queue starts from the hosts before it
-        known = hosts.read(min(hosts.latest(), number - 1))
-        known = spark.createDataFrame([], "id string, pattern_id string, fqdn string, status string, type string, last_seen_at timestamp, created_at timestamp") if known is None else known
-        waiting = queue.read()
-        waiting = spark.createDataFrame([], "id string, host_id string, url string, source string, status string, retry_count int, created_at timestamp, updated_at timestamp") if waiting is None else waiting
-        done = match.ingest_certificates(batch, patterns, known, waiting, F.expr("TIMESTAMP '2024-02-01'"))
-        hosts.write(known.unionByName(done["new_hosts"]), number)
-        queue.write(waiting.unionByName(done["offers"]), number)
+        known = hosts.read(min(hosts.latest(), number - 1), named)
+        known = batch.sparkSession.createDataFrame([], hosts.schema) if known is None else known
+        waiting = queue.read(keys=batch)
+        waiting = batch.sparkSession.createDataFrame([], queue.schema) if waiting is None else waiting
+        done = match.ingest_certificates(batch, patterns, known, waiting, as_of)
+        hosts.change(done["new_hosts"], number)
+        queue.change(done["offers"], number)
 
     return run
 
 
 def fold_job_states(jobs: Versions) -> Batch:
-    """Keeps every status event and the folded job states over all of them."""
+    """Folds status events into the marks of their jobs."""
 
     def run(batch: DataFrame, number: int) -> None:
         if number > jobs.latest():
-            old = jobs.read()
-            jobs.write(batch if old is None else old.unionByName(batch), number)
+            jobs.change(fold.fold_job_marks(jobs.read(keys=batch), batch), number)
+
+    return run
+
+
+def admit_events(busy: Versions, admitted: str) -> Batch:
+    """Writes the admitted enqueues of each batch of events(key, seq, kind) to a folder of the batch, and which keys are busy after it.
+
+    Batches come in the order of seq, as far as a key is concerned.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        if number > busy.latest():
+            first, after = workqueue.admit_after(busy.read(keys=batch), batch)
+            first.write.mode("overwrite").parquet(f"{admitted}/batch={number}")
+            busy.change(after, number)
 
     return run
 
@@ -117,18 +200,20 @@ def process_scans(queue: Versions, hosts: Versions, alerts: str, patterns: DataF
         version = number + 1
         if version <= queue.latest():
             return
-        rows, known = queue.read(number), hosts.read(number)
+        rows = queue.read(number)
         results = feeds.classify_scans(batch).withColumnRenamed("queue_id", "id")
         scanned = results.join(rows.select("id", "url", "host_id", "source"), "id")
+        known = hosts.read(number, scanned.select(S.url_host("url").alias("fqdn")))
         alive = lifecycle.apply_scans(scanned.select("seq", "host_id", "outcome", "at"), known)
         found = scanned.filter("outcome = 'ok' and source = 'certificate'").join(known.select(F.col("id").alias("host_id"), "status", "pattern_id"), "host_id").filter("status = 'unreachable'")
         value = patterns.select(F.col("id").alias("pattern_id"), F.col("value").alias("pattern_value"))
         parts = {c: F.to_json(F.try_variant_get(S.json_value("body"), f"$.{c}", "variant")) for c in ("chain", "technologies", "metadata")}
         told = payloads.alert_payload(found.join(value, "pattern_id").withColumns(parts), as_of)
         told.write.mode("overwrite").json(f"{alerts}/batch={number}")
-        hosts.write(alive, version)
+        hosts.change(alive, version)
         settled = workqueue.settle(rows, results.select("id", "outcome"), as_of)
-        queue.write(workqueue.claim(workqueue.recover(settled, as_of), workers, as_of), version)
+        claimed = workqueue.claim(workqueue.recover(settled, as_of), workers, as_of)
+        queue.change(claimed.filter(F.col("updated_at") == as_of), version)  # every change sets the time
 
     return run
 
@@ -145,36 +230,6 @@ def daily_activity(events: DataFrame, at: str = "at", delay: str = "1 day") -> D
     return timed.groupBy(F.window(at, "1 day")["start"].alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-class QueueProcessor(StatefulProcessor):
-    """Queue state of each key over events(key, seq, kind): emits every admitted enqueue.
-
-    A key is busy from an admitted enqueue or a start until ok or fail; events of a batch are taken by seq.
-    """
-
-    def init(self, handle) -> None:
-        self.busy = handle.getValueState("busy", "busy boolean, retries int")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        busy, retries = self.busy.get() if self.busy.exists() else (False, 0)
-        out = []
-        for seq, kind in sorted((int(s), k) for pdf in rows for s, k in zip(pdf["seq"], pdf["kind"], strict=True)):
-            if kind == "enqueue" and not busy:
-                out.append((int(key[0]), seq))
-                retries = 0
-            retries += kind == "fail"
-            busy = kind in ("enqueue", "start") or (busy and kind not in ("ok", "fail"))
-        self.busy.update((busy, retries))
-        yield pd.DataFrame(out, columns=["key", "seq"])
-
-    def close(self) -> None:
-        pass
-
-
-def admitted(events: DataFrame) -> DataFrame:
-    """(key, seq) of admitted enqueues of a stream of events(key, seq, kind); needs the RocksDB state store."""
-    return events.groupBy("key").transformWithStateInPandas(QueueProcessor(), "key long, seq long", "Append", "None")
-
-
 def hosts_by_certificate(urls: DataFrame, patterns: DataFrame) -> DataFrame:
     """A stream of URLs with the host and first matching pattern: a stream-static equi-join on suffixes."""
     wanted = patterns.filter("active").select(F.col("id").alias("pattern_id"), "value", F.col("created_at").alias("pattern_created_at"))
