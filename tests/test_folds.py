@@ -160,3 +160,12 @@ def test_completion_statistics_join_no_start_with_every_host(spark):
             made.append(rows.get().value())
         todo += [node.children().apply(i) for i in range(node.children().size())]
     assert made and max(made) <= 6 * n
+
+
+def test_known_urls_are_the_newest(spark):
+    rows = spark.sql("select cast(id as string) id, 'h' || (id % 2) host_id, 'u' || id url, timestamp '2024-01-01' + make_dt_interval(0, id % 7) scanned_at from range(20)")
+    hosts = spark.sql("select 'h0' id union all select 'h1'")
+    got = [(r["host_id"], r["url"]) for r in lifecycle.known_urls(rows, hosts, 3).collect()]
+    newest = lambda host: sorted((n for n in range(20) if n % 2 == host), key=lambda n: (-(n % 7), str(n)))[:3]
+    assert sorted(got) == sorted((f"h{h}", f"u{n}") for h in (0, 1) for n in newest(h))
+    assert lifecycle.known_urls(rows, hosts).count() == 20

@@ -20,6 +20,8 @@ _PATTERNS = ", ".join(f"('{i}', '{v}', {str(a).lower()})" for i, v, a in PATTERN
 #: Derived tables by name, each with the names of those it reads.
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "pats": ((), f"SELECT id, value, active, TIMESTAMP '2024-01-01' + to_minutes(id::INTEGER) AS created_at FROM (VALUES {_PATTERNS}) t(id, value, active)"),
+    "track": ((), "SELECT s_suppkey::VARCHAR AS id, '*.s' || s_suppkey || '.example.com' AS value, s_acctbal > 0 AS active, TIMESTAMP '2024-01-01' + to_minutes((s_suppkey % 997)::INTEGER) AS created_at FROM supplier"),
+    "cust": ((), "SELECT c_custkey AS seq, 'c' || c_custkey || '.s' || (c_custkey % 150 + 1) || '.example.com' AS fqdn FROM customer"),
     "obs": (
         (),
         f"""SELECT page_id AS seq, url, {HOST} AS fqdn, CASE WHEN page_id % 10 <> 0 THEN '10.0.0.' || (page_id % 250) END AS ip,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import fold, jobs as J, lifecycle as L, listing, match, payloads, rollup, workqueue
-from ..sources import feeds, fixtures as X
+from ..sources import feeds, fixtures as X, scratch
+from ..streaming import streams
 from .oracle import HOST, sql, stamp, uuid_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +40,7 @@ def pattern_rollup(spark: SparkSession, d: str) -> DataFrame:
     return rollup.pattern_rollup(X.patterns(spark), X.hosts(spark, d))
 
 
-@query(f"SELECT 6::BIGINT AS patterns, {COUNTS} FROM host h WHERE pattern_id IS NOT NULL", "host")
+@query(f"SELECT (SELECT count(*) FROM pats) AS patterns, {COUNTS} FROM host h WHERE pattern_id IS NOT NULL", "host", "pats")
 def dashboard_totals(spark: SparkSession, d: str) -> DataFrame:
     return rollup.totals(pattern_rollup(spark, d))
 
@@ -127,9 +128,7 @@ def host_detail(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{LISTED} WHERE (host.created_at, fqdn) IS NOT NULL AND host.created_at < TIMESTAMP '2024-01-01 00:40:00' ORDER BY host.created_at DESC, id LIMIT 7", "host")
 def host_keyset_page(spark: SparkSession, d: str) -> DataFrame:
-    at = F.expr("TIMESTAMP '2024-01-01 00:40:00'")
-    rows = X.hosts(spark, d)
-    return _listed(rows.filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") > "~"))).orderBy(*listing.newest()).limit(7))
+    return _listed(listing.page_after(X.hosts(spark, d), F.expr("TIMESTAMP '2024-01-01 00:40:00'"), "~", 7))
 
 
 @query("SELECT seq, port, 'tcp' AS protocol, port || '/tcp' AS label, port_kind = 'web' AS web FROM obs WHERE port IS NOT NULL", "obs")
@@ -406,8 +405,8 @@ def queue_claim(spark: SparkSession, d: str) -> DataFrame:
     "qrow",
 )
 def queue_recover(spark: SparkSession, d: str) -> DataFrame:
-    last = X.load(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-    rows = workqueue.recover(_queue(spark, d), F.lit(last))
+    last = X.load(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
+    rows = workqueue.recover(_queue(spark, d).crossJoin(F.broadcast(last)), F.col("last"))
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("retry_count").alias("retries"))
 
 
@@ -442,18 +441,18 @@ def revalidate(spark: SparkSession, d: str) -> DataFrame:
     return L.revalidate(rows, X.probes(rows)).select("fqdn", "old_status", "status", "newly_dead", "offers_urls")
 
 
-OFFERED = "SELECT host_id, url FROM (SELECT r.id AS host_id, s.url, row_number() OVER (PARTITION BY r.id ORDER BY s.scanned_at DESC NULLS LAST, s.id) AS n FROM reval r JOIN svc s ON s.fqdn = r.fqdn WHERE r.dns_ok AND r.type = 'web') WHERE n <= 3"
+OFFERED = "SELECT host_id, url FROM (SELECT r.id AS host_id, s.url, row_number() OVER (PARTITION BY r.id ORDER BY s.scanned_at DESC NULLS LAST, s.id) AS n FROM reval r JOIN svc s ON s.fqdn = r.fqdn WHERE r.dns_ok AND r.type = 'web') WHERE n <= 1000"
 
 
 @query(OFFERED, "reval", "svc")
 def revalidation_urls(spark: SparkSession, d: str) -> DataFrame:
     rows = X.hosts(spark, d)
-    return L.known_urls(X.services(spark, d), L.revalidate(rows, X.probes(rows)).filter("offers_urls"), 3).select("host_id", "url")
+    return L.known_urls(X.services(spark, d), L.revalidate(rows, X.probes(rows)).filter("offers_urls")).select("host_id", "url")
 
 
 @query(
-    f"""SELECT 5::BIGINT AS patterns, 0::BIGINT AS new_hosts, (SELECT count(*) FROM reval WHERE status = 'alive' AND new_status = 'dead') AS newly_dead, (SELECT count(*) FROM ({OFFERED})) AS urls_offered, 60::BIGINT AS duration_seconds""",
-    "reval", "svc",
+    f"""SELECT (SELECT count(*) FROM pats WHERE active) AS patterns, 0::BIGINT AS new_hosts, (SELECT count(*) FROM reval WHERE status = 'alive' AND new_status = 'dead') AS newly_dead, (SELECT count(*) FROM ({OFFERED})) AS urls_offered, 60::BIGINT AS duration_seconds""",
+    "reval", "svc", "pats",
 )
 def revalidation_digest(spark: SparkSession, d: str) -> DataFrame:
     rows = X.hosts(spark, d)
@@ -573,11 +572,170 @@ def pattern_freshness(spark: SparkSession, d: str) -> DataFrame:
     return fold.stamp_patterns(X.patterns(spark).withColumns({"last_discovery_at": none, "last_revalidated_at": none}), runs).select("id", when("last_discovery_at"), when("last_revalidated_at"))
 
 
-@query("SELECT id, value FROM pats WHERE active ORDER BY created_at, id", "pats")
+@query("SELECT id, value FROM track WHERE active", "track")
 def active_patterns(spark: SparkSession, d: str) -> DataFrame:
-    used = X.hosts(spark, d).select(F.col("pattern_id").alias("id")).distinct()
-    rows = X.patterns(spark).filter("active").join(used.withColumn("used", F.lit(True)), "id", "left")
-    return rows.orderBy(*listing.oldest()).select("id", "value")
+    return X.tracked_patterns(spark, d).filter("active").orderBy(*listing.oldest()).select("id", "value")
+
+
+@query("SELECT fqdn, id AS pattern_id FROM cust JOIN track ON track.value = '*' || substr(fqdn, strpos(fqdn, '.')) WHERE active", "cust", "track")
+def customer_host_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return match.match_hosts(X.customer_hosts(spark, d), X.tracked_patterns(spark, d))
+
+
+@query(f"SELECT id, fqdn, url, code::VARCHAR AS status_code, title, {stamp('scanned_at')} AS scanned_at FROM svc WHERE page_id % 50 = 0", "svc")
+def service_detail(spark: SparkSession, d: str) -> DataFrame:
+    keys = X.load(spark, d, "pages").filter("page_id % 50 = 0").select(F.col("page_id").cast("string").alias("id"))
+    rows = listing.filtered_services(X.services(spark, d), X.hosts(spark, d))
+    return listing.by_keys(rows, keys, "id")[0].select("id", "fqdn", "url", "status_code", "title", when("scanned_at"))
+
+
+@query("SELECT fqdn FROM (SELECT fqdn FROM cust UNION ALL SELECT DISTINCT fqdn FROM obs) WHERE fqdn NOT IN (SELECT fqdn FROM host)", "cust", "obs", "host")
+def host_lookup_misses(spark: SparkSession, d: str) -> DataFrame:
+    keys = X.customer_hosts(spark, d).select("fqdn").union(X.observations(spark, d).select("fqdn").distinct())
+    return listing.by_keys(X.hosts(spark, d), keys, "fqdn")[1]
+
+
+@query(
+    """SELECT seq, CASE WHEN seq % 10 = 0 THEN 'no host' WHEN fqdn IN (SELECT fqdn FROM cust JOIN track ON track.value = '*' || substr(fqdn, strpos(fqdn, '.')) WHERE active) THEN 'new host' ELSE 'no pattern' END AS outcome FROM cust""",
+    "cust", "track",
+)
+def cert_ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of a batch of certificate URLs: every one meets a new host, no pattern or has no host."""
+    urls = X.customer_hosts(spark, d).select("seq", F.when(F.col("seq") % 10 == 0, "no url").otherwise(F.concat(F.lit("https://"), "fqdn")).alias("url"))
+    known, _, queue = _batches(spark, d)
+    got = match.ingest_certificates(urls, X.tracked_patterns(spark, d), known, queue, X.as_of())
+    new = urls.withColumn("fqdn", S.url_host("url")).join(got["new_hosts"].select("fqdn"), "fqdn").select("seq", F.lit("new host").alias("outcome"))
+    return new.unionByName(got["unmatched"].select("seq", F.lit("no pattern").alias("outcome"))).unionByName(got["rejects"].select("seq", F.col("reason").alias("outcome")))
+
+
+JOB_ID = uuid_of("(c_custkey % 4 + 1) || chr(1) || c_custkey")
+
+
+@query(f"SELECT {JOB_ID} AS id, (c_custkey % 4 + 1)::VARCHAR AS pattern_id, CASE WHEN c_custkey % 3 = 0 THEN 'intensive' ELSE 'normal' END AS mode, 'pending' AS status, CASE WHEN c_custkey % 2 = 0 THEN 'run-' || c_custkey END AS external_id FROM customer")
+def job_insert(spark: SparkSession, d: str) -> DataFrame:
+    """New jobs, every second of them launched and given its external id."""
+    n = F.col("c_custkey")
+    asked = X.load(spark, d, "customer").select(n.alias("seq"), (n % 4 + 1).cast("string").alias("pattern_id"), F.when(n % 3 == 0, "intensive").otherwise("normal").alias("mode"))
+    launched = asked.filter("seq % 2 = 0").select(S.stable_id("pattern_id", "seq").alias("id"), F.concat(F.lit("run-"), "seq").alias("external_id"))
+    rows = fold.attach_external_ids(fold.insert_jobs(X.jobs(spark, d), asked, X.as_of()), launched)
+    return rows.filter(F.col("created_at") == X.as_of()).select("id", "pattern_id", "mode", "status", "external_id")
+
+
+@query(
+    f"""SELECT h.fqdn, type, CASE WHEN last_ok IS NULL THEN CASE WHEN h.status = 'alive' AND last_fail IS NOT NULL THEN 'dead' ELSE h.status END WHEN last_fail > last_ok THEN 'dead' ELSE 'alive' END AS status,
+      {stamp('greatest(h.last_seen_at, seen)')} AS last_seen_at FROM host h LEFT JOIN (
+      SELECT fqdn, max(page_id) FILTER (WHERE page_id % 3 > 0) AS last_ok, max(page_id) FILTER (WHERE page_id % 3 = 0) AS last_fail, max(created_at) FILTER (WHERE page_id % 3 > 0) AS seen FROM svc GROUP BY fqdn) USING (fqdn)""",
+    "host", "svc",
+)
+def scan_applied_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts after a scan of each page, every third of which failed."""
+    tried = X.services(spark, d).select(F.col("id").cast("long").alias("seq"), "host_id", F.when(F.col("id").cast("long") % 3 == 0, "fail").otherwise("ok").alias("outcome"), F.col("created_at").alias("at"))
+    return L.apply_scans(tried, X.hosts(spark, d)).select("fqdn", "type", "status", when("last_seen_at"))
+
+
+@query(
+    """SELECT c_custkey AS seq, CASE c_custkey % 6 WHEN 0 THEN '10.1.' || (c_custkey % 256) || '.7' WHEN 2 THEN '2001:db8::' || (c_custkey % 10000) END AS ip, CASE WHEN c_custkey % 6 = 4 THEN 'unreachable' ELSE 'alive' END AS status FROM customer"""
+)
+def address_normalise(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses that can't be parsed become null, but say that the host is alive."""
+    n = F.col("c_custkey")
+    told = [F.concat(F.lit("10.1."), n % 256, F.lit(".7")), F.concat(F.lit("300.1.1."), n % 256), F.concat(F.lit("2001:db8::"), n % 10000), F.lit("not an address"), F.lit(None).cast("string"), F.lit("1.2.3")]
+    raw = F.element_at(F.array(*told), (n % 6 + 1).cast("int"))
+    return X.load(spark, d, "customer").select(n.alias("seq"), S.valid_ip(raw).alias("ip"), S.host_status(raw).alias("status"))
+
+
+@query(
+    """SELECT c_custkey AS seq, CASE c_custkey % 3 WHEN 0 THEN 'https://u' || c_custkey WHEN 1 THEN '' ELSE 'http://t' || c_custkey || ' https://u' || c_custkey END AS urls,
+      CASE c_custkey % 3 WHEN 1 THEN '53' ELSE '443' END AS udp, CASE c_custkey % 3 WHEN 1 THEN 'other' ELSE 'web' END AS type FROM customer"""
+)
+def udp_services(spark: SparkSession, d: str) -> DataFrame:
+    """Ports of both protocols: URLs of TCP ports come before those of UDP ports."""
+    n = F.col("c_custkey")
+    told = [
+        F.format_string('{"tcp":{"25":{"web":null}},"udp":{"443":{"web":"https://u%d"}}}', n), F.lit('{"udp":{"53":{"web":null}},"tcp":{}}'),
+        F.format_string('{"udp":{"443":{"web":"https://u%d"}},"tcp":{"80":{"web":"http://t%d"}}}', n, n),
+    ]
+    rows = X.load(spark, d, "customer").select(n.alias("seq"), F.element_at(F.array(*told), (n % 3 + 1).cast("int")).alias("ports"))
+    return rows.select("seq", F.array_join(S.web_urls("ports"), " ").alias("urls"), F.array_join(S.open_ports("ports", "udp"), ",").alias("udp"), S.host_type("ports").alias("type"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, coalesce(p.value, substr('pattern-' || o_custkey, 1, 8)) AS pattern_label FROM orders LEFT JOIN pats p ON 'pattern-' || p.id = 'pattern-' || o_custkey", "pats")
+def job_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs of patterns known or long gone: the latter are told by the first eight characters of the id."""
+    rows = X.load(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("pattern-"), "o_custkey").alias("pattern_id"))
+    return listing.labelled(rows, X.patterns(spark).withColumn("id", F.concat(F.lit("pattern-"), "id"))).select("id", "pattern_label")
+
+
+@query(
+    """SELECT least((SELECT count(*) FROM track WHERE active AND NOT (id::BIGINT % 40 = 1 AND id::BIGINT < 200)), greatest(0, 10 - (SELECT count(*) FROM track WHERE id::BIGINT % 40 = 1 AND id::BIGINT < 200)))::BIGINT AS launched""",
+    "track",
+)
+def launch_tally(spark: SparkSession, d: str) -> DataFrame:
+    """Launches of tracked patterns while the jobs of every 40th supplier below 200 are running."""
+    running = X.load(spark, d, "supplier").filter("s_suppkey % 40 = 1 and s_suppkey < 200").select(F.col("s_suppkey").cast("string").alias("pattern_id"), F.lit("running").alias("status"))
+    return J.launch_tally(J.admit_launches(X.tracked_patterns(spark, d), running))
+
+
+@query("SELECT fqdn, '{\"fqdn\":\"' || fqdn || '\",\"ip\":' || coalesce('\"' || ip || '\"', 'null') || ',\"cdn\":null}' AS body FROM host", "host")
+def host_json(spark: SparkSession, d: str) -> DataFrame:
+    return X.hosts(spark, d).select("fqdn", S.json_with_nulls("fqdn", "ip", "cdn").alias("body"))
+
+
+@query("SELECT seq, seq % 5 IN (0, 4) AS matches FROM cust", "cust")
+def pattern_predicate(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("seq")
+    own = F.concat(F.lit("*.s"), n % 150 + 1, F.lit(".example.com"))
+    tried = F.when(n % 5 == 0, own).when(n % 5 == 1, F.concat(F.lit("*.s"), n % 150 + 2, F.lit(".example.com"))).when(n % 5 == 2, "example.com").when(n % 5 == 3, F.concat(F.lit("*."), "fqdn")).otherwise("*.example.com")
+    return X.customer_hosts(spark, d).select("seq", S.matches_pattern("fqdn", tried).alias("matches"))
+
+
+@query(
+    """SELECT o_orderkey AS seq, (CASE o_orderkey % 6 WHEN 3 THEN 12 WHEN 4 THEN 10000 ELSE 1 END)::INTEGER AS page, (CASE o_custkey % 4 WHEN 1 THEN 7 WHEN 2 THEN 200 ELSE 50 END)::INTEGER AS per_page FROM orders"""
+)
+def page_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Paging requests as text: bad values give the defaults, great ones the caps."""
+    text = lambda values, n: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (n % len(values) + 1).cast("int"))
+    rows = X.load(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), text([None, "x", "0", "12", "99999", "-3"], F.col("o_orderkey")).alias("p"), text(["", "7", "201", "-50"], F.col("o_custkey")).alias("n"))
+    return rows.select("seq", S.page_number("p").alias("page"), S.page_size("n").alias("per_page"))
+
+
+@query("SELECT fqdn, id, status, type FROM host", "host")
+def table_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The table of hosts, written and read again by its schema."""
+    path = f"{scratch.shared_folder(spark)}/hosts"
+    X.hosts(spark, d).drop("seq").write.parquet(path)
+    return feeds.read_table(spark, path, "hosts").select("fqdn", "id", "status", "type")
+
+
+def _streamed(rows: DataFrame, batch: streams.Batch, folder: str) -> None:
+    streams.start(rows, batch, f"{folder}/checkpoint").awaitTermination()
+
+
+@query(f"SELECT fqdn, id, pattern_id, ip, status, type, {stamp('last_seen_at')} AS last_seen_at, {stamp('created_at')} AS created_at FROM host", "host")
+def stream_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as a stream of observations, folded into the table of hosts."""
+    folder = scratch.shared_folder(spark)
+    hosts = streams.host_table(spark, f"{folder}/hosts")
+    keep = streams.fold_discoveries(hosts)
+    _streamed(X.stream(spark, d, "pages").select("page_id", "url"), lambda pages, n: keep(X.matched(X.observed(pages)), n), folder)
+    return hosts.read().select("fqdn", "id", "pattern_id", "ip", "status", "type", when("last_seen_at"), when("created_at"))
+
+
+@query(f"SELECT DISTINCT url, {uuid_of('fqdn')} AS host_id, pattern_id, 'pending' AS status FROM obs JOIN matched USING (fqdn)", "obs", "matched")
+def stream_cert(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as a stream of certificate URLs: the queue and the hosts that it makes."""
+    folder = scratch.shared_folder(spark)
+    hosts, queue = streams.host_table(spark, f"{folder}/hosts"), streams.queue_table(spark, f"{folder}/queue")
+    _streamed(X.stream(spark, d, "pages").select(F.col("page_id").alias("seq"), "url"), streams.ingest_certificates(hosts, queue, X.patterns(spark), X.as_of()), folder)
+    return queue.read().select("url", "host_id", "status").join(hosts.read().select(F.col("id").alias("host_id"), "pattern_id"), "host_id")
+
+
+@query("SELECT key, seq FROM qera WHERE admitted", "qera")
+def stream_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of queue events: the enqueues that it admits."""
+    folder = scratch.shared_folder(spark)
+    _streamed(X.queue_kinds(X.stream(spark, d, "events")), streams.admit_events(streams.busy_table(spark, f"{folder}/busy"), f"{folder}/admitted"), folder)
+    return spark.read.schema("key long, seq long").parquet(f"{folder}/admitted").select("key", "seq")
 
 
 @query(f"SELECT pattern_id, id, fqdn, row_number() OVER (PARTITION BY pattern_id ORDER BY host.created_at, id)::INTEGER AS place FROM host WHERE pattern_id IS NOT NULL", "host")

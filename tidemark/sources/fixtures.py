@@ -25,6 +25,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, a folder or one file, as a stream of its files."""
+    reader, file = spark.readStream.schema(load(spark, sf_dir, name).schema), f"{name}.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{file}")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        return reader.option("pathGlobFilter", file).parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{file}")
+
+
 def after(minutes: F.Column, seconds: F.Column | None = None) -> F.Column:
     zero = F.lit(0)
     return F.expr(START) + F.make_interval(zero, zero, zero, zero, zero, minutes.cast("int"), F.lit(0) if seconds is None else seconds.cast("int"))
@@ -35,8 +44,25 @@ def patterns(spark: SparkSession) -> DataFrame:
     return rows.withColumn("created_at", after(F.col("id").cast("int")))
 
 
+def tracked_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern for every supplier; those in debt are inactive."""
+    key = F.col("s_suppkey")
+    value = F.concat(F.lit("*.s"), key, F.lit(".example.com"))
+    return load(spark, sf_dir, "supplier").select(key.cast("string").alias("id"), value.alias("value"), (F.col("s_acctbal") > 0).alias("active"), after(key % 997).alias("created_at"))
+
+
+def customer_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, fqdn): a host name for every customer, most below a supplier's pattern."""
+    key = F.col("c_custkey")
+    return load(spark, sf_dir, "customer").select(key.alias("seq"), F.concat(F.lit("c"), key, F.lit(".s"), key % 150 + 1, F.lit(".example.com")).alias("fqdn"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "pages").select("page_id", "url")
+    return observed(load(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def observed(p: DataFrame) -> DataFrame:
+    """Observations of pages(page_id, url)."""
     n = F.col("page_id")
     ip = F.when(n % 10 != 0, F.concat(F.lit("10.0.0."), n % 250))
     ports = F.when(n % 7 == 0, None).when(n % 3 == 0, '{"tcp":{"22":{"web":null}},"udp":{}}').otherwise(F.concat(F.lit('{"tcp":{"443":{"web":"'), "url", F.lit('"}},"udp":{}}')))
@@ -46,8 +72,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = observations(spark, sf_dir)
-    return seen.join(match_hosts(seen, patterns(spark)), "fqdn", "left")
+    return matched(observations(spark, sf_dir))
+
+
+def matched(seen: DataFrame) -> DataFrame:
+    return seen.join(match_hosts(seen, patterns(seen.sparkSession)), "fqdn", "left")
 
 
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +123,13 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue_kinds(load(spark, sf_dir, "events"))
+
+
+def queue_kinds(events: DataFrame) -> DataFrame:
+    """Queue events of events(user_id, event_id, event_type, ts)."""
     kind = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "fail")
-    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at"))
-    return e.filter("kind is not null")
+    return events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at")).filter("kind is not null")
 
 
 def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
