@@ -20,7 +20,7 @@ def test_stages(spark, data, tmp_path):
     assert after.count() >= 0.97 * before.filter("text rlike '\\\\p{L}'").count()
     before, after = seen["near_dedup"]
     classes = near_dedup.near_duplicate_classes(before)
-    assert after.count() == classes.select("class_id").distinct().count() and near_dedup.near_duplicate_classes(after).filter("doc_id <> class_id").count() == 0
+    assert after.count() == classes.select("class_id").distinct().count() == after.select("doc_id").distinct().count() and near_dedup.near_duplicate_classes(after).filter("doc_id <> class_id").count() == 0
     before, after = seen["pii"]
     assert after.count() == before.count()
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
@@ -42,5 +42,19 @@ def test_odd_and_empty_tables(spark, data, odd, none, name):
     assert stage(spark, odd.select(columns), data).count() <= odd.count()
 
 
+def test_near_dedup_keeps_clean_rows_without_an_id(spark, data, odd):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = odd.select(columns).unionByName(odd.select(columns).filter("doc_id is null")).unionByName(odd.select(columns).filter("doc_id is null").withColumn("text", F.lit("another text")))
+    kept = dict(cp.STAGES)["near_dedup"](spark, rows, data).collect()
+    assert sorted(r["text"] for r in kept if r["doc_id"] is None) == ["another text", "text without an id 4041894974608795"]
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [1, 3, 4, 5, 6, 7, 8]
+
+
+def test_mixing_sees_the_predicted_language(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, "??").otherwise(F.col("lang")))
+    kept = dict(cp.STAGES)["language_id"](spark, docs, data)
+    assert kept.filter("lang = '??'").count() == 0 and kept.columns == docs.columns
+
+
 def test_run_equals_its_stages(spark, data):
     assert cp.run(spark, data).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

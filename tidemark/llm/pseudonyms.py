@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import bounded_batches
+from .tables import bounded_batches, unused_name
 
 ROUNDS = 10
 _HEX = re.compile(r"(?=.*\d)[0-9a-f]{8,}")
@@ -267,10 +268,22 @@ def _settled(text: str, used: bytearray, kind: str, pattern: re.Pattern, pseudon
         new = pseudonym(m, key, back)
 
 
-def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with pseudonyms, and (start, end, kind) of the originals in code points, in order."""
-    if not _TRIGGER.search(text):
-        return text, []
+#: Digits of other scripts; they are read as the digits that they stand for.
+_FOREIGN_DIGIT = re.compile(r"(?![0-9])\d")
+
+
+def _in_script(original: str, new: str) -> str:
+    """new with digits as the original has them: all in its script where it has one, else each as that at its place."""
+    foreign = _FOREIGN_DIGIT.search(original)
+    if not foreign:
+        return new
+    zero = ord(foreign[0]) - unicodedata.decimal(foreign[0])
+    whole = not re.search("[0-9]", original)
+    return "".join(chr(zero + int(c)) if "0" <= c <= "9" and (whole or _FOREIGN_DIGIT.match(original[i : i + 1])) else c for i, c in enumerate(new))
+
+
+def _replacements(text: str, key: bytes, back: bool) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of the text's values, in order."""
     taken: list[tuple[int, int, str, str]] = []
     used = bytearray()
     for kind, marks, pattern, pseudonym in FORMATS:
@@ -286,12 +299,21 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
             used = used or bytearray(len(text))
             for start, end, _, _ in taken:
                 used[start:end] = b"\x01" * (end - start)
-    if not taken:
+    return sorted(taken)
+
+
+def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with pseudonyms, and (start, end, kind) of the originals in code points, in order.
+
+    Digits of any script are read as numbers; a pseudonym has its digits in the script of the original's.
+    """
+    plain = _FOREIGN_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+    if not _TRIGGER.search(plain):
         return text, []
-    taken.sort()
+    taken = _replacements(plain, key, back)
     out, at = [], 0
     for start, end, _, new in taken:
-        out += [text[at:start], new]
+        out += [text[at:start], _in_script(text[start:end], new)]
         at = end
     return "".join([*out, text[at:]]), [(s, e, k) for s, e, k, _ in taken]
 
@@ -314,7 +336,8 @@ def pseudonymise(documents: DataFrame, key: bytes, id_col: str = "doc_id", text_
 
 
 def with_pseudonyms(documents: DataFrame, key: bytes, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """documents with the text replaced, all other columns kept; length_col, if given, follows the new text."""
-    new = bounded_batches(documents).withColumn("__pseudonym", pseudonym(F.col(text_col), key))
-    columns = [F.col("__pseudonym.text").alias(c) if c == text_col else F.length("__pseudonym.text").cast("long").alias(c) if c == length_col else F.col(f"`{c}`") for c in documents.columns]
+    """documents with the text replaced, all other columns kept, whatever their names; length_col, if given, follows the new text."""
+    own = unused_name(documents, "pseudonym")
+    new = bounded_batches(documents).withColumn(own, pseudonym(F.col(text_col), key))
+    columns = [F.col(f"{own}.text").alias(c) if c == text_col else F.length(f"{own}.text").cast("long").alias(c) if c == length_col else F.col(f"`{c}`") for c in documents.columns]
     return new.select(*columns)

@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpoint_folder, shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one is made only where that is unset, as in tests."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder."""
-    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared checkpoint folder, so that later steps start from files."""
     checkpoint_folder(df.sparkSession)
@@ -52,15 +37,20 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows of one Arrow batch: texts may be long, and a worker holds a whole batch.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch: texts may be long, and a worker holds a whole batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, its session's Arrow batches limited to BATCH_ROWS rows where they were larger."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """df, its session's Arrow batches limited to BATCH_ROWS rows and about BATCH_BYTES where they were larger.
+
+    Spark reads these settings when a query runs, so they stay as they are set here.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        held = conf.get(f"spark.sql.execution.arrow.{name}").lower().removesuffix("b")
+        if not held.lstrip("-").isdigit() or not 0 < int(held) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df
 
 
