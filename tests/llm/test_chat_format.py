@@ -73,3 +73,11 @@ def test_a_long_conversation(spark):
     df = spark.range(3000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("hello").alias("text"))
     row = cf.read_back(cf.format_conversations(df)).first()
     assert (row["n_turns"], row["loss_chars"]) == (3000, 7500)
+
+
+def test_repeated_messages_and_clashing_names(spark):
+    rows = [("t", 1, None, "user", "q", 1.0), ("t", 1, None, "user", "q", 1.0), ("t", 2, 1, "assistant", "worse", 0.5), ("t", 2, 1, "assistant", "better", 2.0), ("t", None, 1, "user", "lost", 9.0), (None, 1, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"leaf": F.lit("x"), "rank": F.lit(9), "node": F.lit("y"), "n": F.lit(7)})
+    got = {r["tree"]: r for r in cf.format_trees(df, None).collect()}
+    assert got["t"]["formatted"] == f"{cf.TURN}user{cf.SAY}q{cf.END}{cf.TURN}assistant{cf.SAY}better{cf.END}" and got["t"]["score"] == 3.0
+    assert cf.format_trees(df.limit(0)).count() == 0

@@ -59,6 +59,35 @@ def test_many_trees_equal_one(spark, data):
     assert sorted(map(tuple, mtree.top_k(vectors, pivots=5, tree_rows=40).collect())) == one
 
 
+def test_queries_meet_trees_that_can_hold_a_result_only(spark, monkeypatch):
+    """Close clusters: the covering radii keep most queries from most trees, and with no routing the result is the same."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 3, (12, 8))
+    x = centres[np.arange(1200) % 12] + rng.normal(0, 0.02, (1200, 8))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    met, plain = [], mtree._searched
+
+    def counted(pairs, k):
+        met.append(pairs.selectExpr("sum(size(queries))").first()[0])
+        return plain(pairs, k)
+
+    monkeypatch.setattr(mtree, "_searched", counted)
+    routed = sorted(map(tuple, mtree.top_k(df, pivots=24, tree_rows=100).collect()))
+    monkeypatch.setattr(mtree, "ROUTED_TREES", 0)
+    assert sorted(map(tuple, mtree.top_k(df, pivots=24, tree_rows=100).collect())) == routed
+    assert met[1] < 0.5 * met[3]
+    whole = np.floor(256 * x).astype(np.int64)
+    assert routed == sorted((q, r + 1, -row, score) for q in range(0, 1200, 50) for r, (score, row) in enumerate(brute(np.arange(1200), whole, q, whole[q], 5)))
+
+
+def test_long_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (60, 6000))
+    got = mtree.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    whole = np.floor(256 * x).astype(np.int64)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted((q, r + 1, -row, score) for q in (0, 50) for r, (score, row) in enumerate(brute(np.arange(60), whole, q, whole[q], 5)))
+
+
 def test_odd_rows(spark):
     rows = [
         (0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, [0.5, 0.5], 2), (3, None, 1), (4, [], 1), (5, [None, 1.0], 1), (6, [float("nan"), 1.0], 1),

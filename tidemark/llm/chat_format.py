@@ -59,9 +59,17 @@ def paths(messages: DataFrame) -> DataFrame:
 def format_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """(tree, leaf, rank, score, formatted, loss): the `branches` best paths of each tree (None: all) as texts.
 
-    messages: tree, id, parent, role, text, score, unique by (tree, id); null roles and texts count as empty,
-    null scores as 0. Ties of score go to the smaller leaf. loss holds (start, end) in code points of formatted.
+    messages: tree, id, parent, role, text, score; null roles and texts count as empty, null scores as 0. Repeated
+    rows of one (tree, id) are one message, that of the greatest score, then the least text, role and parent; rows without a tree or an id are
+    left out. Other columns are not read; an empty table gives no rows. Ties of score go to the smaller leaf. loss holds (start, end) in code points of formatted.
     """
+    order = Window.partitionBy("tree", "id").orderBy(F.desc_nulls_last("score"), "text", "role", "parent")
+    messages = messages.select("tree", "id", "parent", "role", "text", "score").filter("id is not null").withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+    return _formatted(messages, branches)
+
+
+def _formatted(messages: DataFrame, branches: int | None) -> DataFrame:
+    """As format_trees, of messages unique by (tree, id)."""
     path = paths(messages)
     body = messages.select("tree", F.col("id").alias("node"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     ranked = path.join(body.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
@@ -95,7 +103,7 @@ def format_conversations(conversations: DataFrame, conv_col: str = "conv_id", tu
     rows = rows.withColumn("tree", F.to_json(F.struct("conv_id")))
     rows = rows.withColumn("id", F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text")).cast("long"))
     parent = F.when(F.col("id") > 1, F.col("id") - 1)
-    done = format_trees(rows.select("tree", "id", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score")), None)
+    done = _formatted(rows.select("tree", "id", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score")), None)
     return done.select(F.from_json("tree", f"conv_id {conversations.select(conv_col).schema[0].dataType.simpleString()}")["conv_id"].alias("conv_id"), "formatted", "loss")
 
 

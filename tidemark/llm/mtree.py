@@ -6,7 +6,7 @@ the nearest vectors are those of the greatest product. Vectors are dealt to tree
 nearest pivot (a bounded sample), large shares being dealt on by a hash of the id. A node keeps a routing
 object, a covering radius, and its entries' distances to the routing object, by which the triangle
 inequality rules entries out before any distance is worked out. Queries first search their own tree; the
-scores they find there bound the search of all other trees.
+scores they find there bound the search of all other trees, and keep them from trees whose covering radius they rule out.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .tables import cut
 
 PIVOTS, TREE_ROWS, QUERY_BLOCK, PAGE, FANOUT = 64, 4096, 256, 512, 8
+#: Up to this many routing objects of trees go to all tasks that pair queries with trees; with more, queries meet every tree and are ruled out there.
+ROUTED_TREES = 20_000
 
 
 class MTree:
@@ -54,6 +56,13 @@ class MTree:
         # products of doubles are exact as long as all sums stay below 2^53
         self.fast = vectors.astype(np.float64) if self.most < 1 << 50 else vectors
 
+    def __getstate__(self) -> dict:
+        return {name: held for name, held in self.__dict__.items() if name != "fast"}
+
+    def __setstate__(self, held: dict) -> None:
+        self.__dict__.update(held)
+        self.fast = self.x.astype(np.float64) if self.most < 1 << 50 else self.x
+
     def _distance(self, row: int, rows: np.ndarray) -> np.ndarray:
         gap = (self.x[rows] - self.x[row]).astype(np.float64)
         return np.sqrt(np.einsum("ij,ij->i", gap, gap) + (self.lift[rows] - self.lift[row]) ** 2)
@@ -155,6 +164,40 @@ def integers(vector: Column | str) -> Column:
     return F.when(fine & (F.size(column) > 0), F.transform(column, lambda x: F.floor(F.lit(256) * x.cast("double"))))
 
 
+_PAIRS = "tree string, block long, queries array<struct<id:bigint,v:array<bigint>,tree:string,floor:bigint>>, home boolean"
+
+
+def _paired(blocks: DataFrame, routing: list[tuple]) -> DataFrame:
+    """(tree, block, queries, home): for each block of queries and each tree those queries that its covering radius does not rule out.
+
+    blocks: (block, queries); routing: (tree, routing object, covering radius, greatest squared norm) of all trees.
+    """
+    by_length: dict[int, tuple] = {}
+    for n in {len(r[1]) for r in routing}:
+        mine = [r for r in routing if len(r[1]) == n]
+        by_length[n] = ([r[0] for r in mine], np.array([r[1] for r in mine], dtype=np.float64), np.array([r[2] for r in mine]), np.array([r[3] for r in mine], dtype=np.float64))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for block, queries in zip(pdf["block"], pdf["queries"], strict=True):
+                names, centres, radii, most = by_length[len(queries[0]["v"])]
+                q = np.stack([x["v"] for x in queries]).astype(np.float64)
+                own = np.einsum("ij,ij->i", q, q)
+                square = own[:, None] + most[None, :]
+                floor = np.array([-math.inf if x["floor"] is None or pd.isna(x["floor"]) else x["floor"] for x in queries])
+                apart = np.sqrt(np.maximum(square - 2 * q @ centres.T, 0)) - radii[None, :]
+                reach = np.sqrt(np.maximum(square - 2 * floor[:, None], 0))
+                close = apart <= reach * (1 + 1e-6) + 1e-6 * np.sqrt(square) + 1e-6  # room for rounding
+                out = []
+                for t in np.flatnonzero(close.any(axis=0)):
+                    some = [queries[i] for i in np.flatnonzero(close[:, t]) if queries[i]["tree"] != names[t]]
+                    if some:
+                        out.append((names[t], block, some, False))
+                yield pd.DataFrame(out, columns=["tree", "block", "queries", "home"])
+
+    return blocks.mapInPandas(run, _PAIRS)
+
+
 _FOUND = "query_id long, vec_id long, score long, home boolean"
 
 
@@ -190,7 +233,7 @@ def top_k(
 
     Candidates are all rows but those of the query's own id; ties go to the smaller id. Vectors that are
     null, empty or hold a null or non-finite component take no part, nor do null ids; a query meets only
-    vectors of its own length. Repeated rows count once. At most `pivots` vectors, those with the least md5
+    vectors of its own length. Repeated rows count once; an empty table gives no rows; other columns are not read. At most `pivots` vectors, those with the least md5
     of the id, are sampled as pivots.
     """
     base = embeddings.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col)).alias("v")).filter("id is not null and v is not null").distinct()
@@ -221,9 +264,10 @@ def top_k(
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(pdf["id"].to_numpy(), kind="stable")
         tree = MTree(pdf["id"].to_numpy()[order], np.stack(pdf["v"].to_list()).astype(np.int64)[order])
-        return pd.DataFrame({"tree": [key[0]], "blob": [pickle.dumps(tree)]})
+        routing, radius = tree.nodes[tree.root][:2]
+        return pd.DataFrame({"tree": [key[0]], "blob": [pickle.dumps(tree)], "centre": [tree.x[routing]], "radius": [radius], "most": [tree.most]})
 
-    trees = cut(placed.groupBy("tree").applyInPandas(build, "tree string, blob binary"))
+    trees = cut(placed.groupBy("tree").applyInPandas(build, "tree string, blob binary, centre array<bigint>, radius double, most long"))
     query = placed.filter(F.col("id") % every == 0).dropDuplicates(["id"])
     entry = F.struct("id", "v", "tree", "floor")
     at_home = query.withColumn("floor", F.lit(None).cast("long")).groupBy("tree").agg(F.collect_list(entry).alias("queries")).withColumn("home", F.lit(True))
@@ -232,8 +276,12 @@ def top_k(
     floors = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     blocks = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-query.count() // QUERY_BLOCK))))
     others = query.join(floors, "id", "left").groupBy("size", blocks.alias("block")).agg(F.collect_list(entry).alias("queries"))
-    spread = others.join(F.broadcast(shares), "size").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)))
-    spread = spread.select(name.alias("tree"), "block", "queries", F.lit(False).alias("home")).repartition("tree", "block")
+    held = trees.select("tree", "centre", "radius", "most")
+    if held.count() <= ROUTED_TREES:
+        spread = _paired(others.select(F.col("block").cast("long").alias("block"), "queries"), [tuple(r) for r in held.collect()])
+    else:
+        spread = others.join(shares, "size").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1))).select(name.alias("tree"), "block", "queries", F.lit(False).alias("home"))
+    spread = spread.repartition("tree", "block")
     second = _searched(trees.join(spread, "tree"), k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return first.union(second).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
