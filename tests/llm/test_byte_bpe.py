@@ -83,3 +83,12 @@ def test_equal_hashes_of_different_pieces(library, monkeypatch):
 def test_a_long_piece(library):
     rng = random.Random(7)
     check(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "=" * 30_000, "ab" * 5000], library)
+
+
+def test_texts_cut_into_parts(library, monkeypatch):
+    rng = random.Random(15)
+    monkeypatch.setattr(bb, "LONG_TEXT", 40)
+    monkeypatch.setattr(bb, "DECODE_TOKENS", 7)
+    texts = ["".join(rng.choice(["word", " ", "  ", "\n", "'s", "é", " x", "1", "日", "\u2003", "."]) for _ in range(rng.randint(0, 120))) for _ in range(300)]
+    assert any(len(list(bb.cut_text(t))) > 2 for t in texts) and all("".join(bb.cut_text(t)) == t for t in texts)
+    check(texts, library)

@@ -35,9 +35,12 @@ from .tables import bounded_batches
 SHORT_BYTES, SHORT_BATCH, LONG_BATCH = 48, 2_000, 200
 #: Pieces that a worker remembers, and the bytes of one; the memory starts anew beyond the former.
 REMEMBERED, REMEMBERED_BYTES = 500_000, 1024
-DECODE_TOKENS = 100_000
+DECODE_TOKENS = 50_000
+#: Longer texts are encoded in parts of about so many code points.
+LONG_TEXT = 1 << 19
+_BETWEEN = regex.compile(r"(?<=\S) (?=\S)")
 #: Memory of the queries; a batch of long pieces has as much more as its bytes need.
-MEMORY_MB, LONG_PIECE_BYTES = 150, 1500
+MEMORY_MB, LONG_PIECE_BYTES = 100, 1500
 
 # Rows of all rounds; a piece's rows of its last round are its tokens. k is piece << 8 | position.
 _CONTRACT_ONE = """
@@ -130,6 +133,15 @@ def split_pieces(points: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> t
     return s[order], e[order]
 
 
+def cut_text(text: str, size: int | None = None) -> Iterator[str]:
+    """The text in parts of about `size` code points, cut before a space between two marks that are none: every piece lies in one part."""
+    size, first = size or LONG_TEXT, 0
+    while m := _BETWEEN.search(text, first + size):
+        yield text[first : m.start()]
+        first = m.start()
+    yield text[first:]
+
+
 def _equal(left: np.ndarray, begin: np.ndarray, end: np.ndarray, right: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Which spans of left have the bytes of their spans of right."""
     size = end - begin
@@ -286,6 +298,14 @@ class _Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if all(len(t) <= LONG_TEXT for t in texts):
+            return self._encode(texts)
+        out: list[bytes] = []
+        for text in texts:
+            out.append(b"".join(ids for part in cut_text(text) for ids in self._encode([part])))
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for first, parts in tk.chunks(texts, 1 << 19):
             mine = texts[first : first + len(parts)]
@@ -308,23 +328,18 @@ class _Vocabulary:
         return out
 
     def decode(self, texts: list[bytes]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        out = [b""] * len(texts)
-        first = 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and (last == first or size + len(texts[last]) // 4 <= DECODE_TOKENS):
-                size += len(texts[last]) // 4
-                last += 1
-            counts = np.array([len(t) // 4 for t in texts[first:last]])
-            ids = np.frombuffer(b"".join(texts[first:last]), dtype="<u4").astype(np.int64)
-            rows = pa.table({"doc": np.repeat(np.arange(first, last), counts), "pos": np.arange(len(ids)), "tok": ids})
-            self.db.register("tokens", rows)
+        """The bytes of each list of ids, worked out by a bounded number of ids at a time."""
+        out: list[list[str]] = [[] for _ in texts]
+        ids = np.frombuffer(b"".join(texts), dtype="<u4")
+        ends = np.cumsum([len(t) // 4 for t in texts])
+        for first in range(0, len(ids), DECODE_TOKENS):
+            some = ids[first : first + DECODE_TOKENS].astype(np.int64)
+            place = np.arange(first, first + len(some))
+            self.db.register("tokens", pa.table({"doc": np.searchsorted(ends, place, side="right"), "pos": place, "tok": some}))
             for doc, text in self.db.execute(_DECODE).fetchall():
-                out[doc] = text.encode("latin-1")
+                out[doc].append(text)
             self.db.unregister("tokens")
-            first = last
-        return out
+        return ["".join(parts).encode("latin-1") for parts in out]
 
 
 _loaded: dict[str, _Vocabulary] = {}

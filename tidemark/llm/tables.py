@@ -38,7 +38,7 @@ def unused_name(df: DataFrame, name: str) -> str:
 
 
 #: Rows and bytes of one Arrow batch: texts may be long, and a worker holds a whole batch.
-BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
