@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id as li
@@ -36,3 +38,31 @@ def test_odd_rows(spark, data, odd, none):
     empty = li.train(none)
     assert empty.languages == [] and li.identify(odd, empty).filter("lang_pred <> 'und'").count() == 0
     assert li.identify(none, model).count() == 0
+
+
+def plain_prediction(model, text):
+    """The method said once more, a subword at a time."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data, out = f" {text.lower()} ".encode("utf-8", "surrogatepass"), []
+    kept = []
+    for b in data:
+        b = b if b >= 0x80 or chr(b).isalpha() else 0x20
+        if b != 0x20 or not kept or kept[-1] != 0x20:
+            kept.append(b)
+    for n in (2, 3, 4):
+        for i in range(len(kept) - n + 1):
+            value = sum(kept[i + j] << 8 * j for j in range(n))
+            out.append(((value ^ n) * 2654435761 & 0xFFFFFFFF) >> (32 - model.bits))
+    logits = (sum(model.table[r] for r in out) / max(len(out), 1) + model.bias) / model.temperature
+    p = np.exp(logits - logits.max())
+    return model.languages[int(p.argmax())], float(p.max() / p.sum())
+
+
+def test_predictions_equal_the_plain_method(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = li.train(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in li.identify(docs, model).collect():
+        lang, score = plain_prediction(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-6) and r["rejected"] == (lang == "und" or r["score"] < model.reject_below)

@@ -139,3 +139,14 @@ def test_rows_that_match_in_odd_tables(spark):
     rows = [(1, "Released under the MIT License.", 9, "x"), (1, "Released under the MIT License.", 9, "x"), (None, "Released under the MIT License.", 9, "x")]
     got = ls.scan(spark.createDataFrame(rows, "doc_id long, text string, coverage int, license string")).collect()
     assert sorted((r["doc_id"] or 0, r["license"], r["coverage"], r["span"]) for r in got) == [(i, "MIT-line", 1.0, "released under the mit license") for i in (0, 1, 1)]
+
+
+def test_spans_and_coverage_of_the_data(spark, data):
+    """Every match's words are those of a longest common subsequence of its template and its span, which ends on matched words."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = ls.scan(spark.read.parquet(f"{data}/documents.parquet")).collect()
+    assert got
+    for r in got:
+        template, text = words(ls.TEMPLATES[r["license"]]), words(docs[r["doc_id"]])[r["start_word"] : r["end_word"]]
+        assert r["n_matched"] == lcs(template, text) and r["n_template"] == len(template) and r["coverage"] == r["n_matched"] / len(template) >= 0.8
+        assert text[0] in template and text[-1] in template and (words(r["span"]) == text).all()
