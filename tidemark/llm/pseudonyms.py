@@ -307,7 +307,9 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
 
     Digits of any script are read as numbers; a pseudonym has its digits in the script of the original's.
     """
-    plain = _FOREIGN_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+    plain = text
+    if not text.isascii() and any(c > "\x7f" and c.isdecimal() for c in set(text)):
+        plain = _FOREIGN_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
     if not _TRIGGER.search(plain):
         return text, []
     taken = _replacements(plain, key, back)
