@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, html_main_text, language_id, license_scan, mixing, mtree, near_dedup, pseudonyms, quality_rules
+from . import byte_bpe, chat_format, exact_dedup, html_main_text, language_id, license_scan, mixing, mtree, near_dedup, pseudonyms, quality_rules
 from .tables import table
 
 #: Stands for the secret key that a caller passes.
@@ -64,8 +64,12 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_near_dedup, op3_top_k, op4_chat_format, op5_quality_rules, op6_mixing, op7_html_main_text, op8_language_id, op9_byte_bpe, op10_pseudonyms]
+    found = [op1_license_scan, op2_near_dedup, op3_top_k, op4_chat_format, op5_quality_rules, op6_mixing, op7_html_main_text, op8_language_id, op9_byte_bpe, op10_pseudonyms, op13_exact_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -170,5 +174,13 @@ def _op6() -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(p * 10000)::BIGINT AS probability_bp, {draw} < p AS sampled FROM j"
 
 
+_OP13 = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": _OP3, "op4_chat_format": _OP4, "op5_quality_rules": _OP5, "op6_mixing": _op6()}
+    return {"op3_top_k": _OP3, "op4_chat_format": _OP4, "op5_quality_rules": _OP5, "op6_mixing": _op6(), "op13_exact_dedup": _OP13}
