@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, html_main_text, language_id, license_scan, mixing, mtree, near_dedup, pseudonyms, quality_rules
+from . import byte_bpe, chat_format, exact_dedup, html_main_text, importance, language_id, license_scan, mixing, mtree, near_dedup, pseudonyms, quality_rules
 from .tables import table
 
 #: Stands for the secret key that a caller passes.
@@ -64,12 +64,17 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_near_dedup, op3_top_k, op4_chat_format, op5_quality_rules, op6_mixing, op7_html_main_text, op8_language_id, op9_byte_bpe, op10_pseudonyms, op13_exact_dedup]
+    found = [op1_license_scan, op2_near_dedup, op3_top_k, op4_chat_format, op5_quality_rules, op6_mixing, op7_html_main_text, op8_language_id, op9_byte_bpe, op10_pseudonyms, op12_importance, op13_exact_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -174,6 +179,39 @@ def _op6() -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(p * 10000)::BIGINT AS probability_bp, {draw} < p AS sampled FROM j"
 
 
+_OP12 = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS byte
+), texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark
+), split AS (
+  SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts
+), placed AS (
+  SELECT side, r, unnest(words) AS a, unnest(words[2:] || [NULL]) AS b, unnest(words[3:] || [NULL, NULL]) AS c FROM split WHERE len(words) > 0
+), runs AS (
+  SELECT side, r, a AS run FROM placed UNION ALL SELECT side, r, a || ' ' || b FROM placed WHERE b IS NOT NULL UNION ALL SELECT side, r, a || ' ' || b || ' ' || c FROM placed WHERE b IS NOT NULL AND c IS NOT NULL
+), hexed AS (
+  SELECT run, hex(encode(run)) AS h FROM (SELECT DISTINCT run FROM runs)
+), hashed AS (
+  SELECT run, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda c, b: xor(c >> 8, byte[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hexed, crc
+), told AS (
+  SELECT side, r, bucket, count(*) AS n FROM runs JOIN hashed USING (run) GROUP BY ALL
+), counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 't'), 0)::DOUBLE AS t FROM told GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS g FROM counts
+), weighed AS (
+  SELECT r, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM told JOIN gain USING (bucket) WHERE side = 'd' GROUP BY r
+), scored AS (
+  SELECT doc_id, len(words) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM split LEFT JOIN weighed USING (r) WHERE side = 'd'
+), ranked AS (
+  SELECT *, CASE WHEN fit THEN row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) END AS rank, 5 * count(*) FILTER (WHERE fit) OVER () // 100 AS wanted FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= wanted THEN rank END AS rank FROM ranked
+"""
+
 _OP13 = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -183,4 +221,4 @@ FROM t WINDOW w AS (PARTITION BY norm)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": _OP3, "op4_chat_format": _OP4, "op5_quality_rules": _OP5, "op6_mixing": _op6(), "op13_exact_dedup": _OP13}
+    return {"op3_top_k": _OP3, "op4_chat_format": _OP4, "op5_quality_rules": _OP5, "op6_mixing": _op6(), "op12_importance": _OP12, "op13_exact_dedup": _OP13}
