@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, html_main_text, importance, language_id, license_scan, mixing, mtree, near_dedup, pseudonyms, quality_rules
+from . import byte_bpe, chat_format, exact_dedup, html_main_text, importance, language_id, lexical_search, license_scan, mixing, mtree, near_dedup, pseudonyms, quality_rules
 from .tables import table
 
 #: Stands for the secret key that a caller passes.
@@ -64,6 +64,10 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -74,7 +78,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_near_dedup, op3_top_k, op4_chat_format, op5_quality_rules, op6_mixing, op7_html_main_text, op8_language_id, op9_byte_bpe, op10_pseudonyms, op12_importance, op13_exact_dedup]
+    found = [op1_license_scan, op2_near_dedup, op3_top_k, op4_chat_format, op5_quality_rules, op6_mixing, op7_html_main_text, op8_language_id, op9_byte_bpe, op10_pseudonyms, op11_lexical_search, op12_importance, op13_exact_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -179,6 +183,27 @@ def _op6() -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(p * 10000)::BIGINT AS probability_bp, {draw} < p AS sampled FROM j"
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), s AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0
+), tf AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, n_docs
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL
+), m AS (
+  SELECT r, doc_id, 50 + (50 * len(terms)::BIGINT * n_docs) // n_terms AS m FROM d, s WHERE len(terms) > 0
+), scored AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank FROM scored WHERE score > 0)
+WHERE rank <= 50
+"""
+
 _OP12 = r"""
 WITH crc AS (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS byte
@@ -221,4 +246,4 @@ FROM t WINDOW w AS (PARTITION BY norm)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": _OP3, "op4_chat_format": _OP4, "op5_quality_rules": _OP5, "op6_mixing": _op6(), "op12_importance": _OP12, "op13_exact_dedup": _OP13}
+    return {"op3_top_k": _OP3, "op4_chat_format": _OP4, "op5_quality_rules": _OP5, "op6_mixing": _op6(), "op11_lexical_search": _OP11, "op12_importance": _OP12, "op13_exact_dedup": _OP13}
