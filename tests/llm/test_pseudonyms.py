@@ -1,9 +1,13 @@
 import random
 import re
+import string
+import time
 
+import numpy as np
 import pytest
 
 from tidemark.llm import pseudonyms as ps
+from tidemark.llm import queries
 
 KEY = b"key"
 TEXT = (
@@ -136,3 +140,54 @@ def test_columns_named_like_its_own(odd):
     df = odd.withColumnRenamed("bucket", "pseudonym").withColumnRenamed("id", "_pseudonym")
     kept = ps.with_pseudonyms(df, KEY)
     assert kept.columns == df.columns and sorted(map(str, kept.select("pseudonym", "_pseudonym").collect())) == sorted(map(str, df.select("pseudonym", "_pseudonym").collect()))
+
+
+@pytest.mark.parametrize("radix", [[10], [26, 10], [3, 2, 4], [2, 3, 2, 3]])
+def test_scrambling_is_a_permutation(radix):
+    every = [tuple(int(x) for x in places) for places in np.ndindex(*radix)]
+    there = [tuple(ps.scramble(np.array(p), np.array(radix), KEY, "t")) for p in every]
+    assert sorted(there) == every and [tuple(ps.scramble(np.array(p), np.array(radix), KEY, "t", True)) for p in there] == every
+
+
+@pytest.mark.parametrize("alphabet", [string.ascii_letters + string.digits + "+/_.-", "0123456789abcdef"])
+@pytest.mark.parametrize("size", [8, 65, 7_000, 10_000, 1_000_000])
+def test_secrets_of_any_length_turn_back(size, alphabet):
+    rng = random.Random(size)
+    secret = "1" + "".join(rng.choices(alphabet, k=size - 1))
+    text = f"api_key = {secret} and more"
+    began = time.perf_counter()
+    new, found = ps.replace(text, KEY)
+    assert found == [(0, 10 + size, "secret")] and secret not in new and ps.replace(new, KEY, True)[0] == text
+    classes = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", t)))
+    assert len(alphabet) == 16 or classes(new) == classes(text)
+    assert len(alphabet) > 16 or re.fullmatch("[0-9a-f]+", new[10 : 10 + size])
+    assert time.perf_counter() - began < 20
+
+
+def test_near_secrets_have_far_pseudonyms():
+    one, two = (ps.replace(f"token: {t}", KEY)[0][7:] for t in ("a1" * 500, "a1" * 499 + "a2"))
+    assert sum(a != b for a, b in zip(one, two, strict=True)) > 500
+
+
+def plain_values(text):
+    """(start, end, kind) of values that stand by themselves between blanks, found word by word."""
+    for m in re.finditer(r"[^ \n\t]+", text):
+        word = m[0].strip(",.;:()'\"")
+        at = m.start() + m[0].index(word) if word else 0
+        if re.fullmatch(r"[a-z0-9.]+@[a-z0-9]+(\.[a-z0-9]+)*\.[a-z]{2,5}", word):
+            yield at, at + len(word), "email"
+        elif re.fullmatch(r"[3-6][0-9]{12,18}", word) and ps._luhn(word[:-1]) == int(word[-1]):
+            yield at, at + len(word), "card"
+        elif re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", word) and all(int(p) < 256 and str(int(p)) == p for p in word.split(".")):
+            yield at, at + len(word), "ip"
+        elif re.fullmatch(r"AKIA[A-Z0-9]{16}", word):
+            yield at, at + len(word), "access_key"
+
+
+def test_plain_search_over_documents(spark, data):
+    """What a search word by word finds in the query's table, the query finds at the same place."""
+    documents = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, data, "documents").collect()}
+    found = {r["doc_id"]: {(f["start"], f["end"], f["kind"]) for f in r["found"]} for r in queries.op10_pseudonyms(spark, data).collect()}
+    want = {i: set(plain_values(text)) for i, text in documents.items()}
+    assert found.keys() == want.keys() and sum(map(len, want.values())) > 5
+    assert all(want[i] <= found[i] for i in want)

@@ -1,12 +1,14 @@
 """Format-preserving pseudonyms of personal data by a keyed Feistel network.
 
-A value that a format's checks accept is turned into an index of that format's values, the index is
+A number or date that a format's checks accept is turned into an index of that format's values; the index is
 permuted by a Feistel network under the key, walking on until the result is a valid value again, and the
-result is written with the separators of the original. Equal values of a format thus get equal
+result is written with the separators of the original. Words of any length, such as secrets, are permuted by a
+network over their characters, each within its class, in time linear in the length. Equal values of a format thus get equal
 pseudonyms in every document, different ones differ, and whoever holds the key can turn them back. Only where
 a pseudonym would form a longer valid number with the digits beside it, the next one of its cycle is taken.
 
-Null texts stay null and have no findings, empty ones stay empty. Whole texts are read.
+Null texts stay null and have no findings, empty ones stay empty. Whole texts are read. Repeated rows and rows without an
+id are judged by themselves, an empty table gives an empty table, other columns don't matter.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,33 +79,62 @@ def _refill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
-def _mixed(text: str, key: bytes, tweak: str, back: bool) -> str:
-    """Letters and digits of text permuted within their classes; lower-case hex stays hex."""
-    if _HEX.fullmatch(text):
-        alphabets = ["0123456789abcdef"] * len(text)
-    else:
-        alphabets = ["0123456789" if c in "0123456789" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else "" for c in text]
-    index, size = 0, 1
-    for c, alphabet in zip(text, alphabets, strict=True):
-        if alphabet:
-            index, size = index * len(alphabet) + alphabet.index(c), size * len(alphabet)
-    shape = "".join(a[:1] if a else "-" for a in alphabets)
-    spell = _speller(text, alphabets)
+#: Of each byte, how many characters its class has (0: it stays) and the class's first; letters and digits of lower-case hex are one class.
+_RADIX, _BASE = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64)
+for _first, _size in (("0", 10), ("a", 26), ("A", 26)):
+    _RADIX[ord(_first) : ord(_first) + _size], _BASE[ord(_first) : ord(_first) + _size] = _size, ord(_first)
+_HEX_DIGITS = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
+
+
+@lru_cache(maxsize=8)
+def _mac_key(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=64).digest()
+
+
+def scramble(places: np.ndarray, radix: np.ndarray, key: bytes, tweak: str, back: bool = False) -> np.ndarray:
+    """A keyed permutation of the values that places can take, each below its radix, in time linear in their number.
+
+    A Feistel network over the two halves of the places: a round adds, place by place, a stream that a hash of the other half gives.
+    """
+    half = len(places) // 2
+    parts, sizes = [places[:half], places[half:]], [radix[:half], radix[half:]]
+    for turn in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        at = turn % 2
+        mac = hashlib.blake2b(f"{tweak}|{turn}|".encode() + parts[1 - at].astype(np.uint8).tobytes(), key=_mac_key(key)).digest()
+        stream = np.frombuffer(hashlib.shake_256(mac).digest(4 * len(parts[at])), dtype=np.uint32).astype(np.int64)
+        parts[at] = (parts[at] - stream if back else parts[at] + stream) % sizes[at]
+    return np.concatenate(parts)
+
+
+def _mix_whole(text: str, key: bytes, tweak: str, back: bool) -> str:
     hexed = bool(_HEX.fullmatch(text))
-    return spell(_walk(index, size, key, f"{tweak}|{hexed}|{shape}", lambda v: bool(_HEX.fullmatch(spell(v))) == hexed, back))
+    codes = np.frombuffer(text.encode("ascii"), dtype=np.uint8)
+    if hexed:
+        places, radix = np.searchsorted(_HEX_DIGITS, codes), np.full(len(codes), 16)
+    else:
+        at = np.flatnonzero(_RADIX[codes])
+        base, radix = _BASE[codes[at]], _RADIX[codes[at]]
+        places = codes[at] - base
+        # what stands at each place is part of the tweak, so that texts of one shape have a permutation of their own
+        tweak = f"{tweak}|{hashlib.blake2b(_BASE[codes].astype(np.uint8).tobytes()).hexdigest()}"
+    while True:
+        places = scramble(places, radix, key, f"{tweak}|{hexed}|{len(codes)}", back)
+        if hexed:
+            new = _HEX_DIGITS[places]
+        else:
+            new = codes.copy()
+            new[at] = base + places
+        spelled = new.tobytes().decode("ascii")
+        if bool(_HEX.fullmatch(spelled)) == hexed:
+            return spelled
+
 
+_mix_short = lru_cache(maxsize=50_000)(_mix_whole)
 
-def _speller(text: str, alphabets: list[str]) -> Callable[[int], str]:
-    def spell(index: int) -> str:
-        out = []
-        for c, alphabet in zip(reversed(text), reversed(alphabets), strict=True):
-            if alphabet:
-                index, at = divmod(index, len(alphabet))
-                c = alphabet[at]
-            out.append(c)
-        return "".join(reversed(out))
 
-    return spell
+def _mixed(text: str, key: bytes, tweak: str, back: bool) -> str:
+    """Letters and digits of an ASCII text permuted within their classes; lower-case hex stays hex. Short texts are remembered."""
+    return (_mix_short if len(text) <= 64 else _mix_whole)(text, key, tweak, back)
 
 
 def _card(m: re.Match, key: bytes, back: bool) -> str | None:
