@@ -72,13 +72,13 @@ def test_versions_hold_what_changed_and_compact(spark, folder):
     want = {}
     for n in range(11):
         rows = {k: 100 * n + k for k in range(n, 30, n + 1)}
-        table.change(spark.createDataFrame(list(rows.items()), "k long, v long"), n)
+        table.change(spark.createDataFrame(list(rows.items()), "k long, v long"), "s", n)
         want |= rows
         assert {r["k"]: r["v"] for r in table.read().collect()} == want
-    assert table.latest() == 10 and len(table._numbers("base")) <= 2 and len(table._numbers("delta")) <= 6
+    assert table.latest() == table.applied("s") == 10 and len(table._parts("base")) <= 2 and len(table._parts("delta")) <= 6
     some = spark.createDataFrame([(3,), (29,), (500,)], "k long")
     assert {r["k"]: r["v"] for r in table.read(keys=some).collect()} == {k: want[k] for k in (3, 29)}
-    files = table._fs.listStatus(table._path(f"{folder}/t/delta=10"))
+    files = table._fs.listStatus(table._path(f"{folder}/t/{table._parts('delta')[10][0]}"))
     assert sum(f.isDirectory() for f in files) <= 3  # the last change wrote its own rows only
 
 
@@ -121,3 +121,70 @@ def test_completed_jobs_are_digested(spark, data, folder):
     streams.digest_job_states(kept, f"{folder}/digests", jobs, stats, X.as_of())(batch, 0)
     (digest,) = spark.read.json(f"{folder}/digests").collect()
     assert digest["job_id"] == ids[0]["id"] and '"event":"discovery_digest"' in digest["payload"]
+
+
+def test_buckets_follow_the_table(spark, folder):
+    table = streams.Versions(spark, f"{folder}/t", "k long, v long", "k", buckets=2, compact_every=2, rows_per_bucket=100)
+    for n in range(7):
+        table.change(spark.range(n * 200, n * 200 + 250).selectExpr("id as k", f"{n} as v"), "s", n)
+    assert max(b for _, b in table._parts("base").values()) > 4
+    some = spark.range(150, 260).withColumnRenamed("id", "k")
+    assert {r["k"]: r["v"] for r in table.read(keys=some).collect()} == {k: int(k >= 200) for k in range(150, 260)}
+    assert table.read().count() == 1450
+
+
+def upserted(spark, data, parts, order):
+    """The table of hosts after the parts of two feeds in the given order, by one batch fold after the other."""
+    hosts = spark.createDataFrame([], streams.schemas.HOSTS)
+    empty = spark.createDataFrame([], streams.schemas.QUEUE)
+    for feed, n in order:
+        rows = parts[feed][n]
+        if feed == "discoveries":
+            new = fold.upsert_hosts(hosts.select("fqdn", *fold.HOST_FIRST, *fold.HOST_LAST), rows).drop("seq")
+        else:
+            new = hosts.unionByName(match.ingest_certificates(rows, X.patterns(spark), hosts, empty, X.as_of())["new_hosts"], allowMissingColumns=True)
+        hosts = spark.createDataFrame(new.collect(), new.schema)
+    return hosts
+
+
+def test_two_feeds_write_one_table_of_hosts(spark, data, folder):
+    """Batches of both streams, interleaved and repeated, give what the folds give in that order."""
+    seen = X.matched_observations(spark, data)
+    pages = X.load(spark, data, "pages").select(F.col("page_id").alias("seq"), "url")
+    parts = {"discoveries": [seen.filter(F.col("seq") % 5 == n) for n in (0, 1, 2)], "certificates": [pages.filter(F.col("seq") % 5 == n) for n in (4, 3, 0)]}
+    order = [("certificates", 0), ("discoveries", 0), ("discoveries", 1), ("certificates", 1), ("certificates", 2), ("discoveries", 2)]
+    hosts, queue = streams.host_table(spark, f"{folder}/hosts"), streams.queue_table(spark, f"{folder}/queue")
+    run = {"discoveries": streams.fold_discoveries(hosts), "certificates": streams.ingest_certificates(hosts, queue, X.patterns(spark), X.as_of())}
+    for feed, n in order:
+        run[feed](parts[feed][n], n)
+        run[feed](parts[feed][n], n)
+    assert hosts.latest() == 5 and (hosts.applied("discoveries"), hosts.applied("certificates")) == (2, 2)
+    want, got = upserted(spark, data, parts, order), hosts.read()
+    columns = ["fqdn", "id", "pattern_id", "ip", "status", "type", "last_seen_at", "created_at"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert queue.read().count() == pages.filter("seq % 5 in (0, 3, 4)").select("url").distinct().join(pages.withColumn("fqdn", X.S.url_host("url")), "url").join(want.select("fqdn"), "fqdn").select("url").distinct().count()
+
+
+def test_a_batch_cut_short_between_its_tables_is_finished(spark, data, folder):
+    pages = X.load(spark, data, "pages").select(F.col("page_id").alias("seq"), "url")
+    hosts, queue = streams.host_table(spark, f"{folder}/hosts"), streams.queue_table(spark, f"{folder}/queue")
+    run = streams.ingest_certificates(hosts, queue, X.patterns(spark), X.as_of())
+    failing, queue.change = queue.change, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        run(pages, 0)
+    assert hosts.applied("certificates") == 0 and queue.latest() == -1
+    queue.change = failing
+    run(pages, 0)
+    named = pages.withColumn("fqdn", X.S.url_host("url"))
+    assert hosts.latest() == 0 and queue.read().count() == named.join(match.match_hosts(named, X.patterns(spark)), "fqdn").select("url").distinct().count()
+
+
+def test_the_mark_of_another_application_is_not_overwritten(spark, folder):
+    one = streams.Versions(spark, f"{folder}/t", "k long, v long", "k")
+    other = streams.Versions(spark, f"{folder}/t", "k long, v long", "k")
+    rows = spark.createDataFrame([(1, 1)], "k long, v long")
+    one.change(rows, "a", 0)
+    other.latest = lambda: -1  # it looked before the first one was done
+    with pytest.raises(Exception, match="exist"):
+        other.change(rows.withColumn("v", F.lit(2)), "b", 0)
+    assert one.read().collect() == [(1, 1)] and one.applied("b") == -1

@@ -81,6 +81,25 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
           FROM (SELECT *, CASE WHEN admitted THEN 'pending' WHEN kind = 'start' THEN 'processing' WHEN kind = 'ok' THEN 'done' WHEN kind = 'fail' THEN 'failed' END AS moved FROM qera WHERE era > 0)
           WHERE moved IS NOT NULL GROUP BY key, era""",
     ),
+    "qnum": (("qev",), "SELECT *, row_number() OVER (PARTITION BY key ORDER BY moment, seq) AS n FROM qev"),
+    "qturn": (  # one event of each key a step; st and since are the row's state once a stale one is recovered
+        ("qnum",),
+        """SELECT DISTINCT key, 0::BIGINT AS n, NULL::BIGINT AS opened, 'none' AS status, 0 AS retry_count, NULL::TIMESTAMP AS created_at, NULL::TIMESTAMP AS updated_at FROM qnum
+          UNION ALL SELECT key, n, CASE WHEN opens THEN seq ELSE opened END, CASE WHEN opens THEN 'pending' WHEN starts THEN 'processing' WHEN ends AND kind = 'ok' THEN 'done' WHEN ends THEN 'failed' ELSE st END,
+            CASE WHEN opens THEN 0 ELSE retry_count + (ends AND kind = 'fail')::INT END, CASE WHEN opens THEN moment ELSE created_at END, CASE WHEN opens OR starts OR ends THEN moment ELSE since END
+          FROM (SELECT *, kind = 'enqueue' AND st IN ('none', 'done', 'failed') AS opens, kind = 'start' AND (st = 'pending' OR st = 'failed' AND retry_count < 3) AS starts,
+              kind IN ('ok', 'fail') AND st IN ('pending', 'processing') AS ends
+            FROM (SELECT e.key, e.n, e.seq, e.kind, e.moment, t.opened, t.retry_count, t.created_at,
+                CASE WHEN t.status = 'processing' AND e.moment > t.updated_at + INTERVAL 2 MINUTE THEN 'pending' ELSE t.status END AS st,
+                CASE WHEN t.status = 'processing' AND e.moment > t.updated_at + INTERVAL 2 MINUTE THEN t.updated_at + INTERVAL 2 MINUTE ELSE t.updated_at END AS since
+              FROM qturn t JOIN qnum e ON e.key = t.key AND e.n = t.n + 1))""",
+    ),
+    "qloop": (
+        ("qturn",),
+        """SELECT key, opened, retry_count, created_at, CASE WHEN stale THEN 'pending' ELSE status END AS status, CASE WHEN stale THEN updated_at + INTERVAL 2 MINUTE ELSE updated_at END AS updated_at
+          FROM (SELECT *, status = 'processing' AND (SELECT max(moment) FROM qnum) > updated_at + INTERVAL 2 MINUTE AS stale FROM (
+            SELECT *, row_number() OVER (PARTITION BY key, opened ORDER BY n DESC) AS back FROM qturn WHERE opened IS NOT NULL) WHERE back = 1)""",
+    ),
     "lev": (
         (),
         """SELECT user_id AS key, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'dns_ok' WHEN event_id % 11 = 0 THEN 'ok' WHEN event_type = 'purchase' THEN 'alive' WHEN event_type = 'click' THEN 'unreachable'
@@ -141,4 +160,4 @@ def sql(body: str, *parts: str) -> str:
     for name in parts:
         need(name)
     head = ",\n".join(f"{name} AS ({PARTS[name][1]})" for name in order)
-    return f"WITH {head}\n{body}" if order else body
+    return f"WITH RECURSIVE {head}\n{body}" if order else body

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import fold, jobs as J, lifecycle as L, listing, match, payloads, rollup, workqueue
 from ..sources import feeds, fixtures as X, scratch
-from ..streaming import streams
+from ..streaming import queue_loop, streams
 from .oracle import HOST, sql, stamp, uuid_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -744,6 +744,41 @@ def hosts_by_pattern(spark: SparkSession, d: str) -> DataFrame:
     return X.hosts(spark, d).filter("pattern_id is not null").select("pattern_id", "id", "fqdn", place.alias("place"))
 
 
+@query(
+    f"""SELECT fqdn, {uuid_of('fqdn')} AS id, pattern_id, CASE WHEN l.ip IS NULL THEN 'unreachable' ELSE 'alive' END AS status, coalesce(l.kind, 'unknown') AS type,
+        {stamp("CASE WHEN told THEN TIMESTAMP '2024-02-01' ELSE created_at END")} AS created_at
+      FROM (SELECT DISTINCT fqdn, true AS told FROM obs JOIN matched USING (fqdn) WHERE seq % 2 = 0)
+      FULL JOIN (SELECT fqdn, arg_max(struct_pack(ip := ip, kind := port_kind), seq) AS l, min(observed_at) AS created_at FROM obs WHERE seq % 3 <> 0 GROUP BY fqdn) USING (fqdn)
+      LEFT JOIN matched USING (fqdn)""",
+    "obs",
+    "matched",
+)
+def stream_both(spark: SparkSession, d: str) -> DataFrame:
+    """Certificate URLs of every second page, then observations of two thirds of the pages, streamed into one table of hosts."""
+    folder = scratch.shared_folder(spark)
+    hosts, queue = streams.host_table(spark, f"{folder}/hosts"), streams.queue_table(spark, f"{folder}/queue")
+    keep = streams.fold_discoveries(hosts)
+    pages = X.stream(spark, d, "pages").select("page_id", "url")
+    _streamed(pages.filter("page_id % 2 = 0").select(F.col("page_id").alias("seq"), "url"), streams.ingest_certificates(hosts, queue, X.patterns(spark), X.as_of()), f"{folder}/certificates")
+    _streamed(pages.filter("page_id % 3 <> 0"), lambda rows, n: keep(X.matched(X.observed(rows)), n), f"{folder}/discoveries")
+    return hosts.read().select("fqdn", "id", "pattern_id", "status", "type", when("created_at"))
+
+
+@query(
+    f"""SELECT key, opened, status, retry_count, {stamp('created_at')} AS created_at, {stamp('updated_at')} AS updated_at, status = 'pending' OR status = 'failed' AND retry_count < 3 AS ready
+      FROM qloop""",
+    "qloop",
+)
+def stream_queue_loop(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream through the queue's keyed state and its timers: each row as it was told last."""
+    folder = scratch.shared_folder(spark)
+    told = streams.loop_table(spark, f"{folder}/rows")
+    queue_loop.needs_rocks(spark)
+    changed = queue_loop.queue_loop(X.queue_kinds(X.stream(spark, d, "events")), ("key",), by_event_time=True)
+    streams.start(changed, streams.keep_changes(told), f"{folder}/checkpoint", mode="update").awaitTermination()
+    return told.read().select("key", "opened", "status", "retry_count", when("created_at"), when("updated_at"), "ready")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
