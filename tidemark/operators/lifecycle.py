@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .automaton import SIZE, Machine, block_of, final, starts
 
 URLS_PER_HOST = 1000
 
@@ -45,6 +48,69 @@ def current(lived: DataFrame) -> DataFrame:
     return lived.groupBy("key").agg(F.max_by("status", "seq").alias("status"), F.max_by("type", "seq").alias("type"), F.count_if("newly_dead").alias("newly_dead"))
 
 
+STATUSES, TYPED = ("unreachable", "alive", "dead"), ("", "other", "web")
+
+
+def _life() -> Machine:
+    """States are status and whether the type is `other`. Codes: observed as a status with no, the other or another type; found; answered by DNS alone; failed."""
+
+    def effect(status: Callable[[int, bool], int], kind: str = "") -> list[tuple[int, int, int, bool]]:
+        out = []
+        for was in range(3):
+            for other in (False, True):
+                now = status(was, other)
+                out.append((2 * now + int(other if kind == "" else kind == "other"), int(was == 1 and now == 2), 0, False))
+        return out
+
+    observed = [effect(lambda was, other, now=now: now, kind) for now in range(3) for kind in TYPED]
+    killed = lambda was: 2 if was == 1 else was
+    return Machine([*observed, effect(lambda was, other: 1), effect(lambda was, other: killed(was) if other else 1), effect(lambda was, other: killed(was)), effect(lambda was, other: was)])
+
+
+LIFE = _life()
+
+
+def _codes(events: DataFrame) -> DataFrame:
+    """events(key, seq, code) of lifecycle events."""
+    kind, place = F.col("kind"), F.lit(None).cast("int")
+    for n, status in enumerate(STATUSES):
+        place = F.when(kind.isin(f"seed_{status}", *([status] if status != "dead" else [])), 3 * n).otherwise(place)
+    typed = F.when(F.col("type").isNull(), 0).when(F.col("type") == "other", 1).otherwise(2)
+    silent = ~F.coalesce(F.col("answered"), F.lit(False))
+    code = F.when(place.isNotNull(), place + typed).when((kind == "ok") | ((kind == "dns_ok") & ~silent), 9).when(kind == "dns_ok", 10).when(kind.isin("fail", "dns_fail"), 11).otherwise(12)
+    return events.select("key", F.col("seq").cast("long").alias("seq"), code.cast("int").alias("code"))
+
+
+def _observed() -> F.Column:
+    return F.when(F.col("kind").isin("alive", "unreachable") | F.col("kind").startswith("seed_"), F.col("type"))
+
+
+def final_states(events: DataFrame, size: int = SIZE) -> DataFrame:
+    """What `current` says of `lifecycle`, by composing what the events of each block do: a hot host spreads over tasks."""
+    status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), F.floor(F.col("state") / 2).cast("int") + 1)
+    ended = final(_codes(events), LIFE, 0, size).select(F.col("key").alias("of"), status.alias("status"), F.col("count").alias("newly_dead"))
+    types = events.groupBy("key").agg(F.max_by(_observed(), F.when(_observed().isNotNull(), F.col("seq"))).alias("type"))
+    return types.join(ended, F.col("key").eqNullSafe(F.col("of"))).select("key", "status", F.coalesce("type", F.lit("unknown")).alias("type"), "newly_dead")
+
+
+def lifecycle_in_blocks(events: DataFrame, size: int = SIZE) -> DataFrame:
+    """`lifecycle`, row by row, with windows over blocks of `size` sequence numbers instead of whole hosts.
+
+    Each block starts from a seed row of the state that the blocks before it leave.
+    """
+    block = block_of(F.col("seq").cast("long"), size)
+    began = starts(_codes(events), LIFE, 0, size)
+    last = events.groupBy("key", block.alias("block")).agg(F.max_by(_observed(), F.when(_observed().isNotNull(), F.col("seq"))).alias("type"))
+    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    typed = last.select(F.col("key").alias("of"), F.col("block").alias("at"), F.last("type", ignorenulls=True).over(before).alias("type"))
+    status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), F.floor(F.col("state") / 2).cast("int") + 1)
+    seeds = began.join(typed, F.col("key").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))).select(
+        F.struct("key", "block").alias("key"), F.lit(-(1 << 62)).alias("seq"), F.concat(F.lit("seed_"), status).alias("kind"), "type", F.lit(None).cast("boolean").alias("answered")
+    )
+    rows = lifecycle(events.withColumn("key", F.struct("key", block.alias("block"))).unionByName(seeds, allowMissingColumns=True))
+    return rows.filter(F.col("seq") > -(1 << 62)).withColumn("key", F.col("key.key"))
+
+
 def new_service_alerts(lived: DataFrame) -> DataFrame:
     """Scans that went well, of URLs found by certificates, at hosts that were unreachable until then."""
     return lived.filter("kind = 'ok' and source = 'certificate' and before = 'unreachable'")

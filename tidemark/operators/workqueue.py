@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .automaton import SIZE, Machine, block_of, starts
 
 ACTIVE = ("pending", "processing")
 MAX_RETRIES = 3
@@ -74,6 +75,54 @@ def admit(events: DataFrame) -> DataFrame:
     return out.withColumn("retries", F.sum((F.col("kind") == "fail").cast("int")).over(since)).drop("era")
 
 
+#: States: idle, busy. Codes: enqueue, start, ok, fail, anything else. Counts are admissions, which start the failures anew.
+ADMISSION = Machine(
+    [
+        [(1, 1, 0, True), (1, 0, 0, False)],
+        [(1, 0, 0, False), (1, 0, 0, False)],
+        [(0, 0, 0, False), (0, 0, 0, False)],
+        [(0, 0, 1, False), (0, 0, 1, False)],
+        [(0, 0, 0, False), (1, 0, 0, False)],
+    ]
+)
+
+
+def _codes(events: DataFrame) -> DataFrame:
+    kind = F.col("kind")
+    code = F.when(kind == "enqueue", 0).when(kind == "start", 1).when(kind == "ok", 2).when(kind == "fail", 3).otherwise(4)
+    return events.select("key", F.col("seq").cast("long").alias("seq"), code.alias("code"))
+
+
+def _with_starts(events: DataFrame, size: int) -> DataFrame:
+    """events with their block and the state, admissions and failures with which it begins."""
+    began = starts(_codes(events), ADMISSION, 0, size).select(F.col("key").alias("begin_key"), F.col("block").alias("begin_block"), "state", F.col("count").alias("admissions"), "failures")
+    rows = events.withColumn("block", block_of(F.col("seq").cast("long"), size))
+    return rows.join(began, F.col("key").eqNullSafe(F.col("begin_key")) & (F.col("block") == F.col("begin_block"))).drop("begin_key", "begin_block")
+
+
+def admit_in_blocks(events: DataFrame, size: int = SIZE) -> DataFrame:
+    """`admit`, with windows over blocks of `size` sequence numbers instead of whole keys: a hot key spreads over tasks.
+
+    A block begins busy or not, and with the failures since the last admission, as the blocks before it leave it.
+    """
+    known = _with_starts(events, size)
+    ends = F.col("kind").isin("ok", "fail").cast("int")
+    sums = events.groupBy(F.col("key").alias("begin_key"), block_of(F.col("seq").cast("long"), size).alias("begin_block")).agg(F.sum(ends).alias("ended"))
+    blocks = Window.partitionBy("begin_key").orderBy("begin_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sums.select("begin_key", "begin_block", F.coalesce(F.sum("ended").over(blocks), F.lit(0)).alias("earlier"))
+    rows = known.join(earlier, F.col("key").eqNullSafe(F.col("begin_key")) & (F.col("block") == F.col("begin_block"))).drop("begin_key", "begin_block")
+    order = Window.partitionBy("key", "block").orderBy("seq")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.coalesce(F.sum(ends).over(before), F.lit(0)))
+    within = Window.partitionBy("key", "block", "own").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    busy = F.coalesce(F.sum(F.col("kind").isin("enqueue", "start").cast("int")).over(within), F.lit(0)) + F.when(F.col("own") == 0, F.col("state")).otherwise(0)
+    rows = rows.withColumn("admitted", (F.col("kind") == "enqueue") & (busy == 0))
+    rows = rows.withColumn("era", F.sum(F.col("admitted").cast("int")).over(upto))
+    since = Window.partitionBy("key", "block", "era").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    retries = F.sum((F.col("kind") == "fail").cast("int")).over(since) + F.when(F.col("era") == 0, F.col("failures")).otherwise(0)
+    return rows.withColumns({"segment": F.col("own") + F.col("earlier"), "retries": retries, "row": F.col("era") + F.col("admissions")}).drop("own", "earlier", "era", "state", "admissions", "failures", "block")
+
+
 def busy_after(events: DataFrame) -> DataFrame:
     """(key, busy) after events(key, seq, kind): whether an enqueue or a start came after the last ok or fail."""
     begin, end = (F.max(F.when(F.col("kind").isin(*kinds), F.col("seq"))) for kinds in (("enqueue", "start"), ("ok", "fail")))
@@ -96,11 +145,19 @@ def replay(events: DataFrame) -> DataFrame:
 
     A row starts with each admitted enqueue; start, ok and fail move it on.
     """
-    told = admit(events)
     upto = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    told = told.withColumn("row", F.sum(F.col("admitted").cast("int")).over(upto)).filter("row > 0")
+    return _rows_of(admit(events).withColumn("row", F.sum(F.col("admitted").cast("int")).over(upto)))
+
+
+def replay_in_blocks(events: DataFrame, size: int = SIZE) -> DataFrame:
+    """`replay`, a hot key's events being spread over tasks; the numbers of its rows go on from block to block."""
+    return _rows_of(admit_in_blocks(events, size))
+
+
+def _rows_of(told: DataFrame) -> DataFrame:
+    """Queue rows of admitted events with the number of their row."""
     moved = F.when(F.col("admitted"), "pending").when(F.col("kind") == "start", "processing").when(F.col("kind") == "ok", "done").when(F.col("kind") == "fail", "failed")
-    told = told.withColumn("moved", moved).filter("moved is not null")
+    told = told.filter("row > 0").withColumn("moved", moved).filter("moved is not null")
     return told.groupBy("key", "row").agg(
         F.max_by("moved", "seq").alias("status"), F.count_if(F.col("kind") == "fail").cast("int").alias("retry_count"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"),
     )

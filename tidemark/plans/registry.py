@@ -18,16 +18,26 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(oracle: str | None = None, *parts: str) -> Callable[[Query], Query]:
+def query(oracle: str | None = None, *parts: str, swap: tuple[str, str] = ("", "")) -> Callable[[Query], Query]:
+    """Registers a query with its SQL; swap replaces a rule of a derived table."""
+
     def register(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if oracle is not None:
-            _SQL[f.__name__] = sql(oracle, *parts)
+            _SQL[f.__name__] = sql(oracle, *parts).replace(*swap) if swap[0] else sql(oracle, *parts)
         return f
 
     return register
 
 
+#: Two thirds of all users are one host or key.
+HOT = ("user_id AS key", "CASE WHEN user_id % 3 > 0 THEN 1 ELSE user_id END AS key")
+
+
+def hot(events: DataFrame) -> DataFrame:
+    return events.withColumn("key", F.when(F.col("key") % 3 > 0, F.lit(1).cast("long")).otherwise(F.col("key")))
+
+
 def when(column: str) -> F.Column:
     return F.date_format(F.col(column).cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias(column)
 
@@ -388,6 +398,22 @@ def queue_admission(spark: SparkSession, d: str) -> DataFrame:
     return workqueue.admit(X.queue_events(spark, d)).select("key", "seq", "admitted", "retries")
 
 
+@query(
+    """SELECT key, seq, admitted, segment::BIGINT AS segment, (sum((kind = 'fail')::INT) OVER (PARTITION BY key, era ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS retries FROM qera""",
+    "qera",
+    swap=HOT,
+)
+def queue_admission_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Admission where one key has most events, in blocks that begin as those before them end."""
+    return workqueue.admit_in_blocks(hot(X.queue_events(spark, d))).select("key", "seq", "admitted", "segment", "retries")
+
+
+@query(f"SELECT key, row, status, retry_count, {stamp('created_at')} AS created_at, {stamp('updated_at')} AS updated_at FROM qrow", "qrow", swap=HOT)
+def queue_rows_blocks(spark: SparkSession, d: str) -> DataFrame:
+    rows = workqueue.replay_in_blocks(hot(X.queue_events(spark, d)))
+    return rows.select("key", "row", "status", "retry_count", when("created_at"), when("updated_at"))
+
+
 @query(
     """SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_at, id) AS n FROM (SELECT key || '-' || row AS id, * FROM qrow)
       WHERE (status = 'pending' OR (status = 'failed' AND retry_count < 3)) AND key NOT IN (SELECT key FROM qrow WHERE status = 'processing'))
@@ -430,6 +456,18 @@ def newly_dead(spark: SparkSession, d: str) -> DataFrame:
     return L.lifecycle(X.lifecycle_events(spark, d)).filter("newly_dead").select("key", "seq")
 
 
+@query("SELECT key, arg_max(status, seq) AS status, arg_max(type, seq) AS type, count_if(status = 'dead' AND before = 'alive') AS newly_dead FROM life GROUP BY key", "life", swap=HOT)
+def host_final_states(spark: SparkSession, d: str) -> DataFrame:
+    """The lifecycle's end by composed summaries, where one host has most events."""
+    return L.final_states(hot(X.lifecycle_events(spark, d)))
+
+
+@query("SELECT key, seq, status, type, before, status = 'dead' AND before = 'alive' AS newly_dead FROM life", "life", swap=HOT)
+def host_lifecycle_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The lifecycle row by row, a hot host's events in blocks."""
+    return L.lifecycle_in_blocks(hot(X.lifecycle_events(spark, d))).select("key", "seq", "status", "type", "before", "newly_dead")
+
+
 @query("SELECT key, seq FROM life WHERE kind = 'ok' AND source = 'certificate' AND before = 'unreachable'", "life")
 def new_service_alerts(spark: SparkSession, d: str) -> DataFrame:
     return L.new_service_alerts(L.lifecycle(X.lifecycle_events(spark, d))).select("key", "seq")
