@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+COUNTS = ("total", "alive", "dead", "unreachable", "web")
+
+
 def pattern_rollup(patterns: DataFrame, hosts: DataFrame) -> DataFrame:
     """(id, value, active, total, alive, dead, unreachable, web) of every pattern; hosts are counted before the join."""
     counts = hosts.groupBy(F.col("pattern_id").alias("id")).agg(
@@ -15,8 +18,34 @@ def pattern_rollup(patterns: DataFrame, hosts: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "unreachable").alias("unreachable"),
         F.count_if(F.col("type") == "web").alias("web"),
     )
+    return of_patterns(patterns, counts)
+
+
+def of_patterns(patterns: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every pattern with its counts(id, ...), none being 0."""
     joined = patterns.select("id", "value", "active").join(counts, "id", "left")
-    return joined.select("id", "value", "active", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "alive", "dead", "unreachable", "web")])
+    return joined.select("id", "value", "active", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
+
+
+def signed_counts(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(id, counts): by how much the counts of patterns change when rows of hosts become others; hosts without a pattern don't count.
+
+    old and new are the changed hosts alone, before and after; patterns whose counts stay are left out.
+    """
+    rows = new.select("pattern_id", "status", "type", F.lit(1).alias("sign"))
+    if old is not None:
+        rows = rows.unionByName(old.select("pattern_id", "status", "type", F.lit(-1).alias("sign")))
+    tests = {"total": F.lit(True), "alive": F.col("status") == "alive", "dead": F.col("status") == "dead", "unreachable": F.col("status") == "unreachable", "web": F.col("type") == "web"}
+    sums = [F.coalesce(F.sum(F.when(test, F.col("sign"))), F.lit(0)).alias(name) for name, test in tests.items()]
+    changed = rows.filter("pattern_id is not null").groupBy(F.col("pattern_id").alias("id")).agg(*sums)
+    return changed.filter(" or ".join(f"{c} <> 0" for c in COUNTS))
+
+
+def added(held: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """(id, counts) of the patterns of changes, added to what held has of them."""
+    rows = changes.select("id", *COUNTS)
+    rows = rows if held is None else rows.unionByName(held.select("id", *COUNTS))
+    return rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def totals(rollup: DataFrame) -> DataFrame:

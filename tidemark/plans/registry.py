@@ -782,6 +782,53 @@ def hosts_by_pattern(spark: SparkSession, d: str) -> DataFrame:
     return X.hosts(spark, d).filter("pattern_id is not null").select("pattern_id", "id", "fqdn", place.alias("place"))
 
 
+@query(f"SELECT p.id, p.value, p.active, {COUNTS} FROM pats p LEFT JOIN host h ON h.pattern_id = p.id GROUP BY p.id, p.value, p.active", "pats", "host")
+def stream_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of patterns as a stream of observations keeps them up: three streams, each of some pages, one after the other."""
+    folder = scratch.shared_folder(spark)
+    hosts, counts = streams.host_table(spark, f"{folder}/hosts"), streams.count_table(spark, f"{folder}/counts")
+    for n in range(3):
+        keep = streams.fold_discoveries(hosts, counts, f"discoveries{n}")
+        rows = X.stream(spark, d, "pages").select("page_id", "url").filter(f"page_id div 100 % 3 = {n}" if n < 2 else "page_id is null or page_id div 100 % 3 > 1")
+        _streamed(rows, lambda pages, number, keep=keep: keep(X.matched(X.observed(pages)), number), f"{folder}/{n}")
+    return rollup.of_patterns(X.patterns(spark), counts.read())
+
+
+_LINE = """CASE WHEN page_id % 9 = 4 THEN '{"job_id":"' || page_id || '","host":{"fqdn":' WHEN page_id % 9 = 5 THEN 'no json at all' WHEN page_id % 9 = 6 THEN '{"job_id":"0","host":"' || url || '"}'
+  ELSE '{"job_id":"' || page_id % 4 || '","host":{"fqdn":"' || CASE WHEN page_id % 11 = 0 THEN '' ELSE fqdn END || '","ip":"10.0.0.1"}}' END"""
+
+
+def _lines(pages: DataFrame) -> DataFrame:
+    """Pages(page_id, url) as lines of a discovery feed, a third of which can't be read."""
+    n, host = F.col("page_id"), S.url_host("url")
+    whole = F.concat(F.lit('{"job_id":"'), n % 4, F.lit('","host":{"fqdn":"'), F.when(n % 11 == 0, "").otherwise(host), F.lit('","ip":"10.0.0.1"}}'))
+    line = F.when(n % 9 == 4, F.concat(F.lit('{"job_id":"'), n, F.lit('","host":{"fqdn":'))).when(n % 9 == 5, "no json at all").when(n % 9 == 6, F.concat(F.lit('{"job_id":"0","host":"'), "url", F.lit('"}')))
+    return pages.select(line.otherwise(whole).alias("value"))
+
+
+@query(
+    f"""SELECT CASE WHEN page_id % 9 IN (4, 5, 6) THEN 'broken record' WHEN page_id % 11 = 0 THEN 'no fqdn' WHEN page_id % 4 = 3 THEN 'unknown job' END AS reason,
+        CASE WHEN page_id % 9 NOT IN (4, 5, 6) AND page_id % 11 > 0 AND page_id % 4 < 3 THEN fqdn END AS fqdn,
+        CASE WHEN page_id % 9 NOT IN (4, 5, 6) AND page_id % 11 > 0 AND page_id % 4 < 3 THEN (page_id % 4 + 1)::VARCHAR END AS pattern_id,
+        CASE WHEN page_id % 9 IN (4, 5, 6) OR page_id % 11 = 0 OR page_id % 4 = 3 THEN {_LINE} END AS raw
+      FROM (SELECT seq AS page_id, url, fqdn FROM obs)""",
+    "obs",
+)
+def stream_json_feed(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of JSON lines of discoveries: what is accepted, and what is refused with its reason and its text."""
+    folder = scratch.shared_folder(spark)
+    _lines(X.load(spark, d, "pages").select("page_id", "url")).write.text(f"{folder}/lines")
+    known = spark.createDataFrame([("0", "1"), ("1", "2"), ("2", "3")], "id string, pattern_id string")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        good, bad = feeds.accept_discoveries(batch, known)
+        told = good.select("fqdn", "pattern_id").unionByName(bad.select("reason", "raw"), allowMissingColumns=True)
+        told.write.mode("overwrite").parquet(f"{folder}/told/batch={number}")
+
+    _streamed(feeds.read_discoveries(spark, f"{folder}/lines", streaming=True), keep, folder)
+    return spark.read.schema("fqdn string, pattern_id string, reason string, raw string").parquet(f"{folder}/told").select("fqdn", "pattern_id", "reason", "raw")
+
+
 @query(
     f"""SELECT fqdn, {uuid_of('fqdn')} AS id, pattern_id, CASE WHEN l.ip IS NULL THEN 'unreachable' ELSE 'alive' END AS status, coalesce(l.kind, 'unknown') AS type,
         {stamp("CASE WHEN told THEN TIMESTAMP '2024-02-01' ELSE created_at END")} AS created_at

@@ -17,13 +17,29 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str, schema: str, streaming: bool = False) -> DataFrame:
-    """A feed of JSON records, as a batch or a stream."""
-    return (spark.readStream if streaming else spark.read).schema(schema).json(path)
+    """A feed of JSON records, one a line, as a batch or a stream: the columns of the schema, `raw` and `broken`.
+
+    raw is the line as it came, broken whether it can't be read by the schema; a broken line keeps no column. Blank lines are no records.
+    """
+    lines = (spark.readStream if streaming else spark.read).text(path).filter(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}
+    read = lines.select(F.col("value").alias("raw"), F.from_json("value", f"{schema}, __broken string", options).alias("record"))
+    broken = F.col("record").isNull() | F.col("record.__broken").isNotNull()
+    names = [c for c, _ in spark.createDataFrame([], schema).dtypes]
+    return read.select(*[F.when(~broken, F.col(f"record.{c}")).alias(c) for c in names], "raw", broken.alias("broken"))
+
+
+def read_discoveries(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """The feed of discoveries with the fields of the host as columns."""
+    return read_feed(spark, path, schemas.DISCOVERY_FEED, streaming).select("job_id", "host.*", "raw", "broken")
 
 
 def _split(rows: DataFrame, reason: F.Column) -> tuple[DataFrame, DataFrame]:
+    """Rows without and with a reason to refuse them; lines that can't be read come first, with their text in `raw`."""
+    if "broken" in rows.columns:
+        reason = F.when(F.col("broken"), "broken record").otherwise(reason)
     judged = rows.withColumn("reason", reason)
-    return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")
+    return judged.filter("reason is null").drop("reason", "raw", "broken"), judged.filter("reason is not null").drop("broken")
 
 
 def accept_discoveries(feed: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -23,6 +23,7 @@ QUEUE = "id string, host_id string, url string, source string, status string, re
 
 JOB_MARKS = "job_id string, last struct<seq:bigint,status:string>, began struct<seq:bigint,at:timestamp>, ended struct<seq:bigint,at:timestamp>"
 BUSY_KEYS = "key long, busy boolean"
+PATTERN_COUNTS = "id string, total long, alive long, dead long, unreachable long, web long"
 LOOP_ROWS = "id string, key long, opened long, status string, retry_count int, created_at timestamp, updated_at timestamp, ready boolean"
 
 DISCOVERY_FEED = "job_id string, host struct<fqdn:string,ip:string,cdn:string,dns:string,ports:string>"

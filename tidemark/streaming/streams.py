@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import scalars as S
-from ..operators import fold, lifecycle, match, payloads, workqueue
+from ..operators import fold, lifecycle, match, payloads, rollup, workqueue
 from ..operators import jobs as job_ops
 from ..sources import feeds, schemas
 
@@ -183,6 +183,10 @@ def loop_table(spark: SparkSession, folder: str) -> Versions:
     return Versions(spark, folder, schemas.LOOP_ROWS, "id")
 
 
+def count_table(spark: SparkSession, folder: str) -> Versions:
+    return Versions(spark, folder, schemas.PATTERN_COUNTS, "id")
+
+
 def start(rows: DataFrame, batch: Batch, checkpoint: str, available_now: bool = True, mode: str = "append") -> StreamingQuery:
     writer = rows.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
@@ -199,32 +203,50 @@ def keep_changes(rows: Versions, stream: str = "loop") -> Batch:
     return run
 
 
-def fold_discoveries(hosts: Versions, stream: str = "discoveries") -> Batch:
-    """Upserts each batch of observations into the table of hosts; a batch that comes again is passed over."""
+def _count(counts: Versions | None, old: DataFrame | None, new: DataFrame, stream: str, number: int) -> None:
+    """Adds what a batch changes in hosts to the counts of their patterns."""
+    if counts is not None and number > counts.applied(stream):
+        changes = rollup.signed_counts(old, new)
+        counts.change(rollup.added(counts.read(keys=changes), changes), stream, number)
+
+
+def fold_discoveries(hosts: Versions, counts: Versions | None = None, stream: str = "discoveries") -> Batch:
+    """Upserts each batch of observations into the table of hosts, and keeps up the counts of patterns; a batch that comes again is passed over.
+
+    Only the hosts that the batch names are read.
+    """
+    last = counts or hosts
 
     def run(batch: DataFrame, number: int) -> None:
-        with hosts.turn():
+        with hosts.turn(), last.turn():
+            if number <= last.applied(stream):
+                return
+            was = hosts.before(stream, number)
+            old = hosts.read(was, keys=batch)
+            new = fold.upsert_hosts(old, batch)
             if number > hosts.applied(stream):
-                hosts.change(fold.upsert_hosts(hosts.read(keys=batch), batch), stream, number)
+                hosts.change(new, stream, number)
+            _count(counts, old, new, stream, number)
 
     return run
 
 
-def ingest_certificates(hosts: Versions, queue: Versions, patterns: DataFrame, as_of: Column, stream: str = "certificates") -> Batch:
-    """Inserts hosts of matched certificate URLs and offers the URLs to the queue; either table may have other streams too."""
+def ingest_certificates(hosts: Versions, queue: Versions, patterns: DataFrame, as_of: Column, counts: Versions | None = None, stream: str = "certificates") -> Batch:
+    """Inserts hosts of matched certificate URLs, keeps up the counts of patterns and offers the URLs to the queue; the tables may have other streams too."""
 
     def run(batch: DataFrame, number: int) -> None:
-        with hosts.turn(), queue.turn():
+        with hosts.turn(), (counts or hosts).turn(), queue.turn():
             if number <= queue.applied(stream):
                 return
-            known = hosts.read(keys=batch.withColumn("fqdn", S.url_host("url")))
+            # a batch that wrote its hosts but not its queue starts from the hosts before it
+            known = hosts.read(hosts.before(stream, number), keys=batch.withColumn("fqdn", S.url_host("url")))
             known = batch.sparkSession.createDataFrame([], hosts.schema) if known is None else known
             waiting = queue.read(keys=batch)
             waiting = batch.sparkSession.createDataFrame([], queue.schema) if waiting is None else waiting
             done = match.ingest_certificates(batch, patterns, known, waiting, as_of)
-            # a batch that wrote its hosts but not its queue finds them known, with the ids that they got
             if number > hosts.applied(stream):
                 hosts.change(done["new_hosts"], stream, number)
+            _count(counts, None, done["new_hosts"], stream, number)
             queue.change(done["offers"], stream, number)
 
     return run
