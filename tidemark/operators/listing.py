@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -108,3 +108,17 @@ def by_keys(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Data
 def labelled(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """rows with pattern_label: the pattern's value, or the first eight characters of its id."""
     return rows.join(patterns.select(F.col("id").alias("pattern_id"), F.col("value").alias("__value")), "pattern_id", "left").withColumn("pattern_label", S.id_label("__value", "pattern_id")).drop("__value")
+
+
+def placed(rows: DataFrame, group: str, block: Column, order: list[Column]) -> DataFrame:
+    """rows with `place`, their number from 1 in their group: a group's rows are numbered block by block and moved on by the rows of earlier blocks.
+
+    The order goes by block first, as times go by their hours, so that no task orders a whole group. Null groups are a group.
+    """
+    known = rows.withColumn("__block", block)
+    sums = known.groupBy(F.col(group).alias("__group"), F.col("__block").alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__group").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    first = sums.select("__group", "__at", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))
+    own = F.row_number().over(Window.partitionBy(group, "__block").orderBy(*order))
+    moved = known.withColumn("__own", own).join(first, F.col(group).eqNullSafe(F.col("__group")) & F.col("__block").eqNullSafe(F.col("__at")))
+    return moved.withColumn("place", (F.col("__own") + F.col("__first")).cast("int")).drop("__block", "__group", "__at", "__first", "__own")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import fold, jobs as J, lifecycle as L, listing, match, payloads, rollup, workqueue
-from ..sources import feeds, fixtures as X, scratch
+from ..sources import feeds, fixtures as X, scratch, stored
 from ..streaming import queue_loop, streams
 from .oracle import HOST, sql, stamp, uuid_of
 
@@ -745,6 +745,82 @@ def table_scan(spark: SparkSession, d: str) -> DataFrame:
     return feeds.read_table(spark, path, "hosts").select("fqdn", "id", "status", "type")
 
 
+@query(
+    "SELECT 'patterns' AS name, id FROM pats UNION ALL SELECT 'hosts', id FROM host UNION ALL SELECT 'services', id FROM svc UNION ALL SELECT 'jobs', id FROM job UNION ALL SELECT 'queue', key || '-' || row FROM qrow",
+    "pats", "host", "svc", "job", "qrow",
+)
+def table_scans(spark: SparkSession, d: str) -> DataFrame:
+    """All five tables, written and read again by their schemas."""
+    folder, out = scratch.shared_folder(spark), None
+    tables = {"patterns": X.patterns(spark), "hosts": X.hosts(spark, d), "services": X.services(spark, d), "jobs": X.jobs(spark, d), "queue": _queue(spark, d)}
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{name}")
+        ids = feeds.read_table(spark, f"{folder}/{name}", name).select(F.lit(name).alias("name"), "id")
+        out = ids if out is None else out.unionByName(ids)
+    return out
+
+
+@query(f"{SERVICE} WHERE code // 100 = 4", "svc")
+def stored_by_status_class(spark: SparkSession, d: str) -> DataFrame:
+    """Services of a status class from stored, typed columns."""
+    path = f"{scratch.shared_folder(spark)}/services"
+    stored.write_services(X.services(spark, d), path)
+    rows = stored.services_of_class(spark, path, 4).join(X.hosts(spark, d).select(F.col("id").alias("host_id"), "fqdn"), "host_id")
+    return _service(rows)
+
+
+@query(f"{LISTED} WHERE port = '22'", "host")
+def stored_by_port(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts with an open port from the stored ports."""
+    path = scratch.shared_folder(spark)
+    stored.write_hosts(X.hosts(spark, d), path)
+    return _listed(stored.hosts_with_port(spark, path, 22))
+
+
+SOUGHT = ("LIX", "el", "s", "trel", "Kestrel", "nothing", "")
+
+
+@query(
+    f"""SELECT sought, id FROM (SELECT id, unnest(list_transform(tech, lambda t: lower(regexp_replace(t, ' .*', '')))) AS name FROM svc), (SELECT unnest({list(SOUGHT)}) AS sought)
+      WHERE contains(name, lower(sought)) GROUP BY sought, id""",
+    "svc",
+)
+def stored_by_name_part(spark: SparkSession, d: str) -> DataFrame:
+    """Services by parts of technology names, of any length, through the index of names."""
+    path, out = scratch.shared_folder(spark), None
+    stored.write_name_index(X.services(spark, d), path)
+    for text in SOUGHT:
+        rows = stored.services_with_technology(spark, path, text).select(F.lit(text).alias("sought"), "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _bucketed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Hosts by id and services by their host, as stored tables of as many buckets."""
+    folder = scratch.shared_folder(spark)
+    hosts = stored.save_bucketed(X.hosts(spark, d), "id", f"{folder}/hosts")
+    services = stored.save_bucketed(X.services(spark, d), "host_id", f"{folder}/services")
+    return spark.table(hosts), spark.table(services)
+
+
+@query(f"SELECT id, fqdn, url, pattern_id FROM svc JOIN (SELECT fqdn, pattern_id FROM host) USING (fqdn)", "svc", "host")
+def stored_join(spark: SparkSession, d: str) -> DataFrame:
+    """Services with their hosts from stored tables that lie by the key of the join."""
+    hosts, services = _bucketed(spark, d)
+    return services.join(hosts.select(F.col("id").alias("host_id"), "fqdn", "pattern_id"), "host_id").select("id", "fqdn", "url", "pattern_id")
+
+
+@query(f"SELECT fqdn, id, pattern_id, ip, status, type, {stamp('last_seen_at')} AS last_seen_at, {stamp('created_at')} AS created_at FROM host", "host")
+def stored_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The fold of later observations into a stored table of hosts that keeps its place."""
+    seen = X.matched_observations(spark, d)
+    early = fold.upsert_hosts(None, seen.filter(F.col("seq") < 100)).drop("seq")
+    name = stored.save_bucketed(early, "fqdn", f"{scratch.shared_folder(spark)}/hosts")
+    later = fold.observed_hosts(seen.filter(F.col("seq") >= 100))
+    rows = stored.upsert_stored(spark.table(name), later, "fqdn", fold.HOST_FIRST, fold.HOST_LAST)
+    return rows.select("fqdn", "id", "pattern_id", "ip", "status", "type", when("last_seen_at"), when("created_at"))
+
+
 def _streamed(rows: DataFrame, batch: streams.Batch, folder: str) -> None:
     streams.start(rows, batch, f"{folder}/checkpoint").awaitTermination()
 
@@ -778,8 +854,8 @@ def stream_queue(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT pattern_id, id, fqdn, row_number() OVER (PARTITION BY pattern_id ORDER BY host.created_at, id)::INTEGER AS place FROM host WHERE pattern_id IS NOT NULL", "host")
 def hosts_by_pattern(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("pattern_id").orderBy(*listing.oldest()))
-    return X.hosts(spark, d).filter("pattern_id is not null").select("pattern_id", "id", "fqdn", place.alias("place"))
+    rows = X.hosts(spark, d).filter("pattern_id is not null")
+    return listing.placed(rows, "pattern_id", F.date_trunc("hour", "created_at"), listing.oldest()).select("pattern_id", "id", "fqdn", "place")
 
 
 @query(f"SELECT p.id, p.value, p.active, {COUNTS} FROM pats p LEFT JOIN host h ON h.pattern_id = p.id GROUP BY p.id, p.value, p.active", "pats", "host")
