@@ -858,6 +858,39 @@ def hosts_by_pattern(spark: SparkSession, d: str) -> DataFrame:
     return listing.placed(rows, "pattern_id", F.date_trunc("hour", "created_at"), listing.oldest()).select("pattern_id", "id", "fqdn", "place")
 
 
+@query(
+    """SELECT id AS job_id, '{"event":"discovery_digest","wildcards_processed":1,"new_hostnames":' || new_hosts || ',"newly_dead":' || newly_dead || ',"new_web_services":' || new_services
+      || ',"duration_seconds":' || coalesce(epoch(TIMESTAMP '2024-02-01' - started_at)::BIGINT, 0) || ',"completed_at":"2024-02-01T00:00:00Z"}' AS payload
+      FROM job JOIN stats ON job_id = id WHERE id IN (SELECT job_id FROM jev WHERE status = 'completed')""",
+    "job", "stats", "jev",
+)
+def stream_job_digests(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of job states: a digest for each job that they complete."""
+    folder = scratch.shared_folder(spark)
+    tell = streams.digest_job_states(streams.job_table(spark, f"{folder}/jobs"), f"{folder}/told", X.jobs(spark, d), job_completion_stats_exact(spark, d), X.as_of())
+    _streamed(X.job_kinds(X.stream(spark, d, "events")), tell, folder)
+    return spark.read.schema("job_id string, payload string").json(f"{folder}/told").select("job_id", "payload")
+
+
+@query(
+    """SELECT url, CASE WHEN page_id % 5 IN (1, 2, 3) THEN 'failed' ELSE 'done' END AS status, (page_id % 5 IN (1, 2, 3))::INTEGER AS retry_count,
+        page_id % 5 NOT IN (1, 2, 3) AND host.status = 'unreachable' AND host.pattern_id IS NOT NULL AS alerted FROM svc JOIN host USING (fqdn)""",
+    "svc", "host",
+)
+def stream_scans(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as a stream of scan results of certificate URLs: what becomes of the queue, and which URLs are alerted."""
+    folder, n = scratch.shared_folder(spark), F.col("page_id")
+    hosts, queue = streams.host_table(spark, f"{folder}/hosts"), streams.queue_table(spark, f"{folder}/queue")
+    hosts.write(X.hosts(spark, d))
+    waiting = X.services(spark, d).select("id", "host_id", "url", F.lit("certificate").alias("source"), F.lit("processing").alias("status"), F.lit(0).alias("retry_count"), X.as_of().alias("created_at"), X.as_of().alias("updated_at"))
+    queue.write(waiting)
+    body = F.when(n % 5 == 2, '{"error":"timeout"}').when(n % 5 == 3, "{").otherwise('{"chain":[{"title":"Hi","status_code":200}],"technologies":[]}')
+    results = X.stream(spark, d, "pages").select(n.alias("seq"), n.cast("string").alias("queue_id"), F.when(n % 5 == 1, 500).otherwise(200).alias("http_status"), body.alias("body"), X.as_of().alias("at"))
+    _streamed(results, streams.process_scans(queue, hosts, f"{folder}/alerts", X.patterns(spark), 0, X.as_of()), folder)
+    alerted = spark.read.schema("url string, payload string").json(f"{folder}/alerts").select("url", F.lit(True).alias("alerted"))
+    return queue.read().join(alerted, "url", "left").select("url", "status", "retry_count", F.coalesce("alerted", F.lit(False)).alias("alerted"))
+
+
 @query(f"SELECT p.id, p.value, p.active, {COUNTS} FROM pats p LEFT JOIN host h ON h.pattern_id = p.id GROUP BY p.id, p.value, p.active", "pats", "host")
 def stream_rollup(spark: SparkSession, d: str) -> DataFrame:
     """The counts of patterns as a stream of observations keeps them up: three streams, each of some pages, one after the other."""

@@ -149,6 +149,11 @@ def probes(rows: DataFrame) -> DataFrame:
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job_kinds(load(spark, sf_dir, "events"))
+
+
+def job_kinds(events: DataFrame) -> DataFrame:
+    """Job status events of events(user_id, event_id, event_type, ts)."""
     t = F.col("event_type")
     status = F.when(t == "view", "running").when(t == "purchase", "completed").when(t == "error", "failed").when(t == "signup", "timeout").otherwise("pending")
-    return load(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    return events.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"))
