@@ -93,10 +93,14 @@ def job_states(events: DataFrame) -> DataFrame:
     return states_of(job_marks(events))
 
 
+def job_id(pattern_id: Column | str, seq: Column | str, as_of: Column) -> Column:
+    return S.stable_id(pattern_id, seq, F.unix_micros(as_of))
+
+
 def insert_jobs(jobs: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
-    """jobs with a pending row for each of requests(seq, pattern_id, mode)."""
+    """jobs with a pending row for each of requests(seq, pattern_id, mode); the time is part of an id, as seq may start anew in a later batch."""
     new = requests.select(
-        S.stable_id("pattern_id", "seq").alias("id"), "pattern_id", "mode", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("external_id"),
+        job_id("pattern_id", "seq", as_of).alias("id"), "pattern_id", "mode", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("external_id"),
         F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"), as_of.alias("created_at"),
     )
     return jobs.unionByName(new, allowMissingColumns=True)

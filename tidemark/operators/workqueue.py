@@ -14,11 +14,14 @@ STALE = "INTERVAL 2 MINUTES"
 
 
 def enqueue(offers: DataFrame, queue: DataFrame, as_of: Column) -> DataFrame:
-    """Queue rows for offers(seq, url, host_id, source) whose key is not active yet; the first offer of a key wins."""
+    """Queue rows for offers(seq, url, host_id, source) whose key is not active yet; the first offer of a key wins.
+
+    The time is part of an id, as seq may start anew in a later batch.
+    """
     active = queue.filter(F.col("status").isin(*ACTIVE)).select("url", "host_id")
     first = offers.join(active, ["url", "host_id"], "left_anti").groupBy("url", "host_id").agg(F.min_by("source", "seq").alias("source"), F.min("seq").alias("seq"))
     return first.select(
-        S.stable_id("url", "host_id", "seq").alias("id"), "host_id", "url", "source", F.lit("pending").alias("status"), F.lit(0).alias("retry_count"), as_of.alias("created_at"), as_of.alias("updated_at")
+        S.stable_id("url", "host_id", "seq", F.unix_micros(as_of)).alias("id"), "host_id", "url", "source", F.lit("pending").alias("status"), F.lit(0).alias("retry_count"), as_of.alias("created_at"), as_of.alias("updated_at")
     )
 
 

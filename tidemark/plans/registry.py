@@ -65,10 +65,11 @@ def pattern_match_first(spark: SparkSession, d: str) -> DataFrame:
     return match.match_hosts(X.observations(spark, d), X.patterns(spark))
 
 
-@query("SELECT DISTINCT fqdn FROM obs WHERE fqdn NOT IN (SELECT fqdn FROM matched)", "obs", "matched")
+@query("SELECT fqdn FROM cust WHERE fqdn NOT IN (SELECT fqdn FROM cust JOIN track ON track.value = '*' || substr(fqdn, strpos(fqdn, '.')) WHERE active)", "cust", "track")
 def unmatched_hosts(spark: SparkSession, d: str) -> DataFrame:
-    seen = X.observations(spark, d)
-    return seen.select("fqdn").distinct().join(match.match_hosts(seen, X.patterns(spark)), "fqdn", "left_anti")
+    """Names below no supplier's pattern, or below an inactive one."""
+    seen = X.customer_hosts(spark, d)
+    return seen.select("fqdn").distinct().join(match.match_hosts(seen, X.tracked_patterns(spark, d)), "fqdn", "left_anti")
 
 
 def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -646,7 +647,7 @@ def cert_ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return new.unionByName(got["unmatched"].select("seq", F.lit("no pattern").alias("outcome"))).unionByName(got["rejects"].select("seq", F.col("reason").alias("outcome")))
 
 
-JOB_ID = uuid_of("(c_custkey % 4 + 1) || chr(1) || c_custkey")
+JOB_ID = uuid_of("(c_custkey % 4 + 1) || chr(1) || c_custkey || chr(1) || epoch_us(TIMESTAMP '2024-02-01')")
 
 
 @query(f"SELECT {JOB_ID} AS id, (c_custkey % 4 + 1)::VARCHAR AS pattern_id, CASE WHEN c_custkey % 3 = 0 THEN 'intensive' ELSE 'normal' END AS mode, 'pending' AS status, CASE WHEN c_custkey % 2 = 0 THEN 'run-' || c_custkey END AS external_id FROM customer")
@@ -654,7 +655,7 @@ def job_insert(spark: SparkSession, d: str) -> DataFrame:
     """New jobs, every second of them launched and given its external id."""
     n = F.col("c_custkey")
     asked = X.load(spark, d, "customer").select(n.alias("seq"), (n % 4 + 1).cast("string").alias("pattern_id"), F.when(n % 3 == 0, "intensive").otherwise("normal").alias("mode"))
-    launched = asked.filter("seq % 2 = 0").select(S.stable_id("pattern_id", "seq").alias("id"), F.concat(F.lit("run-"), "seq").alias("external_id"))
+    launched = asked.filter("seq % 2 = 0").select(fold.job_id("pattern_id", "seq", X.as_of()).alias("id"), F.concat(F.lit("run-"), "seq").alias("external_id"))
     rows = fold.attach_external_ids(fold.insert_jobs(X.jobs(spark, d), asked, X.as_of()), launched)
     return rows.filter(F.col("created_at") == X.as_of()).select("id", "pattern_id", "mode", "status", "external_id")
 

@@ -8,17 +8,23 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def is_local(master: str) -> bool:
+    """Whether a master runs everything in one process."""
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Where that is unset, one below the warehouse, which is shared as well; a temporary one only where everything runs on one machine.
+    It has to be named there; only where everything runs on one machine a temporary one does.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", None)
         if not named:
-            local = context.master.startswith("local") and not context.master.startswith("local-cluster")
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+            if not is_local(context.master):
+                raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
