@@ -66,3 +66,11 @@ def test_predictions_equal_the_plain_method(spark, data):
     for r in li.identify(docs, model).collect():
         lang, score = plain_prediction(model, texts[r["doc_id"]])
         assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-6) and r["rejected"] == (lang == "und" or r["score"] < model.reject_below)
+
+
+def test_letters_by_unicode(spark, data):
+    """Number signs and numerals are no letters, whatever a pattern of word characters makes of them."""
+    model = li.train(spark.read.parquet(f"{data}/documents.parquet"))
+    for text in ("½", "Ⅷ Ⅻ", "①②", "x²".replace("x", "3"), "७ 12 _", "", " !? ", None, "\u0301"):
+        assert model.predict(text)[0] == li.UNDETERMINED
+    assert all(model.predict(text)[0] != li.UNDETERMINED for text in ("é", "ß", "日", "3 apples", "ª"))

@@ -40,7 +40,7 @@ def test_odd_rows(odd, none):
 def test_contradicting_targets_end_with_their_residual(spark, caplog):
     cells = spark.createDataFrame([("a", "x", 5.0), ("b", "y", 5.0)], "source string, lang string, tokens double")
     targets = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1), ("none", 0.5)], "source string, share double"), "lang": spark.createDataFrame([("x", 0.2), ("y", 0.8)], "lang string, share double")}
-    raked, residual = mixing.rake(cells, targets, most_rounds=3)
+    raked, residual = mixing.rake(cells, targets)
     assert residual > 0.5 and "raking ended" in caplog.text and raked.count() == 2
 
 
@@ -49,3 +49,32 @@ def test_columns_named_like_its_own(spark, odd):
     kept = mixing.sampled_documents(df)
     assert kept.columns == df.columns and kept.filter("mix_tokens <> 7").count() == 0
     assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in df.collect()}
+
+
+def two_by_two(spark, rows, left, right):
+    """Cells with targets of two dimensions: raked weights by cell, and the residual."""
+    cells = spark.createDataFrame(rows, "source string, lang string, tokens double")
+    targets = {name: spark.createDataFrame(list(t.items()), f"{name} string, share double") for name, t in (("source", left), ("lang", right))}
+    raked, residual = mixing.rake(cells, targets)
+    return {(r["source"], r["lang"]): r["weight"] for r in raked.collect()}, residual
+
+
+def test_targets_that_need_a_cell_to_vanish_are_met(spark):
+    """Plain raking needs about a million rounds here: a/y falls as one over the round."""
+    weights, residual = two_by_two(spark, [("a", "x", 5.0), ("a", "y", 3.0), ("b", "y", 2.0)], {"a": 0.5, "b": 0.5}, {"x": 0.5, "y": 0.5})
+    assert residual <= mixing.RESIDUAL and weights["a", "y"] < 1e-5
+    assert weights["a", "x"] == pytest.approx(0.5, abs=1e-5) and weights["b", "y"] == pytest.approx(0.5, abs=1e-5)
+
+
+def test_slow_raking_ends_where_plain_raking_does(spark):
+    """Cells almost apart converge slowly; the odds ratio of a table is what raking leaves alone."""
+    rows = [("a", "x", 1000.0), ("a", "y", 1.0), ("b", "x", 1.0), ("b", "y", 1000.0)]
+    weights, residual = two_by_two(spark, rows, {"a": 0.7, "b": 0.3}, {"x": 0.5, "y": 0.5})
+    assert residual <= mixing.RESIDUAL
+    assert weights["a", "x"] * weights["b", "y"] / (weights["a", "y"] * weights["b", "x"]) == pytest.approx(1e6, rel=1e-6)
+    assert sum(weights.values()) == pytest.approx(1)
+
+
+def test_the_residual_is_told(spark, data):
+    got = mixing.mix(queries.table(spark, data, "documents"))
+    assert {r["residual"] <= mixing.RESIDUAL for r in got.filter("residual is not null").collect()} == {True}

@@ -10,12 +10,12 @@ and the score below which a prediction is rejected.
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +25,8 @@ from .tables import bounded_batches, unused_name
 UNDETERMINED = "und"
 #: Up to this many counts of languages are broadcast.
 MOST_BROADCAST = 10_000
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters by Unicode's categories: number signs and numerals, as ½ or Ⅷ, are none.
+_LETTER = regex.compile(r"\p{L}")
 _GAP = np.full(256, 0, dtype=np.uint8)
 for _b in range(256):
     _GAP[_b] = _b if _b >= 0x80 or chr(_b).isalpha() else 0x20
@@ -201,7 +202,7 @@ def prediction(model: LanguageModel, text: Column | str) -> Column:
 
 
 def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score, rejected) of every row, repeated rows and null ids included."""
+    """(id_col, lang_pred, score, rejected) of every row, repeated rows and null ids included; an empty table gives no rows."""
     found = bounded_batches(documents).select(F.col(id_col).alias(id_col), prediction(model, F.col(text_col)).alias("p"))
     return found.select(id_col, "p.lang_pred", "p.score", "p.rejected")
 

@@ -18,9 +18,12 @@ from .tables import cut, unused_name
 
 DIMENSIONS, SEED = ("source", "lang", "topic"), "mix-1"
 #: Raking ends when a round finds every marginal this close to its target. Targets that contradict each other never
-#: hold together: it then ends when a round lessens the residual by a hundredth no more, or after so many rounds,
-#: with a warning that tells the residual.
-RESIDUAL, STALLED, MOST_ROUNDS = 1e-6, 0.99, 50
+#: hold together: it then ends when rounds no longer lessen the residual but by this part of it.
+RESIDUAL, NO_FALL = 1e-6, 1e-9
+#: Where a round leaves more than this part of the residual, the next ones take its step several times at once.
+SLOW = 0.9
+#: No cell's weight falls below.
+LEAST_WEIGHT = 1e-290
 #: Up to this many cells, or values of a dimension, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 #: Default targets: a dimension's natural token shares to this power, scaled to sum to one.
@@ -59,13 +62,16 @@ def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
     return mass.select(dimension, (F.pow("tokens", F.lit(temper)) / F.lit(total)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], residual: float = RESIDUAL, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], residual: float = RESIDUAL) -> tuple[DataFrame, float]:
     """cells (the dimensions, tokens) with `weight`, the raked share of each cell of positive tokens; the residual of the last round.
 
     targets: for each dimension (value, share). A value without a target keeps no weight; a target whose
     value has no tokens can't be met and is left out, the others growing to sum to one. The cells are a table of their
     own, far smaller than the documents; a step sums weights by one dimension, before any shuffle, and joins the sums back.
-    An empty table has a residual of 0.
+
+    There is no cap on the rounds. Targets that can be met only as some cells vanish are approached ever more slowly: where
+    that shows, a round's step, a factor for each cell, is taken twice, four times and so on at once, as long as the residual
+    falls by it; such cells still are products of factors of their values, as plain raking has them. An empty table has a residual of 0.
     """
     out = cells.filter("tokens > 0")
     for name, target in targets.items():
@@ -74,20 +80,32 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], residual: float = RESI
         out = out.join(met.crossJoin(F.broadcast(whole)).select(name, (F.col("aim") / F.col("whole")).alias(f"share_{name}")), name)
     out = cut(out.withColumn("weight", F.col("tokens").cast("double")))
     values = out.agg(*[F.count_distinct(name).alias(name) for name in targets]).first()
-    last = float("inf")
-    for _ in range(most_rounds):
-        out = out.withColumn("off", F.lit(0.0))
+
+    def turn(rows: DataFrame) -> tuple[DataFrame, float]:
+        """rows after a round, their weights before it as `was`; how far it found a marginal from its target."""
+        rows = rows.withColumns({"was": F.col("weight"), "off": F.lit(0.0)})
         for name in targets:
-            held = out.groupBy(name).agg(F.sum("weight").alias("held"))
+            held = rows.groupBy(name).agg(F.sum("weight").alias("held"))
             share = F.col(f"share_{name}")
-            new = {"weight": F.col("weight") * share / F.col("held"), "off": F.greatest("off", F.abs(F.col("held") - share))}
-            out = cut(out.join(F.broadcast(held) if values[name] <= BROADCAST_ROWS else held, name).withColumns(new).drop("held"))
-        before, last = last, out.agg(F.max("off").alias("off")).first()["off"] or 0.0
-        if last <= residual or last >= STALLED * before:
-            break
+            new = {"weight": F.greatest(F.col("weight") * share / F.col("held"), F.lit(LEAST_WEIGHT)), "off": F.greatest("off", F.abs(F.col("held") - share))}
+            rows = cut(rows.join(F.broadcast(held) if values[name] <= BROADCAST_ROWS else held, name).withColumns(new).drop("held"))
+        return rows, rows.agg(F.max("off").alias("off")).first()["off"] or 0.0
+
+    out, last = turn(out)
+    before, times = float("inf"), 1
+    while last > residual and last < before * (1 - NO_FALL):
+        if last > SLOW * before:
+            ahead = F.col("weight") * F.pow(F.col("weight") / F.col("was"), F.lit(float(2 * times - 1)))
+            far, off = turn(out.withColumn("weight", F.greatest(F.least(ahead, F.lit(1e3)), F.lit(LEAST_WEIGHT))))
+            if off < last:
+                out, before, last, times = far, last, off, 2 * times
+                continue
+            times = 1
+        out, off = turn(out)
+        before, last = last, off
     if last > residual:
         logging.getLogger(__name__).warning("raking ended with marginals up to %g from their targets", last)
-    return out.drop("off", *[f"share_{name}" for name in targets]), last
+    return out.drop("was", "off", *[f"share_{name}" for name in targets]), last
 
 
 def uniform(id_column: Column, seed: str) -> Column:
@@ -97,7 +115,7 @@ def uniform(id_column: Column, seed: str) -> Column:
 
 
 def rates(measures: DataFrame, targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None) -> DataFrame:
-    """(source, lang, topic, rate): the sampling rate of each cell, the greatest being one.
+    """(source, lang, topic, rate, residual): the sampling rate of each cell, the greatest being one, and how far the raked marginals are from their targets.
 
     Without targets each dimension aims at its tempered natural shares. Hinted as broadcast only if the
     cells, once counted, are few.
@@ -105,9 +123,10 @@ def rates(measures: DataFrame, targets: dict[str, DataFrame] | None = None, temp
     dims = list(DIMENSIONS)
     cells = cut(measures.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
     aims = targets or {name: tempered(cells, name, (tempers or TEMPERS)[name]) for name in dims}
-    raked = rake(cells, aims)[0].withColumn("rate", F.col("weight") / F.col("tokens"))
+    raked, residual = rake(cells, aims)
+    raked = raked.withColumn("rate", F.col("weight") / F.col("tokens"))
     held = raked.agg(F.max("rate").alias("most"), F.count(F.lit(1)).alias("n")).first()
-    rate = raked.select(*dims, (F.col("rate") / F.lit(held["most"] or 1.0)).alias("rate"))
+    rate = raked.select(*dims, (F.col("rate") / F.lit(held["most"] or 1.0)).alias("rate"), F.lit(residual).alias("residual"))
     return F.broadcast(rate) if held["n"] <= BROADCAST_ROWS else rate
 
 
@@ -120,7 +139,9 @@ def mix(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     targets: dict[str, DataFrame] | None = None, tempers: dict[str, float] | None = None, seed: str = SEED,
 ) -> DataFrame:
-    """(id_col, source, lang, topic, n_tokens, probability, sampled) of every document.
+    """(id_col, source, lang, topic, n_tokens, probability, sampled, residual) of every document.
+
+    residual, the same in all rows, tells how far the raked shares are from their targets; null for cells without any target.
 
     Repeated rows of one id share its draw, as do all rows without an id; null and empty texts are notes of no
     token, which stay; other columns are not read; an empty table gives no rows.
@@ -128,7 +149,7 @@ def mix(
     measures = cut(measured(documents, id_col, text_col, source_col, lang_col))
     joined = measures.join(rates(measures, targets, tempers), list(DIMENSIONS), "left")
     joined = joined.withColumn("probability", probability(F.col("n_tokens"), F.col("rate"))).withColumn("sampled", uniform(F.col("id"), seed) < F.col("probability"))
-    return joined.select(F.col("id").alias(id_col), *DIMENSIONS, "n_tokens", "probability", "sampled")
+    return joined.select(F.col("id").alias(id_col), *DIMENSIONS, "n_tokens", "probability", "sampled", "residual")
 
 
 def sampled_documents(

@@ -41,7 +41,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round(F.col("probability") * 10000).cast("long").alias("probability_bp"), "sampled")
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round(F.col("probability") * 10000).cast("long").alias("probability_bp"), "sampled", F.floor(F.col("residual") * 10000).alias("residual_bp"))
 
 
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,17 +170,17 @@ def _op6() -> str:
     for name in mixing.DIMENSIONS:
         parts.append(f"t_{name} AS (SELECT {name}, p / sum(p) OVER () AS share_{name} FROM (SELECT {name}, pow(sum(tokens), {mixing.TEMPERS[name]}) AS p FROM c0 GROUP BY {name}))")
     parts.append("s0 AS (SELECT *, tokens AS weight FROM c0 JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
-    step, last = f"SELECT * FROM s WHERE residual > {mixing.RESIDUAL!r} AND residual < {mixing.STALLED} * before AND r < {mixing.MOST_ROUNDS}", "weight"
+    step, last = f"SELECT * FROM s WHERE residual > {mixing.RESIDUAL!r} AND residual < before * (1 - {mixing.NO_FALL!r})", "weight"
     for name in mixing.DIMENSIONS:
         step = f"SELECT *, abs(held_{name} - share_{name}) AS off_{name}, {last} * share_{name} / held_{name} AS w_{name} FROM (SELECT *, sum({last}) OVER (PARTITION BY {name}) AS held_{name} FROM ({step}))"
         last = f"w_{name}"
     kept = "source, lang, topic, tokens, share_source, share_lang, share_topic"
     off = ", ".join(f"max(off_{name}) OVER ()" for name in mixing.DIMENSIONS)
     parts.append(f"s AS (SELECT 0 AS r, 1e308::DOUBLE AS before, 1e300::DOUBLE AS residual, {kept}, weight FROM s0 UNION ALL SELECT r + 1, residual, greatest({off}), {kept}, {last} FROM ({step}))")
-    parts.append("r AS (SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS rate FROM s WHERE r = (SELECT max(r) FROM s))")
-    parts.append("j AS (SELECT m.*, CASE WHEN n_tokens = 0 THEN 1.0::DOUBLE ELSE coalesce(rate, 0.0)::DOUBLE END AS p FROM m LEFT JOIN r USING (source, lang, topic))")
+    parts.append("r AS (SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS rate, floor(residual * 10000)::BIGINT AS residual_bp FROM s WHERE r = (SELECT max(r) FROM s))")
+    parts.append("j AS (SELECT m.*, CASE WHEN n_tokens = 0 THEN 1.0::DOUBLE ELSE coalesce(rate, 0.0)::DOUBLE END AS p, residual_bp FROM m LEFT JOIN r USING (source, lang, topic))")
     draw = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '?') || '/{mixing.SEED}'), 1, 8))::UBIGINT::DOUBLE / 4294967296.0"
-    return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(p * 10000)::BIGINT AS probability_bp, {draw} < p AS sampled FROM j"
+    return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(p * 10000)::BIGINT AS probability_bp, {draw} < p AS sampled, residual_bp FROM j"
 
 
 _OP11 = r"""
