@@ -176,3 +176,61 @@ def test_pairs_follow_the_documents(spark, monkeypatch):
     got = nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == classes(rows, similarity=nd._similarity)
     assert made[0] <= 300 and sum(made) <= 600
+
+
+def test_rows_of_one_id_in_any_order(spark):
+    """An id with several texts links what is linked to any of them; the order of rows makes no difference."""
+    text = lambda g, extra="": " ".join([f"g{g}w{i}" for i in range(120)] + [extra])
+    rows = [(1, text(0)), (1, text(1)), (2, text(0, "end")), (3, text(1, "end")), (4, text(2)), (4, None), (5, text(2, "x")), (6, text(3)), (6, text(4)), (6, text(3)), (7, "short one"), (1, ""), (8, text(4, "y"))]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 6}
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(seed + 1)).collect()
+        assert {r["doc_id"]: r["class_id"] for r in got} == want and len(got) == len(want)
+
+
+def alike(n, shared, own, seed=7):
+    """n texts of one template: `shared` words of it and `own` words of their own."""
+    rng = random.Random(seed)
+    return [(i, " ".join([f"w{j}" for j in range(shared)] + [f"own{rng.random()}" for _ in range(own)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("own", [26, 40])
+def test_texts_alike_below_the_threshold_make_no_pairs(spark, monkeypatch, own):
+    """Groups of texts of one template: the pairs that are worked out grow about as the texts do."""
+    counts = {}
+    plain = nd.sharing
+    for n in (100, 200, 400):
+        counts[n] = 0
+
+        def counted(postings, comp, threshold, n=n):
+            # pairs at each shingle that the join works out, before any other test
+            rows = postings.join(comp, "id").collect()
+            short, long = Counter(r["shingle"] for r in rows if r["short"]), Counter(r["shingle"] for r in rows if r["long"])
+            counts[n] = sum(c * long[s] for s, c in short.items())
+            return plain(postings, comp, threshold)
+
+        monkeypatch.setattr(nd, "sharing", counted)
+        got = nd.near_duplicate_classes(spark.createDataFrame(alike(n, 130, own), "doc_id long, text string")).collect()
+        assert all(r["class_id"] == r["doc_id"] for r in got)
+    assert counts[400] <= 5 * max(counts[100], 100 * own)
+
+
+def test_prefixes_lose_no_link(spark):
+    """Every link of random pairs around the threshold, repeated shingles included, meets at a posting."""
+    rng, rows = random.Random(11), []
+    for g in range(60):
+        base = [f"g{g}w{rng.randrange(90)}" for _ in range(rng.choice([9, 30, 120]))]
+        for c in range(3):
+            text = list(base) if c else base + base[: len(base) // 3]
+            for _ in range(rng.randint(0, max(1, len(text) // 40))):
+                text[rng.randrange(len(text))] = f"new{rng.random()}"
+            rows.append((10 * g + c, " ".join(text)))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    for threshold in (0.5, 0.8):
+        comp = docs.selectExpr("id", "id as comp")
+        met = {(r["a"], r["b"]) for r in nd.sharing(nd.prefixes(docs, 5, threshold, slots=64), comp, threshold).collect()}
+        sets = {i: grams(t) for i, t in rows}
+        links = {(a, b) for a, b in itertools.combinations(sets, 2) if a // 10 == b // 10 and nd._similarity(sets[a], sets[b]) >= threshold}
+        assert len(links) > 20 and links <= met
+        assert len(met) < 8 * len(links)

@@ -32,6 +32,8 @@ ESCAPE, AGREE = 3.2e-6, 0.328
 FINE_REGISTERS = 4096
 #: Sketches rule a pair out that differs in this many standard deviations more positions than a link makes them.
 DEVIATIONS = 5
+#: Slots of hashes by which shingles are counted, a power of two.
+SLOTS = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -223,6 +225,91 @@ def fine_sketches(texts: DataFrame, k: int = SHINGLE, size: int = FINE_REGISTERS
     return texts.mapInPandas(run, "id long, fine array<long>, fine_plain array<long>")
 
 
+def _prefix_rows(texts: list[str], ids: np.ndarray, k: int, threshold: float, held: np.ndarray) -> dict[str, np.ndarray]:
+    """Postings of one batch of texts: for each document its rarest shingles, as far as a link needs, and what each is good for."""
+    out: dict[str, list] = {c: [] for c in ("shingle", "id", "n", "short", "long", "mass", "uneven")}
+    for first, parts in tk.chunks(texts, 1 << 19):
+        value, whose, weight = tk.weighted(*tk.shingles(*tk.word_hashes(parts), k))
+        if not len(value):
+            continue
+        order = np.lexsort((value, held[value & np.uint64(len(held) - 1)], whose))
+        value, whose, weight = value[order], whose[order], weight[order]
+        new = np.flatnonzero(np.diff(whose, prepend=-1))
+        size = np.diff(np.append(new, len(whose)))
+        place, n = np.arange(len(whose)) - np.repeat(new, size), np.repeat(size, size)
+        total = np.repeat(np.add.reduceat(weight, new), size)
+        before = np.cumsum(weight) - weight
+        rest = total - (before - np.repeat(before[new], size))  # of the document's weight, from this shingle on
+        long = place < n - np.ceil(threshold * n - 1e-9) + 1
+        short = place < n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
+        mass = rest >= threshold * total - 1e-9 * total
+        uneven = np.repeat(np.maximum.reduceat(weight, new) > np.minimum.reduceat(weight, new), size)
+        keep = long | mass
+        for name, column in (("shingle", value.view(np.int64)), ("id", ids[first + whose]), ("n", n), ("short", short), ("long", long), ("mass", mass), ("uneven", uneven)):
+            out[name].append(column[keep])
+    return {c: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for c, v in out.items()}
+
+
+def shingle_counts(texts: DataFrame, k: int, slots: int) -> np.ndarray:
+    """How many of the texts(text) have a shingle of each slot of hashes; the driver gets `slots` numbers, whatever the size of the table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(slots, dtype=np.int64)
+        for pdf in batches:
+            for _, parts in tk.chunks([t.lower() for t in pdf["text"]], 1 << 19):
+                value, _, _ = tk.weighted(*tk.shingles(*tk.word_hashes(parts), k))
+                total += np.bincount((value & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+        tk.release()
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": at, "n": total[at]})
+
+    out = np.zeros(slots, dtype=np.int64)
+    for row in texts.select("text").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[row["slot"]] = row["n"]
+    return out
+
+
+def prefixes(texts: DataFrame, k: int, threshold: float, slots: int = SLOTS) -> DataFrame:
+    """(shingle, id, n, short, long, mass, uneven): postings of the rarest shingles of texts(id, text).
+
+    Shingles are ordered by how often their slot occurs, then by their hash: one order for all documents. A set link of x and
+    y, x having no more shingles, shares at least 2t/(1+t) of x's shingles and t of y's, so that a shingle among the first
+    of x (short) is among the first of y (long). The probability Jaccard of two documents is at most the common mass of
+    their normalised weights, so that a link shares a shingle among the first of both that leave less than t (mass); it tells
+    from the set Jaccard only where a document's weights are uneven.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, k, slots))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame(_prefix_rows([t.lower() for t in pdf["text"]], pdf["id"].to_numpy(), k, threshold, held.value))
+        tk.release()
+
+    return texts.select("id", "text").mapInPandas(run, "shingle long, id long, n long, short boolean, long boolean, mass boolean, uneven boolean")
+
+
+def sharing(postings: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs of different components (id, comp) whose postings a link of that threshold needs to meet.
+
+    At each shingle the rows outside of its largest component meet all others, and those inside only the ones outside, so
+    that members of one large component never meet each other. Only rows that a link can begin with are dealt to
+    the left: texts of one template, alike below the threshold, have none at a common shingle.
+    """
+    placed = cut(postings.join(comp, "id"))
+    parts = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    rows = cut(placed.join(largest.filter("parts > 1").select("shingle", "main"), "shingle"))
+    outside = F.col("comp") != F.col("main")
+    tags = lambda *pairs: F.filter(F.array(*[F.when(test, F.lit(tag)) for tag, test in pairs]), lambda t: t.isNotNull())
+    first, uneven = F.col("short"), F.col("uneven") & F.col("mass")
+    left = rows.withColumn("tag", F.explode(tags((0, first & outside), (1, first & ~outside), (2, uneven & outside), (3, uneven & ~outside))))
+    right = rows.withColumn("tag", F.explode(tags((0, F.col("long")), (1, F.col("long") & outside), (2, F.col("mass")), (3, F.col("mass") & outside))))
+    named = lambda df, side: df.select("shingle", "tag", F.col("id").alias(f"{side}_id"), F.col("comp").alias(f"{side}_comp"), F.col("n").alias(f"{side}_n"))
+    met = named(left, "l").join(named(right, "r"), ["shingle", "tag"]).filter("l_comp <> r_comp")
+    fits = (F.col("tag") > 1) | ((F.col("l_n") <= F.col("r_n")) & (F.col("l_n") >= F.lit(threshold - 1e-9) * F.col("r_n")))
+    return met.filter(fits).select(*_ordered("l_id", "r_id")).distinct()
+
+
 def differing(left: Column, right: Column, words: range, planes: int = 1) -> Column:
     """In how many positions two sketches of packed bits differ; `planes` bits, one after the other, make a position."""
     if planes == 1:
@@ -239,6 +326,16 @@ def differing(left: Column, right: Column, words: range, planes: int = 1) -> Col
     return total
 
 
+def finely(pairs: DataFrame, fine: DataFrame, limit: int) -> DataFrame:
+    """pairs(a, b) whose fine sketches, by weight or by set, differ in no more positions than limit."""
+    for side in ("a", "b"):
+        pairs = pairs.join(fine.select(F.col("id").alias(side), F.col("fine").alias(f"fine_{side}"), F.col("fine_plain").alias(f"plain_{side}")), side)
+    words = range(FINE_REGISTERS // 64)
+    whole = [F.coalesce(f"plain_{side}", f"fine_{side}") for side in ("a", "b")]
+    by_set = (F.col("plain_a").isNotNull() | F.col("plain_b").isNotNull()) & (differing(*whole, words) <= limit)
+    return pairs.filter((differing(F.col("fine_a"), F.col("fine_b"), words) <= limit) | by_set).select("a", "b")
+
+
 def _torn(crowd: DataFrame, comp: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component: (bucket, id, comp, main, one).
 
@@ -298,16 +395,23 @@ def near_duplicate_classes(
     representative by digest. Every document first meets one centre: the least id of most of its buckets. Those whose
     buckets then hold other components meet, of the members that stand for those, the most similar one by their
     sketches: a pair for each document, and one for each document and component. What is still apart
-    is compared with all members of its buckets' other components whose sketches agree as far as a link
-    makes them, so that no link is left out.
-    Null and word-free texts are classes of their own. Rows with a null id are dropped, repeated rows of one
-    id are one document, an empty table gives no rows; other columns are not read.
+    meets, of the other components, all members with which it shares as rare a shingle as a link needs, and whose sketches
+    agree as far as a link makes them, so that no link is left out and texts that are alike below the threshold make no pairs.
+    Null and word-free texts are classes of their own. Rows with a null id are dropped; repeated rows of one
+    id are one document, in one class with all that is linked to one of its texts, whatever the order of rows. Ids lie between
+    -2**62 and 2**62. An empty table gives no rows; other columns are not read.
     """
     usual = banding(threshold)
     bands, rows = bands or usual[0], rows or usual[1]
     size = bands * rows
     docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    every = docs.select("id").distinct()
     prints = written(fingerprints(docs, k, bands, rows))
+    several = cut(prints.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least <> most").select("id", "least"))
+    repeated = not several.isEmpty()
+    if repeated:
+        prints = written(_told_apart(prints, several))
+        docs = _told_apart(docs.withColumn("digest", F.md5(F.encode("text", "utf-8"))), several).drop("digest")
     copies = cut(prints.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "rep"))
     member = prints.select("id", "digest").join(copies, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     single = prints.join(copies, "digest", "left").filter("rep is null or rep = id")
@@ -316,7 +420,7 @@ def near_duplicate_classes(
     crowd = cut(entry.join(centres, "bucket").select("bucket", "id", "low"))
     votes = crowd.groupBy("id", "low").agg(F.count(F.lit(1)).alias("n"))
     star = cut(votes.groupBy("id").agg(F.max_by("low", F.when(F.col("id") != F.col("low"), F.struct("n", -F.col("low")))).alias("low")))
-    texts = docs.join(star, "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(star, "id", "left_semi").dropDuplicates(["id"])
     pool = written(texts.join(single.select("id", "sketch", "plain").dropDuplicates(["id"]), "id"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -341,21 +445,32 @@ def near_duplicate_classes(
     second = verify(best.select("best.a", "best.b").distinct())
     if not linked(second).isEmpty():
         comp = _joined_to(comp, linked(second))
-    left = cut(_torn(crowd, comp).select("bucket", "id", "comp"))
+    left = cut(_torn(crowd, comp).select("id", "comp").distinct())
     if not left.isEmpty():
-        fine = fine_sketches(pool.join(left.select("id").distinct(), "id", "left_semi").select("id", "text"), k)
-        rest = cut(left.join(pool.select("id", "sketch", "plain"), "id").join(fine, "id"))
-        p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
-        whole = [F.coalesce(side("fine_plain"), side("fine")) for side in (p, q)]
-        words = range(FINE_REGISTERS // 64)
-        by_set = (p("plain").isNotNull() | q("plain").isNotNull()) & (differing(*whole, words) <= fine_limit)
-        agree = (_distance(size, p, q) <= limit) & ((differing(p("fine"), q("fine"), words) <= fine_limit) | by_set)
-        cross = rest.alias("p").join(rest.alias("q"), (p("bucket") == q("bucket")) & (p("comp") < q("comp")) & agree).select(*_ordered("p.id", "q.id")).distinct()
-        found = linked(verify(cross.join(seen.union(second).select("a", "b"), ["a", "b"], "left_anti")))
-        if not found.isEmpty():
-            comp = _joined_to(comp, found)
+        rest = written(pool.join(left.select("id"), "id", "left_semi").select("id", "text"))
+        cross = sharing(prefixes(rest, k, threshold), left, threshold).join(seen.union(second).select("a", "b"), ["a", "b"], "left_anti")
+        alike = cut(near(cross).select("a", "b"))
+        if not alike.isEmpty():
+            ends = alike.select("a").union(alike.select("b")).distinct().withColumnRenamed("a", "id")
+            fine = cut(fine_sketches(rest.join(ends, "id", "left_semi"), k))
+            found = linked(verify(finely(alike, fine, fine_limit)))
+            if not found.isEmpty():
+                comp = _joined_to(comp, found)
     classes = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("class_id")).dropDuplicates(["id"])
-    return docs.select("id").distinct().join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+    if repeated:
+        own = prints.filter("of is not null").select("id", "of").distinct().join(classes, "id").select("of", F.col("class_id").alias("a"))
+        links = own.join(classes.select(F.col("id").alias("of"), F.col("class_id").alias("b")), "of").filter("a <> b").select("a", "b").distinct()
+        merged = components(links).select(F.col("id").alias("class_id"), F.col("comp").alias("new"))
+        classes = classes.join(merged, "class_id", "left").select("id", F.coalesce("new", "class_id").alias("class_id"))
+    return every.join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+
+
+def _told_apart(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """rows(id, digest, ...) with ids of their own, above all others, for further texts of an id, whose id is `of` then."""
+    other = F.col("least").isNotNull() & (F.col("digest") != F.col("least"))
+    own = F.lit(1 << 62) + F.pmod(F.xxhash64("id", "digest"), F.lit(1 << 61))
+    told = rows.join(several, "id", "left").withColumns({"of": F.when(other, F.col("id")), "own": F.when(other, own).otherwise(F.col("id"))})
+    return told.drop("id", "least").withColumnRenamed("own", "id")
 
 
 def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
