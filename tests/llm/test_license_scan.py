@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -150,3 +151,27 @@ def test_spans_and_coverage_of_the_data(spark, data):
         template, text = words(ls.TEMPLATES[r["license"]]), words(docs[r["doc_id"]])[r["start_word"] : r["end_word"]]
         assert r["n_matched"] == lcs(template, text) and r["n_template"] == len(template) and r["coverage"] == r["n_matched"] / len(template) >= 0.8
         assert text[0] in template and text[-1] in template and (words(r["span"]) == text).all()
+
+
+def test_bounds_hold_back_no_match():
+    """No alignment of a strip matches more words than its bound says, inside the text and at its ends."""
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        template, text = (rng.integers(1, 7, n).astype(np.uint64) for n in (rng.integers(1, 12), rng.integers(1, 30)))
+        width = int(rng.integers(1, 6))
+        lows = rng.integers(-14, 34, 4)
+        for low, most in zip(lows.tolist(), ls.reachable(template, text, lows, width).tolist(), strict=True):
+            assert ls.align(template, text, low, low + width - 1)[0] <= most <= len(template)
+
+
+def test_long_texts_of_license_words():
+    """Boilerplate phrases without a license: the work grows as the text does, by the bounds alone."""
+    index = ls.index_templates(ls.TEMPLATES)
+    phrase = "this software is provided by the copyright holders in no event shall the author "
+    words = ls._words([phrase * 800])[1]
+    began = time.perf_counter()
+    assert ls.scan_words(words, index, ls.COVERAGE) == []
+    assert time.perf_counter() - began < 10
+    name = max(ls.TEMPLATES, key=lambda n: len(ls.TEMPLATES[n]))
+    held = ls._words([phrase * 300 + ls.TEMPLATES[name] + " " + phrase * 300])[1]
+    assert index.names[ls.scan_words(held, index, ls.COVERAGE)[0][0]] == name

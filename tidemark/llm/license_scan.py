@@ -224,6 +224,29 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     return m, start, -end
 
 
+#: Strips whose bounds are worked out at a time, as cells of template words by shifts.
+BOUND_CELLS = 1 << 20
+
+
+def reachable(template: np.ndarray, text: np.ndarray, lows: np.ndarray, width: int) -> np.ndarray:
+    """For strips of `width` shifts from each of lows on: of how many template words the strip's part of the text holds an equal.
+
+    No alignment within a strip matches more words.
+    """
+    size = len(template)
+    # places before and behind the text equal no word
+    inside = np.concatenate((np.zeros(size + width, dtype=bool), np.ones(len(text), dtype=bool), np.zeros(size + width, dtype=bool)))
+    padded = np.concatenate((np.zeros(size + width, dtype=np.uint64), text, np.zeros(size + width, dtype=np.uint64)))
+    held = np.lib.stride_tricks.sliding_window_view(padded, width)
+    there = np.lib.stride_tricks.sliding_window_view(inside, width)
+    out = np.zeros(len(lows), dtype=np.int64)
+    some = max(1, BOUND_CELLS // (size * width))
+    for first in range(0, len(lows), some):
+        at = np.clip(lows[first : first + some, None] + (size + width) + np.arange(size)[None, :], 0, len(held) - 1)
+        out[first : first + some] = ((held[at] == template[None, :, None]) & there[at]).any(axis=2).sum(axis=1)
+    return out
+
+
 @dataclass
 class Region:
     """Hits near one diagonal: its shift, the first and last hit's places in the text and in the template, and how many they are."""
@@ -291,9 +314,17 @@ def scan_words(words: np.ndarray, index: TemplateIndex, coverage: float) -> list
         size = len(index.words[t])
         near = min(index.band, size // 2)
         mine = regions(seen, near, size)
+        shifts = np.array(sorted({r.shift for r in mine}), dtype=np.int64)
+        enough = reachable(index.words[t], words, shifts - index.band, 2 * index.band + 1) >= coverage * size
+        hopeful = set(shifts[enough].tolist())
         # the whole band may reach the next copy of a short template, the narrow one only the region's own
-        strips = [(r.shift - band, r.shift + band) for r in mine for band in (near, index.band)]
-        strips += [(low - near, high + near) for low, high in chains(mine, size)]
+        strips = [(r.shift - band, r.shift + band) for r in mine if r.shift in hopeful for band in (near, index.band)]
+        linked: dict[int, set[int]] = defaultdict(set)
+        for low, high in chains(mine, size):
+            linked[high - low + 2 * near + 1].add(low - near)
+        for width, lows in linked.items():
+            at = np.array(sorted(lows), dtype=np.int64)
+            strips += [(low, low + width - 1) for low in at[reachable(index.words[t], words, at, width) >= coverage * size].tolist()]
         for low, high in dict.fromkeys(strips):
             m, first, last = align(index.words[t], words, low, high)
             if m >= coverage * size:
