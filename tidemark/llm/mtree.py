@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .tables import cut
 
 PIVOTS, TREE_ROWS, QUERY_BLOCK, PAGE, FANOUT = 64, 4096, 256, 512, 8
-#: Up to this many routing objects of trees go to all tasks that pair queries with trees; with more, queries meet every tree and are ruled out there.
-ROUTED_TREES = 20_000
+#: Routing objects of trees that a block of queries meets at a time.
+ROUTED_TREES = 2_000
 
 
 class MTree:
@@ -167,20 +167,21 @@ def integers(vector: Column | str) -> Column:
 _PAIRS = "tree string, block long, queries array<struct<id:bigint,v:array<bigint>,tree:string,floor:bigint>>, home boolean"
 
 
-def _paired(blocks: DataFrame, routing: list[tuple]) -> DataFrame:
+def _paired(blocks: DataFrame, trees: DataFrame) -> DataFrame:
     """(tree, block, queries, home): for each block of queries and each tree those queries that its covering radius does not rule out.
 
-    blocks: (block, queries); routing: (tree, routing object, covering radius, greatest squared norm) of all trees.
+    blocks: (size, block, queries); trees: (tree, centre, radius, most), the routing object, the covering radius and the greatest
+    squared norm. Trees of one size of vectors lie in chunks of about ROUTED_TREES; each block meets each chunk of its size.
     """
-    by_length: dict[int, tuple] = {}
-    for n in {len(r[1]) for r in routing}:
-        mine = [r for r in routing if len(r[1]) == n]
-        by_length[n] = ([r[0] for r in mine], np.array([r[1] for r in mine], dtype=np.float64), np.array([r[2] for r in mine]), np.array([r[3] for r in mine], dtype=np.float64))
+    chunks = max(1, -(-trees.count() // ROUTED_TREES))
+    routing = trees.groupBy(F.size("centre").alias("size"), F.pmod(F.xxhash64("tree"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("tree", "centre", "radius", "most")).alias("r"))
+    held = routing.select("size", "chunk", *[F.col(f"r.{c}").alias(c) for c in ("tree", "centre", "radius", "most")])
+    met = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))).join(held, ["size", "chunk"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for block, queries in zip(pdf["block"], pdf["queries"], strict=True):
-                names, centres, radii, most = by_length[len(queries[0]["v"])]
+            for block, queries, names, centre, radius, norm in zip(*[pdf[c] for c in ("block", "queries", "tree", "centre", "radius", "most")], strict=True):
+                centres, radii, most = np.stack([np.asarray(c, dtype=np.float64) for c in centre]), np.asarray(radius, dtype=np.float64), np.asarray(norm, dtype=np.float64)
                 q = np.stack([x["v"] for x in queries]).astype(np.float64)
                 own = np.einsum("ij,ij->i", q, q)
                 square = own[:, None] + most[None, :]
@@ -195,7 +196,7 @@ def _paired(blocks: DataFrame, routing: list[tuple]) -> DataFrame:
                         out.append((names[t], block, some, False))
                 yield pd.DataFrame(out, columns=["tree", "block", "queries", "home"])
 
-    return blocks.mapInPandas(run, _PAIRS)
+    return met.select("block", "queries", "tree", "centre", "radius", "most").mapInPandas(run, _PAIRS)
 
 
 _FOUND = "query_id long, vec_id long, score long, home boolean"
@@ -233,7 +234,8 @@ def top_k(
 
     Candidates are all rows but those of the query's own id; ties go to the smaller id. Vectors that are
     null, empty or hold a null or non-finite component take no part, nor do null ids; a query meets only
-    vectors of its own length. Repeated rows count once; an empty table gives no rows; other columns are not read. At most `pivots` vectors, those with the least md5
+    vectors of its own length. Repeated rows count once, an id with several vectors once for each, as a query by its least;
+    an empty table gives no rows; other columns are not read. At most `pivots` vectors, those with the least md5
     of the id, are sampled as pivots.
     """
     base = embeddings.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col)).alias("v")).filter("id is not null and v is not null").distinct()
@@ -268,7 +270,7 @@ def top_k(
         return pd.DataFrame({"tree": [key[0]], "blob": [pickle.dumps(tree)], "centre": [tree.x[routing]], "radius": [radius], "most": [tree.most]})
 
     trees = cut(placed.groupBy("tree").applyInPandas(build, "tree string, blob binary, centre array<bigint>, radius double, most long"))
-    query = placed.filter(F.col("id") % every == 0).dropDuplicates(["id"])
+    query = placed.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("v", "size", "tree")).alias("q")).select("id", "q.*")
     entry = F.struct("id", "v", "tree", "floor")
     at_home = query.withColumn("floor", F.lit(None).cast("long")).groupBy("tree").agg(F.collect_list(entry).alias("queries")).withColumn("home", F.lit(True))
     first = cut(_searched(trees.join(at_home, "tree"), k))
@@ -276,11 +278,7 @@ def top_k(
     floors = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     blocks = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-query.count() // QUERY_BLOCK))))
     others = query.join(floors, "id", "left").groupBy("size", blocks.alias("block")).agg(F.collect_list(entry).alias("queries"))
-    held = trees.select("tree", "centre", "radius", "most")
-    if held.count() <= ROUTED_TREES:
-        spread = _paired(others.select(F.col("block").cast("long").alias("block"), "queries"), [tuple(r) for r in held.collect()])
-    else:
-        spread = others.join(shares, "size").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1))).select(name.alias("tree"), "block", "queries", F.lit(False).alias("home"))
+    spread = _paired(others.withColumn("block", F.col("block").cast("long")), trees.select("tree", "centre", "radius", "most"))
     spread = spread.repartition("tree", "block")
     second = _searched(trees.join(spread, "tree"), k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
