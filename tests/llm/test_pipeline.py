@@ -56,5 +56,22 @@ def test_mixing_sees_the_predicted_language(spark, data):
     assert kept.filter("lang = '??'").count() == 0 and kept.columns == docs.columns
 
 
-def test_run_equals_its_stages(spark, data):
-    assert cp.run(spark, data).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+def test_run_equals_its_stages(spark, data, tmp_path):
+    """run() gives the rows of the stages, each applied to what the one before it wrote."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for name, stage in cp.STAGES:
+        stage(spark, docs, data).write.parquet(f"file://{tmp_path}/{name}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{name}")
+    got = cp.run(spark, data)
+    assert got.columns == docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.collect())) and got.count() > 100
+
+
+def test_long_secrets_pass_through_every_stage(spark, data):
+    """A key of many thousand characters in one text stops no stage, and none of it stays in clear."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    secret = "a1B2c3D4e5" * 2_000
+    rows = docs.limit(40).withColumn("text", F.when(F.col("doc_id") == docs.first()["doc_id"], F.concat(F.lit(f"api_key = {secret} "), "text")).otherwise(F.col("text")))
+    new = dict(cp.STAGES)["pii"](spark, rows, data)
+    assert new.count() == 40 and new.filter(F.contains("text", F.lit(secret[:40]))).count() == 0
+    assert dict(cp.STAGES)["byte_bpe"](spark, new, data).count() == 40
