@@ -92,3 +92,19 @@ def test_texts_cut_into_parts(library, monkeypatch):
     texts = ["".join(rng.choice(["word", " ", "  ", "\n", "'s", "é", " x", "1", "日", "\u2003", "."]) for _ in range(rng.randint(0, 120))) for _ in range(300)]
     assert any(len(list(bb.cut_text(t))) > 2 for t in texts) and all("".join(bb.cut_text(t)) == t for t in texts)
     check(texts, library)
+
+
+def test_rank_files_are_looked_through(spark, tmp_path):
+    """A rank file with a token that its lower merges do not make is refused, before any task runs."""
+    import base64
+
+    tokens = [bytes([b]) for b in range(256)] + [b"abc", b"ab"]
+    file = tmp_path / "odd.tiktoken"
+    file.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    df = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    for run in (bb.encode, bb.round_trip):
+        with pytest.raises(ValueError, match="merges of lower ranks"):
+            run(df, ranks=str(file))
+    fine = tmp_path / "fine.tiktoken"
+    fine.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate([*tokens[:256], b"ab", b"abc"])))
+    assert bb.round_trip(df, ranks=str(fine)).first()["n_tokens"] == 1

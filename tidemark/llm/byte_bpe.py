@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -357,12 +358,20 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@lru_cache(maxsize=16)
+def checked(path: str) -> str:
+    """The path of a rank file whose tokens are all made by merges of lower ranks, looked through once by the driver; an error names any other."""
+    if not _Vocabulary(path).ordered():
+        raise ValueError(f"{path} has tokens that merges of lower ranks do not make; pieces of all lengths contract alike only without such")
+    return path
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
     """(id_col, ids) of every row, ids being little-endian unsigned 32-bit integers; a null text counts as empty.
 
     Every row gives one row, repeated rows and null ids as well; other columns are not read.
     """
-    path = ranks or default_ranks()
+    path = checked(ranks or default_ranks())
     kind = df.select(F.col(id_col).alias(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +399,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: s
 
 def round_trip(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256) of every text encoded and decoded again, in one pass of a worker."""
-    path = ranks or default_ranks()
+    path = checked(ranks or default_ranks())
     kind = documents.select(F.col(id_col).alias(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
