@@ -206,8 +206,8 @@ def test_texts_alike_below_the_threshold_make_no_pairs(spark, monkeypatch, own):
         def counted(postings, comp, threshold, n=n):
             # pairs at each shingle that the join works out, before any other test
             rows = postings.join(comp, "id").collect()
-            short, long = Counter(r["shingle"] for r in rows if r["short"]), Counter(r["shingle"] for r in rows if r["long"])
-            counts[n] = sum(c * long[s] for s, c in short.items())
+            left, right = (Counter((r["shingle"], r["key"]) for r in rows if r["left"] == side) for side in (True, False))
+            counts[n] = sum(c * right[at] for at, c in left.items())
             return plain(postings, comp, threshold)
 
         monkeypatch.setattr(nd, "sharing", counted)

@@ -225,29 +225,53 @@ def fine_sketches(texts: DataFrame, k: int = SHINGLE, size: int = FINE_REGISTERS
     return texts.mapInPandas(run, "id long, fine array<long>, fine_plain array<long>")
 
 
-def _prefix_rows(texts: list[str], ids: np.ndarray, k: int, threshold: float, held: np.ndarray) -> dict[str, np.ndarray]:
-    """Postings of one batch of texts: for each document its rarest shingles, as far as a link needs, and what each is good for."""
-    out: dict[str, list] = {c: [] for c in ("shingle", "id", "n", "short", "long", "mass", "uneven")}
+def _classes() -> np.ndarray:
+    """The least sizes of classes of sets, each about a twentieth above the one before."""
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(max(edges[-1] + 1, -(-edges[-1] * 53 // 50)))
+    return np.array(edges)
+
+
+_LEAST = _classes()
+#: The key of postings for weights; those for sets have the two classes of sizes that they are good for.
+BY_WEIGHT = -1
+
+
+def _prefix_rows(texts: list[str], ids: np.ndarray, k: int, threshold: float, held: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Postings of one batch of texts: of each document its rarest shingles, as far as a link to sets of each class of sizes needs."""
+    share = threshold / (1 + threshold)
     for first, parts in tk.chunks(texts, 1 << 19):
         value, whose, weight = tk.weighted(*tk.shingles(*tk.word_hashes(parts), k))
         if not len(value):
             continue
         order = np.lexsort((value, held[value & np.uint64(len(held) - 1)], whose))
-        value, whose, weight = value[order], whose[order], weight[order]
+        value, whose, weight = value[order].view(np.int64), whose[order], weight[order]
         new = np.flatnonzero(np.diff(whose, prepend=-1))
-        size = np.diff(np.append(new, len(whose)))
-        place, n = np.arange(len(whose)) - np.repeat(new, size), np.repeat(size, size)
-        total = np.repeat(np.add.reduceat(weight, new), size)
+        n = np.diff(np.append(new, len(whose)))  # of each document
+        place = np.arange(len(whose)) - np.repeat(new, n)
+        own = np.searchsorted(_LEAST, n, side="right") - 1
+
+        def told(keep: np.ndarray, key: np.ndarray, left: np.ndarray, n: np.ndarray = n, value: np.ndarray = value, whose: np.ndarray = whose, place: np.ndarray = place, first: int = first) -> pd.DataFrame:
+            at = np.flatnonzero(keep)
+            wide = lambda column: np.repeat(column, n)[at]
+            return pd.DataFrame({"shingle": value[at], "key": wide(key), "left": wide(left), "id": ids[first + whose[at]], "n": wide(n), "place": place[at]})
+
+        for apart in range(len(_LEAST)):
+            bigger, smaller = np.minimum(own + apart, len(_LEAST) - 1), np.maximum(own - apart, 0)
+            as_left = n - np.ceil(share * (n + _LEAST[bigger]) - 1e-9) + 1
+            as_right = np.where((own >= apart) & (_LEAST[np.minimum(smaller + 1, len(_LEAST) - 1)] - 1 >= threshold * n - 1e-9), n - np.ceil(share * (n + _LEAST[smaller]) - 1e-9) + 1, 0)
+            if (as_left <= 0).all() and (as_right <= 0).all():
+                break
+            yield told(place < np.repeat(as_left, n), own << 16 | bigger, np.ones(len(n), dtype=bool))
+            yield told(place < np.repeat(as_right, n), smaller << 16 | own, np.zeros(len(n), dtype=bool))
+        total = np.repeat(np.add.reduceat(weight, new), n)
         before = np.cumsum(weight) - weight
-        rest = total - (before - np.repeat(before[new], size))  # of the document's weight, from this shingle on
-        long = place < n - np.ceil(threshold * n - 1e-9) + 1
-        short = place < n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
-        mass = rest >= threshold * total - 1e-9 * total
-        uneven = np.repeat(np.maximum.reduceat(weight, new) > np.minimum.reduceat(weight, new), size)
-        keep = long | mass
-        for name, column in (("shingle", value.view(np.int64)), ("id", ids[first + whose]), ("n", n), ("short", short), ("long", long), ("mass", mass), ("uneven", uneven)):
-            out[name].append(column[keep])
-    return {c: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for c, v in out.items()}
+        rest = total - (before - np.repeat(before[new], n))  # of the document's weight, from this shingle on
+        mass, uneven = rest >= threshold * total - 1e-9 * total, np.maximum.reduceat(weight, new) > np.minimum.reduceat(weight, new)
+        weighs = np.full(len(n), BY_WEIGHT)
+        yield told(mass & np.repeat(uneven, n), weighs, np.ones(len(n), dtype=bool))
+        yield told(mass, weighs, np.zeros(len(n), dtype=bool))
 
 
 def shingle_counts(texts: DataFrame, k: int, slots: int) -> np.ndarray:
@@ -270,43 +294,47 @@ def shingle_counts(texts: DataFrame, k: int, slots: int) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, k: int, threshold: float, slots: int = SLOTS) -> DataFrame:
-    """(shingle, id, n, short, long, mass, uneven): postings of the rarest shingles of texts(id, text).
+    """(shingle, key, left, id, n, place): postings of the rarest shingles of texts(id, text).
 
     Shingles are ordered by how often their slot occurs, then by their hash: one order for all documents. A set link of x and
-    y, x having no more shingles, shares at least 2t/(1+t) of x's shingles and t of y's, so that a shingle among the first
-    of x (short) is among the first of y (long). The probability Jaccard of two documents is at most the common mass of
-    their normalised weights, so that a link shares a shingle among the first of both that leave less than t (mass); it tells
-    from the set Jaccard only where a document's weights are uneven.
+    y shares at least t/(1+t) of |x| + |y| shingles, so that the first of them in the order is, in each, among as many as
+    leave no fewer. How many that are follows from the other's size: a document is posted for each class of sizes that can be
+    linked to its own, as the left side for its own and larger ones, as the right side for its own and smaller ones.
+
+    The probability Jaccard of two documents is at most the common mass of their normalised weights, so that a link shares a
+    shingle among the first of both that leave less than t; it tells from the set Jaccard only where the weights of one
+    are uneven, which is the left side then.
     """
     held = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, k, slots))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame(_prefix_rows([t.lower() for t in pdf["text"]], pdf["id"].to_numpy(), k, threshold, held.value))
+            yield from _prefix_rows([t.lower() for t in pdf["text"]], pdf["id"].to_numpy(), k, threshold, held.value)
         tk.release()
 
-    return texts.select("id", "text").mapInPandas(run, "shingle long, id long, n long, short boolean, long boolean, mass boolean, uneven boolean")
+    return texts.select("id", "text").mapInPandas(run, "shingle long, key long, left boolean, id long, n long, place long")
 
 
 def sharing(postings: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the pairs of different components (id, comp) whose postings a link of that threshold needs to meet.
 
-    At each shingle the rows outside of its largest component meet all others, and those inside only the ones outside, so
-    that members of one large component never meet each other. Only rows that a link can begin with are dealt to
-    the left: texts of one template, alike below the threshold, have none at a common shingle.
+    At each shingle and key the left rows outside of its largest component meet all right ones, and those inside only the right ones
+    outside, so that members of one large component never meet each other. Texts of one template, alike below the
+    threshold, have no postings at a common shingle.
     """
     placed = cut(postings.join(comp, "id"))
-    parts = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("size"))
-    largest = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
-    rows = cut(placed.join(largest.filter("parts > 1").select("shingle", "main"), "shingle"))
-    outside = F.col("comp") != F.col("main")
-    tags = lambda *pairs: F.filter(F.array(*[F.when(test, F.lit(tag)) for tag, test in pairs]), lambda t: t.isNotNull())
-    first, uneven = F.col("short"), F.col("uneven") & F.col("mass")
-    left = rows.withColumn("tag", F.explode(tags((0, first & outside), (1, first & ~outside), (2, uneven & outside), (3, uneven & ~outside))))
-    right = rows.withColumn("tag", F.explode(tags((0, F.col("long")), (1, F.col("long") & outside), (2, F.col("mass")), (3, F.col("mass") & outside))))
-    named = lambda df, side: df.select("shingle", "tag", F.col("id").alias(f"{side}_id"), F.col("comp").alias(f"{side}_comp"), F.col("n").alias(f"{side}_n"))
-    met = named(left, "l").join(named(right, "r"), ["shingle", "tag"]).filter("l_comp <> r_comp")
-    fits = (F.col("tag") > 1) | ((F.col("l_n") <= F.col("r_n")) & (F.col("l_n") >= F.lit(threshold - 1e-9) * F.col("r_n")))
+    parts = placed.groupBy("shingle", "key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("shingle", "key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    rows = cut(placed.join(largest.filter("parts > 1").select("shingle", "key", "main"), ["shingle", "key"]).withColumn("outside", F.col("comp") != F.col("main")))
+    # of one class, both rows of a document are on both sides: who is outside meets all on the left already
+    one_class = (F.col("key") >= 0) & (F.shiftright("key", 16) == F.col("key").bitwiseAND(F.lit(0xFFFF)))
+    tags = lambda zero, one: F.filter(F.array(F.when(zero, 0), F.when(one, 1)), lambda t: t.isNotNull())
+    left = rows.filter("left").withColumn("tag", F.explode(tags(F.col("outside"), ~F.col("outside") & ~one_class)))
+    right = rows.filter("not left").withColumn("tag", F.explode(tags(F.lit(True), F.col("outside"))))
+    named = lambda df, side: df.select("shingle", "key", "tag", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "comp", "n", "place")])
+    met = named(left, "l").join(named(right, "r"), ["shingle", "key", "tag"]).filter("l_comp <> r_comp")
+    common = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("l_n") + F.col("r_n")) - F.lit(1e-9))
+    fits = (F.col("key") == BY_WEIGHT) | ((F.col("l_n") - F.col("l_place") >= common) & (F.col("r_n") - F.col("r_place") >= common))
     return met.filter(fits).select(*_ordered("l_id", "r_id")).distinct()
 
 
