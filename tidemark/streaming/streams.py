@@ -296,8 +296,8 @@ def digest_job_states(jobs: Versions, digests: str, known: DataFrame, stats: Dat
 def process_scans(queue: Versions, hosts: Versions, alerts: str, patterns: DataFrame, workers: int, as_of: Column, stream: str = "scans") -> Batch:
     """Settles a batch of scan results(seq, queue_id, http_status, body, at), alerts, recovers stale rows and claims the next.
 
-    Alerts are written to a folder of the batch: one for each URL found by certificates whose scan went well at
-    a host that was unreachable. The queue's version is written last, so a batch cut short runs again in full.
+    Alerts are written to a folder of the batch, with the ids of their queue rows: one for each row found by certificates
+    whose scan went well at a host that was unreachable. The queue's version is written last, so a batch cut short runs again in full.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -312,7 +312,7 @@ def process_scans(queue: Versions, hosts: Versions, alerts: str, patterns: DataF
             found = scanned.filter("outcome = 'ok' and source = 'certificate'").join(known.select(F.col("id").alias("host_id"), "status", "pattern_id"), "host_id").filter("status = 'unreachable'")
             value = patterns.select(F.col("id").alias("pattern_id"), F.col("value").alias("pattern_value"))
             parts = {c: F.to_json(F.try_variant_get(S.json_value("body"), f"$.{c}", "variant")) for c in ("chain", "technologies", "metadata")}
-            told = payloads.alert_payload(found.join(value, "pattern_id").withColumns(parts), as_of)
+            told = payloads.alert_payload(found.join(value, "pattern_id").withColumns(parts), as_of, "id")
             told.write.mode("overwrite").json(f"{alerts}/batch={number}")
             if number > hosts.applied(stream):
                 hosts.change(alive, stream, number)
