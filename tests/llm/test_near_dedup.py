@@ -234,3 +234,24 @@ def test_prefixes_lose_no_link(spark):
         links = {(a, b) for a, b in itertools.combinations(sets, 2) if a // 10 == b // 10 and nd._similarity(sets[a], sets[b]) >= threshold}
         assert len(links) > 20 and links <= met
         assert len(met) < 8 * len(links)
+
+
+def test_common_weights_bound_the_similarity():
+    """The probability Jaccard is at most 1 / (1/u + 1/v - 1), u and v being the shares of the common shingles in both weights."""
+    rng = random.Random(5)
+    for _ in range(2000):
+        x, y = (Counter({rng.randrange(12): rng.choice([1, 1, 2, 3, 9]) for _ in range(rng.randint(1, 10))}) for _ in range(2))
+        both = x.keys() & y.keys()
+        if both:
+            u, v = (sum(z[s] for s in both) / z.total() for z in (x, y))
+            assert probability_jaccard(x, y) <= 1 / (1 / u + 1 / v - 1) + 1e-12
+
+
+def test_texts_outside_of_a_large_component_meet_none_of_it(spark):
+    """Texts with a passage twice, alike below the threshold: by weight, each outside met all members at several shingles."""
+    base = [f"w{i}" for i in range(150)] + [f"w{i}" for i in range(15)]
+    rows = [(i, " ".join(base + [f"own{i}x{j}" for j in range(8 if i < 40 else 34)])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    assert 0.75 < nd.similarity(rows[0][1], rows[79][1]) < 0.8 < nd.similarity(rows[0][1], rows[39][1])
+    comp = docs.selectExpr("id", "if(id < 40, 0, id) as comp")
+    assert nd.sharing(nd.prefixes(docs, 5, 0.8), comp, 0.8).isEmpty()

@@ -252,10 +252,10 @@ def _prefix_rows(texts: list[str], ids: np.ndarray, k: int, threshold: float, he
         place = np.arange(len(whose)) - np.repeat(new, n)
         own = np.searchsorted(_LEAST, n, side="right") - 1
 
-        def told(keep: np.ndarray, key: np.ndarray, left: np.ndarray, n: np.ndarray = n, value: np.ndarray = value, whose: np.ndarray = whose, place: np.ndarray = place, first: int = first) -> pd.DataFrame:
+        def told(keep: np.ndarray, key: np.ndarray, left: np.ndarray, whole: np.ndarray = n, gone: np.ndarray = place, n: np.ndarray = n, value: np.ndarray = value, whose: np.ndarray = whose, first: int = first) -> pd.DataFrame:
             at = np.flatnonzero(keep)
             wide = lambda column: np.repeat(column, n)[at]
-            return pd.DataFrame({"shingle": value[at], "key": wide(key), "left": wide(left), "id": ids[first + whose[at]], "n": wide(n), "place": place[at]})
+            return pd.DataFrame({"shingle": value[at], "key": wide(key), "left": wide(left), "id": ids[first + whose[at]], "n": wide(whole), "place": gone[at]})
 
         for apart in range(len(_LEAST)):
             bigger, smaller = np.minimum(own + apart, len(_LEAST) - 1), np.maximum(own - apart, 0)
@@ -265,13 +265,13 @@ def _prefix_rows(texts: list[str], ids: np.ndarray, k: int, threshold: float, he
                 break
             yield told(place < np.repeat(as_left, n), own << 16 | bigger, np.ones(len(n), dtype=bool))
             yield told(place < np.repeat(as_right, n), smaller << 16 | own, np.zeros(len(n), dtype=bool))
-        total = np.repeat(np.add.reduceat(weight, new), n)
-        before = np.cumsum(weight) - weight
-        rest = total - (before - np.repeat(before[new], n))  # of the document's weight, from this shingle on
-        mass, uneven = rest >= threshold * total - 1e-9 * total, np.maximum.reduceat(weight, new) > np.minimum.reduceat(weight, new)
-        weighs = np.full(len(n), BY_WEIGHT)
-        yield told(mass & np.repeat(uneven, n), weighs, np.ones(len(n), dtype=bool))
-        yield told(mass, weighs, np.zeros(len(n), dtype=bool))
+        total = np.add.reduceat(weight, new)
+        gone = np.cumsum(weight) - weight
+        gone = gone - np.repeat(gone[new], n)  # of the document's weight, before this shingle
+        mass, uneven = np.repeat(total, n) - gone >= np.repeat(total, n) * (threshold - 1e-9), np.maximum.reduceat(weight, new) > np.minimum.reduceat(weight, new)
+        weighs, whole, gone = np.full(len(n), BY_WEIGHT), np.rint(total).astype(np.int64), np.rint(gone).astype(np.int64)
+        yield told(mass & np.repeat(uneven, n), weighs, np.ones(len(n), dtype=bool), whole, gone)
+        yield told(mass, weighs, np.zeros(len(n), dtype=bool), whole, gone)
 
 
 def shingle_counts(texts: DataFrame, k: int, slots: int) -> np.ndarray:
@@ -301,9 +301,14 @@ def prefixes(texts: DataFrame, k: int, threshold: float, slots: int = SLOTS) ->
     leave no fewer. How many that are follows from the other's size: a document is posted for each class of sizes that can be
     linked to its own, as the left side for its own and larger ones, as the right side for its own and smaller ones.
 
-    The probability Jaccard of two documents is at most the common mass of their normalised weights, so that a link shares a
-    shingle among the first of both that leave less than t; it tells from the set Jaccard only where the weights of one
-    are uneven, which is the left side then.
+    The probability Jaccard of two documents whose common shingles have the shares u and v of their weights is at most
+    1 / (1/u + 1/v - 1), and so at most u and v, so that a link shares a shingle among the first of both that leave no less than t; it tells
+    from the set Jaccard only where the weights of one are uneven, which is the left side then. n and place are the document's weight and
+    how much of it lies before the shingle there, its number of shingles and how many are before it elsewhere.
+
+    Why that bound holds: with p = u * r and q = v * s on the common shingles, where r and s each sum up to 1, the sum that stands below 1 for a shingle i is
+    at least max(1/r_i, 1/s_i) + (1/u - 1) / r_i + (1/v - 1) / s_i, thus at least (1/u + 1/v - 1) times a weighted mean of 1/r_i and 1/s_i. Its inverse
+    is at most the same mean of r_i and s_i, by weights that do not depend on i, over that factor; these means add up to 1.
     """
     held = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, k, slots))
 
@@ -334,7 +339,10 @@ def sharing(postings: DataFrame, comp: DataFrame, threshold: float) -> DataFrame
     named = lambda df, side: df.select("shingle", "key", "tag", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "comp", "n", "place")])
     met = named(left, "l").join(named(right, "r"), ["shingle", "key", "tag"]).filter("l_comp <> r_comp")
     common = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("l_n") + F.col("r_n")) - F.lit(1e-9))
-    fits = (F.col("key") == BY_WEIGHT) | ((F.col("l_n") - F.col("l_place") >= common) & (F.col("r_n") - F.col("r_place") >= common))
+    # of the weight of either side, no more is common than what is left from the first common shingle on
+    inverse = F.col("l_n") / (F.col("l_n") - F.col("l_place")) + F.col("r_n") / (F.col("r_n") - F.col("r_place")) - 1
+    by_weight = (F.col("key") == BY_WEIGHT) & (inverse <= 1 / threshold + 1e-9)
+    fits = by_weight | (F.col("key") >= 0) & ((F.col("l_n") - F.col("l_place") >= common) & (F.col("r_n") - F.col("r_place") >= common))
     return met.filter(fits).select(*_ordered("l_id", "r_id")).distinct()
 
 
